@@ -21,8 +21,7 @@ def empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def running(lengths: Column) -> Column:
-    """Running totals of an integer array."""
+def _running_part(lengths: Column) -> Column:
     start = F.struct(F.lit(0).alias("at"), empty("int").alias("found"))
     folded = F.aggregate(
         lengths,
@@ -34,6 +33,38 @@ def running(lengths: Column) -> Column:
     return folded["found"]
 
 
+def running(lengths: Column, part: int = 64) -> Column:
+    """Running totals of an integer array.
+
+    Appending inside a fold copies the array, so the fold runs over short parts
+    whose totals are then added up.
+    """
+
+    def over(values: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / part).cast("int"))
+        parts = F.transform(
+            starts, lambda i: _running_part(F.slice(values, i * part + 1, F.lit(part)))
+        )
+        return F.when(F.size(values) > 0, let(parts, shifted)).otherwise(empty("int"))
+
+    def shifted(parts: Column) -> Column:
+        ends = F.transform(parts, lambda p: F.element_at(p, -1))
+        return let(
+            _running_part(ends),
+            lambda bases: F.flatten(
+                F.transform(
+                    parts,
+                    lambda p, i: let(
+                        F.coalesce(F.get(bases, i - 1), F.lit(0)),
+                        lambda base: F.transform(p, lambda x: x + base),
+                    ),
+                )
+            ),
+        )
+
+    return let(lengths, over)
+
+
 def ordered_text(rows: Column, separator: str) -> Column:
     """Join the ``text`` fields of collected ``struct<position, text>`` rows in order."""
     return F.array_join(F.transform(F.sort_array(rows), lambda r: r["text"]), separator)

@@ -14,6 +14,10 @@ from passagework.functions.arrays import empty, let, running
 _WS = r"[\s\x1c-\x1f]"
 # CJK unified ideographs and extension A.
 CJK = r"一-鿿㐀-䶿"
+# Runs that become tokens: CJK runs, or runs of other letters and digits.
+RUNS = rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"
+# The same for Python's regex engine, used on short configured keywords only.
+PY_RUNS = rf"[{CJK}]+|[^\W_{CJK}]+"
 
 
 def strip(text: Column) -> Column:
@@ -46,9 +50,7 @@ def has_cjk(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case index terms: letter and digit runs; CJK runs as overlapping bigrams."""
-    words = F.regexp_extract_all(
-        F.lower(text), F.lit(rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"), 0
-    )
+    words = F.regexp_extract_all(F.lower(text), F.lit(RUNS), 0)
 
     def split_run(word: Column) -> Column:
         bigrams = F.transform(
@@ -129,9 +131,9 @@ def render(template: str, values: Mapping[str, Column], strict: bool = True) ->
 
 
 def size_label(size: Column) -> Column:
-    """Human-readable byte size."""
+    """Human-readable byte size, ties rounded to the even digit."""
     return (
         F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
-        .when(size < 1024 * 1024, F.format_string("%.1f KB", size / 1024))
-        .otherwise(F.format_string("%.1f MB", size / 1024 / 1024))
+        .when(size < 1024 * 1024, F.format_string("%.1f KB", F.bround(size / 1024, 1)))
+        .otherwise(F.format_string("%.1f MB", F.bround(size / 1024 / 1024, 1)))
     )

@@ -12,4 +12,4 @@ def registered():
     return dict(catalog.QUERIES), dict(catalog.CHECKS)
 
 
-MODULES = ["q_chunking"]
+MODULES = ["q_chunking", "q_ingest", "q_rules"]
