@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -68,3 +68,16 @@ def running(lengths: Column, part: int = 64) -> Column:
 def ordered_text(rows: Column, separator: str) -> Column:
     """Join the ``text`` fields of collected ``struct<position, text>`` rows in order."""
     return F.array_join(F.transform(F.sort_array(rows), lambda r: r["text"]), separator)
+
+
+def exploded(
+    df: DataFrame, keep: Sequence[str | Column], array: str | Column, value: str, position: str = "_pos"
+) -> DataFrame:
+    """Explode without the ``size(array) > 0`` filter Spark would infer.
+
+    That filter is pushed below the projection and makes an expensive array
+    expression run twice; the outer form with a test on the position does not.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(position, value))
+    rows = rows.where(F.col(position).isNotNull())
+    return rows.drop("_pos") if position == "_pos" else rows

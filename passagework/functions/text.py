@@ -85,16 +85,18 @@ def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(text, F.lit(""))) * 2 / 5)).cast("long")
 
 
-def substring_positions(text: Column, word: str) -> Column:
+def substring_positions(text: Column, word: Column, quoted: Column) -> Column:
     """0-based offsets of all occurrences, overlapping ones included.
 
-    The text is cut in front of every occurrence, so the piece lengths add up to
-    the offsets; the text is read once.
+    ``quoted`` is the word as a regular expression. The text is cut in front of
+    every occurrence, so the piece lengths add up to the offsets; the text is read
+    once. The text must contain the word.
     """
-    lengths = F.transform(F.split(text, f"(?={re.escape(word)})", -1), lambda p: F.length(p))
+    before = F.split(text, F.concat(F.lit("(?="), quoted, F.lit(")")), -1)
+    lengths = F.transform(before, lambda p: F.length(p))
     offsets = let(lengths, lambda n: running(F.slice(n, 1, F.size(n) - 1)))
-    head = F.when(F.startswith(text, F.lit(word)), F.array(F.lit(0))).otherwise(empty("int"))
-    return F.when(F.contains(text, F.lit(word)), F.concat(head, offsets)).otherwise(empty("int"))
+    head = F.when(F.startswith(text, word), F.array(F.lit(0))).otherwise(empty("int"))
+    return F.concat(head, offsets)
 
 
 def regex_positions(text: Column, pattern: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from passagework import constants as K
 from passagework import skew
 from passagework.functions import text as X
-from passagework.functions.arrays import empty, let
+from passagework.functions.arrays import empty, exploded, let
 
 STRATEGIES = ("fixed_size", "sentence", "markdown_header", "recursive")
 
@@ -138,15 +138,14 @@ def chunk(
 ) -> DataFrame:
     """One row per chunk; ``chunk_index`` counts within the input row, other columns stay."""
     keep = [c for c in docs.columns if c != text]
-    return docs.select(
-        *keep,
-        F.posexplode(chunk_array(F.col(text), strategy, size, overlap)).alias("chunk_index", "content"),
+    return exploded(
+        docs, keep, chunk_array(F.col(text), strategy, size, overlap), "content", "chunk_index"
     )
 
 
 def sentence_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c != text]
-    return docs.select(*keep, F.posexplode(X.sentences(F.col(text))).alias("position", "sentence"))
+    return exploded(docs, keep, X.sentences(F.col(text)), "sentence", "position")
 
 
 # --- parent/child windows ----------------------------------------------------------
@@ -228,14 +227,15 @@ def window_struct(text: Column, strategy: str, size: int, overlap: int) -> Colum
 
 def child_rows(windowed: DataFrame, column: str = "windows") -> DataFrame:
     keep = [c for c in windowed.columns if c != column]
-    return windowed.select(
-        *keep, F.posexplode(f"{column}.children").alias("chunk_index", "_child")
-    ).select(*keep, "chunk_index", "_child.content", F.col("_child.parent").alias("parent_ordinal"))
+    rows = exploded(windowed, keep, f"{column}.children", "_child", "chunk_index")
+    return rows.select(
+        *keep, "chunk_index", "_child.content", F.col("_child.parent").alias("parent_ordinal")
+    )
 
 
 def parent_rows(windowed: DataFrame, column: str = "windows") -> DataFrame:
     keep = [c for c in windowed.columns if c != column]
-    return windowed.select(*keep, F.posexplode(f"{column}.parents").alias("chunk_index", "content"))
+    return exploded(windowed, keep, f"{column}.parents", "content", "chunk_index")
 
 
 def parent_offsets(
