@@ -66,15 +66,17 @@ def fuse_recall(
     No dense hit: no result, unless ``allow_sparse_only``. No lexical hit: the dense
     list with its similarities and without ``max_dense``.
     """
-    best = dense.groupBy(query).agg(F.max("similarity").alias("max_dense"))
-    lexical = sparse.select(query).distinct().withColumn("_lexical", F.lit(True))
-    joined = rrf_fuse(dense, sparse, K.RRF_K, query, node)
-    joined = joined.join(best, query, "left" if allow_sparse_only else "inner")
-    joined = joined.join(lexical, query, "left")
-    has_lexical = F.coalesce("_lexical", F.lit(False))
+    whole = Window.partitionBy(query)
+    joined = (
+        rrf_fuse(dense, sparse, K.RRF_K, query, node)
+        .withColumn("max_dense", F.max("similarity").over(whole))
+        .withColumn("_lexical", F.max(F.col("sparse_rank").isNotNull()).over(whole))
+    )
+    if not allow_sparse_only:
+        joined = joined.where("max_dense is not null")
     return (
-        joined.withColumn("score", F.when(has_lexical, F.col("score")).otherwise(F.col("similarity")))
-        .withColumn("max_dense", F.when(has_lexical, F.col("max_dense")))
+        joined.withColumn("score", F.when(F.col("_lexical"), F.col("score")).otherwise(F.col("similarity")))
+        .withColumn("max_dense", F.when(F.col("_lexical"), F.col("max_dense")))
         .drop("_lexical")
     )
 
@@ -263,12 +265,14 @@ def question_key(tenant: Column, question: Column, k: Column, doc_ids: Column) -
 def once_per_key(questions: DataFrame, answer, key: str = "question_key") -> DataFrame:
     """Run ``answer`` on distinct keys and give the result to every question.
 
-    A popular question may be a large part of the batch: the distinct answers are
-    broadcast or salted, so its rows are not gathered in one task.
+    A popular question may be a large part of the batch; its rows are spread when
+    they get their answer.
     """
     others = [c for c in questions.columns if c != key]
     distinct = skew.first_per_key(questions, [key], F.struct(*others), others)
-    return skew.join_small(questions, answer(distinct), [key])
+    sizes = questions.groupBy(key).agg(F.count("*").alias("_n"))
+    answers = answer(distinct).join(sizes, key)
+    return skew.join_groups(questions, answers, [key], "_n", others, "inner")
 
 
 def rewrite_accepted(question: Column, rewritten: Column) -> Column:

@@ -18,14 +18,13 @@ def dedup_exact(
     """Flag copies: same content hash inside the same scope.
 
     ``first_doc`` is the smallest id of the group and ``is_duplicate`` marks the
-    others. Groups are reduced before the shuffle; only groups with more than one
-    member are joined back, spread over many tasks if they do not fit a broadcast.
+    others. Groups are reduced before the shuffle and only groups with more than one
+    member are joined back.
     """
     hashed = docs.withColumn("md5_hash", F.md5(content))
     keys = [*scope, "md5_hash"]
     groups = hashed.groupBy(*keys).agg(F.min(doc).alias("_first"), F.count("*").alias("_n"))
-    copies = groups.where("_n > 1").drop("_n")
-    joined = skew.join_small(hashed, copies, keys, "left")
+    joined = skew.join_groups(hashed, groups.where("_n > 1"), keys, "_n", [doc])
     return joined.withColumn("first_doc", F.coalesce("_first", F.col(doc))).withColumn(
         "is_duplicate", F.col("first_doc") != F.col(doc)
     ).drop("_first")
@@ -51,7 +50,8 @@ def drop_blank_pages(
     counts = clean.groupBy(doc).agg(
         F.count("*").alias("total_pages"), F.count_if(F.col(text) != "").alias("page_count")
     )
-    return skew.join_small(clean.where(F.col(text) != ""), counts, [doc])
+    sized = counts.withColumn("_n", F.col("page_count"))
+    return skew.join_groups(clean.where(F.col(text) != ""), sized, [doc], "_n", [page])
 
 
 def needs_ocr(

@@ -57,11 +57,21 @@ def build_postings(nodes: DataFrame, node: str = "node_id", text: str = "text")
     )
 
 
+_TABLE_SIZE = 64
+
+
 def match_score(tf: Column) -> Column:
-    """Contribution of a matched term: weights of its occurrences fall with 1/j²."""
-    falling = F.aggregate(
-        F.sequence(F.lit(1), tf.cast("int")), F.lit(0.0), lambda acc, j: acc + 1 / (j * j)
+    """Contribution of a matched term: the weights of its occurrences fall with 1/j²."""
+    sums, total = [], 0.0
+    for j in range(1, _TABLE_SIZE + 1):
+        total += 1 / (j * j)
+        sums.append(F.lit(total))
+    rest = F.aggregate(
+        F.sequence(F.lit(_TABLE_SIZE + 1), tf.cast("int")),
+        F.lit(total),
+        lambda acc, j: acc + 1 / (j.cast("double") * j),
     )
+    falling = F.when(tf <= _TABLE_SIZE, F.get(F.array(*sums), (tf - 1).cast("int"))).otherwise(rest)
     return MATCH_WEIGHT * falling / RANK_NORM
 
 
@@ -78,9 +88,10 @@ def lexical_topk(
     ``scope`` columns exist on both sides and must agree (tenant, document). The
     score is rounded to 9 digits so that the order of additions cannot break ties.
     """
-    matched = skew.join_small(counts, terms, ["term", *scope])
+    weighted = counts.withColumn("gain", match_score(F.col("tf")))
+    matched = skew.join_small(weighted, terms, ["term", *scope])
     scored = matched.groupBy(node, query).agg(
-        F.round(F.sum(match_score(F.col("tf")) / F.col("n_terms")), 9).alias("score")
+        F.round(F.sum(F.col("gain") / F.col("n_terms")), 9).alias("score")
     )
     return skew.top_per_key(scored, [query], [F.desc("score"), F.col(node)], k)
 

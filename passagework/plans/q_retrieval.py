@@ -13,7 +13,7 @@ from passagework.operators import vector as N
 from passagework.plans import retrieval as P
 from passagework.plans.catalog import Tables, query
 from passagework.plans.sqltext import sentences, strip, tokens
-from passagework.session import work_folder
+from passagework.session import materialize, work_folder
 
 # --- shared inputs ---------------------------------------------------------------
 # Nodes are the documents; vectors and questions share their ids. A document's
@@ -565,7 +565,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, c // 5 ORDER BY r) AS sibling FROM ranked),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM firsts WHERE sibling = 1 QUALIFY rank <= 5)
 SELECT query_id, string_agg('[' || rank || '] (doc-' || doc_id || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context,
-       count(*) AS passages, round(max(score), 6) AS best_score
+       count(*) AS passages, round(max(score), 4) AS best_score
 FROM top JOIN parents USING (doc_id) WHERE p = c // 5 GROUP BY query_id
 """)
 def answer_context(t: Tables):
@@ -588,11 +588,11 @@ def answer_context(t: Tables):
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     terms = L.question_terms(asked, text="question")
     counts = L.term_counts(nodes, text="content", vocabulary=terms)
-    found = L.lexical_topk(terms, counts, K.COARSE_K)
+    found = materialize(L.lexical_topk(terms, counts, K.COARSE_K), "found")
     top = R.first_rows(R.expand_parents(P.attach(found, nodes), parents), K.FINE_K)
     return R.assemble_context(top).select(
         "query_id",
         "context",
         F.size("sources").cast("long").alias("passages"),
-        F.round(F.array_max(F.transform("sources", lambda s: s["score"])), 6).alias("best_score"),
+        F.array_max(F.transform("sources", lambda s: s["score"])).alias("best_score"),
     )

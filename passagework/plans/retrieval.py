@@ -12,6 +12,7 @@ from passagework import constants as K
 from passagework import skew
 from passagework.operators import fusion, lexical, vector
 from passagework.operators.models import score_pairs
+from passagework.session import materialize
 
 
 @dataclass(frozen=True)
@@ -43,7 +44,8 @@ def recall(
     fused = fusion.fuse_recall(
         fusion.cut_to(dense, sized), fusion.cut_to(sparse, sized), allow_sparse_only=allow_sparse_only
     )
-    return fusion.cut_to(fused, sized)
+    # A few dozen rows per question: stored once, so that later steps reuse them.
+    return materialize(fusion.cut_to(fused, sized), "recall")
 
 
 def _scoped_dense(corpus: Corpus, asked: DataFrame, scope: DataFrame | None, limit: int) -> DataFrame:
@@ -71,7 +73,7 @@ def _scoped_sparse(corpus: Corpus, questions: DataFrame, scope: DataFrame | None
 
 def attach(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
     """Add the node columns to result rows; the results are the small side."""
-    return skew.join_small(nodes, ranked, ["node_id"])
+    return materialize(skew.join_small(nodes, ranked, ["node_id"]), "results")
 
 
 def retrieve_fast(fused: DataFrame, corpus: Corpus, k: int = K.FINE_K) -> DataFrame:
@@ -137,6 +139,7 @@ def answer_questions(
     without results have an empty context.
     """
     fast = retrieve_fast(recall(corpus, questions, scope), corpus, k).withColumn("deep", F.lit(False))
+    fast = materialize(fast, "fast")
     tops = fusion.top_score(fast)
     if expansions is None:
         gated = tops.withColumn("deep", F.lit(False))

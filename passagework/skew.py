@@ -55,6 +55,41 @@ def salted_join(
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def join_groups(
+    big: DataFrame,
+    groups: DataFrame,
+    on: Sequence[str],
+    size: str,
+    spread_by: Sequence[str],
+    how: str = "left",
+    hot_rows: int = 1_000_000,
+) -> DataFrame:
+    """Give every row of ``big`` the values of its group; ``groups`` has one row per key.
+
+    ``size`` names the group's row count in ``groups``. Groups above ``hot_rows``
+    are broadcast: there can be no more of them than rows of ``big`` / ``hot_rows``.
+    Their rows are then spread by ``spread_by`` while all others meet their group in
+    a shuffle join, in which no key has more than ``hot_rows`` rows.
+    """
+    values = [c for c in groups.columns if c not in on and c != size]
+    hot = groups.where(F.col(size) > hot_rows).select(
+        *on, *[F.col(c).alias(f"_hot_{c}") for c in values], F.lit(True).alias("_hot")
+    )
+    cold = groups.where(F.col(size) <= hot_rows).select(
+        *on, *values, F.lit(0).cast("long").alias("_spread"), F.lit(True).alias("_cold")
+    )
+    marked = big.join(F.broadcast(hot), list(on), "left").withColumn(
+        "_spread", F.when(F.col("_hot"), F.xxhash64(*spread_by)).otherwise(F.lit(0).cast("long"))
+    )
+    # A hot row that happens to hash to 0 still finds no cold group with its key.
+    joined = marked.join(cold, [*on, "_spread"], "left")
+    for c in values:
+        joined = joined.withColumn(c, F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)))
+    if how == "inner":
+        joined = joined.where("_hot or _cold")
+    return joined.drop("_spread", "_hot", "_cold", *[f"_hot_{c}" for c in values])
+
+
 def top_per_key(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank"
 ) -> DataFrame:
@@ -151,7 +186,8 @@ def exact_percentiles(
     bounds = counted.groupBy(*keys).agg(
         F.percentile_approx("_x", cuts, 10 * slices).alias("_cuts"), F.sum("_n").alias("_total")
     )
-    placed = join_small(counted, bounds, keys)
+    sized = counted.groupBy(*keys).agg(F.count("*").alias("_distinct"))
+    placed = join_groups(counted, bounds.join(sized, list(keys)), keys, "_distinct", ["_x"], "inner")
     placed = placed.withColumn(
         "_slice", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_x")))
     )
