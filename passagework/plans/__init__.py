@@ -12,4 +12,4 @@ def registered():
     return dict(catalog.QUERIES), dict(catalog.CHECKS)
 
 
-MODULES = ["q_chunking", "q_ingest", "q_rules", "q_retrieval", "q_quality", "q_evaluation", "q_usage", "q_chatlog", "q_tenancy"]
+MODULES = ["q_chunking", "q_ingest", "q_rules", "q_retrieval", "q_quality", "q_evaluation", "q_usage", "q_chatlog", "q_tenancy", "q_streaming"]
