@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passagework.session import tune
+from passagework.session import ship_package, spread, tune
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -19,8 +19,14 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = tune(spark)
+        ship_package(spark)
         self.folder = folder
 
+    @property
+    def docs(self) -> DataFrame:
+        """The documents, spread over all cores for text work."""
+        return spread(self.documents)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)

@@ -13,7 +13,7 @@ SMALL = 400
 
 
 def _docs(t: Tables):
-    return t.documents.select("doc_id", "text")
+    return t.docs.select("doc_id", "text")
 
 
 @query("split_sentences", f"""
@@ -81,7 +81,7 @@ def chunk_markdown(t: Tables):
     headed = F.regexp_replace(
         "text", r"(\n)([A-Z][a-z]+ (?:the|of|and|le|de|der|la|el)) ", "$1## $2\n"
     )
-    return C.chunk(t.documents.select("doc_id", headed.alias("text")), "markdown_header")
+    return C.chunk(t.docs.select("doc_id", headed.alias("text")), "markdown_header")
 
 
 # Paragraph breaks: the corpus has single line breaks, so every line end becomes one.
@@ -89,7 +89,7 @@ PARAGRAPHED = r"regexp_replace(text, '\n', chr(10) || chr(10), 'g')"
 
 
 def _paragraphed(t: Tables):
-    return t.documents.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    return t.docs.select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
 
 
 @query("chunk_recursive", f"""
@@ -204,7 +204,7 @@ SELECT doc_id, i AS chunk_index, 'doc-' || doc_id AS filename, lang AS parser_us
 FROM (SELECT doc_id, lang, source, unnest(range(0, (length(text) + 923) // 924)) AS i FROM documents)
 """)
 def chunk_with_metadata(t: Tables):
-    docs = t.documents.select(
+    docs = t.docs.select(
         "doc_id",
         "text",
         "source",
@@ -232,7 +232,7 @@ FOLDER = "source || '/' || lang"
 
 
 def _folders(t: Tables):
-    return t.documents.select(
+    return t.docs.select(
         F.concat_ws("/", "source", "lang").alias("folder"), F.col("doc_id").alias("page"), "text"
     )
 
@@ -262,7 +262,7 @@ SELECT * FROM
  USING (query_id)
 """)
 def window_compare(t: Tables):
-    windowed = t.documents.select(
+    windowed = t.docs.select(
         F.col("source").alias("query_id"), C.sentence_windows(F.col("text")).alias("windows")
     )
     return C.window_comparison(C.child_rows(windowed), C.parent_rows(windowed))

@@ -27,7 +27,7 @@ def file_name():
 def pages_of(t: Tables):
     """Pages: the pieces of a document between full stops and line ends, counted from 1."""
     parts = F.split("text", r"[.\n]", -1)
-    return t.documents.select("doc_id", F.posexplode(parts).alias("page", "text")).withColumn(
+    return t.docs.select("doc_id", F.posexplode(parts).alias("page", "text")).withColumn(
         "page", F.col("page") + 1
     )
 
@@ -301,7 +301,7 @@ def doc_catalog_row(t: Tables):
         F.lit("fixed_size").alias("chunk_strategy"),
     )
     pages = pages_of(t).where(~X.is_blank(F.col("text")))
-    chunks = C.chunk(t.documents.select("doc_id", "text"), "fixed_size")
+    chunks = C.chunk(t.docs.select("doc_id", "text"), "fixed_size")
     summaries = t.documents.select("doc_id", F.substring("text", 1, 200).alias("summary"))
     return I.catalogue_rows(docs, pages, chunks, summaries)
 
@@ -321,7 +321,7 @@ def doc_listing(t: Tables):
         F.substring("source", 4, 10).cast("long").alias("tenant_id"),
         F.col("n_chars").alias("uploaded_at"),
     )
-    chunks = C.chunk(t.documents.where("lang <> 'es'").select("doc_id", "text"), "fixed_size")
+    chunks = C.chunk(t.docs.where("lang <> 'es'").select("doc_id", "text"), "fixed_size")
     listed = I.document_listing(catalogue, chunks, dims.users(t.spark), dims.tenants(t.spark))
     return listed.select("doc_id", "vector_chunks", "uploaded_by", "tenant_name")
 
@@ -368,7 +368,7 @@ def delete_cascade(t: Tables):
     toxic = t.labels.where("toxic = 1").select("doc_id")
     catalogue = t.documents.select("doc_id", "source")
     ids = catalogue.join(toxic, "doc_id", "left_semi")
-    chunks = C.chunk(t.documents.select("doc_id", "source", "text"), "fixed_size")
+    chunks = C.chunk(t.docs.select("doc_id", "source", "text"), "fixed_size")
     tables = {"catalogue": catalogue, "chunks": chunks.drop("content")}
     kept, counts = I.delete_documents(tables, ids, ["doc_id", "source"])
     left = kept["catalogue"].agg(F.count("*").alias("removed"))

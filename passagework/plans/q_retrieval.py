@@ -31,7 +31,7 @@ def questions(t: Tables):
 def corpus(t: Tables) -> P.Corpus:
     good = t.labels.where("quality = 1").select("doc_id").withColumn("_good", F.lit(True))
     folder = F.concat_ws("/", "source", "lang")
-    nodes = t.documents.join(good, "doc_id", "left").select(
+    nodes = t.docs.join(good, "doc_id", "left").select(
         F.col("doc_id").alias("node_id"),
         "doc_id",
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("filename"),
@@ -104,7 +104,7 @@ FROM (SELECT doc_id AS node_id, unnest(k) AS term, generate_subscripts(k, 1) - 1
 GROUP BY term, node_id
 """)
 def build_postings(t: Tables):
-    postings = L.build_postings(t.documents.select(F.col("doc_id").alias("node_id"), "text"))
+    postings = L.build_postings(t.docs.select(F.col("doc_id").alias("node_id"), "text"))
     return postings.select(
         "term",
         "node_id",
@@ -131,7 +131,7 @@ SELECT query_id, node_id, round(score, 6) AS score, rank FROM (
 """)
 def lexical_bm25(t: Tables):
     terms = L.question_terms(questions(t), text="question")
-    nodes = t.documents.select(
+    nodes = t.docs.select(
         F.col("doc_id").alias("node_id"), F.size(X.tokens(F.col("text"))).alias("length"), "text"
     )
     collection = nodes.agg(F.count("*").alias("nodes"), F.avg("length").alias("avg_length"))
@@ -153,7 +153,7 @@ def scope_filter(t: Tables):
     )
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text").join(tenant, "query_id")
     terms = L.question_terms(asked, keep=["tenant_id"])
-    nodes = t.documents.select(F.col("doc_id").alias("node_id"), F.col("source").alias("tenant_id"), "text")
+    nodes = t.docs.select(F.col("doc_id").alias("node_id"), F.col("source").alias("tenant_id"), "text")
     counts = L.term_counts(nodes, keep=["tenant_id"], vocabulary=terms)
     found = L.lexical_topk(terms, counts, 10, scope=["tenant_id"])
     return found.withColumn("score", F.round("score", 6))
@@ -162,7 +162,7 @@ def scope_filter(t: Tables):
 # --- vectors --------------------------------------------------------------------------
 @query("embed_batch")
 def embed_batch(t: Tables):
-    made = M.embed(t.documents.select("doc_id", "text"), "text", dim=256)
+    made = M.embed(t.docs.select("doc_id", "text"), "text", dim=256)
     return made.select(
         "doc_id", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 4).alias("norm")
     )
@@ -178,7 +178,7 @@ SELECT doc_id, round((length(l) - length(replace(l, 'e', ''))) / greatest(1, len
 FROM (SELECT doc_id, lower(text) AS l FROM documents)
 """)
 def embed_dedup(t: Tables):
-    made = M.embed_distinct(t.documents.select("doc_id", "text"), "text", letter_shares)
+    made = M.embed_distinct(t.docs.select("doc_id", "text"), "text", letter_shares)
     return made.select("doc_id", F.round(F.get("embedding", F.lit(1)).cast("double"), 5).alias("share_of_e"))
 
 
@@ -535,7 +535,7 @@ def clear_sources_on_no_answer(t: Tables):
     mark = F.when(F.col("lang") == "de", "知识库中没有").when(F.col("lang") == "fr", "请先上传相关文档。").otherwise("")
     sources = F.array(F.col("source"), F.col("lang"))
     kept = R.clear_sources(F.concat(mark, "text"), sources)
-    return t.documents.select("doc_id", F.size(kept).alias("sources"))
+    return t.docs.select("doc_id", F.size(kept).alias("sources"))
 
 
 @query("query_key_dedup", """
@@ -545,7 +545,7 @@ SELECT doc_id, question_key, min(doc_id) OVER (PARTITION BY question_key) AS ans
 """)
 def query_key_dedup(t: Tables):
     key = R.question_key(F.col("source"), F.substring("text", 1, 20), F.lit(5), F.array("lang", "source"))
-    asked = t.documents.select("doc_id", key.alias("question_key"))
+    asked = t.docs.select("doc_id", key.alias("question_key"))
     return R.once_per_key(
         asked, lambda d: d.select("question_key", F.col("doc_id").alias("answered_by"))
     ).select("doc_id", "question_key", "answered_by")
@@ -559,7 +559,7 @@ children AS (SELECT doc_id, pos // 3 AS c, string_agg(part, '' ORDER BY pos) AS
 parents AS (SELECT doc_id, pos // 15 AS p, string_agg(part, '' ORDER BY pos) AS content FROM parts GROUP BY ALL),
 {TERMS},
 counts AS (SELECT node_id, doc_id, c, term, count(*) AS tf FROM (
-   SELECT doc_id || '#' || c AS node_id, doc_id, c, unnest({tokens('text')}) AS term FROM children) GROUP BY ALL),
+   SELECT doc_id * 1048576 + c AS node_id, doc_id, c, unnest({tokens('text')}) AS term FROM children) GROUP BY ALL),
 scored AS (SELECT query_id, node_id, doc_id, c, round(sum(({TF_SCORE}) / n_terms), 9) AS score FROM terms JOIN counts USING (term) GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM scored QUALIFY r <= 40),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, c // 5 ORDER BY r) AS sibling FROM ranked),
@@ -570,11 +570,12 @@ FROM top JOIN parents USING (doc_id) WHERE p = c // 5 GROUP BY query_id
 """)
 def answer_context(t: Tables):
     """Top passages for each benchmark question, widened to their parent windows."""
-    docs = t.documents.select("doc_id", C.sentence_windows(F.col("text")).alias("windows"))
+    docs = t.docs.select("doc_id", C.sentence_windows(F.col("text")).alias("windows"))
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("filename")
 
     def key(n):
-        return F.concat_ws("#", F.col("doc_id").cast("string"), F.col(n).cast("string"))
+        # Whole numbers keep the (question, node) aggregation compact.
+        return F.shiftleft("doc_id", 20) + F.col(n)
 
     nodes = C.child_rows(docs).select(
         key("chunk_index").alias("node_id"),
@@ -582,9 +583,9 @@ def answer_context(t: Tables):
         name,
         "chunk_index",
         "content",
-        key("parent_ordinal").alias("parent_id"),
+        key("parent_ordinal").cast("string").alias("parent_id"),
     )
-    parents = C.parent_rows(docs).select(key("chunk_index").alias("parent_id"), "content")
+    parents = C.parent_rows(docs).select(key("chunk_index").cast("string").alias("parent_id"), "content")
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     terms = L.question_terms(asked, text="question")
     counts = L.term_counts(nodes, text="content", vocabulary=terms)

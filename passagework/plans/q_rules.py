@@ -49,7 +49,7 @@ FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || '文' ELSE text END A
 """)
 def has_cjk(t: Tables):
     marked = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("文"))).otherwise(F.col("text"))
-    return t.documents.select("doc_id", X.has_cjk(marked).alias("has_cjk"))
+    return t.docs.select("doc_id", X.has_cjk(marked).alias("has_cjk"))
 
 
 @query("tokenize", f"""
@@ -57,7 +57,7 @@ SELECT doc_id, len(k) AS tokens, md5(array_to_string(k, ' ')) AS token_md5
 FROM (SELECT doc_id, {tokens('text')} AS k FROM documents)
 """)
 def tokenize(t: Tables):
-    found = t.documents.select("doc_id", X.tokens(F.col("text")).alias("k"))
+    found = t.docs.select("doc_id", X.tokens(F.col("text")).alias("k"))
     return found.select(
         "doc_id", F.size("k").alias("tokens"), F.md5(F.array_join("k", " ")).alias("token_md5")
     )
@@ -72,7 +72,7 @@ def query_terms(t: Tables):
 
 @query("keyword_positions", " UNION ALL ".join(keyword_sql(r.pattern, r.category) for r in CUSTOM[:2]))
 def keyword_positions(t: Tables):
-    found = R.match_rules(t.documents.select("doc_id", "text"), [*R.default_rules()[:20], *CUSTOM[:2]])
+    found = R.match_rules(t.docs.select("doc_id", "text"), [*R.default_rules()[:20], *CUSTOM[:2]])
     return R.match_rows(found)
 
 
@@ -85,12 +85,12 @@ def token_sequence_match(t: Tables):
     head = F.regexp_replace(F.substring("text", 1, 60), r"[\s.,]+$", "")
     tail = F.when(F.col("doc_id") % 2 == 0, F.lit("。 AI 模型")).otherwise(F.lit("。 AI 的模型"))
     position = R.token_sequence_position(F.concat(head, tail), R.keyword_tokens("AI模型"))
-    return t.documents.select("doc_id", position.alias("position"))
+    return t.docs.select("doc_id", position.alias("position"))
 
 
 @query("regex_positions", regex_sql(r"ing [a-z]{2}", "word_parts"))
 def regex_positions(t: Tables):
-    return R.match_rows(R.match_rules(t.documents.select("doc_id", "text"), CUSTOM[2:]))
+    return R.match_rows(R.match_rules(t.docs.select("doc_id", "text"), CUSTOM[2:]))
 
 
 @query("rule_match", " UNION ALL ".join(
@@ -100,7 +100,7 @@ def regex_positions(t: Tables):
        digits_sql(r"(?<!\d)\d{17}[\dXx](?!\d)", "[0-9]+[Xx]?", "[0-9]{17}[0-9Xx]")]
 ))
 def rule_match(t: Tables):
-    found = R.match_rules(t.documents.select("doc_id", "text"), [*R.default_rules(), *CUSTOM])
+    found = R.match_rules(t.docs.select("doc_id", "text"), [*R.default_rules(), *CUSTOM])
     return R.match_rows(found)
 
 
@@ -115,7 +115,7 @@ GROUP BY 1
 def rule_table(t: Tables):
     """Rules per language; adding a language that exists already changes nothing."""
     toxic = t.labels.where("toxic = 1").select("doc_id")
-    pairs = t.documents.join(toxic, "doc_id", "left_semi").select(
+    pairs = t.docs.join(toxic, "doc_id", "left_semi").select(
         F.col("lang").alias("category"), F.col("source").alias("pattern")
     )
 
@@ -128,7 +128,7 @@ def rule_table(t: Tables):
         )
 
     base = as_rules(pairs)
-    every = t.documents.join(pairs.select("category").distinct(), F.col("lang") == F.col("category"), "left_semi")
+    every = t.docs.join(pairs.select("category").distinct(), F.col("lang") == F.col("category"), "left_semi")
     same = every.select(F.col("lang").alias("category"), F.col("source").alias("pattern"))
     other = every.select(
         F.concat(F.lit("new-"), "lang").alias("category"), F.col("source").alias("pattern")
@@ -146,7 +146,7 @@ FROM documents LEFT JOIN lines USING (doc_id)
 """)
 def rule_verdict(t: Tables):
     rules = [r for r in R.default_rules() if r.pattern == EMAIL]
-    found = R.match_rules(t.documents.select("doc_id", "text"), rules)
+    found = R.match_rules(t.docs.select("doc_id", "text"), rules)
     return found.select("doc_id", R.rule_verdict(F.col("matches")).alias("v")).select("doc_id", "v.*")
 
 
@@ -168,7 +168,7 @@ SELECT 'personal_info' AS category, keyword, count(*) AS documents, sum(n)::bigi
 FROM hits WHERE n > 0 GROUP BY keyword
 """)
 def pii_scan(t: Tables):
-    found = R.match_rules(t.documents.select("doc_id", "text"), R.personal_data_rules())
+    found = R.match_rules(t.docs.select("doc_id", "text"), R.personal_data_rules())
     return R.category_totals(R.match_rows(found))
 
 
@@ -188,7 +188,7 @@ FROM (SELECT doc_id, {PREFIXED} AS x FROM documents)
 """)
 def phrase_flags(t: Tables):
     x = F.col("x")
-    return t.documents.select("doc_id", prefixed().alias("x")).select(
+    return t.docs.select("doc_id", prefixed().alias("x")).select(
         "doc_id",
         X.contains_any(x, K.DONT_KNOW).alias("dont_know"),
         X.contains_any(x, K.REFUSAL).alias("refusal"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +66,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir() or folder
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly work on a scan with few splits.
+
+    A table with at least as many splits as the cluster has cores stays as it is,
+    which is every table of a size that matters.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the work folder and read it back: a lineage cut that
     survives lost executors and lets later branches share one computation."""
@@ -73,23 +85,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession, root: str) -> None:
-    """Send this package to the executors once per session.
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context.
 
-    Functions used in Python workers are pickled by reference, so workers on
-    other machines need the package; a local master already sees it.
+    Functions run in workers are pickled by reference to their module, and a worker
+    does not see the driver's import path.
     """
     context = spark.sparkContext
-    if context.master.startswith("local"):
+    if getattr(context, "_passagework_shipped", False):
         return
-    import os
-    import zipfile
-
+    package = os.path.dirname(os.path.abspath(__file__))
     archive = os.path.join(tempfile.mkdtemp(prefix="passagework-"), "passagework.zip")
     with zipfile.ZipFile(archive, "w") as bundle:
-        for folder, _, names in os.walk(os.path.join(root, "passagework")):
+        for folder, _, names in os.walk(package):
             for name in names:
                 if name.endswith(".py"):
                     path = os.path.join(folder, name)
-                    bundle.write(path, os.path.relpath(path, root))
+                    bundle.write(path, os.path.relpath(path, os.path.dirname(package)))
     context.addPyFile(archive)
+    context._passagework_shipped = True

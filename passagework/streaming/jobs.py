@@ -13,13 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from passagework import constants as K
 from passagework import skew
 from passagework.operators import chatlog, chunking, ingest, usage
 from passagework.session import work_folder
 from passagework.sources import sinks
+from passagework.streaming.processors import Debounce, RateLimit
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -168,99 +169,7 @@ def latest_usage(spark: SparkSession, root: str) -> DataFrame:
     return skew.last_per_key(rows, keys, F.col("batch"), ["total_cost", "total_prompt", "calls"])
 
 
-# --- stateful processors ---------------------------------------------------------------------
-def _plain(row) -> tuple:
-    us, event_id, value, triggered = row
-    return int(us), int(event_id), float(value), bool(triggered)
-
-
-class _InOrder(StatefulProcessor):
-    """Hold rows back until the watermark has passed them, then walk them in time order.
-
-    Arrival order inside a micro-batch is arbitrary; without the buffer a stream
-    could decide differently from a batch over the same rows.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, event_id long, value double, triggered boolean")
-        self.past = handle.getListState("past", "us long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = []
-        for frame in rows:
-            arrived += list(zip(frame["us"], frame["event_id"], frame["value"], frame["triggered"], strict=True))
-        yield self._release(key, timerValues, [_plain(row) for row in arrived])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._release(key, timerValues, [])
-
-    def _release(self, key, timers, arrived: list[tuple]) -> pd.DataFrame:
-        mark = timers.getCurrentWatermarkInMs() * 1000
-        held = sorted([*(tuple(row) for row in self.waiting.get()), *arrived])
-        ready = [row for row in held if row[0] <= mark]
-        rest = held[len(ready) :]
-        if rest:
-            self.waiting.put(rest)
-            # One timer per key, due when the oldest waiting row is passed.
-            self.handle.registerTimer(rest[0][0] // 1000 + 1)
-        else:
-            self.waiting.clear()
-        return self.walk(key, ready)
-
-    def close(self) -> None:
-        pass
-
-    def walk(self, key, ready: list[tuple]) -> pd.DataFrame:
-        raise NotImplementedError
-
-
-class Debounce(_InOrder):
-    """Fire only when the last fire is more than the gap ago; a quiet sample resets."""
-
-    def __init__(self, gap_seconds: int = K.ALERT_GAP_SECONDS):
-        self.gap = gap_seconds * 1_000_000
-
-    def walk(self, key, ready: list[tuple]) -> pd.DataFrame:
-        past = [r[0] for r in self.past.get()]
-        last = past[0] if past else None
-        out = []
-        for us, event_id, value, triggered in ready:
-            fires = triggered and (last is None or us - last > self.gap)
-            if fires:
-                last = us
-            elif not triggered:
-                last = None
-            out.append((key[0], event_id, value, fires))
-        if last is None:
-            self.past.clear()
-        else:
-            self.past.put([(last,)])
-        return pd.DataFrame(out, columns=["rule_id", "event_id", "value", "fired"])
-
-
-class RateLimit(_InOrder):
-    """Admit while fewer than ``limit`` admitted requests lie in the window."""
-
-    def __init__(self, limit: int = K.RATE_LIMIT[0], seconds: int = K.RATE_LIMIT[1]):
-        self.limit, self.window = limit, seconds * 1_000_000
-
-    def walk(self, key, ready: list[tuple]) -> pd.DataFrame:
-        seen = sorted(r[0] for r in self.past.get())
-        out = []
-        for us, event_id, *_ in ready:
-            seen = [s for s in seen if s > us - self.window]
-            admitted = len(seen) < self.limit
-            if admitted:
-                seen.append(us)
-            out.append((key[0], event_id, admitted, self.limit - len(seen)))
-        if seen:
-            self.past.put([(s,) for s in seen])
-        else:
-            self.past.clear()
-        return pd.DataFrame(out, columns=["key", "event_id", "admitted", "remaining"])
-
-
+# --- stateful jobs ---------------------------------------------------------------------------
 def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, delay: str) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (
