@@ -299,9 +299,9 @@ def auto_windows(
     counts = (
         pages.select(doc, F.size(flat).alias("_n"))
         .groupBy(doc)
-        .agg((F.lit(forced) | (F.sum("_n") >= threshold)).alias("windowed"))
+        .agg((F.lit(forced) | (F.sum("_n") >= threshold)).alias("windowed"), F.count("*").alias("_pages"))
     )
-    marked = pages.join(counts, doc)
+    marked = skew.join_groups(pages, counts, [doc], "_pages", [text], "inner")
     flat_rows = (
         marked.where(~F.col("windowed"))
         .select(*keep, "windowed", F.posexplode(flat).alias("chunk_index", "content"))

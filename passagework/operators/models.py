@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework import constants as K
+from passagework import skew
 from passagework.functions import text as X
 
 Reply = tuple[str | None, int, int]
@@ -91,12 +92,12 @@ def embed(
 def embed_distinct(df: DataFrame, text: str, fn=None, dim: int = K.EMBED_DIM, out: str = "embedding") -> DataFrame:
     """Embed every distinct text once and give the vector to all its copies.
 
-    The copies are spread by the adaptive skew join where one text is very common.
+    The copies of a very common text are spread over many tasks.
     """
     keyed = df.withColumn("_key", F.md5(text))
-    unique = keyed.select("_key", text).dropDuplicates(["_key"])
-    vectors = embed(unique, text, fn, dim, out).select("_key", out)
-    return keyed.join(vectors, "_key").drop("_key")
+    unique = keyed.groupBy("_key").agg(F.first(text).alias(text), F.count("*").alias("_n"))
+    vectors = embed(unique, text, fn, dim, out).select("_key", out, "_n")
+    return skew.join_groups(keyed, vectors, ["_key"], "_n", df.columns, "inner").drop("_key")
 
 
 def score_pairs(

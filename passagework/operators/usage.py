@@ -221,9 +221,10 @@ def _block_summary(gap: int, keys: Sequence[str], order: Sequence[str]) -> Calla
                 last[i] = last[following[i]]
         # A fire before this block reaches at most ``gap`` into it.
         reach = min(len(ts), int(np.searchsorted(ts, ts[0] + gap, side="right")) + 1)
-        return pd.DataFrame(
-            [{**row, "entries": ts[:reach].tolist(), "exits": last[:reach].tolist(), "reset": False, "final": None}]
-        )
+        # Neighbours with the same outcome are told apart by nothing: keep the last of them.
+        step = np.append(np.flatnonzero(np.diff(last[:reach])), reach - 1)
+        entries, exits = ts[step].tolist(), last[step].tolist()
+        return pd.DataFrame([{**row, "entries": entries, "exits": exits, "reset": False, "final": None}])
 
     return run
 

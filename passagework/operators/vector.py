@@ -131,9 +131,18 @@ def vector_topk(
     return skew.top_per_key(merged, [query], [F.desc("similarity"), F.col(node)], k)
 
 
-def train_lists(vectors: DataFrame, lists: int, seed: int = 17, vector: str = "embedding") -> KMeans:
-    """Cluster model of the inverted lists."""
+def train_lists(
+    vectors: DataFrame, lists: int, seed: int = 17, vector: str = "embedding", rows_per_list: int = 10_000
+):
+    """Cluster model of the inverted lists.
+
+    The centres of a very large table come from a sample; every vector is assigned
+    to a list afterwards, so none is left out of the index.
+    """
     points = vectors.select(array_to_vector(F.col(vector)).alias("features"))
+    share = lists * rows_per_list / max(1, vectors.count())
+    if share < 1:
+        points = points.sample(share, seed)
     means = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine", featuresCol="features")
     return means.fit(points)
 

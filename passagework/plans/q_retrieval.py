@@ -372,15 +372,13 @@ def rerank(t: Tables):
     return ranked.select("query_id", "node_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
-@query("score_normalize", """
-SELECT user_id, event_id, round(CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE round(1 / (1 + exp(-value)), 4) END, 6) AS score
-FROM (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM events
-      WINDOW w AS (PARTITION BY user_id, event_type, ts::date))
+@query("score_normalize", f"""
+WITH {SPARSE} SELECT query_id, node_id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE round(1 / (1 + exp(-score)), 4) END, 5) AS score
+FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM sparse WINDOW w AS (PARTITION BY query_id))
 """)
 def score_normalize(t: Tables):
-    rows = t.events.withColumn("query_id", F.concat_ws("|", "user_id", "event_type", F.to_date("ts").cast("string")))
-    out = R.normalize_scores(rows, "value")
-    return out.select("user_id", "event_id", F.round("score", 6).alias("score"))
+    out = R.normalize_scores(sparse_list(t), "score")
+    return out.select("query_id", "node_id", F.round("score", 5).alias("score"))
 
 
 NORMALISED = """normed AS (SELECT query_id, node_id, rank, CASE WHEN hi > lo THEN (s - lo) / (hi - lo)

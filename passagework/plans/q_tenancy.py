@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from passagework import skew
 from passagework.operators import tenancy as N
 from passagework.plans import dims
 from passagework.plans.catalog import Tables, query
@@ -33,7 +34,7 @@ def codes(t: Tables):
 def requests(t: Tables):
     people = dims.users(t.spark).select(F.col("id").alias("user_id"), "role", "tenant_id")
     rows = t.events.select("event_id", "user_id", F.col("event_type").alias("code"), "value")
-    return rows.join(people, "user_id", "left")
+    return skew.join_small(rows, people, ["user_id"], "left")
 
 
 def grants(t: Tables):

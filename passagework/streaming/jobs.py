@@ -40,8 +40,17 @@ def run_batches(
 ) -> None:
     """Process everything available and stop; progress is kept in the work folder."""
     spark = stream.sparkSession
+
+    def handle(batch: DataFrame, number: int) -> None:
+        # A writer reads its batch several times; lost blocks are recomputed from the source.
+        batch.persist()
+        try:
+            write(batch, number)
+        finally:
+            batch.unpersist()
+
     running = (
-        stream.writeStream.foreachBatch(write)
+        stream.writeStream.foreachBatch(handle)
         .outputMode(mode)
         .option("checkpointLocation", work_folder(spark, f"{name}-progress"))
         .trigger(availableNow=True)
