@@ -103,9 +103,8 @@ def overall(items: DataFrame, verdicts: DataFrame, item: str = "item_id") -> Dat
     micro = dimension_stats(verdicts).agg(
         F.round(F.coalesce(F.avg("avg_score"), F.lit(0.0)), 4).alias("micro_avg")
     )
-    one = F.lit(1).alias("_one")
-    # Two single rows.
-    joined = heads.select("*", one).join(micro.select("*", one), "_one").drop("_one")
+    both = heads.unionByName(micro, allowMissingColumns=True)
+    joined = both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
     rate = F.when(F.col("valid") > 0, F.round(F.col("fully_passed") / F.col("valid"), 4)).otherwise(0.0)
     return joined.withColumn("overall_pass_rate", rate)
 

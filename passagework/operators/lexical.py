@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from passagework import skew
 from passagework.functions import text as X
 from passagework.functions.arrays import exploded
+from passagework.session import materialize
 
 # fixed values: weight of a plain match and the normaliser of the rank function
 MATCH_WEIGHT = 0.1
@@ -99,21 +100,22 @@ def lexical_topk(
 def bm25_topk(
     terms: DataFrame,
     counts: DataFrame,
-    collection: DataFrame,
+    nodes: int,
+    avg_length: float,
     k: int,
     k1: float = 1.2,
     b: float = 0.75,
     query: str = "query_id",
     node: str = "node_id",
 ) -> DataFrame:
-    """Okapi BM25. ``counts`` carries ``length``; ``collection`` has one row with
-    ``nodes`` and ``avg_length``."""
-    one = collection.select("nodes", "avg_length", F.lit(1).alias("_k"))
+    """Okapi BM25. ``counts`` carries ``length``; ``nodes`` and ``avg_length``
+    describe the whole collection."""
     spread = counts.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = skew.join_small(terms.join(spread, "term").withColumn("_k", F.lit(1)), one, ["_k"])
+    # One row per term of the questions: document frequencies join term by term.
+    weighted = materialize(terms.join(spread, "term"), "weights")
     matched = skew.join_small(counts, weighted, ["term"])
-    idf = F.log(1 + (F.col("nodes") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    damp = k1 * (1 - b + b * F.col("length") / F.col("avg_length"))
+    idf = F.log(1 + (F.lit(nodes) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    damp = k1 * (1 - b + b * F.col("length") / F.lit(avg_length))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + damp)
     scored = matched.groupBy(node, query).agg(F.round(F.sum(gain), 9).alias("score"))
     return skew.top_per_key(scored, [query], [F.desc("score"), F.col(node)], k)

@@ -14,6 +14,7 @@ from passagework import skew
 from passagework.session import materialize
 
 SUPER = "super_admin"
+EVERYTHING = "*"
 
 
 def grant_pairs(grants: DataFrame, roles: DataFrame, permissions: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -52,19 +53,25 @@ def effective_tenant(role: Column, tenant: Column) -> Column:
     return F.when(role != SUPER, tenant)
 
 
+def scope_key(role: Column, tenant: Column) -> Column:
+    """What a principal may see: everything, or its tenant; null matches nothing."""
+    return F.when(role == SUPER, F.lit(EVERYTHING)).otherwise(tenant.cast("string"))
+
+
 def tenant_scope(requests: DataFrame, data: DataFrame, tenant: str = "tenant_id", size: str = "rows") -> DataFrame:
     """Visible rows and the sum of ``rows`` per request.
 
     ``data`` is first reduced to one row per tenant, so a request never meets the
     data rows themselves. A null tenant matches nothing.
     """
-    per_tenant = materialize(data.groupBy(tenant).agg(F.count("*").alias(size)), "tenant-rows")
-    everything = per_tenant.agg(F.sum(size).alias(size)).withColumn("_one", F.lit(1))
-    is_super = F.coalesce(F.col("role") == SUPER, F.lit(False))
-    wide = skew.join_small(requests.where(is_super).withColumn("_one", F.lit(1)), everything, ["_one"], "left")
-    own = skew.join_small(requests.where(~is_super), per_tenant, [tenant], "left")
-    both = wide.drop("_one").unionByName(own.select(*wide.drop("_one").columns))
-    return both.withColumn(size, F.coalesce(size, F.lit(0)))
+    # One row per tenant and one for all of them, keyed alike.
+    scopes = F.explode(F.array(F.lit(EVERYTHING), F.col(tenant).cast("string"))).alias("_scope")
+    per_tenant = data.groupBy(tenant).agg(F.count("*").alias(size))
+    per_scope = per_tenant.select(scopes, size).where("_scope is not null").groupBy("_scope").agg(F.sum(size).alias(size))
+    visible = materialize(per_scope, "tenant-rows")
+    asked = requests.withColumn("_scope", scope_key(F.col("role"), F.col(tenant)))
+    joined = skew.join_small(asked, visible, ["_scope"], "left").drop("_scope")
+    return joined.withColumn(size, F.coalesce(size, F.lit(0)))
 
 
 def visible_rows(data: DataFrame, role: str, tenant_id: object, tenant: str = "tenant_id") -> DataFrame:
@@ -91,16 +98,11 @@ def tenant_listing(requests: DataFrame, tenants: DataFrame) -> DataFrame:
 
     Requests are first reduced to their distinct (role, tenant) scopes.
     """
-    is_super = F.coalesce(F.col("role") == SUPER, F.lit(False))
-    scopes = requests.select(is_super.alias("all_tenants"), F.when(~is_super, F.col("tenant_id")).alias("tenant_id")).distinct()
-    named = tenants.select(F.col("id").alias("tenant_id"), F.col("name").alias("tenant_name"))
-    own = scopes.where("not all_tenants").join(named, "tenant_id")
-    wide = (
-        named.withColumn("all_tenants", F.lit(True))
-        .join(scopes.where("all_tenants").select("all_tenants"), "all_tenants")
-    )
-    return own.select("all_tenants", "tenant_id", "tenant_name").unionByName(
-        wide.select("all_tenants", "tenant_id", "tenant_name")
+    scopes = requests.select(scope_key(F.col("role"), F.col("tenant_id")).alias("scope")).distinct()
+    keys = F.explode(F.array(F.lit(EVERYTHING), F.col("id").cast("string"))).alias("scope")
+    named = tenants.select(keys, F.col("id").alias("tenant_id"), F.col("name").alias("tenant_name"))
+    return scopes.join(named, "scope").select(
+        (F.col("scope") == EVERYTHING).alias("all_tenants"), "tenant_id", "tenant_name"
     )
 
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from passagework import skew
 from passagework.functions import text as X
 from passagework.operators import chunking as C
 from passagework.operators import ingest as I
@@ -391,14 +390,19 @@ def replace_documents(t: Tables):
 
 @query("ingest_report", """
 SELECT doc_id, lang AS parser_used, length(trim(text)) AS chars,
-       CASE WHEN length(trim(text)) > 0 THEN 'PASS' ELSE 'FAIL' END AS result, count(*) OVER () AS total
+       CASE WHEN length(trim(text)) > 0 THEN 'PASS' ELSE 'FAIL' END AS result
 FROM documents
+UNION ALL SELECT NULL, 'total ' || count(*), sum(length(trim(text)))::bigint, count(*) FILTER (length(trim(text)) > 0) || ' passed' FROM documents
 """)
 def ingest_report(t: Tables):
     parsed = t.documents.select(
         "doc_id", F.col("lang").alias("parser_used"), F.trim("text").alias("content")
     )
     report = I.ingest_report(parsed)
-    totals = I.ingest_totals(report).select("total", F.lit(1).alias("_one"))
-    joined = skew.join_small(report.withColumn("_one", F.lit(1)), totals, ["_one"])
-    return joined.drop("_one")
+    totals = I.ingest_totals(report).select(
+        F.lit(None).cast("long").alias("doc_id"),
+        F.concat(F.lit("total "), F.col("total").cast("string")).alias("parser_used"),
+        "chars",
+        F.concat(F.col("passed").cast("string"), F.lit(" passed")).alias("result"),
+    )
+    return report.unionByName(totals)

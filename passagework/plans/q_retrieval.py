@@ -134,9 +134,9 @@ def lexical_bm25(t: Tables):
     nodes = t.docs.select(
         F.col("doc_id").alias("node_id"), F.size(X.tokens(F.col("text"))).alias("length"), "text"
     )
-    collection = nodes.agg(F.count("*").alias("nodes"), F.avg("length").alias("avg_length"))
+    whole = nodes.agg(F.count("*"), F.avg("length")).first()
     counts = L.term_counts(nodes, keep=["length"], vocabulary=terms)
-    return L.bm25_topk(terms, counts, collection, 40).withColumn("score", F.round("score", 6))
+    return L.bm25_topk(terms, counts, whole[0], whole[1], 40).withColumn("score", F.round("score", 6))
 
 
 @query("scope_filter", f"""

@@ -3,6 +3,7 @@
 import os
 import re
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -30,7 +31,7 @@ def con():
 
 
 def plain(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value is pd.NaT or (isinstance(value, float) and value != value):
         return "~"
     if isinstance(value, bool) or type(value).__name__ == "bool_":
         return str(bool(value))
