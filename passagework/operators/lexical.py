@@ -46,7 +46,10 @@ def term_counts(
     terms = exploded(nodes, [node, *keep], X.tokens(F.col(text)), "term")
     if vocabulary is not None:
         terms = skew.join_small(terms, vocabulary.select("term").distinct(), ["term"], "left_semi")
-    return terms.repartition(node).groupBy(node, *keep, "term").agg(F.count("*").alias("tf"))
+    # A fixed number of partitions: rows multiply in the join that follows, which the
+    # adaptive planner, seeing only the small shuffle, would not allow for.
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return terms.repartition(parts, node).groupBy(node, *keep, "term").agg(F.count("*").alias("tf"))
 
 
 def build_postings(nodes: DataFrame, node: str = "node_id", text: str = "text") -> DataFrame:

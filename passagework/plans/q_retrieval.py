@@ -584,6 +584,8 @@ def answer_context(t: Tables):
         key("parent_ordinal").cast("string").alias("parent_id"),
     )
     parents = C.parent_rows(docs).select(key("chunk_index").cast("string").alias("parent_id"), "content")
+    # The index tables; a real corpus has them stored.
+    nodes, parents = materialize(nodes, "nodes"), materialize(parents, "parents")
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     terms = L.question_terms(asked, text="question")
     counts = L.term_counts(nodes, text="content", vocabulary=terms)

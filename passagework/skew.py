@@ -184,12 +184,13 @@ def exact_percentiles(
     )
     cuts = [i / slices for i in range(1, slices)]
     bounds = counted.groupBy(*keys).agg(
-        F.percentile_approx("_x", cuts, 10 * slices).alias("_cuts"), F.sum("_n").alias("_total")
+        F.array_distinct(F.percentile_approx("_x", cuts, 10 * slices)).alias("_cuts"),
+        F.sum("_n").alias("_total"),
+        F.count("*").alias("_distinct"),
     )
-    sized = counted.groupBy(*keys).agg(F.count("*").alias("_distinct"))
-    placed = join_groups(counted, bounds.join(sized, list(keys)), keys, "_distinct", ["_x"], "inner")
+    placed = join_groups(counted, bounds, keys, "_distinct", ["_x"], "inner")
     placed = placed.withColumn(
-        "_slice", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_x")))
+        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
     )
     per_slice = placed.groupBy(*keys, "_slice").agg(
         F.sum("_n").alias("_rows"), F.max("_total").alias("_total")
