@@ -225,6 +225,13 @@ def window_struct(text: Column, strategy: str, size: int, overlap: int) -> Colum
     return passthrough_windows(chunk_array(text, strategy, size, overlap))
 
 
+def parent_count(text: Column, strategy: str, size: int, overlap: int) -> Column:
+    """Number of parents of a text, without building them where it can be told from the sentences."""
+    if strategy == "sentence":
+        return F.ceil(F.size(X.sentences(text)) / K.SENTENCES_PER_PARENT).cast("int")
+    return F.size(window_struct(text, strategy, size, overlap)["parents"])
+
+
 def child_rows(windowed: DataFrame, column: str = "windows") -> DataFrame:
     keep = [c for c in windowed.columns if c != column]
     rows = exploded(windowed, keep, f"{column}.children", "_child", "chunk_index")
@@ -265,10 +272,10 @@ def link_parents(
 
     Ordinals run through all pages of a document.
     """
-    windowed = pages.withColumn("windows", window_struct(F.col(text), strategy, size, overlap))
-    slim = windowed.select(doc, page, F.size("windows.parents").alias("_n"))
+    windows = window_struct(F.col(text), strategy, size, overlap)
+    slim = pages.select(doc, page, parent_count(F.col(text), strategy, size, overlap).alias("_n"))
     based = parent_offsets(slim, doc, page, F.col("_n")).drop("_n")
-    placed = windowed.drop(text).join(based, [doc, page])
+    placed = pages.withColumn("windows", windows).drop(text).join(based, [doc, page])
 
     def parent_id(ordinal: str) -> Column:
         number = (F.col("parent_base") + F.col(ordinal)).cast("string")
