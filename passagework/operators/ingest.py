@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework import skew
@@ -72,16 +72,20 @@ def needs_ocr(
     return pages.groupBy(doc).agg((F.coalesce(best, F.lit(0)) < enough).alias("needs_ocr"))
 
 
+def allow_gbk(spark: SparkSession) -> None:
+    """Let ``decode`` know GBK and mark undecodable bytes instead of failing."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+
+
 def repair_filename(name: Column) -> Column:
     """Undo a GBK name that was read as Latin-1; other names stay.
 
-    Needs ``spark.sql.legacy.javaCharsets`` for the GBK decoder.
+    Call ``allow_gbk`` first.
     """
-    as_latin = F.decode(F.encode(name, "ISO-8859-1"), "ISO-8859-1")
-    is_latin = (as_latin == name) & name.rlike(r"[\x80-\xff]")
+    suspect = name.rlike(r"^[\x00-\xff]*$") & name.rlike(r"[\x80-\xff]")
     decoded = F.decode(F.encode(name, "ISO-8859-1"), "GBK")
-    valid = ~F.contains(decoded, F.lit("�"))
-    return F.when(is_latin & valid, decoded).otherwise(name)
+    return F.when(suspect & ~F.contains(decoded, F.lit("\ufffd")), decoded).otherwise(name)
 
 
 def ingest_status(duplicate: Column, error: Column, pages: Column, chunks: Column) -> Column:

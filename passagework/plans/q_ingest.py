@@ -245,7 +245,7 @@ def needs_ocr_flag(t: Tables):
 
 @query("repair_filename", "SELECT doc_id, '文档-' || doc_id || '.txt' AS filename FROM documents")
 def repair_filename(t: Tables):
-    t.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    I.allow_gbk(t.spark)
     good = F.concat(F.lit("文档-"), F.col("doc_id").cast("string"), F.lit(".txt"))
     garbled = F.decode(F.encode(good, "GBK"), "ISO-8859-1")
     return t.documents.select("doc_id", I.repair_filename(garbled).alias("filename"))

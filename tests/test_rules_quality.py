@@ -76,10 +76,10 @@ def test_render_prompt(spark):
 
 
 def test_gbk_names(spark):
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    I.allow_gbk(spark)
     garbled = "报告.txt".encode("gbk").decode("latin-1")
-    df = spark.createDataFrame([(garbled,), ("plain.txt",), ("报告.txt",)], "n string")
-    assert [r[0] for r in df.select(I.repair_filename(F.col("n"))).collect()] == ["报告.txt", "plain.txt", "报告.txt"]
+    df = spark.createDataFrame([(garbled,), ("plain.txt",), ("报告.txt",), ("café.txt",)], "n string")
+    assert [r[0] for r in df.select(I.repair_filename(F.col("n"))).collect()] == ["报告.txt", "plain.txt", "报告.txt", "café.txt"]
 
 
 def test_duplicates_are_per_tenant(spark):
