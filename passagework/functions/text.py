@@ -48,9 +48,9 @@ def has_cjk(text: Column) -> Column:
     return F.coalesce(text.rlike(f"[{CJK}]"), F.lit(False))
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case index terms: letter and digit runs; CJK runs as overlapping bigrams."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(RUNS), 0)
+def tokens(text: Column, fold: bool = True) -> Column:
+    """Index terms: letter and digit runs, lower-case if ``fold``; CJK runs as overlapping bigrams."""
+    words = F.regexp_extract_all(F.lower(text) if fold else text, F.lit(RUNS), 0)
 
     def split_run(word: Column) -> Column:
         bigrams = F.transform(
@@ -69,9 +69,9 @@ def query_terms(text: Column) -> Column:
     )
 
 
-def long_tokens(text: Column) -> Column:
+def long_tokens(text: Column, fold: bool = True) -> Column:
     """Distinct tokens of more than one character."""
-    return F.array_distinct(F.filter(tokens(text), lambda t: F.length(t) > 1))
+    return F.array_distinct(F.filter(tokens(text, fold), lambda t: F.length(t) > 1))
 
 
 def contains_any(text: Column, phrases: Sequence[str]) -> Column:
@@ -99,18 +99,18 @@ def substring_positions(text: Column, word: Column, quoted: Column) -> Column:
     return F.concat(head, offsets)
 
 
-def regex_positions(text: Column, pattern: str) -> Column:
-    """0-based offsets of the matches of a pattern, left to right."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.length(m))
+MARK, NOT_MARK = "\ufdd0", "\ufdd1"  # code points that no text may use
+
 
-    def offsets(hit_lengths: Column) -> Column:
-        # The end of match i is the running total of (gap + match); its start is that minus itself.
-        steps = F.zip_with(gaps, hit_lengths, lambda gap, hit: gap + hit)
-        ends = running(F.slice(steps, F.lit(1), F.size(hit_lengths)))
-        return F.zip_with(ends, hit_lengths, lambda end, hit: end - hit)
+def regex_positions(text: Column, pattern: str) -> Column:
+    """0-based offsets of the matches of a pattern, empty ones included, left to right.
 
-    return F.when(text.rlike(pattern), let(hits, offsets)).otherwise(empty("int"))
+    A mark goes in front of every match; what stands before a mark adds up to its offset.
+    """
+    marked = F.regexp_replace(F.translate(text, MARK, NOT_MARK), pattern, f"{MARK}$0")
+    lengths = F.transform(F.split(marked, MARK, -1), lambda p: F.length(p))
+    offsets = let(lengths, lambda n: running(F.slice(n, F.lit(1), F.size(n) - 1)))
+    return F.when(text.rlike(pattern), offsets).otherwise(empty("int"))
 
 
 def render(template: str, values: Mapping[str, Column], strict: bool = True) -> Column:

@@ -82,6 +82,13 @@ def dimension_stats(verdicts: DataFrame) -> DataFrame:
     )
 
 
+def exact_mean(column: str, digits: int = 4) -> Column:
+    """Mean of values that have ``digits`` digits, rounded half up to as many; the order of addition cannot change it."""
+    whole = F.sum(F.round(F.col(column) * 10**digits).cast("long"))
+    n = F.count(column)
+    return F.floor((2 * whole + n) / (2 * n)) / F.lit(float(10**digits))
+
+
 def overall(items: DataFrame, verdicts: DataFrame, item: str = "item_id") -> DataFrame:
     """Headline numbers of a run in one row.
 
@@ -100,9 +107,7 @@ def overall(items: DataFrame, verdicts: DataFrame, item: str = "item_id") -> Dat
         passed.alias("fully_passed"),
         F.round(F.coalesce(F.avg(F.when(F.col("_valid"), F.col("_mean"))), F.lit(0.0)), 4).alias("macro_avg"),
     )
-    micro = dimension_stats(verdicts).agg(
-        F.round(F.coalesce(F.avg("avg_score"), F.lit(0.0)), 4).alias("micro_avg")
-    )
+    micro = dimension_stats(verdicts).agg(F.coalesce(exact_mean("avg_score"), F.lit(0.0)).alias("micro_avg"))
     both = heads.unionByName(micro, allowMissingColumns=True)
     joined = both.agg(*[F.first(c, ignorenulls=True).alias(c) for c in both.columns])
     rate = F.when(F.col("valid") > 0, F.round(F.col("fully_passed") / F.col("valid"), 4)).otherwise(0.0)

@@ -14,8 +14,6 @@ from passagework import skew
 from passagework.functions import text as X
 from passagework.functions.arrays import ordered_text
 
-MAX_COARSE = K.COARSE_K + K.SHORT_QUERY_BOOST
-
 
 def coarse_k(
     text: Column,

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,17 +75,25 @@ def needs_ocr(
     return pages.groupBy(doc).agg((F.coalesce(best, F.lit(0)) < enough).alias("needs_ocr"))
 
 
-def allow_gbk(spark: SparkSession) -> None:
-    """Let ``decode`` know GBK and mark undecodable bytes instead of failing."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+# Decoding of GBK, and marks for undecodable bytes instead of an error.
+GBK_CONF = {"spark.sql.legacy.javaCharsets": "true", "spark.sql.legacy.codingErrorAction": "true"}
 
 
-def repair_filename(name: Column) -> Column:
-    """Undo a GBK name that was read as Latin-1; other names stay.
+@contextmanager
+def gbk_names(spark: SparkSession) -> Iterator[None]:
+    """Columns that are resolved inside know GBK; the session's own settings are put back."""
+    before = {k: spark.conf.get(k) for k in GBK_CONF}
+    try:
+        for k, v in GBK_CONF.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
-    Call ``allow_gbk`` first.
-    """
+
+def repair_filename(name: Column) -> Column:
+    """Undo a GBK name that was read as Latin-1; other names stay. To be used inside ``gbk_names``."""
     suspect = name.rlike(r"^[\x00-\xff]*$") & name.rlike(r"[\x80-\xff]")
     decoded = F.decode(F.encode(name, "ISO-8859-1"), "GBK")
     return F.when(suspect & ~F.contains(decoded, F.lit("\ufffd")), decoded).otherwise(name)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from passagework import skew
 from passagework.functions import text as X
-from passagework.functions.arrays import exploded
+from passagework.functions.arrays import exploded, let
 from passagework.session import materialize
 
 # fixed values: weight of a plain match and the normaliser of the rank function
@@ -32,6 +32,30 @@ def question_terms(
     return exploded(counted, [query, *keep, "n_terms"], "_terms", "term")
 
 
+def _term_runs(words: Column) -> Column:
+    """``(term, positions)`` of every distinct term of a token array, without leaving the row."""
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
+
+    def runs(rows: Column) -> Column:
+        first = F.filter(
+            F.sequence(F.lit(0), F.size(rows) - 1),
+            lambda i: (i == 0) | (F.get(rows, i)["term"] != F.get(rows, i - 1)["term"]),
+        )
+
+        def cut(starts: Column) -> Column:
+            return F.transform(
+                starts,
+                lambda s, j: F.struct(
+                    F.get(rows, s)["term"].alias("term"),
+                    F.slice(rows["at"], s + 1, F.coalesce(F.get(starts, j + 1), F.size(rows)) - s).alias("positions"),
+                ),
+            )
+
+        return F.when(F.size(rows) > 0, let(first, cut)).otherwise(F.array().cast("array<struct<term:string,positions:array<int>>>"))
+
+    return let(placed, runs)
+
+
 def term_counts(
     nodes: DataFrame,
     node: str = "node_id",
@@ -39,26 +63,57 @@ def term_counts(
     keep: Sequence[str] = (),
     vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """Term frequencies per node, all rows of a node in one partition.
+    """Term frequencies per node, counted inside the row; all rows of a node in one partition.
 
     ``vocabulary`` (a ``term`` column) drops other terms before the shuffle.
     """
-    terms = exploded(nodes, [node, *keep], X.tokens(F.col(text)), "term")
+    # Sorted tokens: a run's length is the term's frequency.
+    words = F.array_sort(X.tokens(F.col(text)))
+
+    def counts(rows: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(rows) - 1), lambda i: (i == 0) | (F.get(rows, i) != F.get(rows, i - 1)))
+
+        def cut(starts: Column) -> Column:
+            return F.transform(
+                starts,
+                lambda s, j: F.struct(
+                    F.get(rows, s).alias("term"), (F.coalesce(F.get(starts, j + 1), F.size(rows)) - s).cast("long").alias("tf")
+                ),
+            )
+
+        return F.when(F.size(rows) > 0, let(first, cut)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    rows = exploded(nodes, [node, *keep], let(words, counts), "_t").select(node, *keep, "_t.term", "_t.tf")
     if vocabulary is not None:
-        terms = skew.join_small(terms, vocabulary.select("term").distinct(), ["term"], "left_semi")
+        rows = skew.join_small(rows, vocabulary.select("term").distinct(), ["term"], "left_semi")
     # A fixed number of partitions: rows multiply in the join that follows, which the
     # adaptive planner, seeing only the small shuffle, would not allow for.
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return terms.repartition(parts, node).groupBy(node, *keep, "term").agg(F.count("*").alias("tf"))
+    return rows.repartition(parts, node)
 
 
-def build_postings(nodes: DataFrame, node: str = "node_id", text: str = "text") -> DataFrame:
-    """Term index: term, node, frequency and the sorted token positions."""
-    terms = exploded(nodes, [node], X.tokens(F.col(text)), "term", "position")
-    # A group is one term of one node, so the list is bounded by that node's text.
-    return terms.groupBy("term", node).agg(
-        F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions")
-    )
+def build_postings(nodes: DataFrame, node: str = "node_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Term index: term, node, frequency and the sorted token positions, without a shuffle."""
+    rows = exploded(nodes, [node, *keep], _term_runs(X.tokens(F.col(text))), "_t")
+    return rows.select("_t.term", node, *keep, F.size("_t.positions").cast("long").alias("tf"), "_t.positions")
+
+
+def write_postings(postings: DataFrame, path: str, buckets: int = 64, tenant: str | None = None) -> None:
+    """Store a term index with one folder per tenant and term bucket."""
+    by = [*([tenant] if tenant else []), "bucket"]
+    placed = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    placed.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
+
+
+def stored_counts(index: DataFrame, terms: DataFrame, buckets: int = 64, node: str = "node_id", keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of a stored index for the terms of questions, all rows of a node in one partition.
+
+    The terms' buckets join first, so that folders of other buckets are not read.
+    """
+    wanted = terms.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    rows = skew.join_small(index, wanted, ["bucket", "term"], "left_semi")
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(node, *keep, "term", "tf").repartition(parts, node)
 
 
 _TABLE_SIZE = 64

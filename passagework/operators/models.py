@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -15,6 +16,7 @@ from passagework import constants as K
 from passagework import skew
 from passagework.functions import text as X
 
+log = logging.getLogger(__name__)
 Reply = tuple[str | None, int, int]
 
 
@@ -47,7 +49,10 @@ def model_stage(
             for begin in range(0, len(prompts), batch):
                 part = prompts[begin : begin + batch]
                 try:
-                    replies += [(*reply, None) for reply in fn(part)]
+                    answers = [(*reply, None) for reply in fn(part)]
+                    if len(answers) != len(part):
+                        raise ValueError(f"{len(answers)} replies to {len(part)} prompts")
+                    replies += answers
                 except Exception as error:  # noqa: BLE001 - reported per row
                     replies += [(None, 0, 0, str(error) or type(error).__name__)] * len(part)
             columns = ["model_text", "prompt_tokens", "completion_tokens", "model_error"]
@@ -68,7 +73,8 @@ def embed(
     """Add a unit-length vector per text.
 
     ``fn`` turns a list of texts into vectors; without it hashed term counts are
-    used, which need no model and stay in the JVM.
+    used, which need no model and stay in the JVM. A batch that fails, or gives another
+    number of vectors, gets null vectors; the job goes on.
     """
     if fn is None:
         words = df.withColumn("_words", X.tokens(F.col(text)))
@@ -83,7 +89,13 @@ def embed(
             texts = frame[text].tolist()
             vectors: list = []
             for begin in range(0, len(texts), batch):
-                vectors += [[float(x) for x in v] for v in fn(texts[begin : begin + batch])]
+                part = texts[begin : begin + batch]
+                try:
+                    made = [[float(x) for x in v] for v in fn(part)]
+                except Exception as error:  # noqa: BLE001 - a text without a vector takes no part in search
+                    log.warning("batch without vectors: %s", error)
+                    made = []
+                vectors += made if len(made) == len(part) else [None] * len(part)
             yield frame.assign(**{out: vectors})
 
     return df.mapInPandas(run, schema)
@@ -106,17 +118,23 @@ def score_pairs(
     question: str = "question",
     content: str = "content",
     out: str = "rerank_score",
+    batch: int = K.EMBED_BATCH,
 ) -> DataFrame:
-    """Score (question, text) pairs with a caller's scorer; a failing batch gives nulls."""
+    """Score (question, text) pairs with a caller's scorer, ``batch`` at a time; a failing batch gives nulls."""
     schema = T.StructType([*pairs.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             couples = list(zip(frame[question], frame[content], strict=True))
-            try:
-                scores = [float(s) for s in fn(couples)]
-            except Exception:  # noqa: BLE001 - the caller falls back to the old order
-                scores = [None] * len(frame)
+            scores: list = []
+            for begin in range(0, len(couples), batch):
+                part = couples[begin : begin + batch]
+                try:
+                    made = [float(s) for s in fn(part)]
+                except Exception as error:  # noqa: BLE001 - the caller falls back to the old order
+                    log.warning("batch without scores: %s", error)
+                    made = []
+                scores += made if len(made) == len(part) else [None] * len(part)
             yield frame.assign(**{out: pd.array(scores, dtype="Float64")})
 
     return pairs.mapInPandas(run, schema)

@@ -207,10 +207,10 @@ def faithfulness(items: DataFrame, supported: DataFrame, item: str = "item_id")
 
 # --- relevance and correctness ------------------------------------------------------------
 def term_coverage(question: Column, answer: Column) -> Column:
-    """Share of the question's longer tokens that the answer uses; 1 when it has none."""
+    """Share of the question's longer tokens that the answer uses, case kept; 1 when it has none."""
     stop = F.array(*[F.lit(w) for w in K.STOP_WORDS])
-    wanted = F.array_except(X.long_tokens(question), stop)
-    used = F.size(F.array_intersect(wanted, X.tokens(answer)))
+    wanted = F.array_except(X.long_tokens(question, fold=False), stop)
+    used = F.size(F.array_intersect(wanted, X.tokens(answer, fold=False)))
     return F.when(F.size(wanted) == 0, 1.0).otherwise(used / F.size(wanted))
 
 
@@ -276,6 +276,8 @@ def judge_verdict(fields: Column) -> Column:
         truthy.alias("passed"),
         F.coalesce(fields["score"].try_cast("double"), F.lit(0.0)).alias("score"),
         F.coalesce(fields["reasoning"], F.lit("")).alias("reasoning"),
+        fields["dimension"].alias("dimension"),
+        fields["details"].alias("details"),
         F.map_filter(fields, lambda k, _: ~F.array_contains(known, k)).alias("metadata"),
     )
 

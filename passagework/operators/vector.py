@@ -1,15 +1,13 @@
 """Nearest neighbours by cosine similarity, exact and clustered.
 
-Vectors are never paired with questions in a join. A bounded block of questions is
-broadcast, every task compares its vectors with the block in matrix products and
-keeps its best ``k`` per question; the tasks' results are merged by rank. More
-questions than one block holds are handled block by block.
+Questions and vectors are both cut into blocks by a hash. A pair of blocks is compared in one
+task, in matrix products of bounded size, and gives its best ``k`` rows per question; these are
+merged by rank. Nothing is collected, and no side is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -21,7 +19,8 @@ from pyspark.sql import types as T
 
 from passagework import skew
 
-BLOCK_BYTES = 64 * 1024 * 1024
+VECTOR_ROWS = 16_384  # vectors of a block
+QUESTION_ROWS = 1024  # questions of a block
 ROWS_AT_ONCE = 1024
 
 
@@ -47,41 +46,31 @@ def _candidates(sims: np.ndarray, rows: np.ndarray, nodes: np.ndarray, k: int) -
     return pd.DataFrame({"q": rows[at], "node": nodes[n], "sim": sims[at, n]})
 
 
-def _partial_topk(shared, k: int, query: str, node: str, scoped: bool) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix, allowed = shared.value
-        everyone = np.arange(len(ids))
+def _block_topk(k: int, query: str, node: str) -> Callable:
+    """Best ``k`` vectors of a block for every question of another."""
+
+    def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         kept = None
-        for batch in batches:
-            for begin in range(0, len(batch), ROWS_AT_ONCE):
-                part = batch.iloc[begin : begin + ROWS_AT_ONCE]
-                groups = part.groupby("scope", sort=False) if scoped else [(None, part)]
-                for scope, rows in groups:
-                    who = allowed.get(scope) if scoped else everyone
-                    if who is None or len(who) == 0:
-                        continue
-                    sims = np.round(matrix[who] @ _unit_rows(rows["vector"]).T, 9)
-                    found = _candidates(sims, who, rows["node"].to_numpy(), k)
-                    kept = found if kept is None else pd.concat([kept, found])
-                if kept is not None:
-                    kept = _best_of(kept, k)
-        if kept is not None:
-            yield pd.DataFrame({query: ids[kept["q"]], node: kept["node"], "similarity": kept["sim"]})
+        if len(asked) and len(rows):
+            ids, matrix = asked["_query"].to_numpy(), _unit_rows(asked["_vector"])
+            everyone = np.arange(len(ids))
+            for begin in range(0, len(rows), ROWS_AT_ONCE):
+                part = rows.iloc[begin : begin + ROWS_AT_ONCE]
+                sims = np.round(matrix @ _unit_rows(part["_other"]).T, 9)
+                found = _candidates(sims, everyone, part["_node"].to_numpy(), k)
+                kept = _best_of(found if kept is None else pd.concat([kept, found]), k)
+        if kept is None:
+            return pd.DataFrame({query: [], node: [], "similarity": []})
+        return pd.DataFrame({query: ids[kept["q"]], node: kept["node"], "similarity": kept["sim"]})
 
     return run
 
 
-def _blocks(questions: DataFrame, query: str) -> Iterator[pd.DataFrame]:
-    """The questions in pieces of bounded size."""
-    size = questions.agg(
-        F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("dim")
-    ).first()
-    pieces = max(1, -(-size["n"] * size["dim"] * 8 // BLOCK_BYTES))
-    for i in range(pieces):
-        mine = F.pmod(F.xxhash64(query), F.lit(pieces)) == i
-        block = (questions if pieces == 1 else questions.where(mine)).toPandas()
-        if len(block):
-            yield block
+def _in_blocks(rows: DataFrame, own: str, other: str, salt: str, first: str, second: str) -> DataFrame:
+    """Rows with their own block, once for every block of the other side."""
+    mine = F.pmod(F.xxhash64(salt), F.col(own)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), (F.col(other) - 1).cast("int")))
+    return rows.withColumn(first, mine).withColumn(second, each).drop(own, other)
 
 
 def vector_topk(
@@ -98,14 +87,27 @@ def vector_topk(
     With ``scope`` the vectors carry that column as a string and the questions an
     array column of the same name with the values they may see.
     """
-    columns = [F.col(query), F.col(vector).alias("vector")]
-    if scope:
-        columns.append(F.col(scope).alias("scope"))
-    asked = questions.select(*columns)
-    rows = [F.col(node).alias("node"), F.col(vector).alias("vector")]
+    asked = questions.select(F.col(query).alias("_query"), F.col(vector).alias("_vector"), *([F.explode(scope).alias("_scope")] if scope else []))
+    searched = vectors.select(
+        F.col(node).alias("_node"), F.col(vector).alias("_other"), *([F.col(scope).cast("string").alias("_in")] if scope else [])
+    )
+    v_blocks = F.ceil(F.col("_n") / VECTOR_ROWS).alias("_vb")
+    q_blocks = F.ceil(F.col("_m") / QUESTION_ROWS).alias("_qb")
     if scope:
-        rows.append(F.col(scope).cast("string").alias("scope"))
-    searched = vectors.select(*rows)
+        asked = asked.distinct()
+        n = searched.groupBy(F.col("_in").alias("_scope")).agg(F.count("*").alias("_n"))
+        m = asked.groupBy("_scope").agg(F.count("*").alias("_m"))
+        # One row per scope value that both sides hold.
+        sizes = n.join(m, "_scope").select("_scope", v_blocks, q_blocks)
+        asked = asked.join(sizes, "_scope")
+        searched = searched.join(sizes.withColumnRenamed("_scope", "_in"), "_in")
+    else:
+        n, m = searched.count(), asked.count()
+        blocks = [F.lit(max(1, -(-n // VECTOR_ROWS))).alias("_vb"), F.lit(max(1, -(-m // QUESTION_ROWS))).alias("_qb")]
+        asked = asked.withColumn("_scope", F.lit("")).select("*", *blocks)
+        searched = searched.withColumn("_in", F.lit("")).select("*", *blocks)
+    left = _in_blocks(asked, "_qb", "_vb", "_query", "_i", "_j")
+    right = _in_blocks(searched, "_vb", "_qb", "_node", "_q", "_p")
     schema = T.StructType(
         [
             T.StructField(query, questions.schema[query].dataType),
@@ -113,36 +115,16 @@ def vector_topk(
             T.StructField("similarity", T.DoubleType()),
         ]
     )
-    context = questions.sparkSession.sparkContext
-    found = []
-    for block in _blocks(asked, query):
-        allowed: dict[str, np.ndarray] = {}
-        if scope:
-            pairs = block["scope"].explode()
-            for value, members in pairs.groupby(pairs).groups.items():
-                allowed[str(value)] = np.unique(np.asarray(members))
-        shared = context.broadcast((block[query].to_numpy(), _unit_rows(block["vector"]), allowed))
-        work = _partial_topk(shared, k, query, node, scope is not None)
-        found.append(searched.mapInPandas(work, schema))
-    if not found:
-        empty = questions.sparkSession.createDataFrame([], schema)
-        return empty.withColumn("rank", F.lit(0))
-    merged = reduce(DataFrame.unionByName, found)
-    return skew.top_per_key(merged, [query], [F.desc("similarity"), F.col(node)], k)
-
-
-def train_lists(
-    vectors: DataFrame, lists: int, seed: int = 17, vector: str = "embedding", rows_per_list: int = 10_000
-):
-    """Cluster model of the inverted lists.
-
-    The centres of a very large table come from a sample; every vector is assigned
-    to a list afterwards, so none is left out of the index.
-    """
+    pairs = left.groupBy("_scope", "_i", "_j").cogroup(right.groupBy("_in", "_p", "_q"))
+    found = pairs.applyInPandas(_block_topk(k, query, node), schema)
+    if scope:
+        found = found.distinct()
+    return skew.top_per_key(found, [query], [F.desc("similarity"), F.col(node)], k)
+
+
+def train_lists(vectors: DataFrame, lists: int, seed: int = 17, vector: str = "embedding"):
+    """Cluster model of the inverted lists, fitted on all vectors."""
     points = vectors.select(array_to_vector(F.col(vector)).alias("features"))
-    share = lists * rows_per_list / max(1, vectors.count())
-    if share < 1:
-        points = points.sample(share, seed)
     means = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine", featuresCol="features")
     return means.fit(points)
 

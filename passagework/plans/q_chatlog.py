@@ -28,10 +28,10 @@ def sessions(t: Tables):
 
 @query("session_list", f"""
 WITH {SESSIONS} SELECT s.conv_id, title, coalesce(updated_at, created_at) AS touched, count(m.conv_id) AS message_count
-FROM sessions s LEFT JOIN (SELECT conv_id FROM conversations WHERE role <> 'system') m USING (conv_id) GROUP BY ALL
+FROM sessions s LEFT JOIN (SELECT conv_id FROM conversations) m USING (conv_id) GROUP BY ALL
 """)
 def session_list(t: Tables):
-    out = H.session_list(sessions(t), t.conversations.where("role <> 'system'"))
+    out = H.session_list(sessions(t), t.conversations)
     return out.select("conv_id", "title", F.coalesce("updated_at", "created_at").alias("touched"), "message_count")
 
 

@@ -59,14 +59,14 @@ def src_route_by_ext(t: Tables):
 
 
 @query("src_eval_items", """
-SELECT 'eval_' || item_id AS id, text AS question, substr(text, 1, 50) AS answer FROM benchmark
+SELECT 'eval_' || item_id AS id, text AS question, text AS answer FROM benchmark
 """)
 def src_eval_items(t: Tables):
     """Write the questions as dataset files, then read them back as items."""
     item = F.struct(
         F.concat(F.lit("eval_"), F.col("item_id").cast("string")).alias("id"),
         F.col("text").alias("question"),
-        F.substring("text", 1, 50).alias("answer"),
+        F.col("text").alias("answer"),
     )
     path = work_folder(t.spark, "eval-items")
     t.benchmark.select(F.array(item).alias("dataset")).write.json(path)
@@ -245,10 +245,10 @@ def needs_ocr_flag(t: Tables):
 
 @query("repair_filename", "SELECT doc_id, '文档-' || doc_id || '.txt' AS filename FROM documents")
 def repair_filename(t: Tables):
-    I.allow_gbk(t.spark)
     good = F.concat(F.lit("文档-"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    garbled = F.decode(F.encode(good, "GBK"), "ISO-8859-1")
-    return t.documents.select("doc_id", I.repair_filename(garbled).alias("filename"))
+    with I.gbk_names(t.spark):
+        garbled = F.decode(F.encode(good, "GBK"), "ISO-8859-1")
+        return t.documents.select("doc_id", I.repair_filename(garbled).alias("filename"))
 
 
 @query("doc_status", """
@@ -307,7 +307,7 @@ def doc_catalog_row(t: Tables):
 
 @query("doc_listing", f"""
 WITH {dims.SQL_USERS}, {dims.SQL_TENANTS},
-chunks AS (SELECT doc_id, (n_chars + 923) // 924 AS vector_chunks FROM documents WHERE lang <> 'es')
+chunks AS (SELECT doc_id, (n_chars + 923) // 924 AS vector_chunks FROM documents)
 SELECT d.doc_id, coalesce(vector_chunks, 0) AS vector_chunks,
        coalesce(u.display_name, u.username) AS uploaded_by, n.name AS tenant_name
 FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id LEFT JOIN users u ON u.id = d.doc_id % 70
@@ -320,7 +320,7 @@ def doc_listing(t: Tables):
         F.substring("source", 4, 10).cast("long").alias("tenant_id"),
         F.col("n_chars").alias("uploaded_at"),
     )
-    chunks = C.chunk(t.docs.where("lang <> 'es'").select("doc_id", "text"), "fixed_size")
+    chunks = C.chunk(t.docs.select("doc_id", "text"), "fixed_size")
     listed = I.document_listing(catalogue, chunks, dims.users(t.spark), dims.tenants(t.spark))
     return listed.select("doc_id", "vector_chunks", "uploaded_by", "tenant_name")
 

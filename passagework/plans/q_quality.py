@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from passagework import constants as K
+from passagework.functions import text as X
 from passagework.functions import vectors as V
 from passagework.operators import quality as Q
 from passagework.plans.catalog import Tables, query
-from passagework.plans.sqltext import WS, long_tokens, non_blank, phrases, tokens, values
+from passagework.plans.sqltext import WS, long_tokens, non_blank, phrases, sentences, tokens, values
 
 # --- shared inputs -----------------------------------------------------------------
 # Items are assistant turns; the question is the turn before. Similarities are made
@@ -192,13 +193,13 @@ def vector_factuality(t: Tables):
     return Q.vector_factuality(rows, Q.parent_recheck(claim_table(t), parent="question"))
 
 
-# The reference text of an answer: the question with the first half of the answer.
-CONTEXTED = """ctx AS (SELECT item_id, question, answer, question || ' ' || substr(answer, 1, length(answer) // 8) AS context FROM items)"""
+# The reference text of an answer: the question with every second sentence of the answer.
+CONTEXTED = f"""ctx AS (SELECT item_id, question, answer, question || ' ' || array_to_string(list_transform(range(1, len({sentences('answer')}) + 1, 2), lambda i: ({sentences('answer')})[i]), ' ') AS context FROM items)"""
 
 
 def contexted(t: Tables):
-    half = F.substr("answer", F.lit(1), F.floor(F.length("answer") / 8).cast("int"))
-    return items(t).withColumn("context", F.concat_ws(" ", "question", half))
+    half = F.filter(X.sentences(F.col("answer")), lambda _, i: i % 2 == 0)
+    return items(t).withColumn("context", F.concat_ws(" ", "question", F.array_join(half, " ")))
 
 
 FALLBACK = f"""list_filter({non_blank("string_split_regex(answer, '[。！？" + chr(92) + "n;；]')")}, lambda s: length(s) > 3)"""
@@ -243,7 +244,7 @@ COVERAGE = """CASE WHEN len(w) = 0 THEN 1.0::double ELSE len(list_intersect(w, a
 
 @query("term_coverage", f"""
 WITH {ITEMS} SELECT item_id, round({COVERAGE}, 6) AS coverage
-FROM (SELECT item_id, {long_tokens('question')} AS w, {tokens('answer')} AS a FROM items)
+FROM (SELECT item_id, {long_tokens('question', fold=False)} AS w, {tokens('answer', fold=False)} AS a FROM items)
 """)
 def term_coverage(t: Tables):
     return items(t).select("item_id", F.round(Q.term_coverage(F.col("question"), F.col("answer")), 6).alias("coverage"))
@@ -251,7 +252,7 @@ def term_coverage(t: Tables):
 
 @query("answer_relevancy", f"""
 WITH {ITEMS}, s AS (SELECT item_id, round(sim * 0.5::double + {COVERAGE} * 0.3::double + least(1, length(answer) / 20.0::double) * 0.2::double, 4) AS score
-FROM (SELECT *, {SIMILAR.format('question')} AS sim, {long_tokens('question')} AS w, {tokens('answer')} AS a FROM items))
+FROM (SELECT *, {SIMILAR.format('question')} AS sim, {long_tokens('question', fold=False)} AS w, {tokens('answer', fold=False)} AS a FROM items))
 SELECT item_id, score >= 0.4 AS passed, score FROM s
 """)
 def answer_relevancy(t: Tables):

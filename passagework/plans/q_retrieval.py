@@ -104,8 +104,11 @@ FROM (SELECT doc_id AS node_id, unnest(k) AS term, generate_subscripts(k, 1) - 1
 GROUP BY term, node_id
 """)
 def build_postings(t: Tables):
-    postings = L.build_postings(t.docs.select(F.col("doc_id").alias("node_id"), "text"))
-    return postings.select(
+    """The index of every tenant, written by tenant and term bucket and read back."""
+    path = work_folder(t.spark, "postings")
+    nodes = t.docs.select(F.col("doc_id").alias("node_id"), F.col("source").alias("tenant_id"), "text")
+    L.write_postings(L.build_postings(nodes, keep=["tenant_id"]), path, 4, "tenant_id")
+    return t.spark.read.parquet(path).select(
         "term",
         "node_id",
         "tf",
@@ -436,19 +439,6 @@ def stage_gate(t: Tables):
     return both.join(gated.select("query_id", "deep"), "query_id")
 
 
-def reverse_text(prompts):
-    """Example model: answers with the reversed prompt, fails on very short batches."""
-    return [(p[::-1], len(p) * 2 // 5, len(p) // 2) for p in prompts]
-
-
-@query("expand_query", """
-SELECT item_id, reverse(text) AS expanded_text, length(text) * 2 // 5 AS prompt_tokens FROM benchmark
-""")
-def expand_query(t: Tables):
-    out = M.model_stage(t.benchmark, "text", reverse_text)
-    return out.select("item_id", F.col("model_text").alias("expanded_text"), "prompt_tokens")
-
-
 def picky_model(prompts):
     """Example model that refuses texts starting with an accented letter."""
     if any(p[:1] > "z" for p in prompts):
@@ -537,12 +527,12 @@ def clear_sources_on_no_answer(t: Tables):
 
 
 @query("query_key_dedup", """
-WITH k AS (SELECT doc_id, 'rag:' || source || ':' || md5(substr(text, 1, 20)) || ':5:' ||
+WITH k AS (SELECT doc_id, 'rag:' || source || ':' || md5(text) || ':5:' ||
     array_to_string(list_sort([lang, source]), ',') AS question_key FROM documents)
 SELECT doc_id, question_key, min(doc_id) OVER (PARTITION BY question_key) AS answered_by FROM k
 """)
 def query_key_dedup(t: Tables):
-    key = R.question_key(F.col("source"), F.substring("text", 1, 20), F.lit(5), F.array("lang", "source"))
+    key = R.question_key(F.col("source"), F.col("text"), F.lit(5), F.array("lang", "source"))
     asked = t.docs.select("doc_id", key.alias("question_key"))
     return R.once_per_key(
         asked, lambda d: d.select("question_key", F.col("doc_id").alias("answered_by"))
@@ -572,18 +562,17 @@ def answer_context(t: Tables):
     name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("filename")
 
     def key(n):
-        # Whole numbers keep the (question, node) aggregation compact.
-        return F.shiftleft("doc_id", 20) + F.col(n)
+        return F.concat_ws("/", "doc_id", n)
 
     nodes = C.child_rows(docs).select(
-        key("chunk_index").alias("node_id"),
+        F.struct("doc_id", "chunk_index").alias("node_id"),
         "doc_id",
         name,
         "chunk_index",
         "content",
-        key("parent_ordinal").cast("string").alias("parent_id"),
+        key("parent_ordinal").alias("parent_id"),
     )
-    parents = C.parent_rows(docs).select(key("chunk_index").cast("string").alias("parent_id"), "content")
+    parents = C.parent_rows(docs).select(key("chunk_index").alias("parent_id"), "content")
     # The index tables; a real corpus has them stored.
     nodes, parents = materialize(nodes, "nodes"), materialize(parents, "parents")
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))

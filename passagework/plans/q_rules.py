@@ -72,17 +72,17 @@ def query_terms(t: Tables):
 
 @query("keyword_positions", " UNION ALL ".join(keyword_sql(r.pattern, r.category) for r in CUSTOM[:2]))
 def keyword_positions(t: Tables):
-    found = R.match_rules(t.docs.select("doc_id", "text"), [*R.default_rules()[:20], *CUSTOM[:2]])
+    found = R.match_rules(t.docs.select("doc_id", "text"), [*[r for r in R.default_rules() if r.kind == "keyword"], *CUSTOM[:2]])
     return R.match_rows(found)
 
 
 @query("token_sequence_match", """
-SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN length(regexp_replace(left(text, 60), '[\\s.,]+$', '')) + 2 END AS position
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN length(regexp_replace(text, '[\\s.,]+$', '')) + 2 END AS position
 FROM documents
 """)
 def token_sequence_match(t: Tables):
     """A keyword of several runs, matched across the punctuation between its tokens."""
-    head = F.regexp_replace(F.substring("text", 1, 60), r"[\s.,]+$", "")
+    head = F.regexp_replace("text", r"[\s.,]+$", "")
     tail = F.when(F.col("doc_id") % 2 == 0, F.lit("。 AI 模型")).otherwise(F.lit("。 AI 的模型"))
     position = R.token_sequence_position(F.concat(head, tail), R.keyword_tokens("AI模型"))
     return t.docs.select("doc_id", position.alias("position"))

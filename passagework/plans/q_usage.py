@@ -107,12 +107,15 @@ def query_stats(t: Tables):
 
 @query("sink_usage_logs", f"""
 SELECT strftime(e.ts, '%Y-%m-%d') AS day, {BUCKET.format('s')} AS score_bucket, count(*) AS queries, sum(length(q))::bigint AS chars
-FROM (SELECT event_id, ts, {SHARE} AS s FROM events) e JOIN (SELECT doc_id, substr(text, 1, 200) AS q FROM documents) ON doc_id = event_id
+FROM (SELECT event_id, ts, {SHARE} AS s, (SELECT count(*) FROM documents) AS n FROM events) e
+  JOIN (SELECT doc_id, substr(text, 1, 200) AS q FROM documents) ON doc_id = event_id % n
 GROUP BY ALL
 """)
 def sink_usage_logs(t: Tables):
     """Query log rows, appended to a table with one folder per day."""
-    asked = t.events.select(F.col("event_id").alias("doc_id"), "ts", share().alias("s")).join(t.documents, "doc_id")
+    # Every event asks the text of one document; ids run from 0 to the number of documents less one.
+    n = t.documents.count()
+    asked = t.events.select((F.col("event_id") % n).alias("doc_id"), "ts", share().alias("s")).join(t.documents, "doc_id")
     rows = asked.select("ts", F.to_date("ts").alias("day"), *U.usage_log_row(F.col("text"), F.col("s")))
     path = work_folder(t.spark, "usage-log")
     S.append_partitioned(rows, path, ["day"])

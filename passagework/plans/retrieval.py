@@ -29,16 +29,21 @@ class Corpus:
 
 
 def recall(
-    corpus: Corpus, questions: DataFrame, scope: DataFrame | None = None, allow_sparse_only: bool = False
+    corpus: Corpus,
+    questions: DataFrame,
+    scope: DataFrame | None = None,
+    allow_sparse_only: bool = False,
+    sizes: tuple[int, int] = (K.COARSE_K, K.SHORT_QUERY_BOOST),
 ) -> DataFrame:
     """Dense and lexical recall fused, cut at each question's ``coarse_k``.
 
     ``questions``: query_id, question, embedding. ``scope``: (query_id, doc_id)
-    pairs; a question listed there only sees those documents.
+    pairs; a question listed there only sees those documents. ``sizes``: rows of the
+    first stage and the extra rows of short questions.
     """
-    sized = questions.select("query_id", fusion.coarse_k(F.col("question")).alias("coarse_k"))
+    sized = questions.select("query_id", fusion.coarse_k(F.col("question"), *sizes).alias("coarse_k"))
     asked = questions.where("embedding is not null")
-    limit = fusion.MAX_COARSE
+    limit = sum(sizes)
     dense = _scoped_dense(corpus, asked, scope, limit)
     sparse = _scoped_sparse(corpus, questions, scope, limit)
     fused = fusion.fuse_recall(

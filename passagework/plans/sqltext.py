@@ -28,12 +28,21 @@ def paragraphs(expr: str) -> str:
     )
 
 
-def tokens(expr: str) -> str:
-    return rf"regexp_extract_all(lower({expr}), '[\p{{L}}\p{{N}}]+')"
+CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}"
 
 
-def long_tokens(expr: str) -> str:
-    return f"list_distinct(list_filter({tokens(expr)}, lambda t: length(t) > 1))"
+def tokens(expr: str, fold: bool = True) -> str:
+    """Letter and digit runs; CJK runs, cut off from others by a blank, as overlapping bigrams."""
+    text = f"lower({expr})" if fold else expr
+    parted = rf"regexp_replace({text}, '([{CJK}]+)', ' \1 ', 'g')"
+    runs = rf"regexp_extract_all({parted}, '[\p{{L}}\p{{N}}]+')"
+    grams = "list_transform(range(1, length(r)), lambda i: substr(r, i::BIGINT, 2))"
+    cut = f"list_transform({runs}, lambda r: CASE WHEN regexp_matches(r, '[{CJK}]') AND length(r) >= 2 THEN {grams} ELSE [r] END)"
+    return f"flatten({cut})"
+
+
+def long_tokens(expr: str, fold: bool = True) -> str:
+    return f"list_distinct(list_filter({tokens(expr, fold)}, lambda t: length(t) > 1))"
 
 
 def dot(a: str, b: str) -> str:

@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
 # Stages that need Python: caller-supplied functions, vector blocks, ordered decisions.
 PYTHON = {
-    "embed_dedup", "model_stage", "expand_query", "alert_debounce", "sliding_rate_limit", "vector_topk",
+    "embed_dedup", "model_stage", "alert_debounce", "sliding_rate_limit", "vector_topk",
     "vector_top1_in_docs", "summary_topk", "two_level_scope", "ann_clustered", "rrf_fuse", "max_dense",
     "recall_fallbacks", "overlap_report",
 }

@@ -75,9 +75,10 @@ def brute(questions, vectors, k, allowed=None):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [64 * 1024 * 1024, 200])
+@pytest.mark.parametrize("block", [16384, 7])
 def test_vector_topk_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(N, "BLOCK_BYTES", block)
+    monkeypatch.setattr(N, "VECTOR_ROWS", block * 5)
+    monkeypatch.setattr(N, "QUESTION_ROWS", block)
     rng = np.random.default_rng(2)
     vectors = [(i, rng.integers(-3, 4, 6).astype(float).tolist(), f"s{i % 4}") for i in range(300)]
     vectors[5] = (5, [0.0] * 6, "s1")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from passagework import constants as K
 from passagework.functions import text as X
 from passagework.operators import ingest as I
+from passagework.operators import models as M
 from passagework.operators import quality as Q
 from passagework.operators import rules as R
 
@@ -76,10 +77,13 @@ def test_render_prompt(spark):
 
 
 def test_gbk_names(spark):
-    I.allow_gbk(spark)
     garbled = "报告.txt".encode("gbk").decode("latin-1")
     df = spark.createDataFrame([(garbled,), ("plain.txt",), ("报告.txt",), ("café.txt",)], "n string")
-    assert [r[0] for r in df.select(I.repair_filename(F.col("n"))).collect()] == ["报告.txt", "plain.txt", "报告.txt", "café.txt"]
+    before = {k: spark.conf.get(k) for k in I.GBK_CONF}
+    with I.gbk_names(spark):
+        fixed = df.select(I.repair_filename(F.col("n")))
+    assert {k: spark.conf.get(k) for k in I.GBK_CONF} == before
+    assert [r[0] for r in fixed.collect()] == ["报告.txt", "plain.txt", "报告.txt", "café.txt"]
 
 
 def test_duplicates_are_per_tenant(spark):
@@ -167,3 +171,45 @@ def test_error_policy(spark):
     assert closed == {"safety": (False, 0.0), "factuality": (True, 0.0), "relevance": (True, 0.7)}
     opened = {r.dimension: (r.passed, r.score) for r in Q.apply_error_policy(df, False).collect()}
     assert opened["safety"] == (True, 1.0)
+
+
+@pytest.mark.parametrize("pattern,want", [("a*", [0, 1, 3, 4, 5, 6, 7, 8]), ("b(?=a)", [5]), ("$", [8]), ("aa|b", [1, 3, 5, 7])])
+def test_offsets_of_empty_matches(spark, pattern, want):
+    df = spark.createDataFrame([("xaab bab",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(X.regex_positions(F.col("t"), pattern)).collect()]
+    assert got[0] == want and got[2] in (None, [])
+
+
+def test_a_rule_listed_twice_matches_once(spark):
+    rules = [R.Rule("c", "keyword", "ab"), R.Rule("d", "keyword", "ab"), R.Rule("c", "keyword", "ab")]
+    df = spark.createDataFrame([(1, "xabab")], "doc_id int, text string")
+    rows = R.match_rows(R.match_rules(df, rules)).collect()
+    assert sorted((r.category, r.position) for r in rows) == [("c", 1), ("c", 3), ("d", 1), ("d", 3)]
+
+
+def test_thousands_of_rules(spark):
+    rules = [R.Rule(f"c{i % 7}", "keyword", f"word{i}x") for i in range(2500)]
+    table = R.rule_frame(spark, rules)
+    assert R.rules_of(table) == rules
+    df = spark.createDataFrame([(1, "a word2499x and word7x"), (2, "word2500x")], "doc_id int, text string")
+    rows = R.match_rows(R.match_rules(df, rules)).collect()
+    assert sorted((r.doc_id, r.keyword, r.position) for r in rows) == [(1, "word2499x", 2), (1, "word7x", 16)]
+
+
+def test_judge_verdict_keeps_its_dimension(spark):
+    raw = '{"passed": true, "score": 0.5, "dimension": "safety", "details": "d", "other": "o"}'
+    df = spark.createDataFrame([(raw,)], "raw string")
+    v = df.select(Q.judge_verdict(Q.parse_judge(F.col("raw"))["fields"]).alias("v")).first().v
+    assert (v.dimension, v.details, v.metadata) == ("safety", "d", {"other": "o"})
+
+
+def test_term_coverage_keeps_case(spark):
+    df = spark.createDataFrame([("BGE model", "the bge model")], "q string, a string")
+    assert df.select(Q.term_coverage(F.col("q"), F.col("a"))).first()[0] == 0.5
+
+
+def test_wrong_number_of_replies_is_an_error_of_the_batch(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "p string").coalesce(1)
+    rows = M.model_stage(df, "p", lambda ps: [("x", 1, 1)], batch=2).collect()
+    assert [(r.model_text, r.prompt_tokens) for r in rows] == [(None, 0)] * 2 and "1 replies to 2" in rows[0].model_error
+    assert [r.embedding for r in M.embed(df, "p", lambda ts: [[1.0]], batch=2).collect()] == [None, None]
