@@ -275,7 +275,8 @@ def link_parents(
     windows = window_struct(F.col(text), strategy, size, overlap)
     slim = pages.select(doc, page, parent_count(F.col(text), strategy, size, overlap).alias("_n"))
     based = parent_offsets(slim, doc, page, F.col("_n")).drop("_n")
-    placed = pages.withColumn("windows", windows).drop(text).join(based, [doc, page])
+    # The raw text moves; windows, which repeat it, are cut behind the join.
+    placed = pages.join(based, [doc, page]).withColumn("windows", windows).drop(text)
 
     def parent_id(ordinal: str) -> Column:
         number = (F.col("parent_base") + F.col(ordinal)).cast("string")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from passagework import constants as K
 from passagework.operators import usage as U
 from passagework.plans.catalog import Tables, query
-from passagework.plans.q_usage import ALERT_ROWS, CALLS, MODELS
+from passagework.plans.q_usage import ALERT_ROWS, CALLS, DEBOUNCED, GAP, LIMIT, MODELS, SLIDING, WINDOW, fired
 from passagework.plans.sqltext import strip
 from passagework.session import work_folder
 from passagework.streaming import jobs as J
@@ -63,24 +63,27 @@ def stream_usage(t: Tables):
     return out.withColumn("day", F.col("day").cast("string")).withColumn("total_cost", F.round("total_cost", 8))
 
 
-@query("stream_alerts")
+@query("stream_alerts", f"WITH RECURSIVE {DEBOUNCED} SELECT rule_id, event_id, fired FROM walk")
 def stream_alerts(t: Tables):
-    """Alerts of the samples the watermark has passed."""
+    """Alerts of all samples; those behind the last watermark are decided by the closing step."""
     root = work_folder(t.spark, "alerts")
     rules = t.spark.createDataFrame(
         ALERT_ROWS, "rule_id int, metric string, operator string, threshold double, label string, enabled boolean"
     )
     samples = events(t).select("event_id", "ts", F.col("event_type").alias("metric"), "value")
-    J.append_batches(J.stream_alerts(samples, rules, 7200), root, "alerts")
-    return J.read_batches(t.spark, root, "alerts").select("rule_id", "event_id", "fired")
+    J.append_batches(J.stream_alerts(samples, rules, GAP), root, "alerts")
+    decided = J.read_batches(t.spark, root, "alerts").select("rule_id", "event_id", "fired")
+    return J.with_rest(decided, fired(t))
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", SLIDING.replace("SELECT user_id, event_id, admitted", "SELECT user_id AS key, event_id, admitted"))
 def stream_rate_limit(t: Tables):
-    """Decisions for the requests the watermark has passed."""
+    """Decisions for all requests; those behind the last watermark are decided by the closing step."""
     root = work_folder(t.spark, "limits")
-    J.append_batches(J.stream_rate_limit(events(t), "user_id", 4, 86400), root, "limits")
-    return J.read_batches(t.spark, root, "limits").select("key", "event_id", "admitted", "remaining")
+    J.append_batches(J.stream_rate_limit(events(t), "user_id", LIMIT, WINDOW), root, "limits")
+    decided = J.read_batches(t.spark, root, "limits").select("key", "event_id", "admitted", "remaining")
+    whole = U.rate_limit(t.events.select("user_id", "event_id", "ts"), "user_id", LIMIT, WINDOW)
+    return J.with_rest(decided, whole.select(F.col("user_id").alias("key"), "event_id", "admitted", "remaining"))
 
 
 @query("stream_sessions", f"""

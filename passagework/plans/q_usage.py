@@ -275,14 +275,17 @@ def acknowledge_alerts(t: Tables):
 LIMIT, WINDOW = 4, 86400
 
 
-@query("sliding_rate_limit", f"""
+SLIDING = f"""
 WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 walk AS (SELECT user_id, n, event_id, [ts] AS seen, true AS admitted FROM numbered WHERE n = 1
   UNION ALL SELECT user_id, n, event_id, CASE WHEN len(live) < {LIMIT} THEN list_append(live, ts) ELSE live END, len(live) < {LIMIT}
   FROM (SELECT r.user_id, r.n, r.event_id, r.ts, list_filter(w.seen, lambda x: x > r.ts - INTERVAL {WINDOW} SECOND) AS live
         FROM walk w JOIN numbered r ON r.user_id = w.user_id AND r.n = w.n + 1))
 SELECT user_id, event_id, admitted, {LIMIT} - len(seen) AS remaining FROM walk
-""")
+"""
+
+
+@query("sliding_rate_limit", SLIDING)
 def sliding_rate_limit(t: Tables):
     rows = t.events.select("user_id", "event_id", "ts")
     return U.rate_limit(rows, "user_id", LIMIT, WINDOW).select("user_id", "event_id", "admitted", "remaining")

@@ -2,7 +2,9 @@
 
 Sources are files with a bounded number per trigger. Batch writers put every
 micro-batch into its own ``batch=<id>`` folder in overwrite mode: a micro-batch that
-is run again after a failure replaces its own rows and nothing else.
+is run again after a failure replaces its own rows and nothing else. Progress and state
+stay in ``_progress`` below the caller's root: a job that is started again on the same
+root goes on with the next batch and with what it knew.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from passagework import constants as K
 from passagework import skew
 from passagework.operators import chatlog, chunking, ingest, usage
-from passagework.session import work_folder
 from passagework.sources import sinks
 from passagework.streaming.processors import Debounce, RateLimit
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -36,9 +38,9 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: T.StructTyp
 
 
 def run_batches(
-    stream: DataFrame, write: Callable[[DataFrame, int], None], name: str, mode: str = "append"
+    stream: DataFrame, write: Callable[[DataFrame, int], None], root: str, name: str, mode: str = "append"
 ) -> None:
-    """Process everything available and stop; progress is kept in the work folder."""
+    """Process everything available and stop; progress is kept in ``<root>/_progress/<name>``."""
     spark = stream.sparkSession
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -49,13 +51,22 @@ def run_batches(
         finally:
             batch.unpersist()
 
-    running = (
-        stream.writeStream.foreachBatch(handle)
-        .outputMode(mode)
-        .option("checkpointLocation", work_folder(spark, f"{name}-progress"))
-        .trigger(availableNow=True)
-        .start()
-    )
+    # A query takes its settings from the session when it starts.
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        running = (
+            stream.writeStream.foreachBatch(handle)
+            .outputMode(mode)
+            .option("checkpointLocation", f"{root}/_progress/{name}")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
     running.awaitTermination()
 
 
@@ -94,18 +105,26 @@ def ingest_documents(stream: DataFrame, root: str, threshold: int = K.AUTO_WINDO
         flagged = ingest.dedup_exact(batch, ["tenant_id"]).withColumnRenamed("is_duplicate", "_copy")
         known = earlier_rows(spark, root, "catalogue", number)
         if known is not None:
-            seen = known.select("tenant_id", "md5_hash").distinct().withColumn("_seen", F.lit(True))
+            # Only the batch's own keys are looked up in the history.
+            asked = flagged.select("tenant_id", "md5_hash").distinct()
+            seen = known.select("tenant_id", "md5_hash").join(asked, ["tenant_id", "md5_hash"], "left_semi")
+            seen = seen.distinct().withColumn("_seen", F.lit(True))
             flagged = flagged.join(seen, ["tenant_id", "md5_hash"], "left")
         else:
             flagged = flagged.withColumn("_seen", F.lit(False))
         state = flagged.withColumn("duplicate", F.col("_copy") | F.coalesce("_seen", F.lit(False)))
         fresh = state.where("not duplicate").select("doc_id", "tenant_id", "text")
-        pages = fresh.withColumn("page", F.lit(1))
-        chunks = chunking.auto_windows(fresh, threshold=threshold)
-        _, parents = chunking.link_parents(pages)
+        parent = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("parent_ordinal").cast("string"))
+        chunks = chunking.auto_windows(fresh, threshold=threshold).withColumn(
+            "parent_id", F.when(F.col("parent_ordinal").isNotNull(), parent)
+        )
         chunk_path = _batch_path(root, "chunks", number)
         # Both writes are partitioned by tenant; a hot tenant is split over tasks.
         chunks.hint("rebalance", "tenant_id").write.mode("overwrite").partitionBy("tenant_id").parquet(chunk_path)
+        # Parents only of documents that were cut into windows.
+        windowed = spark.read.parquet(chunk_path).where("windowed").select("doc_id").distinct()
+        pages = fresh.join(windowed, "doc_id", "left_semi").withColumn("page", F.lit(1))
+        _, parents = chunking.link_parents(pages)
         new_parents = parents.select("parent_id", "doc_id", "content", "tenant_id", "chunk_index")
         old = earlier_rows(spark, root, "parents", number)
         if old is not None:
@@ -124,7 +143,7 @@ def ingest_documents(stream: DataFrame, root: str, threshold: int = K.AUTO_WINDO
         # Written last: a document counts as ingested once its catalogue row exists.
         rows.write.mode("overwrite").parquet(_batch_path(root, "catalogue", number))
 
-    run_batches(stream, write, "ingest")
+    run_batches(stream, write, root, "ingest")
 
 
 def _first_in_partition(keys: list[str]) -> Callable:
@@ -168,7 +187,7 @@ def daily_usage(calls: DataFrame, root: str, delay: str = "1 hour") -> None:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(_batch_path(root, "usage", number))
 
-    run_batches(totals, write, "usage", "update")
+    run_batches(totals, write, root, "usage", "update")
 
 
 def latest_usage(spark: SparkSession, root: str) -> DataFrame:
@@ -180,7 +199,6 @@ def latest_usage(spark: SparkSession, root: str) -> DataFrame:
 
 # --- stateful jobs ---------------------------------------------------------------------------
 def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, delay: str) -> DataFrame:
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (
         rows.withWatermark("ts", delay)
         .groupBy(key)
@@ -213,13 +231,18 @@ def stream_rate_limit(
     return _stateful(rows, "key", RateLimit(limit, seconds), schema, delay)
 
 
+def with_rest(decided: DataFrame, whole: DataFrame, tie: str = "event_id") -> DataFrame:
+    """Closing step of a finished stream: rows the last watermark has not passed get the batch form's decision."""
+    return decided.unionByName(whole.join(decided.select(tie), tie, "left_anti").select(*decided.columns))
+
+
 def append_batches(stream: DataFrame, root: str, table: str, mode: str = "append") -> None:
     """Write the rows of every micro-batch to its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(_batch_path(root, table, number))
 
-    run_batches(stream, write, table, mode)
+    run_batches(stream, write, root, table, mode)
 
 
 # --- sessions --------------------------------------------------------------------------------
@@ -239,13 +262,14 @@ def stream_sessions(stream: DataFrame, root: str, chars: int = 10_000) -> None:
         old = earlier_rows(spark, root, "sessions", number)
         rows = titled.join(touched, "conv_id")
         if old is not None:
+            mine = old.join(touched.select("conv_id"), "conv_id", "left_semi")
             named = skew.first_per_key(
-                old.where(F.col("title") != K.DEFAULT_TITLE), ["conv_id"], F.col("updated_at"), ["title"]
+                mine.where(F.col("title") != K.DEFAULT_TITLE), ["conv_id"], F.col("updated_at"), ["title"]
             ).withColumnRenamed("title", "_old")
             rows = rows.join(named, "conv_id", "left").withColumn("title", F.coalesce("_old", "title")).drop("_old")
         rows.write.mode("overwrite").parquet(_batch_path(root, "sessions", number))
 
-    run_batches(stream, write, "sessions")
+    run_batches(stream, write, root, "sessions")
 
 
 def current_sessions(spark: SparkSession, root: str) -> DataFrame:

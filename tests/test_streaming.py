@@ -28,6 +28,35 @@ def test_ingest_over_several_batches(spark):
     assert got == {1: "indexed", 2: "duplicate", 3: "indexed", 4: "duplicate", 5: "indexed"}
     assert J.read_batches(spark, root, "chunks").where("doc_id = 5").count() == 14
     assert J.read_batches(spark, root, "parents").where("doc_id = 5").count() == 3
+    chunks = J.read_batches(spark, root, "chunks")
+    ids = {r.parent_id for r in chunks.where("windowed").select("parent_id").collect()}
+    assert ids == {r.parent_id for r in J.read_batches(spark, root, "parents").collect()}
+
+
+def test_a_second_start_goes_on(spark):
+    shape = "event_id long, ts timestamp, user_id long"
+    rows = [(i, START + timedelta(seconds=9 * (i // 2)), i % 3) for i in range(200)]
+    folder, root = work_folder(spark, "restart-input"), work_folder(spark, "restart")
+    whole = spark.createDataFrame(rows, shape)
+    for part in ("event_id < 70", "event_id >= 70 and event_id < 140", "event_id >= 140"):
+        whole.where(part).coalesce(1).write.mode("append").parquet(folder)
+        stream = J.file_stream(spark, folder, "*.parquet", whole.schema, files=1)
+        J.append_batches(J.stream_rate_limit(stream, "user_id", 2, 60), root, "limits")
+    decided = J.read_batches(spark, root, "limits").select("key", "event_id", "admitted", "remaining")
+    batch = U.rate_limit(whole, "user_id", 2, 60).select(F.col("user_id").alias("key"), "event_id", "admitted", "remaining")
+    got = sorted(tuple(r) for r in J.with_rest(decided, batch).collect())
+    assert decided.count() > 150 and got == sorted(tuple(r) for r in batch.collect())
+
+
+def test_ingest_goes_on_after_a_restart(spark):
+    shape = "doc_id long, tenant_id string, text string"
+    folder, root = work_folder(spark, "restart-input"), work_folder(spark, "restart-ingest")
+    for rows in ([(1, "a", "One."), (2, "b", "One.")], [(3, "a", "One."), (4, "a", "Two.")]):
+        frame = spark.createDataFrame(rows, shape)
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        J.ingest_documents(J.file_stream(spark, folder, "*.parquet", frame.schema), root)
+    got = {r.doc_id: r.status for r in J.read_batches(spark, root, "catalogue").collect()}
+    assert got == {1: "indexed", 2: "indexed", 3: "duplicate", 4: "indexed"}
 
 
 def test_first_arrival_wins_within_the_watermark(spark):
