@@ -99,13 +99,14 @@ def expand_parents(
 
     ``ranked`` has ``parent_id`` and ``content``; ``parents`` has ``parent_id`` and
     ``content``. Rows without a parent, or whose parent is missing, stay. A question
-    none of whose parents exists keeps all its children.
+    none of whose parents exists keeps all its children. Document, file name and chunk
+    index come from the parent where it has them; with a ``tenant_id`` on both sides a
+    parent of another tenant counts as missing.
     """
-    wanted = ranked.select("parent_id").where("parent_id is not null").distinct()
-    contexts = skew.join_small(
-        parents.select("parent_id", F.col("content").alias("_parent_content")), wanted, ["parent_id"], "left_semi"
-    )
-    joined = ranked.join(contexts, "parent_id", "left")
+    key = ["parent_id", *(["tenant_id"] if "tenant_id" in parents.columns and "tenant_id" in ranked.columns else [])]
+    own = [c for c in ("doc_id", "filename", "chunk_index") if c in parents.columns and c in ranked.columns]
+    renamed = [F.col(c).alias(f"_parent_{c}") for c in ("content", *own)]
+    joined = ranked.join(parents.select(*key, *renamed), key, "left")
     whole = Window.partitionBy(query)
     siblings = Window.partitionBy(query, "_group").orderBy("rank")
     has_parent = F.col("parent_id").isNotNull()
@@ -122,11 +123,13 @@ def expand_parents(
     )
     expanded = F.col("_parent_content").isNotNull()
     again = Window.partitionBy(query).orderBy("rank")
+    for c in own:
+        marked = marked.withColumn(c, F.when(expanded, F.col(f"_parent_{c}")).otherwise(F.col(c)))
     return (
         marked.withColumn("content", F.coalesce("_parent_content", "content"))
         .withColumn("expanded", expanded)
         .withColumn("rank", F.row_number().over(again))
-        .drop("_parent_content", "_any", "_group", "_first")
+        .drop(*[f"_parent_{c}" for c in ("content", *own)], "_any", "_group", "_first")
     )
 
 

@@ -1,27 +1,34 @@
 """Term index and lexical ranking of many questions at once.
 
-The question terms are the small side: they are broadcast when their number allows
-(else the join is salted, since frequent terms are hot keys). All rows of a node
-are kept in one partition, so a (question, node) score never leaves the task that
-adds it up; only the best ``k`` per question and task are shuffled.
+Terms are counted inside the row of their node. Questions and postings meet in blocks: a block
+of questions and one of nodes are scored in one task, question by question, which gives its
+best ``k`` rows per question. No (question, node) row exists outside of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagework import skew
 from passagework.functions import text as X
 from passagework.functions.arrays import exploded, let
+from passagework.operators.vector import in_blocks
 from passagework.session import materialize
 
 # fixed values: weight of a plain match and the normaliser of the rank function
 MATCH_WEIGHT = 0.1
 RANK_NORM = 1.64493406685
 
+TERM_BUCKETS = 16  # folders of a stored index, per tenant
+POSTING_ROWS = 400_000  # postings of a block
+TERM_ROWS = 8192  # question terms of a block
+
 
 def question_terms(
     questions: DataFrame, query: str = "query_id", text: str = "text", keep: Sequence[str] = ()
@@ -43,11 +50,15 @@ def _term_runs(words: Column) -> Column:
         )
 
         def cut(starts: Column) -> Column:
-            return F.transform(
-                starts,
-                lambda s, j: F.struct(
-                    F.get(rows, s)["term"].alias("term"),
-                    F.slice(rows["at"], s + 1, F.coalesce(F.get(starts, j + 1), F.size(rows)) - s).alias("positions"),
+            # The positions are bound once; a lambda would read them out again for every term.
+            return let(
+                rows["at"],
+                lambda places: F.transform(
+                    starts,
+                    lambda s, j: F.struct(
+                        F.get(rows, s)["term"].alias("term"),
+                        F.slice(places, s + 1, F.coalesce(F.get(starts, j + 1), F.size(places)) - s).alias("positions"),
+                    ),
                 ),
             )
 
@@ -63,9 +74,9 @@ def term_counts(
     keep: Sequence[str] = (),
     vocabulary: DataFrame | None = None,
 ) -> DataFrame:
-    """Term frequencies per node, counted inside the row; all rows of a node in one partition.
+    """Term frequencies per node, counted inside the row.
 
-    ``vocabulary`` (a ``term`` column) drops other terms before the shuffle.
+    ``vocabulary`` (a ``term`` column) drops other terms.
     """
     # Sorted tokens: a run's length is the term's frequency.
     words = F.array_sort(X.tokens(F.col(text)))
@@ -86,10 +97,7 @@ def term_counts(
     rows = exploded(nodes, [node, *keep], let(words, counts), "_t").select(node, *keep, "_t.term", "_t.tf")
     if vocabulary is not None:
         rows = skew.join_small(rows, vocabulary.select("term").distinct(), ["term"], "left_semi")
-    # A fixed number of partitions: rows multiply in the join that follows, which the
-    # adaptive planner, seeing only the small shuffle, would not allow for.
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, node)
+    return rows
 
 
 def build_postings(nodes: DataFrame, node: str = "node_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -98,22 +106,17 @@ def build_postings(nodes: DataFrame, node: str = "node_id", text: str = "text",
     return rows.select("_t.term", node, *keep, F.size("_t.positions").cast("long").alias("tf"), "_t.positions")
 
 
-def write_postings(postings: DataFrame, path: str, buckets: int = 64, tenant: str | None = None) -> None:
+def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS, tenant: str | None = None) -> None:
     """Store a term index with one folder per tenant and term bucket."""
     by = [*([tenant] if tenant else []), "bucket"]
     placed = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
     placed.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
 
 
-def stored_counts(index: DataFrame, terms: DataFrame, buckets: int = 64, node: str = "node_id", keep: Sequence[str] = ()) -> DataFrame:
-    """Rows of a stored index for the terms of questions, all rows of a node in one partition.
-
-    The terms' buckets join first, so that folders of other buckets are not read.
-    """
+def stored_counts(index: DataFrame, terms: DataFrame, buckets: int = TERM_BUCKETS, node: str = "node_id", keep: Sequence[str] = ()) -> DataFrame:
+    """Rows of a stored index for the terms of questions; folders of other buckets are not read."""
     wanted = terms.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    rows = skew.join_small(index, wanted, ["bucket", "term"], "left_semi")
-    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select(node, *keep, "term", "tf").repartition(parts, node)
+    return skew.join_small(index, wanted, ["bucket", "term"], "left_semi").select(node, *keep, "term", "tf")
 
 
 _TABLE_SIZE = 64
@@ -134,6 +137,71 @@ def match_score(tf: Column) -> Column:
     return MATCH_WEIGHT * falling / RANK_NORM
 
 
+def _block_scores(k: int, query: str, node: str) -> Callable:
+    """Best ``k`` nodes of a block for every question of another."""
+
+    def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({query: [], node: [], "score": []})
+        if not len(asked) or not len(rows):
+            return empty
+        rows = rows.sort_values("_word", kind="stable")
+        places, nodes = pd.factorize(rows["_node"], sort=True)
+        gains, words = rows["_gain"].to_numpy(float), rows["_word"].to_numpy()
+        asked = asked.sort_values("_query", kind="stable")
+        who, people = pd.factorize(asked["_query"])
+        shares, wanted = asked["_share"].to_numpy(float), asked["_term"].to_numpy()
+        low, high = np.searchsorted(words, wanted, side="left"), np.searchsorted(words, wanted, side="right")
+        cuts = np.searchsorted(who, np.arange(len(people) + 1))
+        out = []
+        for q in range(len(people)):
+            row = np.zeros(len(nodes))
+            for t in range(cuts[q], cuts[q + 1]):
+                # A node has one row per term, so no place repeats.
+                row[places[low[t] : high[t]]] += gains[low[t] : high[t]] * shares[t]
+            row = np.round(row, 9)
+            hit = np.flatnonzero(row > 0)
+            if len(hit) > k:
+                hit = hit[row[hit] >= np.partition(row[hit], len(hit) - k)[len(hit) - k]]
+            best = hit[np.lexsort((hit, -row[hit]))][:k]
+            out.append(pd.DataFrame({query: people[np.full(len(best), q)], node: nodes[best], "score": row[best]}))
+        return pd.concat(out) if out else empty
+
+    return run
+
+
+def score_topk(
+    terms: DataFrame, postings: DataFrame, k: int, query: str = "query_id", node: str = "node_id", scope: Sequence[str] = ()
+) -> DataFrame:
+    """Best ``k`` nodes per question by the sum of ``gain * share`` over its terms.
+
+    ``terms``: query, term, share; ``postings``: node, term, gain (positive). ``scope`` columns
+    exist on both sides and must agree. The score is rounded to 9 digits so that the order of
+    additions cannot break ties, which go to the smaller node.
+    """
+    blank = F.lit("").alias("_scope")
+    key = F.to_json(F.struct(*[F.col(c).cast("string") for c in scope])).alias("_scope") if scope else blank
+    asked = terms.select(F.col(query).alias("_query"), F.col("term").alias("_term"), F.col("share").alias("_share"), key)
+    # Read twice: for the block sizes and for the scores.
+    rows = materialize(postings.select(F.col(node).alias("_node"), F.col("term").alias("_word"), F.col("gain").alias("_gain"), key.alias("_in")), "postings")
+    v_blocks, q_blocks = F.ceil(F.col("_n") / POSTING_ROWS).alias("_vb"), F.ceil(F.col("_m") / TERM_ROWS).alias("_qb")
+    n = rows.groupBy(F.col("_in").alias("_scope")).agg(F.count("*").alias("_n"))
+    m = asked.groupBy("_scope").agg(F.count("*").alias("_m"))
+    # One row per scope value that both sides hold.
+    sizes = materialize(n.join(m, "_scope").select("_scope", v_blocks, q_blocks), "sizes")
+    left = in_blocks(asked.join(sizes, "_scope"), "_qb", "_vb", "_query", "_i", "_j")
+    right = in_blocks(rows.join(sizes.withColumnRenamed("_scope", "_in"), "_in"), "_vb", "_qb", "_node", "_q", "_p")
+    schema = T.StructType(
+        [
+            T.StructField(query, terms.schema[query].dataType),
+            T.StructField(node, postings.schema[node].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    pairs = left.groupBy("_scope", "_i", "_j").cogroup(right.groupBy("_in", "_p", "_q"))
+    found = pairs.applyInPandas(_block_scores(k, query, node), schema)
+    return skew.top_per_key(found, [query], [F.desc("score"), F.col(node)], k)
+
+
 def lexical_topk(
     terms: DataFrame,
     counts: DataFrame,
@@ -144,15 +212,10 @@ def lexical_topk(
 ) -> DataFrame:
     """Best ``k`` nodes per question; any matching term counts.
 
-    ``scope`` columns exist on both sides and must agree (tenant, document). The
-    score is rounded to 9 digits so that the order of additions cannot break ties.
+    ``scope`` columns exist on both sides and must agree (tenant, document).
     """
-    weighted = counts.withColumn("gain", match_score(F.col("tf")))
-    matched = skew.join_small(weighted, terms, ["term", *scope])
-    scored = matched.groupBy(node, query).agg(
-        F.round(F.sum(F.col("gain") / F.col("n_terms")), 9).alias("score")
-    )
-    return skew.top_per_key(scored, [query], [F.desc("score"), F.col(node)], k)
+    shares = terms.withColumn("share", 1 / F.col("n_terms"))
+    return score_topk(shares, counts.withColumn("gain", match_score(F.col("tf"))), k, query, node, scope)
 
 
 def bm25_topk(
@@ -169,11 +232,9 @@ def bm25_topk(
     """Okapi BM25. ``counts`` carries ``length``; ``nodes`` and ``avg_length``
     describe the whole collection."""
     spread = counts.groupBy("term").agg(F.count("*").alias("df"))
-    # One row per term of the questions: document frequencies join term by term.
-    weighted = materialize(terms.join(spread, "term"), "weights")
-    matched = skew.join_small(counts, weighted, ["term"])
+    # One row per term: document frequencies join term by term.
+    matched = skew.join_small(counts, spread, ["term"])
     idf = F.log(1 + (F.lit(nodes) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     damp = k1 * (1 - b + b * F.col("length") / F.lit(avg_length))
     gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + damp)
-    scored = matched.groupBy(node, query).agg(F.round(F.sum(gain), 9).alias("score"))
-    return skew.top_per_key(scored, [query], [F.desc("score"), F.col(node)], k)
+    return score_topk(terms.withColumn("share", F.lit(1.0)), matched.withColumn("gain", gain), k, query, node)

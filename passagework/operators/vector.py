@@ -66,7 +66,7 @@ def _block_topk(k: int, query: str, node: str) -> Callable:
     return run
 
 
-def _in_blocks(rows: DataFrame, own: str, other: str, salt: str, first: str, second: str) -> DataFrame:
+def in_blocks(rows: DataFrame, own: str, other: str, salt: str, first: str, second: str) -> DataFrame:
     """Rows with their own block, once for every block of the other side."""
     mine = F.pmod(F.xxhash64(salt), F.col(own)).cast("int")
     each = F.explode(F.sequence(F.lit(0), (F.col(other) - 1).cast("int")))
@@ -106,8 +106,8 @@ def vector_topk(
         blocks = [F.lit(max(1, -(-n // VECTOR_ROWS))).alias("_vb"), F.lit(max(1, -(-m // QUESTION_ROWS))).alias("_qb")]
         asked = asked.withColumn("_scope", F.lit("")).select("*", *blocks)
         searched = searched.withColumn("_in", F.lit("")).select("*", *blocks)
-    left = _in_blocks(asked, "_qb", "_vb", "_query", "_i", "_j")
-    right = _in_blocks(searched, "_vb", "_qb", "_node", "_q", "_p")
+    left = in_blocks(asked, "_qb", "_vb", "_query", "_i", "_j")
+    right = in_blocks(searched, "_vb", "_qb", "_node", "_q", "_p")
     schema = T.StructType(
         [
             T.StructField(query, questions.schema[query].dataType),

@@ -1,5 +1,8 @@
 """Registered queries: lexical and vector search, fusion, retrieval plans."""
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 from passagework import constants as K
@@ -16,101 +19,172 @@ from passagework.plans.sqltext import sentences, strip, tokens
 from passagework.session import materialize, work_folder
 
 # --- shared inputs ---------------------------------------------------------------
-# Nodes are the documents; vectors and questions share their ids. A document's
-# parent is its folder (source and language); folders of Spanish documents have no
-# parent text, and documents of the first quality class have no parent at all.
+# Nodes are the sentence windows of all documents, parents the wider windows around them; a
+# document's source is its tenant. The embedding counts hashed tokens, which is exact in both
+# engines. The index tables are written once per session and folder, as an ingest job would do.
+DIM = 64
+_STORED: dict[tuple[str, str], P.Corpus] = {}
+
+
+def bucket_counts(texts):
+    """Example batch function: tokens counted by the first byte of their MD5, modulo ``DIM``."""
+    out = []
+    for text in texts:
+        counts = [0.0] * DIM
+        for word in re.findall(X.PY_RUNS, (text or "").lower()):
+            counts[hashlib.md5(word.encode()).digest()[0] % DIM] += 1.0
+        out.append(counts)
+    return out
 
 
 def questions(t: Tables):
-    vectors = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
-    return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question")).join(
-        vectors, "query_id", "left"
-    )
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return M.embed(asked, "question", bucket_counts)
+
+
+def of_tenants(asked):
+    """Every question is asked by one of 20 tenants."""
+    return asked.withColumn("tenant_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
 
 
 def corpus(t: Tables) -> P.Corpus:
-    good = t.labels.where("quality = 1").select("doc_id").withColumn("_good", F.lit(True))
-    folder = F.concat_ws("/", "source", "lang")
-    nodes = t.docs.join(good, "doc_id", "left").select(
-        F.col("doc_id").alias("node_id"),
-        "doc_id",
-        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("filename"),
-        F.lit(0).alias("chunk_index"),
-        F.col("text").alias("content"),
-        F.when(F.col("_good").isNull(), folder).alias("parent_id"),
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _STORED:
+        _STORED[key] = build_corpus(t)
+    return _STORED[key]
+
+
+def build_corpus(t: Tables) -> P.Corpus:
+    docs = t.docs.select("doc_id", F.col("source").alias("tenant_id"), C.sentence_windows(F.col("text")).alias("windows"))
+    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("filename")
+
+    def part(n):
+        return F.concat_ws("/", F.col("doc_id").cast("string"), F.col(n).cast("string"))
+
+    children = C.child_rows(docs).select(
+        part("chunk_index").alias("node_id"), "doc_id", "tenant_id", name, "chunk_index", "content", part("parent_ordinal").alias("parent_id")
     )
-    parents = (
-        t.documents.where("lang <> 'es'")
-        .select(folder.alias("parent_id"))
-        .distinct()
-        .withColumn("content", F.concat(F.lit("folder "), "parent_id"))
+    nodes = materialize(M.embed(children, "content", bucket_counts), "nodes")
+    parents = C.parent_rows(docs).select(part("chunk_index").alias("parent_id"), "doc_id", "tenant_id", name, "chunk_index", "content")
+    path = work_folder(t.spark, "postings")
+    counts = L.term_counts(nodes, text="content", keep=["doc_id", "tenant_id"])
+    L.write_postings(counts, path)
+    return P.Corpus(
+        nodes.drop("embedding"), nodes.select("node_id", "tenant_id", "embedding"), materialize(parents, "parents"), t.spark.read.parquet(path)
     )
-    vectors = t.embeddings.select(F.col("vec_id").alias("node_id"), "embedding")
-    return P.Corpus(nodes, vectors, parents)
 
 
 def dense_list(t: Tables, k: int = 40):
-    asked = questions(t).where("embedding is not null")
-    return N.vector_topk(asked, corpus(t).vectors, k)
+    return N.vector_topk(questions(t), corpus(t).vectors, k)
 
 
 def sparse_list(t: Tables, k: int = 40):
     terms = L.question_terms(questions(t), text="question")
-    counts = L.term_counts(corpus(t).nodes, text="content", vocabulary=terms)
-    return L.lexical_topk(terms, counts, k)
+    return L.lexical_topk(terms, L.stored_counts(corpus(t).postings, terms), k)
+
+
+def table_questions(t: Tables):
+    """Questions with the vectors of the embeddings table."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return asked.join(vectors, "query_id")
+
+
+def table_vectors(t: Tables):
+    return t.embeddings.select(F.col("vec_id").alias("node_id"), "embedding")
 
 
 COS = "round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 9)"
-TF_SCORE = "0.1 * list_sum(list_transform(range(1, tf + 1), lambda j: 1.0::double / (j * j))) / 1.64493406685"
 ASKED = "asked AS (SELECT item_id AS query_id, text AS question, embedding FROM benchmark JOIN embeddings ON vec_id = item_id)"
-DENSE = f"""{ASKED},
+TABLE_DENSE = f"""{ASKED},
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, node_id) AS rank
   FROM (SELECT q.query_id, e.vec_id AS node_id, {COS} AS similarity FROM asked q, embeddings e)) WHERE rank <= 40)"""
-TERMS = f"""terms AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n_terms
-  FROM (SELECT DISTINCT item_id AS query_id, unnest({tokens('text')}) AS term FROM benchmark))"""
-COUNTS = f"""counts AS (SELECT node_id, term, count(*) AS tf
-  FROM (SELECT doc_id AS node_id, unnest({tokens('text')}) AS term FROM documents) GROUP BY ALL)"""
-SPARSE = f"""{TERMS}, {COUNTS},
-scored AS (SELECT query_id, node_id, round(sum(({TF_SCORE}) / n_terms), 9) AS score FROM terms JOIN counts USING (term) GROUP BY ALL),
-sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM scored)
-  WHERE rank <= 40)"""
-FUSED = f"""{DENSE}, {SPARSE},
-fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) AS rank
+TF_SCORE = "0.1 * list_sum(list_transform(range(1, tf + 1), lambda j: 1.0::double / (j * j))) / 1.64493406685"
+
+
+NODES = f"""parts AS (SELECT doc_id, source, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS part
+  FROM (SELECT doc_id, source, {sentences('text')} AS s FROM documents)),
+nodes AS MATERIALIZED (SELECT doc_id || '/' || c AS node_id, doc_id, source AS tenant_id, doc_id || '/' || (c // 5) AS parent_id, content
+  FROM (SELECT doc_id, source, pos // 3 AS c, string_agg(part, '' ORDER BY pos) AS content FROM parts GROUP BY ALL)),
+parents AS MATERIALIZED (SELECT doc_id || '/' || p AS parent_id, content AS parent_content
+  FROM (SELECT doc_id, pos // 15 AS p, string_agg(part, '' ORDER BY pos) AS content FROM parts GROUP BY ALL)),
+hashed AS (SELECT node_id, tenant_id, list_transform({tokens('content')}, lambda t: ('0x' || substr(md5(t), 1, 2))::INT % {DIM}) AS b FROM nodes),
+vectors AS MATERIALIZED (SELECT node_id, tenant_id, list_transform(range({DIM}), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM hashed),
+counts AS MATERIALIZED (SELECT node_id, tenant_id, term, count(*) AS tf FROM (SELECT node_id, tenant_id, unnest({tokens('content')}) AS term FROM nodes) GROUP BY ALL)"""
+QUESTIONS = "questions AS (SELECT item_id AS query_id, text AS question, 'src' || (item_id % 20) AS tenant_id FROM benchmark)"
+
+
+def dense_sql(asked: str, p: str = "", tenant: bool = False) -> str:
+    own = "e.tenant_id = q.tenant_id" if tenant else "true"
+    return f"""{p}hq AS (SELECT query_id, tenant_id, list_transform({tokens('question')}, lambda t: ('0x' || substr(md5(t), 1, 2))::INT % {DIM}) AS b FROM {asked}),
+{p}qv AS (SELECT query_id, tenant_id, list_transform(range({DIM}), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM {p}hq),
+{p}sims AS (SELECT q.query_id, e.node_id, list_dot_product(q.v, e.v) AS d, list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v) AS n
+  FROM {p}qv q JOIN vectors e ON {own}),
+{p}dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, node_id) AS rank
+  FROM (SELECT query_id, node_id, CASE WHEN n = 0 THEN 0.0 ELSE round(d / sqrt(n), 9) END AS similarity FROM {p}sims)) WHERE rank <= 40)"""
+
+
+def sparse_sql(asked: str, p: str = "", tenant: bool = False, k: int = 40) -> str:
+    own = "USING (term, tenant_id)" if tenant else "USING (term)"
+    return f"""{p}terms AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n_terms
+  FROM (SELECT DISTINCT query_id, tenant_id, unnest({tokens('question')}) AS term FROM {asked})),
+{p}scored AS (SELECT query_id, node_id, round(sum(({TF_SCORE}) / n_terms), 9) AS score FROM {p}terms JOIN counts {own} GROUP BY ALL),
+{p}sparse AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM {p}scored)
+  WHERE rank <= {k})"""
+
+
+def fused_sql(asked: str, p: str = "", tenant: bool = False) -> str:
+    return f"""{dense_sql(asked, p, tenant)}, {sparse_sql(asked, p, tenant)},
+{p}fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) AS rank
   FROM (SELECT query_id, node_id, d.rank AS dense_rank, s.rank AS sparse_rank, similarity,
         coalesce(1.0::double / (60 + d.rank), 0) + coalesce(1.0::double / (60 + s.rank), 0) AS score
-        FROM dense d FULL JOIN sparse s USING (query_id, node_id)))"""
-NODES = """nodes AS (SELECT doc_id AS node_id, text AS content,
-    CASE WHEN quality IS DISTINCT FROM 1 THEN source || '/' || lang END AS parent_id
-  FROM documents LEFT JOIN labels USING (doc_id)),
-parents AS (SELECT DISTINCT source || '/' || lang AS parent_id, 'folder ' || source || '/' || lang AS parent_content
-  FROM documents WHERE lang <> 'es')"""
-EXPANDED = f"""{FUSED}, {NODES},
-recalled AS (SELECT f.*, max(similarity) OVER (PARTITION BY query_id) AS max_dense FROM fused f),
-cut AS (SELECT * FROM recalled WHERE rank <= 40 AND max_dense IS NOT NULL),
-joined AS (SELECT *, max(parent_content IS NOT NULL) OVER (PARTITION BY query_id) AS has_any
-  FROM cut JOIN nodes USING (node_id) LEFT JOIN parents USING (parent_id)),
-expanded AS (SELECT query_id, node_id, parent_id, coalesce(parent_content, content) AS content, score, max_dense,
-    parent_content IS NOT NULL AS expanded,
+        FROM {p}dense d FULL JOIN {p}sparse s USING (query_id, node_id)))"""
+
+
+def expanded_sql(asked: str, p: str = "", tenant: bool = False) -> str:
+    return f"""{fused_sql(asked, p, tenant)},
+{p}cut AS (SELECT * FROM (SELECT f.*, max(similarity) OVER (PARTITION BY query_id) AS max_dense FROM {p}fused f) WHERE rank <= 40 AND max_dense IS NOT NULL),
+{p}expanded AS (SELECT query_id, node_id, parent_id, doc_id, parent_content AS content, score, max_dense,
     row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank
-  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, CASE WHEN has_any AND parent_id IS NOT NULL
-        THEN 'p' || parent_id ELSE 'n' || node_id END ORDER BY rank) AS sibling FROM joined) WHERE sibling = 1)"""
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS sibling
+        FROM {p}cut JOIN nodes USING (node_id) JOIN parents USING (parent_id)) WHERE sibling = 1)"""
+
+
+def reranked_sql(asked: str, floor: str, p: str = "") -> str:
+    return f"""{p}cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS c FROM {p}expanded) WHERE c <= 20),
+{p}pairs AS (SELECT query_id, node_id, doc_id, content, max_dense, c AS rank, list_distinct({tokens('question')}) AS q, {tokens('content')} AS k
+  FROM {p}cand JOIN {asked} USING (query_id)),
+{p}scored2 AS (SELECT *, len(list_intersect(q, k)) / greatest(1, len(q))::double AS s FROM {p}pairs),
+{p}kept AS (SELECT *, max(s >= {floor}) OVER (PARTITION BY query_id) AS any_good FROM {p}scored2),
+{p}reranked AS (SELECT query_id, node_id, doc_id, content, max_dense, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS rank
+  FROM {p}kept WHERE s >= {floor} OR NOT any_good),
+{p}normed AS (SELECT query_id, node_id, doc_id, content, max_dense, rank, CASE WHEN hi > lo THEN (s - lo) / (hi - lo)
+    ELSE round(1 / (1 + exp(-s)), 4) END AS score
+  FROM (SELECT *, min(s) OVER w AS lo, max(s) OVER w AS hi FROM {p}reranked WHERE rank <= 5 WINDOW w AS (PARTITION BY query_id)))"""
+
+
+BASE = f"{QUESTIONS}, {NODES}"
+DENSE = f"{BASE}, {dense_sql('questions')}"
+SPARSE = f"{BASE}, {sparse_sql('questions')}"
+FUSED = f"{BASE}, {fused_sql('questions')}"
+EXPANDED = f"{BASE}, {expanded_sql('questions')}"
 
 
 # --- lexical ------------------------------------------------------------------------
 @query("build_postings", f"""
-SELECT term, node_id, count(*) AS tf, min(pos) AS first_position, max(pos) AS last_position
-FROM (SELECT doc_id AS node_id, unnest(k) AS term, generate_subscripts(k, 1) - 1 AS pos
-      FROM (SELECT doc_id, {tokens('text')} AS k FROM documents))
-GROUP BY term, node_id
+WITH {BASE} SELECT term, node_id, tenant_id, count(*) AS tf, min(pos) AS first_position, max(pos) AS last_position
+FROM (SELECT node_id, tenant_id, unnest(k) AS term, generate_subscripts(k, 1) - 1 AS pos
+      FROM (SELECT node_id, tenant_id, {tokens('content')} AS k FROM nodes))
+GROUP BY ALL
 """)
 def build_postings(t: Tables):
     """The index of every tenant, written by tenant and term bucket and read back."""
     path = work_folder(t.spark, "postings")
-    nodes = t.docs.select(F.col("doc_id").alias("node_id"), F.col("source").alias("tenant_id"), "text")
-    L.write_postings(L.build_postings(nodes, keep=["tenant_id"]), path, 4, "tenant_id")
+    L.write_postings(L.build_postings(corpus(t).nodes, text="content", keep=["tenant_id"]), path, 2, "tenant_id")
     return t.spark.read.parquet(path).select(
         "term",
         "node_id",
+        "tenant_id",
         "tf",
         F.element_at("positions", 1).alias("first_position"),
         F.element_at("positions", -1).alias("last_position"),
@@ -123,52 +197,50 @@ def lexical_topk(t: Tables):
 
 
 @query("lexical_bm25", f"""
-WITH {TERMS}, {COUNTS}, lengths AS (SELECT doc_id AS node_id, len({tokens('text')}) AS length FROM documents),
+WITH {SPARSE}, lengths AS (SELECT node_id, len({tokens('content')}) AS length FROM nodes),
 c AS (SELECT count(*) AS n, avg(length) AS a FROM lengths),
 df AS (SELECT term, count(*) AS df FROM counts GROUP BY 1),
-scored AS (SELECT query_id, node_id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double
+okapi AS (SELECT query_id, node_id, round(sum(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double
     / (tf + 1.2::double * (0.25::double + 0.75::double * length / a))), 9) AS score
   FROM terms JOIN df USING (term) JOIN counts USING (term) JOIN lengths USING (node_id), c GROUP BY ALL)
 SELECT query_id, node_id, round(score, 6) AS score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM scored) WHERE rank <= 40
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM okapi) WHERE rank <= 40
 """)
 def lexical_bm25(t: Tables):
     terms = L.question_terms(questions(t), text="question")
-    nodes = t.docs.select(
-        F.col("doc_id").alias("node_id"), F.size(X.tokens(F.col("text"))).alias("length"), "text"
-    )
+    nodes = corpus(t).nodes.select("node_id", F.size(X.tokens(F.col("content"))).alias("length"), "content")
     whole = nodes.agg(F.count("*"), F.avg("length")).first()
-    counts = L.term_counts(nodes, keep=["length"], vocabulary=terms)
+    counts = L.term_counts(nodes, text="content", keep=["length"], vocabulary=terms)
     return L.bm25_topk(terms, counts, whole[0], whole[1], 40).withColumn("score", F.round("score", 6))
 
 
 @query("scope_filter", f"""
-WITH {TERMS}, {COUNTS},
-scored AS (SELECT query_id, node_id, round(sum(({TF_SCORE}) / n_terms), 9) AS score
-  FROM terms JOIN counts USING (term) JOIN documents d ON d.doc_id = node_id
-  JOIN embeddings e ON e.vec_id = query_id WHERE d.source = 'src' || e.label GROUP BY ALL)
-SELECT query_id, node_id, round(score, 6) AS score, rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM scored) WHERE rank <= 10
+WITH {BASE}, {dense_sql('questions', tenant=True)}, {sparse_sql('questions', tenant=True, k=10)}
+SELECT 'dense' AS side, query_id, node_id, round(similarity, 6) AS score, rank FROM dense WHERE rank <= 10
+UNION ALL SELECT 'lexical', query_id, node_id, round(score, 6), rank FROM sparse
 """)
 def scope_filter(t: Tables):
-    tenant = t.embeddings.select(
-        F.col("vec_id").alias("query_id"), F.concat(F.lit("src"), F.col("label").cast("string")).alias("tenant_id")
-    )
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), "text").join(tenant, "query_id")
-    terms = L.question_terms(asked, keep=["tenant_id"])
-    nodes = t.docs.select(F.col("doc_id").alias("node_id"), F.col("source").alias("tenant_id"), "text")
-    counts = L.term_counts(nodes, keep=["tenant_id"], vocabulary=terms)
-    found = L.lexical_topk(terms, counts, 10, scope=["tenant_id"])
-    return found.withColumn("score", F.round("score", 6))
+    """Both searches restricted to the tenant of the question."""
+    c, asked = corpus(t), of_tenants(questions(t))
+    terms = L.question_terms(asked, text="question", keep=["tenant_id"])
+    counts = L.stored_counts(c.postings, terms, keep=["tenant_id"])
+    lexical = L.lexical_topk(terms, counts, 10, scope=["tenant_id"])
+    own = asked.withColumn("tenant_id", F.array("tenant_id"))
+    dense = N.vector_topk(own, c.vectors, 10, scope="tenant_id").withColumnRenamed("similarity", "score")
+    both = [found.select(F.lit(side).alias("side"), "query_id", "node_id", F.round("score", 6).alias("score"), "rank") for side, found in (("dense", dense), ("lexical", lexical))]
+    return both[0].unionByName(both[1])
 
 
 # --- vectors --------------------------------------------------------------------------
-@query("embed_batch")
+@query("embed_batch", f"""
+WITH h AS (SELECT doc_id, list_transform({tokens('text')}, lambda t: ('0x' || substr(md5(t), 1, 2))::INT % {DIM}) AS b FROM documents)
+SELECT doc_id, {DIM} AS dim, list_transform(range({DIM}), lambda i: len(list_filter(b, lambda x: x = i)))::VARCHAR AS counts FROM h
+""")
 def embed_batch(t: Tables):
-    made = M.embed(t.docs.select("doc_id", "text"), "text", dim=256)
-    return made.select(
-        "doc_id", F.size("embedding").alias("dim"), F.round(V.norm(F.col("embedding")), 4).alias("norm")
-    )
+    made = M.embed(t.docs.select("doc_id", "text"), "text", bucket_counts)
+    counts = F.transform("embedding", lambda x: x.cast("long").cast("string"))
+    listed = F.concat(F.lit("["), F.array_join(counts, ", "), F.lit("]"))
+    return made.select("doc_id", F.size("embedding").alias("dim"), listed.alias("counts"))
 
 
 def letter_shares(texts):
@@ -206,9 +278,9 @@ def cosine_pair(t: Tables):
     )
 
 
-@query("vector_topk", f"WITH {DENSE} SELECT query_id, node_id, round(similarity, 6) AS similarity, rank FROM dense")
+@query("vector_topk", f"WITH {TABLE_DENSE} SELECT query_id, node_id, round(similarity, 6) AS similarity, rank FROM dense")
 def vector_topk(t: Tables):
-    return dense_list(t).withColumn("similarity", F.round("similarity", 6))
+    return N.vector_topk(table_questions(t), table_vectors(t), 40).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("vector_top1_in_docs", f"""
@@ -220,7 +292,7 @@ def vector_top1_in_docs(t: Tables):
     label = F.col("label")
     docs = F.array(*[x.cast("string") for x in (label, (label + 1) % 10, (label + 5) % 10)])
     scopes = t.embeddings.select(F.col("vec_id").alias("query_id"), docs.alias("label"))
-    asked = questions(t).join(scopes, "query_id")
+    asked = table_questions(t).join(scopes, "query_id")
     vectors = t.embeddings.select(F.col("vec_id").alias("node_id"), "embedding", "label")
     best = N.vector_topk(asked, vectors, 1, scope="label")
     return best.select("query_id", "node_id", F.round("similarity", 6).alias("similarity"))
@@ -229,8 +301,7 @@ def vector_top1_in_docs(t: Tables):
 @query("ann_clustered")
 def ann_clustered(t: Tables):
     """Recall of the clustered search against the exact one, per question."""
-    vectors = corpus(t).vectors
-    asked = questions(t).where("embedding is not null")
+    vectors, asked = table_vectors(t), table_questions(t)
     model = N.train_lists(vectors, 20)
     path = work_folder(t.spark, "vector-lists")
     N.write_lists(vectors, model, path)
@@ -246,7 +317,7 @@ SELECT query_id, doc_id, round(similarity, 6) AS similarity, rank FROM (
   FROM (SELECT q.query_id, e.doc_id, {COS} AS similarity FROM asked q, s e)) WHERE rank <= 5
 """)
 def summary_topk(t: Tables):
-    found = N.vector_topk(questions(t).where("embedding is not null"), summaries(t), 5, node="doc_id")
+    found = N.vector_topk(table_questions(t), summaries(t), 5, node="doc_id")
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -284,10 +355,10 @@ def max_dense(t: Tables):
 
 
 @query("recall_fallbacks", f"""
-WITH {FUSED}, ql AS (SELECT query_id, label FROM asked JOIN embeddings ON vec_id = query_id),
-r AS (SELECT f.query_id, f.node_id, dense_rank, sparse_rank, similarity, label, d.m AS m, f.rank,
-      CASE WHEN label < 4 THEN 'dense' WHEN label = 9 THEN 'none' ELSE 'both' END AS mode
-  FROM fused f JOIN ql USING (query_id) JOIN (SELECT query_id, max(similarity) AS m FROM dense GROUP BY 1) d USING (query_id))
+WITH {FUSED},
+r AS (SELECT f.query_id, f.node_id, dense_rank, sparse_rank, similarity, d.m AS m, f.rank,
+      CASE WHEN query_id % 10 < 4 THEN 'dense' WHEN query_id % 10 = 9 THEN 'none' ELSE 'both' END AS mode
+  FROM fused f JOIN (SELECT query_id, max(similarity) AS m FROM dense GROUP BY 1) d USING (query_id))
 SELECT query_id, node_id, round(CASE WHEN mode = 'dense' THEN similarity ELSE
          coalesce(1.0::double / (60 + dense_rank), 0) + coalesce(1.0::double / (60 + sparse_rank), 0) END, 6) AS score,
        CASE WHEN mode = 'both' THEN round(m, 6) END AS max_dense,
@@ -295,10 +366,9 @@ SELECT query_id, node_id, round(CASE WHEN mode = 'dense' THEN similarity ELSE
 FROM r WHERE mode = 'both' OR (mode = 'dense' AND dense_rank IS NOT NULL)
 """)
 def recall_fallbacks(t: Tables):
-    """Some labels have no lexical list, one label has no dense list."""
-    labels = t.embeddings.select(F.col("vec_id").alias("query_id"), "label")
-    dense = dense_list(t).join(labels, "query_id").where("label <> 9").drop("label")
-    sparse = sparse_list(t).join(labels, "query_id").where("label >= 4").drop("label")
+    """Some questions have no lexical list, others no dense list."""
+    dense = dense_list(t).where("query_id % 10 <> 9")
+    sparse = sparse_list(t).where("query_id % 10 >= 4")
     fused = R.fuse_recall(dense, sparse)
     return fused.select(
         "query_id",
@@ -323,13 +393,13 @@ def cut_fused(t: Tables):
 
 
 @query("expand_parents", f"""
-WITH {EXPANDED} SELECT query_id, node_id, md5(content) AS content_md5, expanded, round(score, 6) AS score, rank FROM expanded
+WITH {EXPANDED} SELECT query_id, node_id, doc_id, md5(content) AS content_md5, true AS expanded, round(score, 6) AS score, rank FROM expanded
 """)
 def expand_parents(t: Tables):
     c = corpus(t)
     rows = R.expand_parents(P.attach(cut_fused(t), c.nodes), c.parents)
     return rows.select(
-        "query_id", "node_id", F.md5("content").alias("content_md5"), "expanded", F.round("score", 6).alias("score"), "rank"
+        "query_id", "node_id", "doc_id", F.md5("content").alias("content_md5"), "expanded", F.round("score", 6).alias("score"), "rank"
     )
 
 
@@ -354,17 +424,11 @@ def rerank_candidates(t: Tables):
     return R.rerank_candidates(expanded).select("query_id", "node_id", "rank")
 
 
-RERANKED = f"""{EXPANDED},
-cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS c FROM expanded) WHERE c <= 20),
-pairs AS (SELECT query_id, node_id, c AS rank, content, list_distinct({tokens('question')}) AS q,
-    {tokens('content')} AS k FROM cand JOIN asked USING (query_id)),
-scored2 AS (SELECT query_id, node_id, rank, len(list_intersect(q, k)) / greatest(1, len(q))::double AS s FROM pairs),
-kept AS (SELECT *, max(s >= FLOOR_) OVER (PARTITION BY query_id) AS any_good FROM scored2),
-reranked AS (SELECT query_id, node_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS rank
-  FROM kept WHERE s >= FLOOR_ OR NOT any_good)"""
+def reranked(floor: str) -> str:
+    return f"{EXPANDED}, {reranked_sql('questions', floor)}"
 
 
-@query("rerank", f"WITH {RERANKED.replace('FLOOR_', '0.5')} SELECT query_id, node_id, round(s, 6) AS rerank_score, rank FROM reranked WHERE rank <= 5")
+@query("rerank", f"WITH {reranked('0.5')} SELECT query_id, node_id, round(s, 6) AS rerank_score, rank FROM reranked WHERE rank <= 5")
 def rerank(t: Tables):
     """Scores from a Python scorer; a floor that drops all rows of some questions."""
     c = corpus(t)
@@ -384,13 +448,8 @@ def score_normalize(t: Tables):
     return out.select("query_id", "node_id", F.round("score", 5).alias("score"))
 
 
-NORMALISED = """normed AS (SELECT query_id, node_id, rank, CASE WHEN hi > lo THEN (s - lo) / (hi - lo)
-    ELSE round(1 / (1 + exp(-s)), 4) END AS score
-  FROM (SELECT *, min(s) OVER w AS lo, max(s) OVER w AS hi FROM reranked WHERE rank <= 5 WINDOW w AS (PARTITION BY query_id)))"""
-
-
 @query("retrieve_deep", f"""
-WITH {RERANKED.replace('FLOOR_', '0')}, {NORMALISED} SELECT query_id, node_id, round(score, 6) AS score, rank FROM normed
+WITH {reranked('0')} SELECT query_id, node_id, round(score, 6) AS score, rank FROM normed
 """)
 def retrieve_deep(t: Tables):
     rows = P.retrieve_deep(cut_fused(t), questions(t), corpus(t))
@@ -410,19 +469,16 @@ def two_level_scope(t: Tables):
     tenant = t.embeddings.select(
         F.col("vec_id").alias("query_id"), F.concat(F.lit("src"), F.col("label").cast("string")).alias("tenant_id")
     )
-    asked = questions(t).join(tenant, "query_id")
+    asked = table_questions(t).join(tenant, "query_id")
     docs = t.documents.select("doc_id", F.col("source").alias("tenant_id"))
     found = P.two_level_scope(asked, summaries(t), docs, min_docs=50)
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
-GATE = 0.35
-
-
 @query("stage_gate", f"""
-WITH {RERANKED.replace('FLOOR_', '0')}, {NORMALISED},
+WITH {reranked('0')},
 tops AS (SELECT query_id, max(max_dense) AS top FROM expanded WHERE rank <= 5 GROUP BY 1),
-gated AS (SELECT query_id, top, top <= {GATE} AS deep FROM tops)
+gated AS (SELECT query_id, top, top <= {K.STAGE1_THRESHOLD} AS deep FROM tops)
 SELECT query_id, node_id, deep, rank FROM gated JOIN normed USING (query_id) WHERE deep
 UNION ALL SELECT query_id, node_id, deep, rank FROM gated JOIN (SELECT query_id, node_id, rank FROM expanded WHERE rank <= 5) USING (query_id) WHERE NOT deep
 """)
@@ -431,7 +487,7 @@ def stage_gate(t: Tables):
     c, asked = corpus(t), questions(t)
     fused = cut_fused(t)
     fast = P.retrieve_fast(fused, c)
-    gated = R.gate(R.top_score(fast), asked.select("query_id", F.col("question").alias("expanded_text")), GATE)
+    gated = R.gate(R.top_score(fast), asked.select("query_id", F.col("question").alias("expanded_text")))
     weak = gated.where("deep").select("query_id")
     deep = P.retrieve_deep(fused.join(weak, "query_id", "left_semi"), asked, c)
     rows = fast.join(weak, "query_id", "left_anti").select("query_id", "node_id", "rank")
@@ -495,7 +551,7 @@ def confidence_label(t: Tables):
     )
 
 
-CONTEXT = """string_agg('[' || rank || '] (doc-' || node_id || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context"""
+CONTEXT = """string_agg('[' || rank || '] (doc-' || doc_id || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context"""
 
 
 @query("context_assemble", f"""
@@ -539,50 +595,60 @@ def query_key_dedup(t: Tables):
     ).select("doc_id", "question_key", "answered_by")
 
 
-# --- flagship: passages and context for every question -------------------------------------
+# --- whole plans: passages, context and confidence for every question --------------------------
 @query("answer_context", f"""
-WITH parts AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS pos, unnest(s) AS part
-               FROM (SELECT doc_id, {sentences('text')} AS s FROM documents)),
-children AS (SELECT doc_id, pos // 3 AS c, string_agg(part, '' ORDER BY pos) AS text FROM parts GROUP BY ALL),
-parents AS (SELECT doc_id, pos // 15 AS p, string_agg(part, '' ORDER BY pos) AS content FROM parts GROUP BY ALL),
-{TERMS},
-counts AS (SELECT node_id, doc_id, c, term, count(*) AS tf FROM (
-   SELECT doc_id * 1048576 + c AS node_id, doc_id, c, unnest({tokens('text')}) AS term FROM children) GROUP BY ALL),
-scored AS (SELECT query_id, node_id, doc_id, c, round(sum(({TF_SCORE}) / n_terms), 9) AS score FROM terms JOIN counts USING (term) GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM scored QUALIFY r <= 40),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, c // 5 ORDER BY r) AS sibling FROM ranked),
-top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS rank FROM firsts WHERE sibling = 1 QUALIFY rank <= 5)
-SELECT query_id, string_agg('[' || rank || '] (doc-' || doc_id || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context,
-       count(*) AS passages, round(max(score), 4) AS best_score
-FROM top JOIN parents USING (doc_id) WHERE p = c // 5 GROUP BY query_id
+WITH {SPARSE},
+firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS sibling FROM sparse JOIN nodes USING (node_id)),
+top AS (SELECT query_id, doc_id, parent_content AS content, score, row_number() OVER (PARTITION BY query_id ORDER BY f.rank) AS rank
+  FROM firsts f JOIN parents USING (parent_id) WHERE sibling = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.rank) <= 5)
+SELECT query_id, {CONTEXT}, count(*) AS passages, round(max(score), 4) AS best_score FROM top GROUP BY query_id
 """)
 def answer_context(t: Tables):
-    """Top passages for each benchmark question, widened to their parent windows."""
-    docs = t.docs.select("doc_id", C.sentence_windows(F.col("text")).alias("windows"))
-    name = F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("filename")
-
-    def key(n):
-        return F.concat_ws("/", "doc_id", n)
-
-    nodes = C.child_rows(docs).select(
-        F.struct("doc_id", "chunk_index").alias("node_id"),
-        "doc_id",
-        name,
-        "chunk_index",
-        "content",
-        key("parent_ordinal").alias("parent_id"),
-    )
-    parents = C.parent_rows(docs).select(key("chunk_index").alias("parent_id"), "content")
-    # The index tables; a real corpus has them stored.
-    nodes, parents = materialize(nodes, "nodes"), materialize(parents, "parents")
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    terms = L.question_terms(asked, text="question")
-    counts = L.term_counts(nodes, text="content", vocabulary=terms)
-    found = materialize(L.lexical_topk(terms, counts, K.COARSE_K), "found")
-    top = R.first_rows(R.expand_parents(P.attach(found, nodes), parents), K.FINE_K)
+    """Top passages by words for each benchmark question, widened to their parent windows."""
+    c = corpus(t)
+    found = sparse_list(t)
+    top = R.first_rows(R.expand_parents(P.attach(found, c.nodes), c.parents), K.FINE_K)
     return R.assemble_context(top).select(
         "query_id",
         "context",
         F.size("sources").cast("long").alias("passages"),
         F.array_max(F.transform("sources", lambda s: s["score"])).alias("best_score"),
     )
+
+
+WIDER = """wider AS (SELECT a.query_id, a.tenant_id, a.question || ' ' || b.question AS question FROM questions a JOIN questions b ON b.query_id = a.query_id + 1)"""
+
+
+@query("answer_questions", f"""
+WITH {BASE}, {expanded_sql('questions', 'f_', True)}, {WIDER},
+tops AS (SELECT query_id, max(max_dense) AS top FROM f_expanded WHERE rank <= 5 GROUP BY 1),
+gated AS (SELECT t.query_id, top, top <= {K.STAGE1_THRESHOLD} AND w.question IS NOT NULL AS deep FROM tops t LEFT JOIN wider w USING (query_id)),
+weak AS MATERIALIZED (SELECT w.* FROM wider w JOIN gated USING (query_id) WHERE deep),
+{expanded_sql('weak', 'd_', True)}, {reranked_sql('weak', '0', 'd_')},
+results AS (SELECT query_id, doc_id, content, rank FROM d_normed
+  UNION ALL SELECT query_id, doc_id, content, rank FROM f_expanded WHERE rank <= 5 AND query_id NOT IN (SELECT query_id FROM weak)),
+labelled AS (SELECT query_id, top, deep, CASE WHEN deep THEN CASE WHEN top >= 0.7 THEN 'high' WHEN top >= 0.5 THEN 'medium' ELSE 'low' END
+  ELSE CASE WHEN top >= 0.7 THEN 'high' ELSE 'medium' END END AS confidence FROM gated),
+contexts AS (SELECT query_id, {CONTEXT}, count(*) AS n FROM results JOIN labelled USING (query_id) WHERE NOT (confidence = 'low' AND top < 0.15) GROUP BY 1)
+SELECT query_id, round(top, 6) AS top_score, deep, CASE WHEN deep AND n IS NULL THEN 'low' ELSE confidence END AS confidence,
+  md5(coalesce(context, '')) AS context_md5, coalesce(n, 0) AS sources
+FROM questions LEFT JOIN labelled USING (query_id) LEFT JOIN contexts USING (query_id)
+""")
+def answer_questions(t: Tables):
+    """The whole plan per tenant: recall, fusion, expansion, gate, deep search, confidence, context.
+
+    The expanded text of a question is the question and the next one.
+    """
+    asked = of_tenants(questions(t))
+    following = asked.select((F.col("query_id") - 1).alias("query_id"), F.col("question").alias("_next"))
+    wider = asked.select("query_id", "tenant_id", "question").join(following, "query_id")
+    wider = wider.select("query_id", "tenant_id", F.concat_ws(" ", "question", "_next").alias("expanded_text"))
+    answers = P.answer_questions(asked, corpus(t), M.embed(wider, "expanded_text", bucket_counts))
+    return answers.select(
+        "query_id",
+        F.round("top_score", 6).alias("top_score"),
+        "deep",
+        "confidence",
+        F.md5("context").alias("context_md5"),
+        F.coalesce(F.size("sources"), F.lit(0)).cast("long").alias("sources"),
+    )

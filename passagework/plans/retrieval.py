@@ -9,23 +9,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework import constants as K
-from passagework import skew
 from passagework.operators import fusion, lexical, vector
 from passagework.operators.models import score_pairs
 from passagework.session import materialize
 
 
+TENANT = "tenant_id"
+
+
 @dataclass(frozen=True)
 class Corpus:
     """Index tables.
 
     ``nodes``: node_id, doc_id, filename, chunk_index, content, parent_id;
-    ``vectors``: node_id, embedding; ``parents``: parent_id, content.
+    ``vectors``: node_id, embedding; ``parents``: parent_id, content, and, where a parent's own
+    metadata replace the child's, doc_id, filename, chunk_index. With tenants every table and the
+    questions have a ``tenant_id``: a question then sees rows of its tenant only. ``postings`` is a
+    stored term index (node_id, doc_id, term, tf); without it terms are counted for each search.
+    ``lists`` is a clustered vector index: (cluster model, table of ``vector.write_lists``).
     """
 
     nodes: DataFrame
     vectors: DataFrame
     parents: DataFrame
+    postings: DataFrame | None = None
+    lists: tuple | None = None
 
 
 def recall(
@@ -34,17 +42,23 @@ def recall(
     scope: DataFrame | None = None,
     allow_sparse_only: bool = False,
     sizes: tuple[int, int] = (K.COARSE_K, K.SHORT_QUERY_BOOST),
+    probes: int | None = None,
 ) -> DataFrame:
     """Dense and lexical recall fused, cut at each question's ``coarse_k``.
 
     ``questions``: query_id, question, embedding. ``scope``: (query_id, doc_id)
     pairs; a question listed there only sees those documents. ``sizes``: rows of the
-    first stage and the extra rows of short questions.
+    first stage and the extra rows of short questions. ``probes`` turns the clustered
+    vector search on, for questions without document scope or tenant.
     """
     sized = questions.select("query_id", fusion.coarse_k(F.col("question"), *sizes).alias("coarse_k"))
     asked = questions.where("embedding is not null")
     limit = sum(sizes)
-    dense = _scoped_dense(corpus, asked, scope, limit)
+    if scope is not None and TENANT in questions.columns:
+        # A document of another tenant is never in scope.
+        owners = corpus.nodes.select("doc_id", TENANT).distinct()
+        scope = scope.join(questions.select("query_id", TENANT), "query_id").join(owners, ["doc_id", TENANT], "left_semi").drop(TENANT)
+    dense = _scoped_dense(corpus, asked, scope, limit, probes)
     sparse = _scoped_sparse(corpus, questions, scope, limit)
     fused = fusion.fuse_recall(
         fusion.cut_to(dense, sized), fusion.cut_to(sparse, sized), allow_sparse_only=allow_sparse_only
@@ -53,32 +67,47 @@ def recall(
     return materialize(fusion.cut_to(fused, sized), "recall")
 
 
-def _scoped_dense(corpus: Corpus, asked: DataFrame, scope: DataFrame | None, limit: int) -> DataFrame:
+def _open_dense(corpus: Corpus, asked: DataFrame, limit: int, probes: int | None) -> DataFrame:
+    if TENANT in asked.columns:
+        own = asked.withColumn(TENANT, F.array(F.col(TENANT).cast("string")))
+        return vector.vector_topk(own, corpus.vectors, limit, scope=TENANT)
+    if probes is not None and corpus.lists is not None:
+        model, index = corpus.lists
+        return vector.ann_topk(asked, index, model, limit, probes)
+    return vector.vector_topk(asked, corpus.vectors, limit)
+
+
+def _scoped_dense(corpus: Corpus, asked: DataFrame, scope: DataFrame | None, limit: int, probes: int | None) -> DataFrame:
     if scope is None:
-        return vector.vector_topk(asked, corpus.vectors, limit)
+        return _open_dense(corpus, asked, limit, probes)
     # A question has a handful of documents in its scope (the summary top-k).
     lists = scope.groupBy("query_id").agg(F.collect_list(F.col("doc_id").cast("string")).alias("doc_id"))
     docs = corpus.vectors.join(corpus.nodes.select("node_id", "doc_id"), "node_id")
-    open_rows = vector.vector_topk(asked.join(lists, "query_id", "left_anti"), corpus.vectors, limit)
+    open_rows = _open_dense(corpus, asked.join(lists, "query_id", "left_anti"), limit, probes)
     scoped = vector.vector_topk(asked.join(lists, "query_id"), docs, limit, scope="doc_id")
     return open_rows.unionByName(scoped)
 
 
 def _scoped_sparse(corpus: Corpus, questions: DataFrame, scope: DataFrame | None, limit: int) -> DataFrame:
-    terms = lexical.question_terms(questions, text="question")
-    counts = lexical.term_counts(corpus.nodes, text="content", keep=["doc_id"], vocabulary=terms)
+    tenant = [TENANT] if TENANT in questions.columns else []
+    terms = lexical.question_terms(questions, text="question", keep=tenant)
+    keep = ["doc_id", *tenant]
+    if corpus.postings is not None:
+        counts = lexical.stored_counts(corpus.postings, terms, keep=keep)
+    else:
+        counts = lexical.term_counts(corpus.nodes, text="content", keep=keep, vocabulary=terms)
     if scope is None:
-        return lexical.lexical_topk(terms, counts, limit)
+        return lexical.lexical_topk(terms, counts, limit, scope=tenant)
     scoped_terms = terms.join(scope, "query_id")
     open_terms = terms.join(scope.select("query_id").distinct(), "query_id", "left_anti")
-    return lexical.lexical_topk(open_terms, counts, limit).unionByName(
-        lexical.lexical_topk(scoped_terms, counts, limit, scope=["doc_id"])
+    return lexical.lexical_topk(open_terms, counts, limit, scope=tenant).unionByName(
+        lexical.lexical_topk(scoped_terms, counts, limit, scope=keep)
     )
 
 
 def attach(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Add the node columns to result rows; the results are the small side."""
-    return materialize(skew.join_small(nodes, ranked, ["node_id"]), "results")
+    """Add the node columns to result rows; the results are the small side, and nodes are keyed by id."""
+    return materialize(nodes.join(ranked, "node_id"), "results")
 
 
 def retrieve_fast(fused: DataFrame, corpus: Corpus, k: int = K.FINE_K) -> DataFrame:
@@ -139,8 +168,8 @@ def answer_questions(
 ) -> DataFrame:
     """Context, sources and confidence for every question.
 
-    ``expansions`` (query_id, expanded_text, embedding) feeds the deep search of
-    questions whose first stage was weak. Returns one row per question; questions
+    ``expansions`` (query_id, expanded_text, embedding and, with tenants, tenant_id) feeds
+    the deep search of questions whose first stage was weak. Returns one row per question; questions
     without results have an empty context.
     """
     fast = retrieve_fast(recall(corpus, questions, scope), corpus, k).withColumn("deep", F.lit(False))
@@ -152,7 +181,8 @@ def answer_questions(
     else:
         gated = fusion.gate(tops, expansions)
         weak = gated.where("deep").select("query_id")
-        again = expansions.select("query_id", F.col("expanded_text").alias("question"), "embedding")
+        tenant = [TENANT] if TENANT in questions.columns else []
+        again = expansions.select("query_id", F.col("expanded_text").alias("question"), "embedding", *tenant)
         deep_questions = again.join(weak, "query_id", "left_semi")
         deep = retrieve_deep(recall(corpus, deep_questions, scope), deep_questions, corpus, k, scorer)
         deep = deep.withColumn("deep", F.lit(True)).select(*fast.columns)

@@ -15,7 +15,9 @@ QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
 PYTHON = {
     "embed_dedup", "model_stage", "alert_debounce", "sliding_rate_limit", "vector_topk",
     "vector_top1_in_docs", "summary_topk", "two_level_scope", "ann_clustered", "rrf_fuse", "max_dense",
-    "recall_fallbacks", "overlap_report",
+    "recall_fallbacks", "overlap_report", "lexical_topk", "lexical_bm25", "scope_filter", "score_normalize", "retrieve_fast",
+    "retrieve_deep", "rerank", "rerank_candidates", "expand_parents", "stage_gate", "context_assemble", "answer_context",
+    "answer_questions", "embed_batch",
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
 
