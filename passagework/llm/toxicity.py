@@ -131,7 +131,7 @@ def score_toxicity(
         F.count("*").alias("n"), *[F.sum((F.get("hits", F.lit(i)) > 0).cast("long")).alias(f"w{i}") for i in range(len(words))]
     ).collect()
     by = {r["_y"]: r for r in counts}
-    weights, beta = [1.0] * len(words), np.array([-4.0, 0.0, 3.0, 1.0])
+    weights, beta = [1.0] * len(words), np.array([-4.0, 2.5, 1.0, 1.0])
     if len(by) == 2:
         bad, good = by[1], by[0]
         raw = [
