@@ -21,23 +21,23 @@ from passagework.session import materialize, ship_package
 
 TREES, DEPTH, SHALLOW = 16, 16, 3  # orders, values per order, values that neighbours share at least
 REGION = 256  # sets in a region above which it is read deeper
-NEAR = 8  # sorted neighbours on either side that are compared whatever their region
-FIRST = 12  # partners per set and order in the first round; the second has no limit
-GROUP = 256  # sets whose full shingles meet in one task
-DOUBT = 0.105  # four standard errors of the sketch's estimate
+NEAR = 2  # sorted neighbours on either side that are compared whatever their region
+FIRST = 3  # partners per set and order in the first round; the second has no limit
+GROUP = 128  # sets whose full shingles meet in one task
+LONG = 1024  # values of the sketch that the second round compares
 
 _rng = np.random.default_rng(20240607)
-XORS = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint32)
-ODDS = _rng.integers(0, 2**31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+XORS = _rng.integers(0, 2**32, LONG, dtype=np.uint32)
+ODDS = _rng.integers(0, 2**31, LONG, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 LOW = np.uint64(0x5555555555555555)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, values: int = TREES * DEPTH) -> np.ndarray:
     """The smallest hash of a set under each permutation, block by block for long sets."""
-    low = np.full(TREES * DEPTH, 0xFFFFFFFF, dtype=np.uint32)
+    low = np.full(values, 0xFFFFFFFF, dtype=np.uint32)
     short = (shingles >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(short), 1024):
-        part = (short[None, at : at + 1024] ^ XORS[:, None]) * ODDS[:, None]
+        part = (short[None, at : at + 1024] ^ XORS[:values, None]) * ODDS[:values, None]
         np.minimum(low, part.min(axis=1), out=low)
     return low
 
@@ -54,10 +54,16 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity of sketches (rows of uint64) by broadcasting."""
     differ = a ^ b
     differ = (differ | (differ >> np.uint64(1))) & LOW
-    equal = 1 - np.bitwise_count(differ).sum(axis=-1) / (TREES * DEPTH)
+    equal = 1 - np.bitwise_count(differ).sum(axis=-1) / (differ.shape[-1] * 32)
     return (equal - 0.25) / 0.75
 
 
+def least_estimate(share: tuple[int, int], values: int) -> float:
+    """The wanted similarity less four standard errors of its estimate."""
+    equal = 0.25 + 0.75 * share[0] / share[1]
+    return share[0] / share[1] - 4 * (equal * (1 - equal) / values) ** 0.5 / 0.75
+
+
 def regions(keys: np.ndarray, start: int, end: int, depth: int) -> Iterator[tuple[int, int]]:
     """Ranges of sorted key rows that share a prefix: as short as leaves at most ``REGION`` rows."""
     if end - start < 2:
@@ -73,16 +79,22 @@ def regions(keys: np.ndarray, start: int, end: int, depth: int) -> Iterator[tupl
         yield from regions(keys, low, high, depth + 1)
 
 
-def candidates(keys: np.ndarray, nodes: np.ndarray, groups: np.ndarray, sketches: np.ndarray, least: float, limit: int | None) -> np.ndarray:
-    """Pairs of nodes of one sorted order whose sketches agree and whose groups differ, ``(n, 2)``.
+def candidates(
+    keys: np.ndarray, nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, share: tuple[int, int], limit: int | None
+) -> np.ndarray:
+    """Pairs of nodes of one sorted order that may be similar enough and whose groups differ, ``(n, 2)``.
 
     ``limit`` bounds the partners of a node to its most similar ones.
     """
-    n, found = len(nodes), []
+    n, found, least = len(nodes), [], least_estimate(share, sketches.shape[1] * 32)
+
+    def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return share[1] * np.minimum(a, b) >= share[0] * np.maximum(a, b)
+
     # Neighbours in the order that share the shallow prefix.
     for step in range(1, NEAR + 1):
         i = np.flatnonzero((keys[step:, :SHALLOW] == keys[:-step, :SHALLOW]).all(axis=1)) if n > step else np.zeros(0, int)
-        i = i[groups[i] != groups[i + step]]
+        i = i[(groups[i] != groups[i + step]) & fit(sizes[i], sizes[i + step])]
         if len(i):
             i = i[sketch_similarity(sketches[i], sketches[i + step]) >= least]
             found.append(np.column_stack([i, i + step]))
@@ -93,6 +105,7 @@ def candidates(keys: np.ndarray, nodes: np.ndarray, groups: np.ndarray, sketches
             for low, high in regions(keys, int(edges[k]), int(edges[k + 1]), SHALLOW):
                 like = sketch_similarity(sketches[low:high, None], sketches[None, low:high])
                 like[groups[low:high, None] == groups[None, low:high]] = -1
+                like[~fit(sizes[low:high, None], sizes[None, low:high])] = -1
                 if limit is not None and high - low > limit:
                     floor = -np.partition(-like, limit - 1, axis=1)[:, limit - 1]
                     ok = (like >= least) & (like >= floor[:, None])
@@ -110,6 +123,11 @@ def candidates(keys: np.ndarray, nodes: np.ndarray, groups: np.ndarray, sketches
     return np.unique(out, axis=0) if len(out) else out
 
 
+def node_of(shingles: np.ndarray) -> int:
+    """Hash of a whole set, as a signed integer."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
+
+
 def sets_of(docs: DataFrame, shingle: int, doc: str, text: str) -> DataFrame:
     """``(_doc, _n, _node, _keys, _sketch)`` per document; ``_node`` is a hash of the whole set."""
 
@@ -119,15 +137,15 @@ def sets_of(docs: DataFrame, shingle: int, doc: str, text: str) -> DataFrame:
             for t in batch["_text"]:
                 found = shingle_set(t, shingle)
                 keys, sketch = keys_and_sketch(signature(found)) if len(found) else (None, None)
-                node = int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64)) if len(found) else None
+                node = node_of(found) if len(found) else None
                 rows.append((len(found), node, keys, sketch))
             yield pd.DataFrame({"_doc": batch["_doc"], **{c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate((("_n", "int64"), ("_node", "Int64"), ("_keys", object), ("_sketch", object)))}})
 
     return docs.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text")).mapInPandas(run, "_doc long, _n long, _node long, _keys binary, _sketch binary")
 
 
-def forest_pairs(nodes: DataFrame, least: float, limit: int | None) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)`` of ``nodes (_node, _group, _keys, _sketch)``.
+def forest_pairs(nodes: DataFrame, share: tuple[int, int], limit: int | None) -> DataFrame:
+    """Distinct candidate pairs ``(a, b)`` of ``nodes (_node, _group, _n, _keys, _sketch)``.
 
     All orders are one sort: ranges of (order, key) go to tasks of even size. A range that ends
     inside a region parts its neighbours in that order only.
@@ -135,7 +153,7 @@ def forest_pairs(nodes: DataFrame, least: float, limit: int | None) -> DataFrame
     step = DEPTH * 2
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = nodes.withColumn("_tree", trees).select(
-        "_tree", F.substring("_keys", F.col("_tree") * step + 1, F.lit(step)).alias("_key"), "_node", "_group", "_sketch"
+        "_tree", F.substring("_keys", F.col("_tree") * step + 1, F.lit(step)).alias("_key"), "_node", "_group", "_n", "_sketch"
     )
     ordered = rows.repartitionByRange("_tree", "_key", "_node").sortWithinPartitions("_tree", "_key", "_node")
 
@@ -152,19 +170,20 @@ def forest_pairs(nodes: DataFrame, least: float, limit: int | None) -> DataFrame
                 cut -= 1
             rest = frame.iloc[cut:] if len(frame) - cut <= 40 * REGION else frame.iloc[-REGION:]
             done = frame.iloc[:cut] if len(frame) - cut <= 40 * REGION else frame
-            yield pairs_of(done, least, limit)
+            yield pairs_of(done, share, limit)
         if rest is not None:
-            yield pairs_of(rest, least, limit)
+            yield pairs_of(rest, share, limit)
 
     return ordered.mapInPandas(run, "a long, b long").distinct()
 
 
-def pairs_of(frame: pd.DataFrame, least: float, limit: int | None) -> pd.DataFrame:
+def pairs_of(frame: pd.DataFrame, share: tuple[int, int], limit: int | None) -> pd.DataFrame:
     out = []
     for _, part in frame.groupby("_tree", sort=False):
         keys = np.frombuffer(b"".join(part["_key"]), dtype=">u2").reshape(len(part), DEPTH)
         sketches = np.frombuffer(b"".join(part["_sketch"]), dtype=np.uint64).reshape(len(part), -1)
-        out.append(candidates(keys, part["_node"].to_numpy(np.int64), part["_group"].to_numpy(np.int64), sketches, least, limit))
+        nodes, groups, sizes = (part[c].to_numpy(np.int64) for c in ("_node", "_group", "_n"))
+        out.append(candidates(keys, nodes, groups, sizes, sketches, share, limit))
     pairs = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -187,8 +206,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
     dealt = materialize(
         pairs.join(left, "a").join(right, "b").select("_part", F.least("_i", "_j").alias("_low"), F.greatest("_i", "_j").alias("_high"), "a", "b"), "dealt"
     )
-    wanted = dealt.select(*keys, F.explode(F.array("a", "b")).alias("_node")).distinct()
-    having = wanted.join(sets, "_node")
+    ends = [dealt.select(*keys, F.col(x).alias("_node")).distinct() for x in ("a", "b")]
+    wanted = ends[0].union(ends[1]).distinct()
+    having = wanted.join(sets.select("_node", "_set"), "_node")
 
     def meet(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         of = {n: np.frombuffer(s, dtype=np.uint64) for n, s in zip(found["_node2"], found["_set2"], strict=True)}
@@ -213,8 +233,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     Documents link if the intersection of their shingle sets is at least ``share`` of the union
     (a fraction of whole numbers). Sets are of 64-bit hashes of whole lower-cased texts. Documents
     with equal sets are one node. Round one compares a set with its most similar neighbours in
-    every order; round two compares, without a limit, all neighbours that are still in different
-    components. Two sets at the limit share the shallow prefix of some order with a probability
+    every order; round two compares, without a limit and by longer sketches, all neighbours that are
+    still in different components. Two sets at the limit share the shallow prefix of some order with a probability
     of ``1 - (1 - s ** 3) ** 16``: 0.99998 at 0.8.
 
     ``component_id`` is the smallest id that links lead to. Null, empty and blank texts have
@@ -224,20 +244,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     ship_package(docs.sparkSession)
     rows = materialize(sets_of(docs, shingle, doc, text), "signatures")
     nodes = materialize(
-        rows.where("_node is not null").groupBy("_node").agg(F.first("_keys").alias("_keys"), F.first("_sketch").alias("_sketch")), "nodes"
+        rows.where("_node is not null").groupBy("_node").agg(F.first("_n").alias("_n"), F.first("_keys").alias("_keys"), F.first("_sketch").alias("_sketch")), "nodes"
     )
-    least = share[0] / share[1] - DOUBT
-    first = materialize(forest_pairs(nodes.withColumn("_group", F.col("_node")), least, FIRST), "pairs")
+    first = materialize(forest_pairs(nodes.withColumn("_group", F.col("_node")), share, FIRST), "pairs")
     asked = first.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
     # One document per asked set; a null id is an id here.
     holder = rows.join(asked, "_node").groupBy("_node").agg(F.min("_doc").alias("_held")).select("_held").distinct()
     whole = docs.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text"))
     wanted = whole.join(holder, F.col("_doc").eqNullSafe(F.col("_held")), "left_semi")
-    sets = materialize(wanted.mapInPandas(_full_sets(shingle), "_node long, _set binary").join(asked, "_node").dropDuplicates(["_node"]), "sets")
+    sets = materialize(wanted.mapInPandas(_full_sets(shingle), "_node long, _set binary, _long binary").join(asked, "_node").dropDuplicates(["_node"]), "sets")
     links = materialize(confirm(first, sets, share), "links")
     groups = components(links)
-    open_nodes = nodes.join(asked, "_node").join(groups.withColumnRenamed("node", "_node"), "_node", "left")
-    second = forest_pairs(open_nodes.withColumn("_group", F.coalesce("component", "_node")).drop("component"), least, None)
+    open_nodes = nodes.drop("_sketch").join(sets.select("_node", F.col("_long").alias("_sketch")), "_node").join(groups.withColumnRenamed("node", "_node"), "_node", "left")
+    second = forest_pairs(open_nodes.withColumn("_group", F.coalesce("component", "_node")).drop("component"), share, None)
     second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.union(materialize(confirm(second, sets, share), "links"))
     named = rows.select("_doc", "_n", "_node").join(components(links).withColumnRenamed("node", "_node"), "_node", "left")
@@ -253,7 +272,7 @@ def _full_sets(shingle: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [shingle_set(t, shingle) for t in batch["_text"]]
-            data = [(int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)), s.tobytes()) for s in found if len(s)]
-            yield pd.DataFrame(data, columns=["_node", "_set"])
+            data = [(node_of(s), s.tobytes(), keys_and_sketch(signature(s, LONG))[1]) for s in found if len(s)]
+            yield pd.DataFrame(data, columns=["_node", "_set", "_long"])
 
     return run
