@@ -84,10 +84,10 @@ def trim_history(
     """Newest messages within the token budget and the number of user rounds.
 
     A system message in front is always kept and counted first. Every message costs
-    at least one token, so no more than ``max_tokens`` of them can be kept: the rank
-    limit loses nothing. ``tokens`` must return at least 1.
+    at least one token, whatever ``tokens`` returns, so no more than ``max_tokens`` of
+    them can be kept: the rank limit loses nothing.
     """
-    costed = messages.withColumn("_tokens", tokens(F.col("text")))
+    costed = messages.withColumn("_tokens", F.greatest(F.lit(1), F.coalesce(tokens(F.col("text")), F.lit(1))))
     heads = skew.first_per_key(costed, [conv], F.col(turn), [turn, "role", "_tokens"]).where("role = 'system'")
     system = heads.select(conv, F.col(turn).alias("_system_turn"), F.col("_tokens").alias("_system_tokens"))
     # One more row than can be kept covers the system message at the far end.

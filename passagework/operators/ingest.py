@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagework import constants as K
 from passagework import skew
 from passagework.functions import text as X
 from passagework.functions.arrays import ordered_text
+from passagework.operators.chunking import chunk_array
 
 
 def dedup_exact(
@@ -124,11 +124,11 @@ def joined_pages(
 ) -> DataFrame:
     """First ``chars`` characters of the page texts joined by a space.
 
-    Non-blank pages add at least two characters each, so ``chars`` characters need
-    no more than ``chars // 2 + 1`` pages: the rank limit loses nothing.
+    Blank pages are left out. Others add at least two characters each, so ``chars`` characters
+    need no more than ``chars // 2 + 1`` pages: the rank limit loses nothing.
     """
     head = skew.top_per_key(
-        pages.select(doc, page, F.substring(text, 1, chars).alias("_t")),
+        pages.where(~X.is_blank(F.col(text))).select(doc, page, F.substring(text, 1, chars).alias("_t")),
         [doc],
         [F.col(page)],
         chars // 2 + 1,
@@ -150,13 +150,27 @@ def fallback_summary(joined: DataFrame, model_summary: str | None = None, chars:
 
 
 def catalogue_rows(
-    docs: DataFrame, pages: DataFrame, chunks: DataFrame, summaries: DataFrame, doc: str = "doc_id"
+    docs: DataFrame,
+    text: str = "text",
+    page_break: str = r"[.\n]",
+    strategy: str = "fixed_size",
+    size: int = K.CHUNK_SIZE,
+    overlap: int = K.CHUNK_OVERLAP,
+    chars: int = 200,
 ) -> DataFrame:
-    """One catalogue row per document: page and chunk counts and summary joined on."""
-    page_counts = pages.groupBy(doc).agg(F.count("*").alias("pages"))
-    chunk_counts = chunks.groupBy(doc).agg(F.count("*").alias("chunks_count"))
-    joined = docs.join(page_counts, doc, "left").join(chunk_counts, doc, "left")
-    return joined.join(summaries, doc, "left").na.fill(0, ["pages", "chunks_count"])
+    """One catalogue row per document: hash, page and chunk counts and summary.
+
+    Everything comes from the document's own row: one scan, no join, no exploded chunks.
+    """
+    pages = F.filter(F.split(text, page_break, -1), lambda p: ~X.is_blank(p))
+    return docs.select(
+        *[c for c in docs.columns if c != text],
+        F.md5(text).alias("md5_hash"),
+        F.size(pages).cast("long").alias("pages"),
+        F.size(chunk_array(F.col(text), strategy, size, overlap)).cast("long").alias("chunks_count"),
+        F.substring(text, 1, chars).alias("summary"),
+        F.lit(strategy).alias("chunk_strategy"),
+    )
 
 
 def document_listing(

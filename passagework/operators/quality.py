@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from passagework import constants as K
 from passagework.functions import text as X
+from passagework.functions import vectors as V
 from passagework.functions.arrays import exploded
 
 VERDICT_COLUMNS = ["item_id", "dimension", "passed", "score", "details"]
@@ -108,6 +109,24 @@ def claim_rows(items: DataFrame, expression: Column, keep: Sequence[str]) -> Dat
     return exploded(items, keep, expression, "claim", "position")
 
 
+def nearest_source(
+    claims: DataFrame, vectors: DataFrame, keys: Sequence[str] = ("item_id", "position"), scope: str = "doc_ids"
+) -> DataFrame:
+    """``claims`` with ``similarity`` and ``parent_id`` of the nearest node among the answer's sources.
+
+    ``claims``: keys, embedding, an array of document ids; ``vectors``: node_id, doc_id, parent_id,
+    embedding. A claim meets the nodes of its few sources in a join on the document; a claim
+    without any has similarity 0.
+    """
+    asked = claims.select(*keys, F.col("embedding").alias("_claim"), F.explode(scope).alias("doc_id"))
+    sides = vectors.select("doc_id", "node_id", "parent_id", F.col("embedding").alias("_node"))
+    pairs = asked.join(sides, "doc_id").withColumn("_sim", F.round(V.cosine(F.col("_claim"), F.col("_node")), 9))
+    best = F.min_by(F.struct("_sim", "parent_id"), F.struct((-F.col("_sim")).alias("s"), "node_id"))
+    found = pairs.groupBy(*keys).agg(best.alias("_best"))
+    joined = claims.join(found, list(keys), "left")
+    return joined.withColumn("similarity", F.coalesce("_best._sim", F.lit(0.0))).withColumn("parent_id", F.col("_best.parent_id")).drop("_best")
+
+
 def claim_status(similarity: Column) -> Column:
     return (
         F.when(similarity >= K.CLAIM_SUPPORTED, "supported")
@@ -404,6 +423,24 @@ def decide(verdicts: DataFrame, rules: Sequence[tuple] = K.INTERVENTION_RULES, i
     )
 
 
+def guard_answers(items: DataFrame, checkers: dict, rules: Sequence[tuple] = K.INTERVENTION_RULES) -> DataFrame:
+    """All checkers, the decision and the changed answer, one row per item.
+
+    ``items``: item_id, answer, sources. A checker takes the items and returns verdicts
+    (item_id, passed, score); its name is the dimension. Items without a verdict stay as they are.
+    """
+    frames = [
+        check(items).select("item_id", F.lit(name).alias("dimension"), "passed", "score") for name, check in checkers.items()
+    ]
+    decided = decide(verdict_union(frames), rules)
+    joined = items.select("item_id", "answer", "sources").join(decided, "item_id", "left").withColumn("action", F.coalesce("action", F.lit("none")))
+    done = apply_intervention(F.col("action"), F.col("answer"), F.col("sources"))
+    return joined.withColumn("_done", done).select(
+        "item_id", "action", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("failed_dimensions", F.lit(0)).alias("failed_dimensions"),
+        "_done.answer", "_done.sources",
+    )
+
+
 def apply_intervention(action: Column, answer: Column, sources: Column) -> Column:
     """Answer and sources after the intervention."""
     text = F.coalesce(answer, F.lit(""))

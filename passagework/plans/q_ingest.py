@@ -285,24 +285,16 @@ def fallback_summary(t: Tables):
 
 @query("doc_catalog_row", f"""
 WITH {PAGES}, p AS (SELECT doc_id, count(*) AS pages FROM pages_of WHERE {strip('text')} <> '' GROUP BY 1)
-SELECT doc_id, {NAME_SQL} AS filename, n_chars AS file_size, pages,
+SELECT doc_id, {NAME_SQL} AS filename, n_chars AS file_size, coalesce(pages, 0) AS pages,
        (n_chars + 923) // 924 AS chunks_count, md5(text) AS md5_hash, source AS tenant_id,
        substr(text, 1, 200) AS summary, 'fixed_size' AS chunk_strategy
 FROM documents LEFT JOIN p USING (doc_id)
 """)
 def doc_catalog_row(t: Tables):
-    docs = t.documents.select(
-        "doc_id",
-        file_name().alias("filename"),
-        F.col("n_chars").alias("file_size"),
-        F.md5("text").alias("md5_hash"),
-        F.col("source").alias("tenant_id"),
-        F.lit("fixed_size").alias("chunk_strategy"),
+    docs = t.docs.select(
+        "doc_id", file_name().alias("filename"), F.col("n_chars").alias("file_size"), F.col("source").alias("tenant_id"), "text"
     )
-    pages = pages_of(t).where(~X.is_blank(F.col("text")))
-    chunks = C.chunk(t.docs.select("doc_id", "text"), "fixed_size")
-    summaries = t.documents.select("doc_id", F.substring("text", 1, 200).alias("summary"))
-    return I.catalogue_rows(docs, pages, chunks, summaries)
+    return I.catalogue_rows(docs)
 
 
 @query("doc_listing", f"""

@@ -6,12 +6,15 @@ from passagework import constants as K
 from passagework.functions import text as X
 from passagework.functions import vectors as V
 from passagework.operators import quality as Q
+from passagework.operators import rules as R
+from passagework.operators import models as M
 from passagework.plans.catalog import Tables, query
+from passagework.plans.q_retrieval import DIM, NODES, bucket_counts, corpus
 from passagework.plans.sqltext import WS, long_tokens, non_blank, phrases, sentences, tokens, values
 
 # --- shared inputs -----------------------------------------------------------------
-# Items are assistant turns; the question is the turn before. Similarities are made
-# from text lengths in steps of 1/128, so that sums are exact in both engines.
+# Items are assistant turns; the question is the turn before. An answer's sources are three
+# documents, none for every fifth conversation; similarities come from the bucket vectors.
 
 
 def items(t: Tables):
@@ -33,12 +36,51 @@ ITEMS = """items AS (SELECT a.conv_id || '-' || a.turn AS item_id, q.text AS que
 CLAIM_LIST = f"list_filter({non_blank(r'''string_split(answer, chr(10))''')}, lambda c: length(c) >= 4)"
 CLAIMS = f"""{ITEMS}, claims AS (SELECT item_id, question, generate_subscripts(c, 1) - 1 AS position, unnest(c) AS claim
   FROM (SELECT item_id, question, {CLAIM_LIST} AS c FROM items))"""
-SIMILAR = "(length({0}) * 37 % 128) / 128.0::double"
+
+
+def bucket_sql(source: str, keys: str, text: str, p: str) -> str:
+    """CTE ``{p}v``: keys and the bucket vector ``v`` of a text."""
+    return f"""{p}h AS (SELECT {keys}, list_transform({tokens(text)}, lambda t: ('0x' || substr(md5(t), 1, 2))::INT % {DIM}) AS b FROM {source}),
+{p}v AS MATERIALIZED (SELECT {keys}, list_transform(range({DIM}), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM {p}h)"""
+
+
+def cosine_sql(a: str, b: str) -> str:
+    size = f"(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+    return f"CASE WHEN {size} > 0 THEN round(list_dot_product({a}, {b}) / {size}, 9) ELSE 0.0 END"
+
+
+def source_ids(t: Tables):
+    """Documents an answer is based on."""
+    n = t.documents.count()
+    conv = F.split("item_id", "-")[0].cast("long")
+    return F.when(conv % 5 > 0, F.array(*[(conv * 3 + i) % n for i in range(3)])).otherwise(F.array().cast("array<bigint>"))
+
+
+SOURCES = """sources AS (SELECT item_id, unnest([(c * 3) % n, (c * 3 + 1) % n, (c * 3 + 2) % n]) AS doc_id
+  FROM (SELECT item_id, split_part(item_id, '-', 1)::BIGINT AS c, (SELECT count(*) FROM documents) AS n FROM items) WHERE c % 5 > 0)"""
+FOUND = f"""{CLAIMS}, {SOURCES}, {NODES}, {bucket_sql('claims', 'item_id, position', 'claim', 'c')},
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, position ORDER BY similarity DESC, node_id) AS r
+  FROM (SELECT item_id, position, node_id, parent_id, {cosine_sql('cv.v', 'vectors.v')} AS similarity
+        FROM cv JOIN sources USING (item_id) JOIN nodes USING (doc_id) JOIN vectors USING (node_id))) WHERE r = 1),
+found AS (SELECT item_id, position, claim, coalesce(similarity, 0.0) AS similarity, parent_content AS parent_text
+  FROM claims LEFT JOIN best USING (item_id, position) LEFT JOIN parents USING (parent_id))"""
 
 
 def claim_table(t: Tables):
-    rows = Q.claim_rows(items(t), Q.claims(F.col("answer")), ["item_id", "question"])
-    return rows.withColumn("similarity", F.length("claim") * 37 % 128 / 128)
+    """Claims with their similarity to the answer's sources and the text around the nearest node."""
+    c = corpus(t)
+    rows = Q.claim_rows(items(t), Q.claims(F.col("answer")), ["item_id"])
+    rows = M.embed(rows, "claim", bucket_counts).withColumn("doc_ids", source_ids(t))
+    nodes = c.nodes.select("node_id", "doc_id", "parent_id").join(c.vectors.select("node_id", "embedding"), "node_id")
+    found = Q.nearest_source(rows, nodes)
+    texts = c.parents.select("parent_id", F.col("content").alias("parent_text"))
+    return found.join(texts, "parent_id", "left").select("item_id", "position", "claim", "similarity", "parent_text")
+
+
+def pair_similarity(rows, a: str, b: str):
+    """``rows`` with the cosine of the bucket vectors of two texts."""
+    both = M.embed(M.embed(rows, a, bucket_counts, out="_a"), b, bucket_counts, out="_b")
+    return both.withColumn("similarity", F.round(V.cosine(F.col("_a"), F.col("_b")), 9)).drop("_a", "_b")
 
 
 # --- retrieval ------------------------------------------------------------------------
@@ -143,9 +185,8 @@ STATUS = "CASE WHEN {0} >= 0.75 THEN 'supported' WHEN {0} >= 0.5 THEN 'partial'
 
 
 @query("claim_support", f"""
-WITH {CLAIMS}
-SELECT item_id, position, similarity, {STATUS.format('similarity')} AS status
-FROM (SELECT item_id, position, {SIMILAR.format('claim')} AS similarity FROM claims)
+WITH {FOUND}
+SELECT item_id, position, similarity, {STATUS.format('similarity')} AS status FROM found
 """)
 def claim_support(t: Tables):
     rows = claim_table(t).withColumn("status", Q.claim_status(F.col("similarity")))
@@ -157,25 +198,24 @@ def words(expr: str) -> str:
     return f"list_distinct(list_filter(string_split_regex({expr}, '{WS}+'), lambda s: s <> ''))"
 
 
-CHECKED = f"""{CLAIMS}, checked AS (SELECT item_id, position,
+CHECKED = f"""{FOUND}, checked AS (SELECT item_id, position,
     CASE WHEN ok THEN greatest(similarity, 0.75::double) ELSE similarity END AS similarity,
     CASE WHEN ok THEN 'supported' ELSE status END AS status
-  FROM (SELECT *, status <> 'supported' AND
-          len(list_intersect(w, p)) / greatest(1, len(w))::double > 0.3 AS ok
-        FROM (SELECT *, {STATUS.format('similarity')} AS status FROM (SELECT item_id, position, {SIMILAR.format('claim')} AS similarity,
-          {words('claim')} AS w, {words('question')} AS p FROM claims))))"""
+  FROM (SELECT *, coalesce(status <> 'supported' AND
+          len(list_intersect(w, p)) / greatest(1, len(w))::double > 0.3, false) AS ok
+        FROM (SELECT *, {STATUS.format('similarity')} AS status, {words('claim')} AS w, {words('parent_text')} AS p FROM found)))"""
 
 
 @query("claim_parent_recheck", f"WITH {CHECKED} SELECT item_id, position, similarity, status FROM checked")
 def claim_parent_recheck(t: Tables):
-    rows = Q.parent_recheck(claim_table(t), parent="question")
+    rows = Q.parent_recheck(claim_table(t))
     return rows.select("item_id", "position", "similarity", "status")
 
 
 @query("vector_factuality", f"""
 WITH {CHECKED}, r AS (SELECT item_id, count(*) AS n, count(*) FILTER (status = 'hallucination') AS bad,
     count(*) FILTER (status = 'partial') AS weak, avg(similarity) AS mean FROM checked GROUP BY 1),
-j AS (SELECT i.item_id, length(question) % 5 > 0 AS has_sources, length(question) % 7 = 0 AS unknown, r.* EXCLUDE item_id
+j AS (SELECT i.item_id, split_part(i.item_id, '-', 1)::BIGINT % 5 > 0 AS has_sources, length(question) % 7 = 0 AS unknown, r.* EXCLUDE item_id
   FROM items i LEFT JOIN r USING (item_id))
 SELECT item_id, 'factuality' AS dimension,
   unknown OR NOT has_sources OR n IS NULL OR NOT (bad / n::double > 0.3 OR weak / n::double > 0.5) AS passed,
@@ -188,9 +228,9 @@ def vector_factuality(t: Tables):
     rows = items(t).select(
         "item_id",
         F.when(unknown, F.lit("我不知道")).otherwise(F.col("answer")).alias("answer"),
-        (F.length("question") % 5 > 0).alias("has_sources"),
+        (F.size(source_ids(t)) > 0).alias("has_sources"),
     )
-    return Q.vector_factuality(rows, Q.parent_recheck(claim_table(t), parent="question"))
+    return Q.vector_factuality(rows, Q.parent_recheck(claim_table(t)))
 
 
 # The reference text of an answer: the question with every second sentence of the answer.
@@ -217,24 +257,26 @@ def claim_token_support(t: Tables):
 
 
 @query("faithfulness", f"""
-WITH {SUPPORTED}, s AS (SELECT item_id, avg(CASE WHEN supported THEN 1.0 ELSE 0.0 END::double) AS share FROM sup GROUP BY 1),
+WITH {SUPPORTED}, {bucket_sql('ctx', 'item_id', 'answer', 'a')}, {bucket_sql('ctx', 'item_id', 'context', 'x')},
+near AS (SELECT item_id, {cosine_sql('av.v', 'xv.v')} AS sim FROM av JOIN xv USING (item_id)),
+s AS (SELECT item_id, avg(CASE WHEN supported THEN 1.0 ELSE 0.0 END::double) AS share FROM sup GROUP BY 1),
 j AS (SELECT ctx.*, share, length(question) % 6 = 0 AS refusal, length(question) % 4 = 0 AS known,
-      CASE WHEN length(question) % 5 = 0 THEN '' ELSE context END AS c2 FROM ctx LEFT JOIN s USING (item_id))
+      CASE WHEN length(question) % 5 = 0 THEN '' ELSE context END AS c2, sim FROM ctx JOIN near USING (item_id) LEFT JOIN s USING (item_id))
 SELECT item_id, 'factuality' AS dimension,
-  CASE WHEN c2 = '' THEN true WHEN refusal THEN NOT known WHEN share IS NOT NULL THEN share >= 0.5 ELSE 0.25 >= 0.4 END AS passed,
-  CASE WHEN c2 = '' THEN 0.5 WHEN refusal THEN CASE WHEN known THEN 0.0 ELSE 1.0 END ELSE round(coalesce(share, 0.25), 4) END::double AS score
+  CASE WHEN c2 = '' THEN true WHEN refusal THEN NOT known WHEN share IS NOT NULL THEN share >= 0.5 ELSE sim >= 0.4 END AS passed,
+  CASE WHEN c2 = '' THEN 0.5 WHEN refusal THEN CASE WHEN known THEN 0.0 ELSE 1.0 END ELSE round(coalesce(share, sim), 4) END::double AS score
 FROM j
 """)
 def faithfulness(t: Tables):
     size = F.length("question")
     rows = contexted(t)
-    judged = rows.select(
+    judged = pair_similarity(rows, "answer", "context").select(
         "item_id",
         "answer",
         F.when(size % 5 == 0, "").otherwise(F.col("context")).alias("context"),
         (size % 6 == 0).alias("is_refusal"),
         (size % 4 == 0).alias("context_has_answer"),
-        F.lit(0.25).alias("similarity"),
+        "similarity",
     )
     return Q.faithfulness(judged, Q.support_of_answers(rows))
 
@@ -244,21 +286,24 @@ COVERAGE = """CASE WHEN len(w) = 0 THEN 1.0::double ELSE len(list_intersect(w, a
 
 @query("term_coverage", f"""
 WITH {ITEMS} SELECT item_id, round({COVERAGE}, 6) AS coverage
-FROM (SELECT item_id, {long_tokens('question', fold=False)} AS w, {tokens('answer', fold=False)} AS a FROM items)
+FROM (SELECT item_id, {long_tokens("(question || ' 检索模型AI系统')", fold=False)} AS w, {tokens("(answer || ' 索模 AI')", fold=False)} AS a FROM items)
 """)
 def term_coverage(t: Tables):
-    return items(t).select("item_id", F.round(Q.term_coverage(F.col("question"), F.col("answer")), 6).alias("coverage"))
+    asked, answer = F.concat("question", F.lit(" 检索模型AI系统")), F.concat("answer", F.lit(" 索模 AI"))
+    return items(t).select("item_id", F.round(Q.term_coverage(asked, answer), 6).alias("coverage"))
 
 
-@query("answer_relevancy", f"""
-WITH {ITEMS}, s AS (SELECT item_id, round(sim * 0.5::double + {COVERAGE} * 0.3::double + least(1, length(answer) / 20.0::double) * 0.2::double, 4) AS score
-FROM (SELECT *, {SIMILAR.format('question')} AS sim, {long_tokens('question', fold=False)} AS w, {tokens('answer', fold=False)} AS a FROM items))
-SELECT item_id, score >= 0.4 AS passed, score FROM s
-""")
+RELEVANT = f"""{bucket_sql('items', 'item_id', 'question', 'q')}, {bucket_sql('items', 'item_id', 'answer', 'a')},
+near AS (SELECT item_id, {cosine_sql('qv.v', 'av.v')} AS sim FROM qv JOIN av USING (item_id)),
+relevant AS (SELECT item_id, round(sim * 0.5::double + {COVERAGE} * 0.3::double + least(1, length(answer) / 20.0::double) * 0.2::double, 4) AS score
+  FROM (SELECT items.*, sim, {long_tokens('question', fold=False)} AS w, {tokens('answer', fold=False)} AS a FROM items JOIN near USING (item_id)))"""
+
+
+@query("answer_relevancy", f"WITH {ITEMS}, {RELEVANT} SELECT item_id, score >= 0.4 AS passed, score FROM relevant")
 def answer_relevancy(t: Tables):
-    similarity = F.length("question") * 37 % 128 / 128
-    verdict = Q.answer_relevancy(F.col("question"), F.col("answer"), similarity)
-    return items(t).select("item_id", verdict.alias("v")).select("item_id", "v.*")
+    rows = pair_similarity(items(t), "question", "answer")
+    verdict = Q.answer_relevancy(F.col("question"), F.col("answer"), F.col("similarity"))
+    return rows.select("item_id", verdict.alias("v")).select("item_id", "v.*")
 
 
 @query("answer_correctness", f"""
@@ -482,6 +527,47 @@ def intervention_apply(t: Tables):
     )
 
 
+# The plan's checks in their order of importance.
+GUARD = f"""{CHECKED}, {RELEVANT}, {RULES},
+r AS (SELECT item_id, count(*) AS n, count(*) FILTER (status = 'hallucination') AS bad,
+  count(*) FILTER (status = 'partial') AS weak, avg(similarity) AS mean FROM checked GROUP BY 1),
+judged AS (SELECT item_id, 'factuality' AS dimension, c % 5 = 0 OR n IS NULL OR NOT (bad / n::double > 0.3 OR weak / n::double > 0.5) AS passed
+    FROM (SELECT i.*, split_part(i.item_id, '-', 1)::BIGINT AS c FROM items i) LEFT JOIN r USING (item_id)
+  UNION ALL SELECT item_id, 'relevance', score >= 0.4 FROM relevant
+  UNION ALL SELECT item_id, 'safety', NOT regexp_matches(lower(answer), 'idiot|moron|stupid') FROM items),
+hits AS (SELECT item_id, action, row_number() OVER (PARTITION BY item_id ORDER BY priority) AS k FROM judged JOIN rules USING (dimension) WHERE NOT passed),
+fails AS (SELECT item_id, count(*) FILTER (NOT passed) AS failed FROM judged GROUP BY 1)"""
+
+
+@query("guard_answers", f"""
+WITH {GUARD}
+SELECT item_id, coalesce(action, 'none') AS action, failed AS failed_dimensions,
+  md5(CASE action WHEN 'block' THEN '{K.BLOCK_MESSAGE}' WHEN 'degrade' THEN '' WHEN 'warn' THEN answer || '{K.WARN_SUFFIX}' ELSE answer END) AS answer_md5,
+  CASE WHEN action = 'block' OR split_part(item_id, '-', 1)::BIGINT % 5 = 0 THEN 0 ELSE 3 END AS sources
+FROM items JOIN fails USING (item_id) LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (item_id)
+""")
+def guard_answers(t: Tables):
+    """Claims against the sources, relevance and rules, then the decision and the changed answer."""
+    rows = items(t).withColumn("sources", source_ids(t))
+    rules = [R.Rule("insult", "keyword", w) for w in ("idiot", "moron", "stupid")]
+
+    def safety(df):
+        low = R.match_rules(df.select("item_id", F.lower("answer").alias("text")), rules)
+        return low.select("item_id", R.rule_verdict(F.col("matches")).alias("v")).select("item_id", "v.passed", "v.score")
+
+    def factuality(df):
+        has = df.select("item_id", "answer", (F.size("sources") > 0).alias("has_sources"))
+        return Q.vector_factuality(has, Q.parent_recheck(claim_table(t)))
+
+    def relevance(df):
+        near = pair_similarity(df.select("item_id", "question", "answer"), "question", "answer")
+        verdict = Q.answer_relevancy(F.col("question"), F.col("answer"), F.col("similarity"))
+        return near.select("item_id", verdict.alias("v")).select("item_id", "v.*")
+
+    out = Q.guard_answers(rows, {"safety": safety, "factuality": factuality, "relevance": relevance})
+    return out.select("item_id", "action", "failed_dimensions", F.md5("answer").alias("answer_md5"), F.size("sources").alias("sources"))
+
+
 @query("dimension_gate", f"""
 WITH {VERDICTS} SELECT item_id, dimension, passed, score FROM verdicts
 WHERE NOT (dimension = 'answer_correctness' AND lang <> 'en') AND NOT (dimension = 'retrieval_quality' AND n_chars % 4 < 2)

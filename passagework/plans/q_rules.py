@@ -52,22 +52,28 @@ def has_cjk(t: Tables):
     return t.docs.select("doc_id", X.has_cjk(marked).alias("has_cjk"))
 
 
+# A run of CJK and mixed characters behind the given texts, which hold none.
+CJK_TAIL = " 检索模型AI系统v2，测 数据。"
+
+
 @query("tokenize", f"""
 SELECT doc_id, len(k) AS tokens, md5(array_to_string(k, ' ')) AS token_md5
-FROM (SELECT doc_id, {tokens('text')} AS k FROM documents)
+FROM (SELECT doc_id, {tokens(f"(CASE WHEN doc_id % 2 = 0 THEN text || '{CJK_TAIL}' ELSE text END)")} AS k FROM documents)
 """)
 def tokenize(t: Tables):
-    found = t.docs.select("doc_id", X.tokens(F.col("text")).alias("k"))
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(CJK_TAIL))).otherwise(F.col("text"))
+    found = t.docs.select("doc_id", X.tokens(text).alias("k"))
     return found.select(
         "doc_id", F.size("k").alias("tokens"), F.md5(F.array_join("k", " ")).alias("token_md5")
     )
 
 
 @query("query_terms", f"""
-SELECT DISTINCT item_id, unnest({tokens('text')}) AS term FROM benchmark
+SELECT DISTINCT item_id, unnest({tokens(f"('{CJK_TAIL}' || text)")}) AS term FROM benchmark
 """)
 def query_terms(t: Tables):
-    return t.benchmark.select("item_id", F.explode(X.query_terms(F.col("text"))).alias("term"))
+    text = F.concat(F.lit(CJK_TAIL), "text")
+    return t.benchmark.select("item_id", F.explode(X.query_terms(text)).alias("term"))
 
 
 @query("keyword_positions", " UNION ALL ".join(keyword_sql(r.pattern, r.category) for r in CUSTOM[:2]))

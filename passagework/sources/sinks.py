@@ -27,8 +27,9 @@ def absent_rows(batch: DataFrame, target: DataFrame, keys: Sequence[str], order:
     """Rows of ``batch`` whose key is new, one per key (the first in ``order``)."""
     others = [c for c in batch.columns if c not in keys]
     unique = skew.first_per_key(batch, keys, order, others).select(*batch.columns)
-    # Both sides have one row per key here, so no key is hot.
-    return unique.join(target.select(*keys).distinct(), list(keys), "left_anti")
+    # The batch is the small side: its keys pick the rows of the target that matter.
+    there = target.select(*keys).join(unique.select(*keys), list(keys), "left_semi").distinct()
+    return unique.join(there, list(keys), "left_anti")
 
 
 def upsert(

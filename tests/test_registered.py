@@ -17,7 +17,8 @@ PYTHON = {
     "vector_top1_in_docs", "summary_topk", "two_level_scope", "ann_clustered", "rrf_fuse", "max_dense",
     "recall_fallbacks", "overlap_report", "lexical_topk", "lexical_bm25", "scope_filter", "score_normalize", "retrieve_fast",
     "retrieve_deep", "rerank", "rerank_candidates", "expand_parents", "stage_gate", "context_assemble", "answer_context",
-    "answer_questions", "embed_batch",
+    "answer_questions", "embed_batch", "claim_support", "claim_parent_recheck", "vector_factuality", "faithfulness", "answer_relevancy",
+    "guard_answers",
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
 
