@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.session import materialize, ship_package
 
-# Insults; weights are learned, a word that no labelled row holds gets the median weight.
+# Insults that are looked for whatever the labels; a word that no labelled row holds gets the median weight.
 LEXICON = (
     "idiot moron imbecile stupid dumb dumbass fool loser clown trash garbage scum filth vermin worthless pathetic disgusting "
     "repulsive ugly retard freak pervert creep coward liar bastard bitch whore slut asshole shit bullshit fuck fucking cunt dickhead "
@@ -31,7 +31,10 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
 WIDE = {chr(0xFF21 + i): chr(97 + i) for i in range(26)} | {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
 SHIFT = str.maketrans(HOMOGLYPHS | DIGITS | WIDE)
-HITS = "_doc long, n_words long, hits array<int>"
+HITS = "_doc long, n_words long, _s double, n_hits int"
+SAMPLE_ROWS = 20_000  # labelled rows that weights and coefficients are learned from
+MOST_WORDS = 5_000  # words taken over from the labelled rows
+LEAST_DOCS, LEAST_SHARE = 5, 0.5  # toxic texts that hold such a word; lower bound of its share of toxic texts
 
 
 def fold(text: str) -> str:
@@ -42,58 +45,79 @@ def fold(text: str) -> str:
     return low.translate(SHIFT)
 
 
-def automaton(lexicon: list[str], exceptions: list[str]):
-    """Aho-Corasick over words with endings and exception phrases; values are (word or -1, length)."""
+def automaton(weights: dict[str, float], exceptions: list[str]):
+    """Aho-Corasick over folded words and exception phrases; values are (weight or None, length)."""
     import ahocorasick
 
     found = ahocorasick.Automaton()
+    for word, weight in weights.items():
+        found.add_word(fold(word), (weight, len(word)))
     for phrase in exceptions:
-        found.add_word(fold(phrase), (-1, len(phrase)))
-    for i, word in enumerate(lexicon):
-        for end in ENDINGS:
-            form = fold(word + end)
-            if form not in found:
-                found.add_word(form, (i, len(form)))
+        found.add_word(fold(phrase), (None, len(phrase)))
     found.make_automaton()
     return found
 
 
-def count_hits(text: str, machine, size: int) -> list[int]:
-    """Hits per word of the lexicon: whole words of the text that no exception phrase covers."""
-    counts = [0] * size
+def weigh(text: str, machine) -> tuple[float, int]:
+    """Sum of weights and number of hits: whole words of the text that no exception phrase covers."""
     hits, spared = [], []
-    for end, (word, length) in machine.iter(fold(text)):
+    for end, (weight, length) in machine.iter(fold(text)):
         start = end - length + 1
         if (start and text[start - 1].isalnum()) or (end + 1 < len(text) and text[end + 1].isalnum()):
             continue
-        (spared if word < 0 else hits).append((start, end, word))
-    for start, end, word in hits:
-        if not any(s <= start and end <= e for s, e, _ in spared):
-            counts[word] += 1
-    return counts
+        (spared if weight is None else hits).append((start, end, weight))
+    kept = [w for start, end, w in hits if not any(s <= start and end <= e for s, e, _ in spared)]
+    return float(sum(kept)), len(kept)
 
 
-def match_lexicon(docs: DataFrame, lexicon: list[str] = LEXICON, exceptions: list[str] = EXCEPTIONS, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(_doc, n_words, hits)``, one row per document, over whole texts."""
+def match_lexicon(docs: DataFrame, weights: dict[str, float], exceptions: list[str], doc: str, text: str) -> DataFrame:
+    """``(_doc, n_words, _s, n_hits)``, one row per document, over whole texts."""
     ship_package(docs.sparkSession)
-    words, phrases = list(lexicon), list(exceptions)
+    phrases = list(exceptions)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = automaton(words, phrases)
+        machine = automaton(weights, phrases)
         for batch in batches:
             texts = [t or "" for t in batch["_text"]]
+            found = [weigh(t, machine) for t in texts]
             yield pd.DataFrame(
-                {
-                    "_doc": batch["_doc"],
-                    "n_words": [len(t.split()) for t in texts],
-                    "hits": [count_hits(t, machine, len(words)) for t in texts],
-                }
+                {"_doc": batch["_doc"], "n_words": [len(t.split()) for t in texts], "_s": [f[0] for f in found], "n_hits": [f[1] for f in found]}
             )
 
     return docs.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text")).mapInPandas(run, HITS)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 25) -> np.ndarray:
+def learn_weights(sample: DataFrame, lexicon: list[str]) -> dict[str, float]:
+    """Log odds of folded words in the distinct texts of ``sample (_text, _y)``.
+
+    Besides the lexicon, words of at least ``LEAST_DOCS`` toxic texts count whose share of toxic
+    texts is above ``LEAST_SHARE`` with some certainty: at most ``MOST_WORDS``, the most frequent.
+    """
+    texts = sample.groupBy(F.md5("_text")).agg(F.first("_text").alias("_text"), F.max("_y").alias("_y"))
+    letters = HOMOGLYPHS | {k: v for k, v in DIGITS.items() if k.isalnum()} | WIDE
+    low = F.translate(F.lower("_text"), "".join(letters), "".join(letters.values()))
+    words = texts.select("_y", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
+    totals = {r["_y"]: r["n"] for r in texts.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    bad, good = totals.get(1, 0), totals.get(0, 0)
+    counts = words.groupBy("word").agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("c"))
+    n, z = F.col("t") + F.col("c"), 1.96
+    share = F.col("t") / n
+    sure = (share + z * z / 2 / n - z * F.sqrt(share * (1 - share) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+    base = [fold(w) for w in lexicon]
+    own = counts.where(F.col("word").isin(*base)).collect()
+    more = counts.where((F.col("t") >= LEAST_DOCS) & (sure >= LEAST_SHARE)).orderBy(F.desc("t"), "word").limit(MOST_WORDS).collect()
+    weights = {
+        r["word"]: max(0.0, math.log((r["t"] + 0.5) / (bad + 1)) - math.log((r["c"] + 0.5) / (good + 1))) for r in [*own, *more]
+    }
+    middle = float(np.median([weights[w] for w in base if w in weights] or [3.0]))
+    for w in base:
+        weight = weights.setdefault(w, middle)
+        for end in ENDINGS:
+            weights.setdefault(w + end, weight)
+    return weights
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
     """Newton steps for a logistic regression with a constant first column."""
     beta = np.zeros(x.shape[1])
     for _ in range(rounds):
@@ -109,47 +133,36 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, lexicon: list[str] = LEXICON, exceptions: list[str] = EXCEPTIONS, threshold: float = 0.3,
-    fit_rows: int = 50_000, doc: str = "doc_id", text: str = "text", toxic: str = "toxic",
+    sample_rows: int = SAMPLE_ROWS, doc: str = "doc_id", text: str = "text", toxic: str = "toxic",
 ) -> DataFrame:
     """One row per document: id, ``held_out``, ``score`` in 0..1, ``predicted`` and ``n_hits``.
 
-    A word's weight is its log odds in labelled documents that are not held out (crc32 of the id
-    mod 4 is not 2), all of them counted. The weighted hits and their density by words go through
-    a logistic function, fitted on at most ``fit_rows`` of the same rows, those with the smallest
-    hash. Without labels of both kinds weights are 1 and fixed coefficients hold.
+    Words and weights are learned from at most ``sample_rows`` labelled rows that are not held out
+    (crc32 of the id mod 4 is not 2), those with the smallest hash. The weighted hits and their
+    density by words go through a logistic function, fitted on the same rows. Without labels of
+    both kinds the lexicon's weights are 1 and fixed coefficients hold.
 
     Null and empty texts have no hits and get the score of any clean text. Repeated rows are
     scored each; other columns are ignored; an empty table gives no row.
     """
-    words = list(lexicon)
-    hits = materialize(match_lexicon(docs, words, exceptions, doc, text), "hits")
-    remainder = F.pmod(F.crc32(F.coalesce(F.col("_doc").cast("string"), F.lit("")).cast("binary")), F.lit(4))
-    hits = hits.withColumn("held_out", remainder == 2)
-    given = labels.select(F.col(doc).cast("long").alias("_doc"), F.col(toxic).cast("int").alias("_y")).where("_y in (0, 1)").distinct()
-    known = hits.where(~F.col("held_out")).join(given, "_doc")
-    counts = known.groupBy("_y").agg(
-        F.count("*").alias("n"), *[F.sum((F.get("hits", F.lit(i)) > 0).cast("long")).alias(f"w{i}") for i in range(len(words))]
-    ).collect()
-    by = {r["_y"]: r for r in counts}
-    weights, beta = [1.0] * len(words), np.array([-4.0, 2.5, 1.0, 1.0])
-    if len(by) == 2:
-        bad, good = by[1], by[0]
-        raw = [
-            math.log((bad[f"w{i}"] + 0.5) / (bad["n"] + 1)) - math.log((good[f"w{i}"] + 0.5) / (good["n"] + 1)) if bad[f"w{i}"] + good[f"w{i}"] else None
-            for i in range(len(words))
-        ]
-        seen = [w for w in raw if w is not None]
-        middle = float(np.median(seen)) if seen else 1.0
-        weights = [max(0.0, middle if w is None else w) for w in raw]
-    total = F.aggregate(
-        F.zip_with("hits", F.array(*[F.lit(float(w)) for w in weights]), lambda n, w: n * w), F.lit(0.0), lambda a, b: a + b
-    )
-    scored = hits.withColumn("_s", total)
-    scored = scored.withColumn("_d", F.lit(100.0) * F.col("_s") / F.greatest("n_words", F.lit(1)))
+
+    def held(column: str) -> Column:
+        return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
+    given = labels.select(F.col(doc).cast("long").alias("_doc"), F.col(toxic).cast("int").alias("_y")).where("_y in (0, 1)")
+    chosen = given.where(~held("_doc")).distinct().orderBy(F.xxhash64("_doc"), "_doc", "_y").limit(sample_rows)
+    # No more than ``sample_rows`` pairs of numbers.
+    chosen = F.broadcast(materialize(chosen, "labelled"))
+    rows = docs.select(F.col(doc).cast("long").alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    sample = materialize(rows.join(chosen, "_doc").select("_text", "_y"), "sample")
+    learned = sample.select("_y").distinct().count() == 2
+    weights = learn_weights(sample, list(lexicon)) if learned else {fold(w + end): 1.0 for w in lexicon for end in ENDINGS}
+    hits = materialize(match_lexicon(docs, weights, exceptions, doc, text), "hits")
+    scored = hits.withColumn("_d", F.lit(100.0) * F.col("_s") / F.greatest("n_words", F.lit(1)))
     inputs = [(F.col("_s") > 0).cast("double"), F.log1p("_s"), F.log1p("_d")]
-    if len(by) == 2:
-        rows = scored.where(~F.col("held_out")).join(given, "_doc").select("_doc", "_y", *[x.alias(f"x{i}") for i, x in enumerate(inputs)])
-        frame = rows.orderBy(F.xxhash64("_doc"), "_doc", "_y").limit(fit_rows).toPandas()
+    beta = np.array([-4.0, 2.5, 1.0, 1.0])
+    if learned:
+        frame = scored.join(chosen, "_doc").select("_y", *[x.alias(f"x{i}") for i, x in enumerate(inputs)]).toPandas()
         x = np.column_stack([np.ones(len(frame)), frame[["x0", "x1", "x2"]].to_numpy(float)])
         beta = fit_logistic(x, frame["_y"].to_numpy(float))
     line = F.lit(float(beta[0]))
@@ -157,6 +170,5 @@ def score_toxicity(
         line = line + F.lit(float(b)) * x
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-line))
     return scored.select(
-        F.col("_doc").alias(doc), "held_out", score.alias("score"), (score >= threshold).cast("int").alias("predicted"),
-        F.aggregate("hits", F.lit(0), lambda a, b: a + b).alias("n_hits"),
+        F.col("_doc").alias(doc), held("_doc").alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "n_hits"
     )

@@ -366,14 +366,10 @@ def test_word_count(spark):
 
 
 def test_toxic_matches():
-    machine = toxicity.automaton(["idiot", "trash"], ["trash can"])
-
-    def hits(t):
-        return toxicity.count_hits(t, machine, 2)
-
-    assert hits("An IDIOT, 1d10t and іdіоt; idiots!") == [4, 0]
-    assert hits("idiotic xidiot trash can, trash cans? trash") == [0, 1 + 1]
-    assert hits("idiot! $trash") == [1, 1] and hits("") == [0, 0]
+    machine = toxicity.automaton({"idiot": 2.0, "idiots": 2.0, "trash": 3.0}, ["trash can"])
+    assert toxicity.weigh("An IDIOT, 1d10t and іdіоt; idiots!", machine) == (8.0, 4)
+    assert toxicity.weigh("idiotic xidiot trash can, trash cans? trash", machine) == (6.0, 2)
+    assert toxicity.weigh("idiot! $trash", machine) == (5.0, 2) and toxicity.weigh("", machine) == (0.0, 0)
     assert len(toxicity.fold("İ ǅ ß")) == len("İ ǅ ß")
 
 
