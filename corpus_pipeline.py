@@ -25,12 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
+
+    Of rows with one id and one text the first stays; such ids alone are gone through once more.
+    """
     ship_package(tune(spark))
     groups = neardup.near_duplicates(docs, shingle=5, share=(80, 100))
-    kept = groups.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
-    return stay.select(*COLUMNS)
+    kept = groups.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
+    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
+    once = stay.where("_rows = 1").select(*COLUMNS)
+    return once.unionByName(stay.where("_rows > 1").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
