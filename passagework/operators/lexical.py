@@ -183,13 +183,19 @@ def score_topk(
     asked = terms.select(F.col(query).alias("_query"), F.col("term").alias("_term"), F.col("share").alias("_share"), key)
     # Read twice: for the block sizes and for the scores.
     rows = materialize(postings.select(F.col(node).alias("_node"), F.col("term").alias("_word"), F.col("gain").alias("_gain"), key.alias("_in")), "postings")
-    v_blocks, q_blocks = F.ceil(F.col("_n") / POSTING_ROWS).alias("_vb"), F.ceil(F.col("_m") / TERM_ROWS).alias("_qb")
-    n = rows.groupBy(F.col("_in").alias("_scope")).agg(F.count("*").alias("_n"))
-    m = asked.groupBy("_scope").agg(F.count("*").alias("_m"))
-    # One row per scope value that both sides hold.
-    sizes = materialize(n.join(m, "_scope").select("_scope", v_blocks, q_blocks), "sizes")
-    left = in_blocks(asked.join(sizes, "_scope"), "_qb", "_vb", "_query", "_i", "_j")
-    right = in_blocks(rows.join(sizes.withColumnRenamed("_scope", "_in"), "_in"), "_vb", "_qb", "_node", "_q", "_p")
+    if scope:
+        v_blocks, q_blocks = F.ceil(F.col("_n") / POSTING_ROWS).alias("_vb"), F.ceil(F.col("_m") / TERM_ROWS).alias("_qb")
+        n = rows.groupBy(F.col("_in").alias("_scope")).agg(F.count("*").alias("_n"))
+        m = asked.groupBy("_scope").agg(F.count("*").alias("_m"))
+        # One row per scope value that both sides hold.
+        sizes = materialize(n.join(m, "_scope").select("_scope", v_blocks, q_blocks), "sizes")
+        asked, rows = asked.join(sizes, "_scope"), rows.join(sizes.withColumnRenamed("_scope", "_in"), "_in")
+    else:
+        blocks = [max(1, -(-df.count() // most)) for df, most in ((rows, POSTING_ROWS), (asked, TERM_ROWS))]
+        both = [F.lit(n).alias(name) for n, name in zip(blocks, ("_vb", "_qb"), strict=True)]
+        asked, rows = asked.select("*", *both), rows.select("*", *both)
+    left = in_blocks(asked, "_qb", "_vb", "_query", "_i", "_j")
+    right = in_blocks(rows, "_vb", "_qb", "_node", "_q", "_p")
     schema = T.StructType(
         [
             T.StructField(query, terms.schema[query].dataType),

@@ -18,7 +18,7 @@ PYTHON = {
     "recall_fallbacks", "overlap_report", "lexical_topk", "lexical_bm25", "scope_filter", "score_normalize", "retrieve_fast",
     "retrieve_deep", "rerank", "rerank_candidates", "expand_parents", "stage_gate", "context_assemble", "answer_context",
     "answer_questions", "embed_batch", "claim_support", "claim_parent_recheck", "vector_factuality", "faithfulness", "answer_relevancy",
-    "guard_answers",
+    "guard_answers", "stream_alerts", "stream_rate_limit",
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
 
