@@ -19,7 +19,7 @@ SAMPLE_ROWS = 20_000  # bound of the sample that lists and probes are fitted on
 BLOCK_ROWS = 4096  # vectors, and queries, that meet in one task
 COLUMNS = 16  # dimensions per column block
 CAUTION = 2.1  # width of the hypothesis test; larger keeps more candidates
-CELLS = 1 << 22  # distances held at once
+CELLS = 1 << 18  # distances held at once
 
 
 def usable(vector: Column) -> Column:
