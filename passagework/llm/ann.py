@@ -20,6 +20,7 @@ BLOCK_ROWS = 4096  # vectors, and queries, that meet in one task
 COLUMNS = 16  # dimensions per column block
 CAUTION = 2.1  # width of the hypothesis test; larger keeps more candidates
 CELLS = 1 << 18  # distances held at once
+DENSE = 0.1  # share of living pairs above which a column block is one matrix product
 
 
 def usable(vector: Column) -> Column:
@@ -69,7 +70,7 @@ def rotation(size: int, seed: int = 11) -> np.ndarray:
 def scan(queries: np.ndarray, points: np.ndarray, k: int, columns: int = COLUMNS, caution: float = CAUTION) -> tuple[np.ndarray, np.ndarray]:
     """Pairs ``(query, point)`` that survive the adaptive scan; both inputs are rotated already.
 
-    The radius of a query is the exact distance of the worst of the ``k`` points that the first
+    The radius of a query is the ``k``-th smallest exact distance of the ``4 k`` points that the first
     block ranks best. After ``d`` of ``D`` dimensions a pair lives on while its partial distance
     is at most ``radius * d / D * (1 + caution / sqrt(d)) ** 2``.
     """
@@ -82,15 +83,23 @@ def scan(queries: np.ndarray, points: np.ndarray, k: int, columns: int = COLUMNS
     first = part(queries[:, :columns], points[:, :columns])
     if len(points) <= k or len(starts) == 1:
         return tuple(np.indices(first.shape).reshape(2, -1))
-    best = np.argpartition(first, k - 1, axis=1)[:, :k]
-    radius = ((queries[:, None, :] - points[best]) ** 2).sum(2).max(1) * (1 + 1e-9) + 1e-12
+    some = min(4 * k, len(points))
+    best = np.argpartition(first, some - 1, axis=1)[:, :some]
+    exact = np.stack([((q - points[b]) ** 2).sum(1) for q, b in zip(queries, best, strict=True)])
+    radius = np.partition(exact, k - 1, axis=1)[:, k - 1] * (1 + 1e-9) + 1e-12
 
     def limit(done: int) -> np.ndarray:
         return radius * min(1.0, done / size * (1 + caution / np.sqrt(done)) ** 2) if done < size else radius
 
-    q, p = np.nonzero(first <= limit(columns)[:, None])
-    gone = first[q, p]
-    for at in starts[1:]:
+    # While many pairs live, a block is a matrix product over all; after that only they are looked up.
+    total, live, rest = first, first <= limit(columns)[:, None], starts[1:]
+    while rest and live.sum() > DENSE * live.size:
+        at, rest = rest[0], rest[1:]
+        total = total + part(queries[:, at : at + columns], points[:, at : at + columns])
+        live &= total <= limit(min(at + columns, size))[:, None]
+    q, p = np.nonzero(live)
+    gone = total[q, p]
+    for at in rest:
         block = slice(at, at + columns)
         gone = gone + ((queries[q, block] - points[p, block]) ** 2).sum(1)
         alive = gone <= limit(min(at + columns, size))[q]
