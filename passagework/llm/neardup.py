@@ -2,7 +2,8 @@
 
 Distinct shingle sets are sorted by several signature orders. In each order, sets with a common
 prefix form regions; a region with many sets is read one signature value deeper, and so on.
-Neighbours in a region whose sketches agree are candidates. Candidates are confirmed on full sets.
+Neighbours in a region whose sketches agree are candidates. Sets of regions that are not compared as a
+whole are marked, and joined on their rarest shingles. Candidates are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from passagework.llm.shingles import shingle_set
 from passagework.session import materialize, ship_package
 
 TREES, DEPTH, SHALLOW = 16, 16, 3  # orders, values per order, values that neighbours share at least
-REGION = 256  # sets in a region above which it is read deeper
+REGION = 256  # sets in a region above which it is read deeper, and its sets are marked
 NEAR = 2  # sorted neighbours on either side that are compared whatever their region
 FIRST = 3  # partners per set and order in the first round; the second has no limit
 GROUP = 128  # sets whose full shingles meet in one task
 LONG = 1024  # values of the sketch that the second round compares
+BINS = 1 << 20  # counters of the order by rarity
+BLOCK = 1024  # sets with one rare shingle in a block; pairs of blocks are dealt to tasks
 
 _rng = np.random.default_rng(20240607)
 XORS = _rng.integers(0, 2**32, LONG, dtype=np.uint32)
@@ -84,7 +87,8 @@ def candidates(
 ) -> np.ndarray:
     """Pairs of nodes of one sorted order that may be similar enough and whose groups differ, ``(n, 2)``.
 
-    ``limit`` bounds the partners of a node to its most similar ones.
+    ``limit`` bounds the partners of a node to its most similar ones. A node of a shallow region that is
+    not compared as a whole comes once more, paired with itself.
     """
     n, found, least = len(nodes), [], least_estimate(share, sketches.shape[1] * 32)
 
@@ -102,6 +106,8 @@ def candidates(
         change = np.flatnonzero((keys[1:, :SHALLOW] != keys[:-1, :SHALLOW]).any(axis=1)) + 1
         edges = np.concatenate([[0], change, [n]])
         for k in np.flatnonzero(np.diff(edges) > NEAR + 1):
+            if edges[k + 1] - edges[k] > REGION:
+                found.append(np.arange(edges[k], edges[k + 1])[:, None].repeat(2, axis=1))
             for low, high in regions(keys, int(edges[k]), int(edges[k + 1]), SHALLOW):
                 like = sketch_similarity(sketches[low:high, None], sketches[None, low:high])
                 like[groups[low:high, None] == groups[None, low:high]] = -1
@@ -119,7 +125,6 @@ def candidates(
     pairs = np.concatenate(found)
     a, b = nodes[pairs[:, 0]], nodes[pairs[:, 1]]
     out = np.column_stack([np.minimum(a, b), np.maximum(a, b)])
-    out = out[out[:, 0] != out[:, 1]]
     return np.unique(out, axis=0) if len(out) else out
 
 
@@ -145,10 +150,10 @@ def sets_of(docs: DataFrame, shingle: int, doc: str, text: str) -> DataFrame:
 
 
 def forest_pairs(nodes: DataFrame, share: tuple[int, int], limit: int | None) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)`` of ``nodes (_node, _group, _n, _keys, _sketch)``.
+    """Distinct candidate pairs ``(a, b)`` of ``nodes (_node, _group, _n, _keys, _sketch)``, and marked nodes as ``(a, a)``.
 
-    All orders are one sort: ranges of (order, key) go to tasks of even size. A range that ends
-    inside a region parts its neighbours in that order only.
+    All orders are one sort: ranges of (order, key) go to tasks of even size. The first and the last
+    region of a range may go on in the next one, so their nodes are marked as well.
     """
     step = DEPTH * 2
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
@@ -158,7 +163,7 @@ def forest_pairs(nodes: DataFrame, share: tuple[int, int], limit: int | None) ->
     ordered = rows.repartitionByRange("_tree", "_key", "_node").sortWithinPartitions("_tree", "_key", "_node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest, began = None, False
         for batch in batches:
             frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             if not len(frame):
@@ -170,13 +175,27 @@ def forest_pairs(nodes: DataFrame, share: tuple[int, int], limit: int | None) ->
                 cut -= 1
             rest = frame.iloc[cut:] if len(frame) - cut <= 40 * REGION else frame.iloc[-REGION:]
             done = frame.iloc[:cut] if len(frame) - cut <= 40 * REGION else frame
+            if len(done) and not began:
+                began = True
+                yield marked(done, 0)
             yield pairs_of(done, share, limit)
         if rest is not None:
+            if not began:
+                yield marked(rest, 0)
             yield pairs_of(rest, share, limit)
+            yield marked(rest, -1)
 
     return ordered.mapInPandas(run, "a long, b long").distinct()
 
 
+def marked(frame: pd.DataFrame, at: int) -> pd.DataFrame:
+    """The nodes of the shallow region that the first or last row is in, paired with themselves."""
+    tree, head = frame["_tree"].iloc[at], frame["_key"].iloc[at][: 2 * SHALLOW]
+    same = [t == tree and k[: 2 * SHALLOW] == head for t, k in zip(frame["_tree"], frame["_key"], strict=True)]
+    nodes = frame["_node"].to_numpy(np.int64)[same]
+    return pd.DataFrame({"a": nodes, "b": nodes})
+
+
 def pairs_of(frame: pd.DataFrame, share: tuple[int, int], limit: int | None) -> pd.DataFrame:
     out = []
     for _, part in frame.groupby("_tree", sort=False):
@@ -188,6 +207,64 @@ def pairs_of(frame: pd.DataFrame, share: tuple[int, int], limit: int | None) ->
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def rare_pairs(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """All pairs ``(a, b)`` of ``sets (_node, _group, _set)`` of different groups that may be similar enough: no link is lost.
+
+    The shingles of every set are put in one order, rare ones first. Two sets need a number of common
+    shingles that follows from their sizes; so from the first common one on, both must hold as many.
+    Any order that all sets share is right; counts in bins make it a good one.
+    """
+    above, below = share
+
+    def count(found: Iterator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        total = np.zeros(BINS, dtype=np.int64)
+        for row in found:
+            np.add.at(total, (np.frombuffer(row["_set"], dtype=np.uint64) % np.uint64(BINS)).astype(np.int64), 1)
+        used = np.flatnonzero(total)
+        yield used, total[used]
+
+    def both(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        used, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+        return used, np.bincount(at, np.concatenate([a[1], b[1]]), len(used)).astype(np.int64)
+
+    nothing = np.zeros(0, dtype=np.int64)
+    used, total = sets.select("_set").rdd.mapPartitions(count).treeAggregate((nothing, nothing), both, both, 3)
+    rows = np.zeros(BINS, dtype=np.int64)
+    rows[used] = total
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for node, group, s in zip(batch["_node"], batch["_group"], batch["_set"], strict=True):
+                x = np.frombuffer(s, dtype=np.uint64)
+                n = len(x)
+                # A partner has at least ``share`` of the shingles of the larger set in common with it.
+                first = np.lexsort((x, rows[(x % np.uint64(BINS)).astype(np.int64)]))[: n - -(-above * n // below) + 1]
+                out.append((np.full(len(first), node), np.full(len(first), group), np.full(len(first), n), n - np.arange(len(first)), x[first].view(np.int64)))
+            if out:
+                yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("_node", "_group", "_n", "_rest", "_shingle"))})
+
+    found = materialize(sets.select("_node", "_group", "_set").mapInPandas(rarest, "_node long, _group long, _n long, _rest long, _shingle long"), "rarest")
+    # The smaller set of a pair holds enough from such a shingle on, even if the other has no more.
+    small = F.col("_rest") * (above + below) >= 2 * above * F.col("_n")
+    per = found.groupBy("_shingle").agg(F.count("*").alias("_rows"), F.max(small).alias("_some"), F.min("_group").alias("_g"), F.max("_group").alias("_h"))
+    shared = per.where("_some and _g <> _h").select("_shingle", F.ceil(F.col("_rows") / BLOCK).cast("int").alias("_blocks"))
+    shared = materialize(found.join(shared, "_shingle"), "shared")
+    own, all_blocks = F.pmod(F.xxhash64("_node"), "_blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    x = shared.where(small).select("_shingle", own.alias("_i"), all_blocks.alias("_j"), *[F.col(c).alias(f"{c}1") for c in ("_node", "_group", "_n", "_rest")])
+    y = shared.select("_shingle", all_blocks.alias("_i"), own.alias("_j"), *[F.col(c).alias(f"{c}2") for c in ("_node", "_group", "_n", "_rest")])
+    need = above * (F.col("_n1") + F.col("_n2"))
+    fit = (
+        (F.col("_group1") != F.col("_group2"))
+        & ((F.col("_n1") < F.col("_n2")) | ((F.col("_n1") == F.col("_n2")) & (F.col("_node1") < F.col("_node2"))))
+        & (below * F.col("_n1") >= above * F.col("_n2"))
+        & (F.col("_rest1") * (above + below) >= need)
+        & (F.col("_rest2") * (above + below) >= need)
+    )
+    met = x.join(y, ["_shingle", "_i", "_j"]).where(fit)
+    return met.select(F.least("_node1", "_node2").alias("a"), F.greatest("_node1", "_node2").alias("b")).distinct()
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Of ``pairs (a, b)``, those whose full ``sets (_node, _set)`` are similar enough.
 
@@ -235,7 +312,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     with equal sets are one node. Round one compares a set with its most similar neighbours in
     every order; round two compares, without a limit and by longer sketches, all neighbours that are
     still in different components. Two sets at the limit share the shallow prefix of some order with a probability
-    of ``1 - (1 - s ** 3) ** 16``: 0.99998 at 0.8.
+    of ``1 - (1 - s ** 3) ** 16``: 0.99998 at 0.8. Where such a region has more than ``REGION`` sets, or lies on the
+    border of two tasks, round three joins all sets of it that are still apart on their rarest shingles, and loses none.
 
     ``component_id`` is the smallest id that links lead to. Null, empty and blank texts have
     no shingles and link with nothing. Rows that share an id are told apart by their texts; a null
@@ -253,13 +331,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     whole = docs.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text"))
     wanted = whole.join(holder, F.col("_doc").eqNullSafe(F.col("_held")), "left_semi")
     sets = materialize(wanted.mapInPandas(_full_sets(shingle), "_node long, _set binary, _long binary").join(asked, "_node").dropDuplicates(["_node"]), "sets")
+    cut, first = first.where("a = b"), first.where("a <> b")
     links = materialize(confirm(first, sets, share), "links")
     groups = components(links)
     open_nodes = nodes.drop("_sketch").join(sets.select("_node", F.col("_long").alias("_sketch")), "_node").join(groups.withColumnRenamed("node", "_node"), "_node", "left")
     second = forest_pairs(open_nodes.withColumn("_group", F.coalesce("component", "_node")).drop("component"), share, None)
     second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(materialize(confirm(second, sets, share), "links"))
-    named = rows.select("_doc", "_n", "_node").join(components(links).withColumnRenamed("node", "_node"), "_node", "left")
+    links = links.union(materialize(confirm(second.where("a <> b"), sets, share), "links"))
+    groups = components(links)
+    cut = cut.union(second.where("a = b")).select(F.col("a").alias("_node")).distinct()
+    apart = sets.select("_node", "_set").join(cut, "_node").join(groups.withColumnRenamed("node", "_node"), "_node", "left")
+    third = materialize(rare_pairs(apart.withColumn("_group", F.coalesce("component", "_node")), share), "pairs")
+    if not third.isEmpty():
+        links = links.union(materialize(confirm(third, sets, share), "links"))
+        groups = components(links)
+    named = rows.select("_doc", "_n", "_node").join(groups.withColumnRenamed("node", "_node"), "_node", "left")
     named = named.withColumn("_part", F.coalesce("component", "_node"))
     lowest = named.where("_part is not null").groupBy("_part").agg(F.min("_doc").alias("_low"))
     group = F.when(F.col("_part").isNull(), F.col("_doc")).otherwise(F.col("_low"))

@@ -138,6 +138,34 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
 
 
+def family(n=4000, pairs=400, core=88):
+    """Texts of one word per shingle that share ``core`` words and are below 0.8 to each other, but for some pairs; and all links."""
+    rng, fresh = random.Random(11), itertools.count()
+    common, own = [f"c{i}" for i in range(core)], []
+    for i in range(n):
+        size = rng.randrange(12, 17)
+        kept = rng.sample(own[i - 1], rng.randrange(1, 10)) if i % (n // pairs) == 1 else []
+        own.append(kept + [f"o{next(fresh)}" for _ in range(size - len(kept))])
+    assert core * 100 < 80 * (core + 12 + 12)  # no link without a common word of their own
+    links = [
+        (i - 1, i) for i in range(1, n)
+        if 100 * (both := core + len({*own[i - 1]} & {*own[i]})) >= 80 * (len(own[i - 1]) + len(own[i]) + 2 * core - both) and both > core
+    ]
+    docs = [(i, " ".join(rng.sample(common + w, core + len(w)))) for i, w in enumerate(own)]
+    return docs, links
+
+
+def test_near_duplicates_in_a_large_family(spark, monkeypatch):
+    docs, links = family()
+    want = groups_of(links, range(len(docs)))
+    assert len(links) > 100
+    for near in (neardup.NEAR, 8):
+        monkeypatch.setattr(neardup, "NEAR", near)
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table(spark, docs), 1, (80, 100)).collect()}
+        lost = sum(want[i] != got[i] for i in want)
+        assert got == want, f"{lost} of {len(links)} links lost"
+
+
 def test_forest_regions():
     keys = np.array(sorted([[0, 0, 0, i // 300, i] + [0] * 11 for i in range(900)]), dtype=">u2")
     ranges = list(neardup.regions(keys, 0, 900, 0))
