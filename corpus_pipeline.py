@@ -6,7 +6,7 @@ mixing stages learn from the ``labels`` table of ``sf_dir``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagework.llm import mixing, neardup, packing, pii, toxicity
@@ -16,23 +16,28 @@ from passagework.session import materialize, ship_package, tune
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def same_row(docs: DataFrame, decided: DataFrame) -> Column:
+    """Decisions belong to an id and a text: ids may be null or repeated."""
+    return docs["doc_id"].eqNullSafe(decided["_id"]) & (F.xxhash64(docs["text"]) == decided["_hash"])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that score 0.3 or more."""
     ship_package(tune(spark))
-    scored = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
-    toxic = scored.where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["_id"]), "left_anti").select(*COLUMNS)
+    scored = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3, text_hash="_hash")
+    toxic = scored.where("predicted = 1").select(F.col("doc_id").alias("_id"), "_hash").distinct()
+    return docs.join(toxic, same_row(docs, toxic), "left_anti").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
 
-    Of rows with one id and one text the first stays; such ids alone are gone through once more.
+    Of rows with one id and one text the first stays; such rows alone are gone through once more.
     """
     ship_package(tune(spark))
-    groups = neardup.near_duplicates(docs, shingle=5, share=(80, 100))
-    kept = groups.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
+    groups = neardup.near_duplicates(docs, shingle=5, share=(80, 100), text_hash="_hash")
+    kept = groups.where("kept").groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.count("*").alias("_rows"))
+    stay = docs.join(kept, same_row(docs, kept))
     once = stay.where("_rows = 1").select(*COLUMNS)
     return once.unionByName(stay.where("_rows > 1").select(*COLUMNS).dropDuplicates(["doc_id", "text"]))
 

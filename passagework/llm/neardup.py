@@ -134,7 +134,7 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def sets_of(docs: DataFrame, shingle: int, doc: str, text: str) -> DataFrame:
-    """``(_doc, _n, _node, _keys, _sketch)`` per document; ``_node`` is a hash of the whole set."""
+    """``(_doc, _n, _node, _keys, _sketch, _hash)`` per document; ``_node`` is a hash of the whole set, ``_hash`` of the text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -144,9 +144,10 @@ def sets_of(docs: DataFrame, shingle: int, doc: str, text: str) -> DataFrame:
                 keys, sketch = keys_and_sketch(signature(found)) if len(found) else (None, None)
                 node = node_of(found) if len(found) else None
                 rows.append((len(found), node, keys, sketch))
-            yield pd.DataFrame({"_doc": batch["_doc"], **{c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate((("_n", "int64"), ("_node", "Int64"), ("_keys", object), ("_sketch", object)))}})
+            yield pd.DataFrame({"_doc": batch["_doc"], "_hash": batch["_hash"], **{c: pd.Series([r[i] for r in rows], dtype=t) for i, (c, t) in enumerate((("_n", "int64"), ("_node", "Int64"), ("_keys", object), ("_sketch", object)))}})
 
-    return docs.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text")).mapInPandas(run, "_doc long, _n long, _node long, _keys binary, _sketch binary")
+    given = docs.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_hash"))
+    return given.mapInPandas(run, "_doc long, _n long, _node long, _keys binary, _sketch binary, _hash long")
 
 
 def forest_pairs(nodes: DataFrame, share: tuple[int, int], limit: int | None) -> DataFrame:
@@ -304,7 +305,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
     return dealt.groupBy(*keys).cogroup(held).applyInPandas(meet, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (80, 100), doc: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (80, 100), doc: str = "doc_id", text: str = "text", text_hash: str | None = None) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` and ``kept``.
 
     Documents link if the intersection of their shingle sets is at least ``share`` of the union
@@ -318,6 +319,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     ``component_id`` is the smallest id that links lead to. Null, empty and blank texts have
     no shingles and link with nothing. Rows that share an id are told apart by their texts; a null
     id counts as larger than all others. Other columns are ignored; an empty table gives no row.
+    ``text_hash`` names one more column, ``xxhash64`` of the text, that tells rows of one id apart.
     """
     ship_package(docs.sparkSession)
     rows = materialize(sets_of(docs, shingle, doc, text), "signatures")
@@ -345,12 +347,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     if not third.isEmpty():
         links = links.union(materialize(confirm(third, sets, share), "links"))
         groups = components(links)
-    named = rows.select("_doc", "_n", "_node").join(groups.withColumnRenamed("node", "_node"), "_node", "left")
+    named = rows.select("_doc", "_n", "_node", "_hash").join(groups.withColumnRenamed("node", "_node"), "_node", "left")
     named = named.withColumn("_part", F.coalesce("component", "_node"))
     lowest = named.where("_part is not null").groupBy("_part").agg(F.min("_doc").alias("_low"))
     group = F.when(F.col("_part").isNull(), F.col("_doc")).otherwise(F.col("_low"))
     return named.join(lowest, "_part", "left").select(
-        F.col("_doc").alias(doc), F.col("_n").alias("n_shingles"), group.alias("component_id"), F.col("_doc").eqNullSafe(group).alias("kept")
+        F.col("_doc").alias(doc), F.col("_n").alias("n_shingles"), group.alias("component_id"), F.col("_doc").eqNullSafe(group).alias("kept"),
+        *([F.col("_hash").alias(text_hash)] if text_hash else []),
     )
 
 

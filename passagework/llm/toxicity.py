@@ -31,7 +31,7 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"}
 WIDE = {chr(0xFF21 + i): chr(97 + i) for i in range(26)} | {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
 SHIFT = str.maketrans(HOMOGLYPHS | DIGITS | WIDE)
-HITS = "_doc long, n_words long, _s double, n_hits int"
+HITS = "_doc long, n_words long, _s double, n_hits int, _hash long"
 SAMPLE_ROWS = 20_000  # labelled rows that weights and coefficients are learned from
 MOST_WORDS = 5_000  # words taken over from the labelled rows
 LEAST_DOCS, LEAST_SHARE = 5, 0.5  # toxic texts that hold such a word; lower bound of its share of toxic texts
@@ -71,7 +71,7 @@ def weigh(text: str, machine) -> tuple[float, int]:
 
 
 def match_lexicon(docs: DataFrame, weights: dict[str, float], exceptions: list[str], doc: str, text: str) -> DataFrame:
-    """``(_doc, n_words, _s, n_hits)``, one row per document, over whole texts."""
+    """``(_doc, n_words, _s, n_hits, _hash)``, one row per document, over whole texts; ``_hash`` is of the text."""
     ship_package(docs.sparkSession)
     phrases = list(exceptions)
 
@@ -81,10 +81,10 @@ def match_lexicon(docs: DataFrame, weights: dict[str, float], exceptions: list[s
             texts = [t or "" for t in batch["_text"]]
             found = [weigh(t, machine) for t in texts]
             yield pd.DataFrame(
-                {"_doc": batch["_doc"], "n_words": [len(t.split()) for t in texts], "_s": [f[0] for f in found], "n_hits": [f[1] for f in found]}
+                {"_doc": batch["_doc"], "n_words": [len(t.split()) for t in texts], "_s": [f[0] for f in found], "n_hits": [f[1] for f in found], "_hash": batch["_hash"]}
             )
 
-    return docs.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text")).mapInPandas(run, HITS)
+    return docs.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text"), F.xxhash64(F.col(text)).alias("_hash")).mapInPandas(run, HITS)
 
 
 def learn_weights(sample: DataFrame, lexicon: list[str]) -> dict[str, float]:
@@ -134,6 +134,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int =
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, lexicon: list[str] = LEXICON, exceptions: list[str] = EXCEPTIONS, threshold: float = 0.3,
     sample_rows: int = SAMPLE_ROWS, doc: str = "doc_id", text: str = "text", toxic: str = "toxic",
+    text_hash: str | None = None,
 ) -> DataFrame:
     """One row per document: id, ``held_out``, ``score`` in 0..1, ``predicted`` and ``n_hits``.
 
@@ -143,7 +144,8 @@ def score_toxicity(
     both kinds the lexicon's weights are 1 and fixed coefficients hold.
 
     Null and empty texts have no hits and get the score of any clean text. Repeated rows are
-    scored each; other columns are ignored; an empty table gives no row.
+    scored each; other columns are ignored; an empty table gives no row. ``text_hash`` names one more
+    column, ``xxhash64`` of the text, that tells rows of one id apart.
     """
 
     def held(column: str) -> Column:
@@ -170,5 +172,6 @@ def score_toxicity(
         line = line + F.lit(float(b)) * x
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-line))
     return scored.select(
-        F.col("_doc").alias(doc), held("_doc").alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "n_hits"
+        F.col("_doc").alias(doc), held("_doc").alias("held_out"), score.alias("score"), (score >= threshold).cast("int").alias("predicted"), "n_hits",
+        *([F.col("_hash").alias(text_hash)] if text_hash else []),
     )

@@ -484,6 +484,19 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
     assert kept == ["1", "2", "20", "3", "4", "6", "None"]
 
 
+def test_pipeline_decides_on_rows(spark, tmp_path):
+    clean = " ".join(some_text(random.Random(1), 40))
+    other = " ".join(some_text(random.Random(2), 40))
+    rows = [(None, "you idiot scum", "en", "s", 1), (None, clean, "en", "s", 1), (7, "you idiot scum", "en", "s", 1), (7, other, "en", "s", 1)]
+    spark.createDataFrame([(100, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.drop_toxic(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == {(None, clean), (7, other)} and len(got) == 2
+    # The second row of id 5 copies id 4, its first one stays.
+    rows = [(4, clean, "en", "s", 1), (5, other, "en", "s", 1), (5, clean, "en", "s", 1), (None, clean, "en", "s", 1)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()
+    assert {(r["doc_id"], r["text"]) for r in got} == {(4, clean), (5, other)} and len(got) == 2
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
 def test_pipeline(spark):
     """The run against plain Python where that is short: duplicates, packing, and what each stage kept."""
