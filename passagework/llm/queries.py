@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import ann, chat, embed_dedup, mixing, neardup, packing, pii, substrings, toxicity, urls
+from passagework.llm import ann, chat, divergence, embed_dedup, mixing, neardup, packing, pii, substrings, toxicity, urls
 from passagework.plans.catalog import Tables
 
 PII_KEY = "surrogates-1"
@@ -173,6 +173,38 @@ def op10_mixing_rates(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(t.documents, t.labels, "quality", MIX_TARGETS)
 
 
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergences between the sources of each language, and the terms that set a source apart."""
+    return divergence.divergence_audit(Tables(spark, folder).documents)
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.n + v.v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (k.n + 1)) // (v.n + v.v)::HUGEINT AS q
+  FROM g JOIN kept k USING (lang) JOIN s USING (lang, source) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)
+), f AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The stages of ``corpus_pipeline``, one after another."""
     import corpus_pipeline
@@ -184,9 +216,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_minhash_forest, op3_substring_dedup, op4_url_filter, op5_pii_surrogates, op6_ann_scan,
-        op7_embedding_dedup, op8_length_packing, op9_toxicity, op10_mixing_rates, pipeline,
+        op7_embedding_dedup, op8_length_packing, op9_toxicity, op10_mixing_rates, op12_source_divergence, pipeline,
     )
 }
 CHECKS = {
     "op1_chat_format": OP1_SQL, "op2_minhash_forest": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_embedding_dedup": OP7_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
