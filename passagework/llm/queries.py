@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import ann, chat, divergence, embed_dedup, mixing, neardup, packing, pii, substrings, toxicity, urls
+from passagework.llm import ann, balltree, chat, divergence, embed_dedup, mixing, neardup, packing, pii, substrings, toxicity, urls
 from passagework.plans.catalog import Tables
 
 PII_KEY = "surrogates-1"
@@ -205,6 +205,30 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 """
 
 
+def op13_ball_tree_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 best documents of every benchmark item by exact lexical score."""
+    t = Tables(spark, folder)
+    return balltree.search(t.documents, t.benchmark, k=10)
+
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT r, doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+total AS (SELECT count(*) AS n, sum(n)::BIGINT AS l FROM s),
+df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * total.n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, total),
+i AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT i, item_id, term, count(*) AS c FROM (SELECT i, item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+found AS (
+  SELECT i, item_id, doc_id, r, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * s.n * total.n) // total.l))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN t USING (term) JOIN s USING (r), total GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS rank FROM found WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The stages of ``corpus_pipeline``, one after another."""
     import corpus_pipeline
@@ -216,10 +240,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_minhash_forest, op3_substring_dedup, op4_url_filter, op5_pii_surrogates, op6_ann_scan,
-        op7_embedding_dedup, op8_length_packing, op9_toxicity, op10_mixing_rates, op12_source_divergence, pipeline,
+        op7_embedding_dedup, op8_length_packing, op9_toxicity, op10_mixing_rates, op12_source_divergence, op13_ball_tree_search, pipeline,
     )
 }
 CHECKS = {
     "op1_chat_format": OP1_SQL, "op2_minhash_forest": OP2_SQL, "op3_substring_dedup": OP3_SQL, "op4_url_filter": OP4_SQL, "op7_embedding_dedup": OP7_SQL,
-    "op12_source_divergence": OP12_SQL,
+    "op12_source_divergence": OP12_SQL, "op13_ball_tree_search": OP13_SQL,
 }
