@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagework.llm import ann, balltree, chat, divergence, embed_dedup, mixing, neardup, packing, pii, substrings, toxicity, urls
+from passagework.llm import ann, balltree, chat, divergence, embed_dedup, mixing, neardup, packing, pii, secrets, substrings, toxicity, urls
 from passagework.plans.catalog import Tables
 
 PII_KEY = "surrogates-1"
@@ -173,6 +173,11 @@ def op10_mixing_rates(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(t.documents, t.labels, "quality", MIX_TARGETS)
 
 
+def op11_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of all documents: fixed patterns, and runs that look random."""
+    return secrets.find_secrets(Tables(spark, folder).documents, rate=0.05)
+
+
 def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """Divergences between the sources of each language, and the terms that set a source apart."""
     return divergence.divergence_audit(Tables(spark, folder).documents)
@@ -240,7 +245,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_minhash_forest, op3_substring_dedup, op4_url_filter, op5_pii_surrogates, op6_ann_scan,
-        op7_embedding_dedup, op8_length_packing, op9_toxicity, op10_mixing_rates, op12_source_divergence, op13_ball_tree_search, pipeline,
+        op7_embedding_dedup, op8_length_packing, op9_toxicity, op10_mixing_rates, op11_secret_scan, op12_source_divergence, op13_ball_tree_search, pipeline,
     )
 }
 CHECKS = {
