@@ -2,7 +2,7 @@
 
 A document is a sparse vector of what each term adds to a score, a question one of how often it says a
 term. Documents are sorted by their heaviest terms and cut into trees of bounded size. No document
-below a node can score more than ``q . centroid + |q| * radius``; leaves are read in falling order of the
+below a node can score more than ``q . centroid + |q| * radius``, over the node's terms; leaves are read in falling order of the
 bound until it falls below the score that is still needed, and scored in whole numbers.
 """
 
@@ -237,10 +237,13 @@ class Tree:
         return np.bincount(self.local[a:b], self.values[a:b].astype(np.float64), len(self.terms)) / (high - low)
 
     def bounds(self, asked: np.ndarray) -> np.ndarray:
-        """No document below a node scores more for a question; rows are questions. Rounded up by far more than the errors."""
-        norm = np.sqrt((asked.astype(np.float64) ** 2).sum(axis=1))
-        out = (asked.astype(np.float64) @ self.centres.T + norm[:, None] * self.radius) * (1 + 1e-9) + 1
-        out[norm == 0] = 0
+        """No document below a node scores more for a question; rows are questions. Rounded up by far more than the errors.
+
+        Of a question, only terms that occur below the node count: those where the centroid is not zero.
+        """
+        x = asked.astype(np.float64)
+        norm = np.sqrt((x * x) @ (self.centres > 0).T)
+        out = np.where(norm > 0, (x @ self.centres.T + norm * self.radius) * (1 + 1e-9) + 1, 0)
         for node, parent in enumerate(self.nodes[:, 2].tolist()):
             if parent >= 0:
                 np.minimum(out[:, node], out[:, parent], out=out[:, node])

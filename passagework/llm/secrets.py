@@ -227,5 +227,5 @@ def find_secrets(docs: DataFrame, rate: float = 0.05, doc: str = "doc_id", text:
 
     base = ordered(F.col("_base"), lambda s: s["kind"])
     more = ordered(F.filter("_runs", lambda s: s["bin"] <= cuts[s["cell"]]), lambda s: F.lit(KINDS.index("random")))
-    counts = [F.size(F.filter("_base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    counts = [F.size(F.expr(f"filter(_base, s -> s.kind = {k})")).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return rows.select(F.when(~F.col("_null"), F.col("_doc")).alias(doc), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.concat(base, more)).alias("spans"))
