@@ -25,7 +25,7 @@ from passagework.skew import top_per_key
 TREE, LEAF = 2048, 64  # documents of a tree and of a leaf at most
 WAVE = 1 << 25  # characters of the questions that are searched together, about
 PROBES = 2  # trees that are read first, for a score to begin with
-CELLS = 1 << 22  # cells of the matrix of questions and terms at a time
+CELLS = 1 << 20  # cells of a matrix of questions and terms at a time
 LAST = 2**63 - 1  # stands for a null id, which comes after all others
 TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
 INDEX = "_tree long, _docs binary, _ptr binary, _codes binary, _values binary, _nodes binary, _radius binary"
@@ -253,7 +253,13 @@ class Tree:
         """Documents of a leaf, and their exact scores."""
         low, high, _ = self.nodes[leaf]
         a, b = self.ptr[low], self.ptr[high]
-        return self.docs[low:high], _sums(asked[:, self.local[a:b]] * self.values[a:b], self.ptr[low : high + 1] - a)
+        out = np.empty((len(asked), high - low), dtype=np.int64)
+        step = max(1, CELLS // int(b - a))
+        for k in range(0, len(asked), step):
+            part = asked[k : k + step, self.local[a:b]]
+            part *= self.values[a:b]
+            out[k : k + step] = _sums(part, self.ptr[low : high + 1] - a)
+        return self.docs[low:high], out
 
 
 def _roots(asked: Questions):

@@ -22,9 +22,10 @@ from passagework.session import materialize, ship_package
 
 TREES, DEPTH, SHALLOW = 16, 16, 3  # orders, values per order, values that neighbours share at least
 REGION = 256  # sets in a region above which it is read deeper, and its sets are marked
-NEAR = 2  # sorted neighbours on either side that are compared whatever their region
-FIRST = 3  # partners per set and order in the first round; the second has no limit
+NEAR = 2  # sorted neighbours on either side that are compared whatever their region; the first round takes one
+FIRST = 1  # partners per set and order that the first round hands on; the second has no limit
 GROUP = 128  # sets whose full shingles meet in one task
+COLUMNS = 1 << 14  # shingles of a region that are compared at a time
 LONG = 1024  # values of the sketch that the second round compares
 BINS = 1 << 20  # counters of the order by rarity
 BLOCK = 1024  # sets with one rare shingle in a block; pairs of blocks are dealt to tasks
@@ -82,50 +83,50 @@ def regions(keys: np.ndarray, start: int, end: int, depth: int) -> Iterator[tupl
         yield from regions(keys, low, high, depth + 1)
 
 
-def candidates(
-    keys: np.ndarray, nodes: np.ndarray, groups: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, share: tuple[int, int], limit: int | None
-) -> np.ndarray:
-    """Pairs of nodes of one sorted order that may be similar enough and whose groups differ, ``(n, 2)``.
+def hits(
+    keys: np.ndarray, groups: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, share: tuple[int, int], near: int, limit: int | None
+) -> Iterator[tuple[np.ndarray, np.ndarray, int | None]]:
+    """Places ``(i, j)`` in one sorted order of sets that may be similar enough and whose groups differ.
 
-    ``limit`` bounds the partners of a node to its most similar ones. A node of a shallow region that is
-    not compared as a whole comes once more, paired with itself.
+    They come region by region, with the place of the region's first row; those that no region holds together,
+    among ``near`` neighbours, with None. ``limit`` bounds the partners of a set in a region to its most similar ones.
     """
-    n, found, least = len(nodes), [], least_estimate(share, sketches.shape[1] * 32)
+    n, least = len(keys), least_estimate(share, sketches.shape[1] * 32)
+    region_of = np.full(n, -1)
 
     def fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return share[1] * np.minimum(a, b) >= share[0] * np.maximum(a, b)
 
+    for first, end, _ in shallow_regions(keys, near):
+        for low, high in regions(keys, first, end, SHALLOW):
+            region_of[low:high] = low
+            like = sketch_similarity(sketches[low:high, None], sketches[None, low:high])
+            like[groups[low:high, None] == groups[None, low:high]] = -1
+            like[~fit(sizes[low:high, None], sizes[None, low:high])] = -1
+            if limit is not None and high - low > limit:
+                floor = -np.partition(-like, limit - 1, axis=1)[:, limit - 1]
+                ok = (like >= least) & (like >= floor[:, None])
+                ok &= np.cumsum(ok, axis=1) <= limit
+                i, j = np.nonzero(ok)
+            else:
+                i, j = np.nonzero(like >= least)
+            yield low + i, low + j, low
     # Neighbours in the order that share the shallow prefix.
-    for step in range(1, NEAR + 1):
+    for step in range(1, near + 1):
         i = np.flatnonzero((keys[step:, :SHALLOW] == keys[:-step, :SHALLOW]).all(axis=1)) if n > step else np.zeros(0, int)
-        i = i[(groups[i] != groups[i + step]) & fit(sizes[i], sizes[i + step])]
+        i = i[(groups[i] != groups[i + step]) & fit(sizes[i], sizes[i + step]) & ((region_of[i] < 0) | (region_of[i] != region_of[i + step]))]
         if len(i):
             i = i[sketch_similarity(sketches[i], sketches[i + step]) >= least]
-            found.append(np.column_stack([i, i + step]))
-    if n > 1:
+            yield i, i + step, None
+
+
+def shallow_regions(keys: np.ndarray, near: int) -> Iterator[tuple[int, int, bool]]:
+    """Rows that share the shallow prefix, if more than neighbours alone cover, and whether too many to compare as a whole."""
+    if len(keys) > 1:
         change = np.flatnonzero((keys[1:, :SHALLOW] != keys[:-1, :SHALLOW]).any(axis=1)) + 1
-        edges = np.concatenate([[0], change, [n]])
-        for k in np.flatnonzero(np.diff(edges) > NEAR + 1):
-            if edges[k + 1] - edges[k] > REGION:
-                found.append(np.arange(edges[k], edges[k + 1])[:, None].repeat(2, axis=1))
-            for low, high in regions(keys, int(edges[k]), int(edges[k + 1]), SHALLOW):
-                like = sketch_similarity(sketches[low:high, None], sketches[None, low:high])
-                like[groups[low:high, None] == groups[None, low:high]] = -1
-                like[~fit(sizes[low:high, None], sizes[None, low:high])] = -1
-                if limit is not None and high - low > limit:
-                    floor = -np.partition(-like, limit - 1, axis=1)[:, limit - 1]
-                    ok = (like >= least) & (like >= floor[:, None])
-                    ok &= np.cumsum(ok, axis=1) <= limit
-                    i, j = np.nonzero(ok)
-                else:
-                    i, j = np.nonzero(like >= least)
-                found.append(np.column_stack([low + i, low + j]))
-    if not found:
-        return np.zeros((0, 2), dtype=np.int64)
-    pairs = np.concatenate(found)
-    a, b = nodes[pairs[:, 0]], nodes[pairs[:, 1]]
-    out = np.column_stack([np.minimum(a, b), np.maximum(a, b)])
-    return np.unique(out, axis=0) if len(out) else out
+        edges = np.concatenate([[0], change, [len(keys)]])
+        for k in np.flatnonzero(np.diff(edges) > near + 1):
+            yield int(edges[k]), int(edges[k + 1]), bool(edges[k + 1] - edges[k] > REGION)
 
 
 def node_of(shingles: np.ndarray) -> int:
@@ -150,10 +151,12 @@ def sets_of(docs: DataFrame, shingle: int, doc: str, text: str) -> DataFrame:
     return given.mapInPandas(run, "_doc long, _n long, _node long, _keys binary, _sketch binary, _hash long")
 
 
-def forest_pairs(nodes: DataFrame, share: tuple[int, int], limit: int | None) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)`` of ``nodes (_node, _group, _n, _keys, _sketch)``, and marked nodes as ``(a, a)``.
+def forest(nodes: DataFrame, share: tuple[int, int], near: int, limit: int | None, pairs: bool) -> DataFrame:
+    """What the sorted orders of ``nodes (_node, _group, _n, _keys, _sketch)`` put together.
 
-    All orders are one sort: ranges of (order, key) go to tasks of even size. The first and the last
+    With ``pairs`` distinct candidate pairs ``(a, b)``, else rows ``(a, b)`` of a region's number and a set in it that
+    has a candidate there; sets that are not compared as a whole come as ``(a, a)`` of pairs and as ``(null, b)`` of
+    regions. All orders are one sort: ranges of (order, key) go to tasks of even size. The first and the last
     region of a range may go on in the next one, so their nodes are marked as well.
     """
     step = DEPTH * 2
@@ -163,6 +166,10 @@ def forest_pairs(nodes: DataFrame, share: tuple[int, int], limit: int | None) ->
     )
     ordered = rows.repartitionByRange("_tree", "_key", "_node").sortWithinPartitions("_tree", "_key", "_node")
 
+    def found(frame: pd.DataFrame) -> pd.DataFrame:
+        out = [_of_tree(part, int(tree), share, near, limit, pairs) for tree, part in frame.groupby("_tree", sort=False)]
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64), columns=["a", "b"])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest, began = None, False
         for batch in batches:
@@ -179,14 +186,15 @@ def forest_pairs(nodes: DataFrame, share: tuple[int, int], limit: int | None) ->
             if len(done) and not began:
                 began = True
                 yield marked(done, 0)
-            yield pairs_of(done, share, limit)
+            yield found(done)
         if rest is not None:
             if not began:
                 yield marked(rest, 0)
-            yield pairs_of(rest, share, limit)
+            yield found(rest)
             yield marked(rest, -1)
 
-    return ordered.mapInPandas(run, "a long, b long").distinct()
+    rows = ordered.mapInPandas(run, "a long, b long").distinct()
+    return rows if pairs else rows.withColumn("a", F.nullif("a", "b"))
 
 
 def marked(frame: pd.DataFrame, at: int) -> pd.DataFrame:
@@ -197,15 +205,21 @@ def marked(frame: pd.DataFrame, at: int) -> pd.DataFrame:
     return pd.DataFrame({"a": nodes, "b": nodes})
 
 
-def pairs_of(frame: pd.DataFrame, share: tuple[int, int], limit: int | None) -> pd.DataFrame:
-    out = []
-    for _, part in frame.groupby("_tree", sort=False):
-        keys = np.frombuffer(b"".join(part["_key"]), dtype=">u2").reshape(len(part), DEPTH)
-        sketches = np.frombuffer(b"".join(part["_sketch"]), dtype=np.uint64).reshape(len(part), -1)
-        nodes, groups, sizes = (part[c].to_numpy(np.int64) for c in ("_node", "_group", "_n"))
-        out.append(candidates(keys, nodes, groups, sizes, sketches, share, limit))
-    pairs = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+def _of_tree(part: pd.DataFrame, tree: int, share: tuple[int, int], near: int, limit: int | None, pairs: bool) -> np.ndarray:
+    keys = np.frombuffer(b"".join(part["_key"]), dtype=">u2").reshape(len(part), DEPTH)
+    sketches = np.frombuffer(b"".join(part["_sketch"]), dtype=np.uint64).reshape(len(part), -1)
+    nodes, groups, sizes = (part[c].to_numpy(np.int64) for c in ("_node", "_group", "_n"))
+    out = [nodes[first:end, None].repeat(2, axis=1) for first, end, large in shallow_regions(keys, near) if large]
+    for i, j, low in hits(keys, groups, sizes, sketches, share, near, limit):
+        if pairs:
+            out.append(np.column_stack([np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])]))
+            continue
+        with np.errstate(over="ignore"):
+            # A number for the region, or for two neighbours on their own.
+            name = (nodes[i] * 31 + nodes[j] * 17 if low is None else np.repeat(nodes[low], len(i)) * 31 + 1) + tree
+        for x in (i, j):
+            out.append(np.column_stack([name, nodes[x]]))
+    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
 
 
 def rare_pairs(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
@@ -267,7 +281,7 @@ def rare_pairs(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Of ``pairs (a, b)``, those whose full ``sets (_node, _set)`` are similar enough.
+    """Of ``pairs (a, b)``, those whose full ``sets (_node, _set)`` are similar enough, without closing a circle in a task.
 
     Pairs are dealt to tasks by their candidate component, cut into blocks of about ``GROUP``
     sets, so that a set moves once for most pairs and no component has to fit in one task.
@@ -290,14 +304,18 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
 
     def meet(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         of = {n: np.frombuffer(s, dtype=np.uint64) for n, s in zip(found["_node2"], found["_set2"], strict=True)}
+        low = {n: n for n in of}
         out = []
         for a, b in zip(asked["a"], asked["b"], strict=True):
             x, y = of[a], of[b]
+            if _lowest(low, a) == _lowest(low, b):
+                continue
             shorter, longer = sorted((len(x), len(y)))
             if below * shorter < above * longer:
                 continue
             both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
             if below * both >= above * (len(x) + len(y) - both):
+                low[_lowest(low, a)] = _lowest(low, b)
                 out.append((a, b))
         return pd.DataFrame(out, columns=["a", "b"])
 
@@ -305,14 +323,56 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
     return dealt.groupBy(*keys).cogroup(held).applyInPandas(meet, "a long, b long")
 
 
+def _lowest(low: dict, node):
+    while low[node] != node:
+        low[node] = low[low[node]]
+        node = low[node]
+    return node
+
+
+def region_links(members: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Links ``(a, b)`` between the sets of each region that connect its groups; ``members``: ``(_region, _node, _group, _set)``.
+
+    All sets of a region, ``REGION`` at most, are compared as a whole on their full shingles by matrix products.
+    A region gives at most one edge per set, so that no pair of it ever leaves its task.
+    """
+    above, below = share
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_node")
+        found = [np.frombuffer(s, dtype=np.uint64) for s in rows["_set"]]
+        sizes = np.array([len(x) for x in found], dtype=np.int64)
+        owner = np.repeat(np.arange(len(found)), sizes)
+        at = np.unique(np.concatenate(found), return_inverse=True)[1]
+        both = np.zeros((len(found), len(found)), dtype=np.int64)
+        width = int(at.max()) + 1
+        for start in range(0, width, COLUMNS):
+            here = (at >= start) & (at < start + COLUMNS)
+            held = np.zeros((len(found), min(COLUMNS, width - start)), dtype=np.float32)
+            held[owner[here], at[here] - start] = 1
+            both += (held @ held.T).astype(np.int64)
+        linked = below * both >= above * (sizes[:, None] + sizes - both)
+        names, groups = rows["_node"].tolist(), rows["_group"].tolist()
+        low, out = {g: g for g in groups}, []
+        for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+            x, y = _lowest(low, groups[i]), _lowest(low, groups[j])
+            if x != y:
+                low[x] = y
+                out.append((names[i], names[j]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return members.groupBy("_region").applyInPandas(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] = (80, 100), doc: str = "doc_id", text: str = "text", text_hash: str | None = None) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` and ``kept``.
 
     Documents link if the intersection of their shingle sets is at least ``share`` of the union
     (a fraction of whole numbers). Sets are of 64-bit hashes of whole lower-cased texts. Documents
-    with equal sets are one node. Round one compares a set with its most similar neighbours in
-    every order; round two compares, without a limit and by longer sketches, all neighbours that are
-    still in different components. Two sets at the limit share the shallow prefix of some order with a probability
+    with equal sets are one node. Round one hands on the most similar
+    neighbour of a set in every order; round two compares, without a limit, all neighbours that are
+    still in different components: longer sketches say which sets of a region may link at all (to four standard errors
+    of their estimate: 3 in 100,000 links at the limit are below), and these meet in one task with their full sets. Two sets at the limit share the shallow prefix of some order with a probability
     of ``1 - (1 - s ** 3) ** 16``: 0.99998 at 0.8. Where such a region has more than ``REGION`` sets, or lies on the
     border of two tasks, round three joins all sets of it that are still apart on their rarest shingles, and loses none.
 
@@ -326,27 +386,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     nodes = materialize(
         rows.where("_node is not null").groupBy("_node").agg(F.first("_n").alias("_n"), F.first("_keys").alias("_keys"), F.first("_sketch").alias("_sketch")), "nodes"
     )
-    first = materialize(forest_pairs(nodes.withColumn("_group", F.col("_node")), share, FIRST), "pairs")
+    first = materialize(forest(nodes.withColumn("_group", F.col("_node")), share, 1, FIRST, True), "pairs")
     asked = first.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
     # One document per asked set; a null id is an id here.
     holder = rows.join(asked, "_node").groupBy("_node").agg(F.min("_doc").alias("_held")).select("_held").distinct()
     whole = docs.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text"))
     wanted = whole.join(holder, F.col("_doc").eqNullSafe(F.col("_held")), "left_semi")
     sets = materialize(wanted.mapInPandas(_full_sets(shingle), "_node long, _set binary, _long binary").join(asked, "_node").dropDuplicates(["_node"]), "sets")
-    cut, first = first.where("a = b"), first.where("a <> b")
-    links = materialize(confirm(first, sets, share), "links")
-    groups = components(links)
-    open_nodes = nodes.drop("_sketch").join(sets.select("_node", F.col("_long").alias("_sketch")), "_node").join(groups.withColumnRenamed("node", "_node"), "_node", "left")
-    second = forest_pairs(open_nodes.withColumn("_group", F.coalesce("component", "_node")).drop("component"), share, None)
-    second = materialize(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(materialize(confirm(second.where("a <> b"), sets, share), "links"))
-    groups = components(links)
-    cut = cut.union(second.where("a = b")).select(F.col("a").alias("_node")).distinct()
-    apart = sets.select("_node", "_set").join(cut, "_node").join(groups.withColumnRenamed("node", "_node"), "_node", "left")
-    third = materialize(rare_pairs(apart.withColumn("_group", F.coalesce("component", "_node")), share), "pairs")
+    cut = first.where("a = b").select(F.col("a").alias("_node"))
+    groups = components(materialize(confirm(first.where("a <> b"), sets, share), "links"))
+    # Stars stand for all links so far.
+    stars = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    grouped = materialize(_with_groups(nodes.drop("_sketch").join(sets, "_node"), groups), "grouped")
+    second = materialize(forest(grouped.select("_node", "_group", "_n", "_keys", F.col("_long").alias("_sketch")), share, NEAR, None, False), "regions")
+    cut = cut.union(second.where("a is null").select(F.col("b").alias("_node"))).distinct()
+    members = second.where("a is not null").select(F.col("a").alias("_region"), F.col("b").alias("_node")).join(grouped.select("_node", "_group", "_set"), "_node")
+    groups = components(stars.union(materialize(region_links(members, share), "links")))
+    stars = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    third = materialize(rare_pairs(_with_groups(sets.select("_node", "_set").join(cut, "_node"), groups), share), "pairs")
     if not third.isEmpty():
-        links = links.union(materialize(confirm(third, sets, share), "links"))
-        groups = components(links)
+        groups = components(stars.union(materialize(confirm(third, sets, share), "links")))
     named = rows.select("_doc", "_n", "_node", "_hash").join(groups.withColumnRenamed("node", "_node"), "_node", "left")
     named = named.withColumn("_part", F.coalesce("component", "_node"))
     lowest = named.where("_part is not null").groupBy("_part").agg(F.min("_doc").alias("_low"))
@@ -357,6 +416,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     )
 
 
+def _with_groups(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """``nodes`` with their component so far as ``_group``."""
+    return nodes.join(groups.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_group", F.coalesce("component", "_node")).drop("component")
+
+
 def _full_sets(shingle: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
