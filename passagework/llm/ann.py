@@ -7,6 +7,9 @@ tested against the query's current 20th distance; candidates that cannot plausib
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,12 +32,6 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def usual_size(vectors: DataFrame, vector: str) -> int:
-    """The most frequent number of components (the smaller one on a tie); 0 without vectors."""
-    row = vectors.groupBy(F.size(vector).alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return int(row["d"]) if row else 0
-
-
 def matrix(column: pd.Series) -> np.ndarray:
     """Rows of a column of byte strings as float64."""
     return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
@@ -117,20 +114,27 @@ def nearest(
     exact neighbours on that sample. Lists are cut into blocks of about ``BLOCK_ROWS`` rows, the
     queries that probe them too; each pair of blocks is one task's work and gives ``k`` rows a query.
 
-    Vectors that are null, zero or hold null or non-finite components, and vectors of another size
-    than most, take no part. Ties go to the smaller id. Rows that share an id are one candidate,
+    Queries whose probed lists gave fewer than ``k`` rows search all lists once more, without giving up on any pair.
+
+    Vectors that are null, zero or hold null or non-finite components take no part; vectors meet others of their
+    size, each size having lists of its own. Ties go to the smaller id. Rows that share an id are one candidate,
     with the best score, and no candidates of each other; with none left a query has no row.
     """
     ship_package(vectors.sparkSession)
     good = vectors.select(F.col(vec).alias("_id"), F.col(vector).cast("array<double>").alias("_v"), is_query.alias("_q")).where(
         usable(F.col("_v")) & F.col("_id").isNotNull()
     )
-    size = usual_size(good, "_v")
-    good = good.where(F.size("_v") == size).withColumn("_q", F.coalesce("_q", F.lit(False)))
+    good = good.withColumn("_q", F.coalesce("_q", F.lit(False)))
+    sizes = [r["d"] for r in good.select(F.size("_v").alias("d")).distinct().orderBy("d").collect()]
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, [_nearest_of_size(good.where(F.size("_v") == d), d, k, goal) for d in sizes])
+
+
+def _nearest_of_size(good: DataFrame, size: int, k: int, goal: float) -> DataFrame:
+    """The search among ``good (_id, _v, _q)``, vectors of one size."""
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
     facts = good.agg(F.count("*").alias("n"), F.max(norm).alias("m")).first()
-    if not facts["n"]:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     longest = float(facts["m"]) * (1 + 1e-12)
     sample = good.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS).select("_v").toPandas()
     raw = np.stack([np.asarray(v, dtype=np.float64) for v in sample["_v"]])
@@ -153,6 +157,23 @@ def nearest(
             )
 
     placed = materialize(good.mapInPandas(place, "_id long, _x binary, _home int, _to array<int>"), "lists")
+    found = materialize(_searched(placed, lists, size, longest, k, CAUTION), "found")
+    # Candidates are other ids; all but one of them, or k, must be there.
+    ids = placed.agg(F.count_distinct("_id")).first()[0]
+    held = found.groupBy(F.col("query_id").alias("_id")).agg(F.count("*").alias("_n"))
+    asked = placed.where(F.size("_to") > 0).select("_id").distinct()
+    short = asked.join(held, "_id", "left").where(F.coalesce("_n", F.lit(0)) < min(k, ids - 1)).select(F.col("_id").alias("_short"))
+    short = materialize(short, "short")
+    if short.isEmpty():
+        return found
+    every = F.sequence(F.lit(0), F.lit(lists - 1))
+    again = placed.join(short, F.col("_id") == F.col("_short"), "left").withColumn("_to", F.when(F.col("_short").isNotNull() & (F.size("_to") > 0), every).otherwise(F.array().cast("array<int>")))
+    rest = found.join(short, F.col("query_id") == F.col("_short"), "left_anti")
+    return rest.unionByName(_searched(again.drop("_short"), lists, size, longest, k, math.inf))
+
+
+def _searched(placed: DataFrame, lists: int, size: int, longest: float, k: int, caution: float) -> DataFrame:
+    """The best ``k`` rows of every query among the lists it goes to; blocks of lists meet blocks of queries."""
     rows = placed.groupBy(F.col("_home").alias("_list")).agg(F.count("*").alias("n"))
     asked = placed.select(F.explode("_to").alias("_list")).groupBy("_list").agg(F.count("*").alias("m"))
     # One row per list, hence at most 1024.
@@ -176,19 +197,22 @@ def nearest(
             return pd.DataFrame(empty)
         x, ids = matrix(left["_x"]), left["_id"].to_numpy()
         y, asks = matrix(right["_x2"]), right["_id2"].to_numpy()
-        wide = len(turn) - size - 1
+        wide, repeated = len(turn) - size - 1, len(np.unique(ids)) < len(ids)
         px = np.pad(lifted(x, longest), ((0, 0), (0, wide))) @ turn
         out = []
         step = max(1, CELLS // (len(x) * 2))
         for at in range(0, len(y), step):
             some = y[at : at + step]
             py = np.pad(some, ((0, 0), (0, wide + 1))) @ turn
-            q, p = scan(py, px, k + 1)
+            q, p = scan(py, px, k + 1, caution=caution) if math.isfinite(caution) else np.divmod(np.arange(len(py) * len(px)), len(px))
             other = ids[p] != asks[at + q]
             q, p = q[other], p[other]
             score = np.einsum("ij,ij->i", some[q], x[p])
             order = np.lexsort((ids[p], -score, q))
             q, p, score = q[order], p[order], score[order]
+            if repeated:
+                once = np.sort(np.unique(np.column_stack([q, ids[p]]), axis=0, return_index=True)[1])
+                q, p, score = q[once], p[once], score[once]
             head = np.searchsorted(q, q)
             keep = np.arange(len(q)) - head < k
             out.append(pd.DataFrame({"query_id": asks[at + q[keep]], "vec_id": ids[p[keep]], "score": score[keep]}))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.ann import SAMPLE_ROWS, k_means, matrix, usable, usual_size
+from passagework.llm.ann import SAMPLE_ROWS, k_means, matrix, usable
 from passagework.llm.graph import components, renamed
 from passagework.session import materialize, ship_package
 
@@ -44,30 +45,23 @@ def embedding_groups(
     each vector meets all its links in its own cell. Cells are cut into blocks; a pair of blocks
     gives one count per vector and at most one edge per vector, never its pairs.
 
-    Vectors that are null, zero or hold null or non-finite components, that have no label, or have
-    another size than most link with nothing: 0 links, their own component, kept. Rows that
+    Vectors of different sizes never link; each size has cells of its own. Vectors that are null, zero or hold null
+    or non-finite components, or that have no label, link with nothing: 0 links, their own component, kept. Rows that
     share an id and a vector are copies like others. Other columns are ignored.
     """
     ship_package(vectors.sparkSession)
     rows = vectors.select(F.col(vec).alias("_id"), F.col(label).alias("_label"), F.col(vector).cast("array<double>").alias("_v"))
     fine = usable(F.col("_v")) & F.col("_label").isNotNull()
-    size = usual_size(rows.where(fine), "_v")
-    marked = rows.withColumn("_fine", fine & (F.size("_v") == size)).withColumn(
+    marked = rows.withColumn("_fine", fine).withColumn(
         "_class", F.when(F.col("_fine"), F.sha2(F.concat_ws(",", F.col("_label").cast("string"), F.col("_v").cast("array<string>")), 256))
     )
     classes = materialize(
         marked.where("_fine").groupBy("_class").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"), F.first("_label").alias("_label"), F.first("_v").alias("_v")),
         "classes",
     )
-    total = classes.count()
-    if total:
-        sample = classes.orderBy(F.xxhash64("_class"), "_class").limit(SAMPLE_ROWS).select("_v").toPandas()
-        points = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in sample["_v"]]))
-        centres = k_means(points, int(min(max(2, round(math.sqrt(total) / 16)), 1024, len(points))), spherical=True)
-    else:
-        centres = np.zeros((1, max(size, 1)))
-    placed = materialize(classes.mapInPandas(_placer(centres, threshold), "_class string, _label string, _n long, _x binary, _cell int, _home boolean"), "cells")
-    found = materialize(_compare(placed, threshold, block_rows), "links")
+    totals = classes.groupBy(F.size("_v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()
+    found = [materialize(_links(classes.where(F.size("_v") == r["d"]), r["n"], threshold, block_rows), "links") for r in totals]
+    found = reduce(DataFrame.unionByName, found) if found else vectors.sparkSession.createDataFrame([], "_class string, _links long, _other string")
     counts = found.where("_other is null").groupBy("_class").agg(F.sum("_links").alias("_links"))
     parts = components(found.where("_other is not null"), "_class", "_other")
     named = classes.join(parts.withColumnRenamed("node", "_class"), "_class", "left").withColumn("component", F.coalesce("component", "_class"))
@@ -81,6 +75,15 @@ def embedding_groups(
     )
 
 
+def _links(classes: DataFrame, total: int, threshold: float, block_rows: int) -> DataFrame:
+    """Counts and edges of ``total`` distinct vectors of one size."""
+    sample = classes.orderBy(F.xxhash64("_class"), "_class").limit(SAMPLE_ROWS).select("_v").toPandas()
+    points = _unit(np.stack([np.asarray(v, dtype=np.float64) for v in sample["_v"]]))
+    centres = k_means(points, int(min(max(2, round(math.sqrt(total) / 16)), 1024, len(points))), spherical=True)
+    placed = materialize(classes.mapInPandas(_placer(centres, threshold), "_class string, _label string, _n long, _x binary, _cell int, _home boolean"), "cells")
+    return _compare(placed, threshold, block_rows)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)

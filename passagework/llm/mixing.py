@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagework.functions.arrays import let
 from passagework.llm.packing import word_count, words_of
 from passagework.session import materialize
 
 BINS = 24
+WRITTEN = 20  # steps after which rates are written
 
 
 def features(text: Column, words: Column) -> dict[str, Column]:
@@ -32,17 +35,17 @@ def features(text: Column, words: Column) -> dict[str, Column]:
 
 
 def domain_posteriors(docs: DataFrame, labels: DataFrame, domain: str, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, list]:
-    """``(_doc, n_tokens, p)``, one row per document, and the domains in the order of ``p``.
+    """``(_doc, _hash, n_tokens, p)``, one row per document, and the domains in the order of ``p``.
 
     Naive Bayes over the binned features, from the counts of all labelled rows: a table of
     features x bins x domains, bounded whatever the input. A document with two labels counts for
     both; labels of unknown documents or of null count for nothing. Without labelled rows there is
     one domain, ``None``, which holds every document.
     """
-    slim = docs.select(F.col(doc).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    slim = docs.select(F.col(doc).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(F.col(text)).alias("_hash"))
     slim = slim.withColumn("n_tokens", word_count(F.col("_text")))
     named = features(F.col("_text"), F.col("n_tokens"))
-    slim = materialize(slim.select("_doc", "n_tokens", F.array(*named.values()).alias("_bins")), "features")
+    slim = materialize(slim.select("_doc", "_hash", "n_tokens", F.array(*named.values()).alias("_bins")), "features")
     given = labels.select(F.col(doc).alias("_doc"), F.col(domain).cast("string").alias("_domain")).where("_domain is not null")
     counts = (
         slim.join(given, "_doc").select("_domain", F.posexplode("_bins").alias("_f", "_bin"))
@@ -50,7 +53,7 @@ def domain_posteriors(docs: DataFrame, labels: DataFrame, domain: str, doc: str
     )
     domains = sorted({r["_domain"] for r in counts})
     if not domains:
-        return slim.select("_doc", "n_tokens", F.array(F.lit(1.0)).alias("p")), [None]
+        return slim.select("_doc", "_hash", "n_tokens", F.array(F.lit(1.0)).alias("p")), [None]
     total = {d: sum(r["n"] for r in counts if r["_domain"] == d and r["_f"] == 0) for d in domains}
     seen = {(r["_domain"], r["_f"], r["_bin"]): r["n"] for r in counts}
     scores = []
@@ -63,7 +66,7 @@ def domain_posteriors(docs: DataFrame, labels: DataFrame, domain: str, doc: str
     logged = slim.withColumn("_s", F.array(*scores))
     grown = F.transform("_s", lambda s: F.exp(s - F.array_max("_s")))
     whole = F.aggregate(grown, F.lit(0.0), lambda x, y: x + y)
-    return logged.select("_doc", "n_tokens", F.transform(grown, lambda g: g / whole).alias("p")), domains
+    return logged.select("_doc", "_hash", "n_tokens", F.transform(grown, lambda g: g / whole).alias("p")), domains
 
 
 def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -81,20 +84,24 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
 
 
 def mix(
-    docs: DataFrame, labels: DataFrame, domain: str, targets: dict, doc: str = "doc_id", text: str = "text", tokens: float | None = None, rounds: int = 60, tolerance: float = 1e-9
+    docs: DataFrame, labels: DataFrame, domain: str, targets: dict, doc: str = "doc_id", text: str = "text", tokens: float | None = None, rounds: int = 300, tolerance: float = 1e-9,
+    text_hash: str | None = None,
 ) -> DataFrame:
     """One row per document: id, ``n_tokens``, ``p`` (posterior per domain), ``rate`` and ``copies``.
 
     The rates minimise, over all rates >= 0, the squared distance of the expected tokens per domain
     ``sum(rate * n_tokens * p)`` from ``targets`` (weights by domain, scaled to ``tokens``, the whole
-    corpus by default; domains without a weight get 0). Projected gradient steps start from rate 1.
-    Rates are measured in units of ``sqrt(n_tokens)`` and domains in the norm that makes the step
-    size 1 right, so few steps are needed. A rate is a function of the document's posterior and
-    of the steps so far, a list of one small vector each; a step is one aggregation. ``copies`` is
+    corpus by default; domains without a weight get 0). Projected gradient steps start from rate 1, with rates in
+    units of ``sqrt(n_tokens)``. As long as they halve the distance, steps are measured in the norm of the domains that
+    makes their size 1 right, which reaches targets that can be reached in few rounds; from there on they are plain
+    ones with momentum, which end at the least squares whatever the targets. A rate is a function of the
+    document's posterior and of the steps since it was last written, a list of one small vector each; a step is one
+    aggregation. A warning says if ``rounds`` end before the totals stand still. ``copies`` is
     the rate rounded up or down by a hash of the id, its expectation being the rate.
 
     Null and empty texts have no tokens and keep rates like others. Repeated rows have the
-    same rate each. Other columns are ignored; an empty table gives no row.
+    same rate each. Other columns are ignored; an empty table gives no row. ``text_hash`` names one more column,
+    ``xxhash64`` of the text, that tells rows of one id apart.
     """
     table, domains = domain_posteriors(docs, labels, domain, doc, text)
     table = materialize(table, "posteriors")
@@ -109,29 +116,54 @@ def mix(
     if n == 1 and domains[0] is None:
         goal = [everything if tokens is None else float(tokens)]
     g = [[(gram[f"g{i}_{j}"] or 0.0) + (1e-9 * everything + 1e-9 if i == j else 0.0) for j in range(n)] for i in range(n)]
-    steps: list[list[float]] = []
+    table = table.withColumn("rate", F.lit(1.0)).withColumn("ahead", F.lit(1.0))
+    largest = max(sum(row) for row in g)  # no eigenvalue of a matrix without negative entries is above its largest row
+    steps: list[tuple[list[float], float]] = []
+    plain, still, momentum, before = False, 0, 1.0, None
     for _ in range(rounds):
-        rate = _rate(steps, n)
-        now = table.agg(*[F.sum(weight * rate * p[i]).alias(f"t{i}") for i in range(n)]).first()
-        miss = [(now[f"t{i}"] or 0.0) - goal[i] for i in range(n)]
-        if max(abs(x) for x in miss) <= tolerance * max(everything, 1.0):
+        if len(steps) == WRITTEN:
+            now = _state(steps, n)
+            table, steps = materialize(table.withColumn("_s", now).withColumn("rate", F.col("_s.rate")).withColumn("ahead", F.col("_s.ahead")).drop("_s"), "rates"), []
+        state = table.withColumn("_s", _state(steps, n))
+        sums = [F.sum(weight * F.col(f"_s.{which}") * p[i]).alias(f"{which}{i}") for which in ("rate", "ahead") for i in range(n)]
+        found = state.agg(*sums).first()
+        totals, miss = ([(found[f"{which}{i}"] or 0.0) - by for i, by in enumerate(goals)] for which, goals in (("rate", [0.0] * n), ("ahead", goal)))
+        far = sum((t - x) ** 2 for t, x in zip(totals, goal, strict=True))
+        moved = float("inf") if before is None else max(abs(t - x) for t, x in zip(totals, before[0], strict=True))
+        still = still + 1 if plain and moved <= 1e-7 * max(everything, 1.0) else 0
+        if max(abs(t - x) for t, x in zip(totals, goal, strict=True)) <= tolerance * max(everything, 1.0) or still == 3:
             break
-        steps.append(solve(g, miss))
-    rate = _rate(steps, n)
+        if not plain and before is not None and far > before[1] / 4:
+            plain = True
+        if plain:
+            # Momentum starts again whenever it leads away.
+            momentum = 1.0 if before is not None and far > before[1] else momentum
+            grown = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
+            steps.append(([x / largest for x in miss], (momentum - 1) / grown))
+            momentum = grown
+        else:
+            steps.append((solve(g, miss), 0.0))
+        before = (totals, far)
+    else:
+        warnings.warn(f"rates still moved after {rounds} rounds", stacklevel=2)
+    table = table.withColumn("rate", _state(steps, n)["rate"])
+    rate = F.col("rate")
     chance = F.pmod(F.xxhash64("_doc", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
-    out = table.select(F.col("_doc").alias(doc), "n_tokens", "p", rate.alias("rate"))
-    return out.withColumn("_doc", F.col(doc)).withColumn("copies", copies.cast("int")).drop("_doc")
+    return table.select(
+        F.col("_doc").alias(doc), "n_tokens", "p", rate, copies.cast("int").alias("copies"), *([F.col("_hash").alias(text_hash)] if text_hash else [])
+    )
 
 
-def _rate(steps: list[list[float]], n: int) -> Column:
-    """Rate after the given steps; each is followed by the projection to zero and above."""
+def _state(steps: list[tuple[list[float], float]], n: int) -> Column:
+    """Rate, and the point ahead of it that the next step starts from, after more steps; each ends at zero or above."""
+    start = F.struct(F.col("rate").alias("rate"), F.col("ahead").alias("ahead"))
     if not steps:
-        return F.lit(1.0)
-    moves = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+        return start
+    moves = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in move]).alias("move"), F.lit(float(by)).alias("by")) for move, by in steps])
 
-    def step(rate: Column, move: Column) -> Column:
-        down = reduce(lambda x, y: x + y, [F.get(move, F.lit(i)) * F.get("p", F.lit(i)) for i in range(n)])
-        return F.greatest(F.lit(0.0), rate - down)
+    def step(at: Column, s: Column) -> Column:
+        down = reduce(lambda x, y: x + y, [F.get(s["move"], F.lit(i)) * F.get("p", F.lit(i)) for i in range(n)])
+        return let(F.greatest(F.lit(0.0), at["ahead"] - down), lambda rate: F.struct(rate.alias("rate"), (rate + s["by"] * (rate - at["rate"])).alias("ahead")))
 
-    return F.aggregate(moves, F.lit(1.0), step)
+    return F.aggregate(moves, start, step)

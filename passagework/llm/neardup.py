@@ -25,6 +25,7 @@ REGION = 256  # sets in a region above which it is read deeper, and its sets are
 NEAR = 2  # sorted neighbours on either side that are compared whatever their region; the first round takes one
 FIRST = 1  # partners per set and order that the first round hands on; the second has no limit
 GROUP = 128  # sets whose full shingles meet in one task
+STRETCH = 128  # rows of an order whose small regions go together
 COLUMNS = 1 << 14  # shingles of a region that are compared at a time
 LONG = 1024  # values of the sketch that the second round compares
 BINS = 1 << 20  # counters of the order by rarity
@@ -214,9 +215,11 @@ def _of_tree(part: pd.DataFrame, tree: int, share: tuple[int, int], near: int, l
         if pairs:
             out.append(np.column_stack([np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])]))
             continue
+        # Small regions and lone neighbours of a stretch of the order go together, under the name of its first row.
+        small = low is not None and j.max(initial=low) - low < STRETCH // 2
+        first = i // STRETCH * STRETCH if low is None else np.full(len(i), low // STRETCH * STRETCH if small else low)
         with np.errstate(over="ignore"):
-            # A number for the region, or for two neighbours on their own.
-            name = (nodes[i] * 31 + nodes[j] * 17 if low is None else np.repeat(nodes[low], len(i)) * 31 + 1) + tree
+            name = nodes[first] * 31 + tree
         for x in (i, j):
             out.append(np.column_stack([name, nodes[x]]))
     return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)

@@ -32,8 +32,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 WIDE = {chr(0xFF21 + i): chr(97 + i) for i in range(26)} | {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
 SHIFT = str.maketrans(HOMOGLYPHS | DIGITS | WIDE)
 HITS = "_doc long, n_words long, _s double, n_hits int, _hash long"
-SAMPLE_ROWS = 20_000  # labelled rows that weights and coefficients are learned from
-MOST_WORDS = 5_000  # words taken over from the labelled rows
+SAMPLE_ROWS = 20_000  # labelled rows that the coefficients are fitted on
 LEAST_DOCS, LEAST_SHARE = 5, 0.5  # toxic texts that hold such a word; lower bound of its share of toxic texts
 
 
@@ -90,13 +89,15 @@ def match_lexicon(docs: DataFrame, weights: dict[str, float], exceptions: list[s
 def learn_weights(sample: DataFrame, lexicon: list[str]) -> dict[str, float]:
     """Log odds of folded words in the distinct texts of ``sample (_text, _y)``.
 
-    Besides the lexicon, words of at least ``LEAST_DOCS`` toxic texts count whose share of toxic
-    texts is above ``LEAST_SHARE`` with some certainty: at most ``MOST_WORDS``, the most frequent.
+    Besides the lexicon, all words of at least ``LEAST_DOCS`` toxic texts count whose share of toxic
+    texts is above ``LEAST_SHARE`` with some certainty. They are as many as the vocabulary bears out, however many rows there are.
     """
-    texts = sample.groupBy(F.md5("_text")).agg(F.first("_text").alias("_text"), F.max("_y").alias("_y"))
     letters = HOMOGLYPHS | {k: v for k, v in DIGITS.items() if k.isalnum()} | WIDE
     low = F.translate(F.lower("_text"), "".join(letters), "".join(letters.values()))
-    words = texts.select("_y", F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
+    said = F.array_distinct(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    # One row per text, in which its words are distinct already.
+    texts = materialize(sample.groupBy(F.md5("_text")).agg(F.first(said).alias("_words"), F.max("_y").alias("_y")), "texts")
+    words = texts.select("_y", F.explode("_words").alias("word"))
     totals = {r["_y"]: r["n"] for r in texts.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     counts = words.groupBy("word").agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("c"))
@@ -105,7 +106,7 @@ def learn_weights(sample: DataFrame, lexicon: list[str]) -> dict[str, float]:
     sure = (share + z * z / 2 / n - z * F.sqrt(share * (1 - share) / n + z * z / 4 / n / n)) / (1 + z * z / n)
     base = [fold(w) for w in lexicon]
     own = counts.where(F.col("word").isin(*base)).collect()
-    more = counts.where((F.col("t") >= LEAST_DOCS) & (sure >= LEAST_SHARE)).orderBy(F.desc("t"), "word").limit(MOST_WORDS).collect()
+    more = counts.where((F.col("t") >= LEAST_DOCS) & (sure >= LEAST_SHARE)).collect()
     weights = {
         r["word"]: max(0.0, math.log((r["t"] + 0.5) / (bad + 1)) - math.log((r["c"] + 0.5) / (good + 1))) for r in [*own, *more]
     }
@@ -138,9 +139,9 @@ def score_toxicity(
 ) -> DataFrame:
     """One row per document: id, ``held_out``, ``score`` in 0..1, ``predicted`` and ``n_hits``.
 
-    Words and weights are learned from at most ``sample_rows`` labelled rows that are not held out
-    (crc32 of the id mod 4 is not 2), those with the smallest hash. The weighted hits and their
-    density by words go through a logistic function, fitted on the same rows. Without labels of
+    Words and weights are learned from all labelled rows that are not held out (crc32 of the id mod 4 is
+    not 2). The weighted hits and their density by words go through a logistic function, fitted on at most
+    ``sample_rows`` of these rows, those with the smallest hash. Without labels of
     both kinds the lexicon's weights are 1 and fixed coefficients hold.
 
     Null and empty texts have no hits and get the score of any clean text. Repeated rows are
@@ -152,13 +153,13 @@ def score_toxicity(
         return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
     given = labels.select(F.col(doc).cast("long").alias("_doc"), F.col(toxic).cast("int").alias("_y")).where("_y in (0, 1)")
-    chosen = given.where(~held("_doc")).distinct().orderBy(F.xxhash64("_doc"), "_doc", "_y").limit(sample_rows)
+    taught = materialize(given.where(~held("_doc")).distinct(), "labelled")
     # No more than ``sample_rows`` pairs of numbers.
-    chosen = F.broadcast(materialize(chosen, "labelled"))
+    chosen = F.broadcast(materialize(taught.orderBy(F.xxhash64("_doc"), "_doc", "_y").limit(sample_rows), "chosen"))
     rows = docs.select(F.col(doc).cast("long").alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    sample = materialize(rows.join(chosen, "_doc").select("_text", "_y"), "sample")
-    learned = sample.select("_y").distinct().count() == 2
-    weights = learn_weights(sample, list(lexicon)) if learned else {fold(w + end): 1.0 for w in lexicon for end in ENDINGS}
+    read = rows.join(taught, "_doc").select("_text", "_y")
+    learned = read.select("_y").distinct().count() == 2
+    weights = learn_weights(read, list(lexicon)) if learned else {fold(w + end): 1.0 for w in lexicon for end in ENDINGS}
     hits = materialize(match_lexicon(docs, weights, exceptions, doc, text), "hits")
     scored = hits.withColumn("_d", F.lit(100.0) * F.col("_s") / F.greatest("n_words", F.lit(1)))
     inputs = [(F.col("_s") > 0).cast("double"), F.log1p("_s"), F.log1p("_d")]
