@@ -22,7 +22,11 @@ def same_row(docs: DataFrame, decided: DataFrame) -> Column:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that score 0.3 or more."""
+    """Without the documents that score 0.3 or more.
+
+    Null and empty texts score like any clean text and stay, repeated rows stay or go together, other rows of an id are
+    judged on their own; an empty table gives no row.
+    """
     ship_package(tune(spark))
     scored = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3, text_hash="_hash")
     toxic = scored.where("predicted = 1").select(F.col("doc_id").alias("_id"), "_hash").distinct()
@@ -32,7 +36,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity of 0.8 or more.
 
-    Of rows with one id and one text the first stays; such rows alone are gone through once more.
+    Of rows with one id and one text the first stays; such rows alone are gone through once more. Null, empty and blank
+    texts have no shingles, link with nothing and stay; an empty table gives no row.
     """
     ship_package(tune(spark))
     groups = neardup.near_duplicates(docs, shingle=5, share=(80, 100), text_hash="_hash")
@@ -43,23 +48,33 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With surrogates for personal data."""
+    """With surrogates for personal data; ``n_chars`` counts anew.
+
+    A null text stays null, empty ones empty; every row stays, repeated or not; an empty table gives no row.
+    """
     tune(spark)
     out = pii.replace_personal_data(docs, PII_KEY)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its copies say, which brings the quality classes to their weights."""
+    """Each document as often as its copies say, which brings the quality classes to their weights.
+
+    A row's rate follows from its id and text, so rows of one id with other texts keep their own. Null and empty texts have no tokens and the
+    rate of their posterior; repeated rows are mixed each; an empty table gives no row.
+    """
     tune(spark)
-    rates = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", MIX_TARGETS)
-    copies = rates.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"])).where("_copies > 0")
+    rates = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", MIX_TARGETS, text_hash="_hash")
+    copies = rates.groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.max("copies").alias("_copies"))
+    joined = docs.join(copies, same_row(docs, copies)).where("_copies > 0")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*COLUMNS)
 
 
 def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place of every document in its bucket's batches."""
+    """Place of every document in its bucket's batches.
+
+    Null and empty texts have no tokens and take a place like others; repeated rows take one each; an empty table gives no row.
+    """
     tune(spark)
     return packing.pack(docs, **PACK)
 
