@@ -6,11 +6,11 @@ import re
 import pandas as pd
 import pytest
 
-import __spark_entry__ as entry
+from passagework.plans import registered
 from passagework.plans.catalog import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, CHECKS = entry.queries(), entry.oracle_sql()
+QUERIES, CHECKS = registered()
 # Stages that need Python: caller-supplied functions, vector blocks, ordered decisions.
 PYTHON = {
     "embed_dedup", "model_stage", "alert_debounce", "sliding_rate_limit", "vector_topk",
