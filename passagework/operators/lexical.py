@@ -1,4 +1,4 @@
-"""Term index and lexical ranking of many questions at once.
+"""Lexical ranking of many questions at once, without a stored index (see ``lexical_index``).
 
 Terms are counted inside the row of their node. Questions and postings meet in blocks: a block
 of questions and one of nodes are scored in one task, question by question, which gives its
@@ -25,7 +25,6 @@ from passagework.session import materialize
 MATCH_WEIGHT = 0.1
 RANK_NORM = 1.64493406685
 
-TERM_BUCKETS = 16  # folders of a stored index, per tenant
 POSTING_ROWS = 400_000  # postings of a block
 TERM_ROWS = 8192  # question terms of a block
 
@@ -39,34 +38,6 @@ def question_terms(
     return exploded(counted, [query, *keep, "n_terms"], "_terms", "term")
 
 
-def _term_runs(words: Column) -> Column:
-    """``(term, positions)`` of every distinct term of a token array, without leaving the row."""
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
-
-    def runs(rows: Column) -> Column:
-        first = F.filter(
-            F.sequence(F.lit(0), F.size(rows) - 1),
-            lambda i: (i == 0) | (F.get(rows, i)["term"] != F.get(rows, i - 1)["term"]),
-        )
-
-        def cut(starts: Column) -> Column:
-            # The positions are bound once; a lambda would read them out again for every term.
-            return let(
-                rows["at"],
-                lambda places: F.transform(
-                    starts,
-                    lambda s, j: F.struct(
-                        F.get(rows, s)["term"].alias("term"),
-                        F.slice(places, s + 1, F.coalesce(F.get(starts, j + 1), F.size(places)) - s).alias("positions"),
-                    ),
-                ),
-            )
-
-        return F.when(F.size(rows) > 0, let(first, cut)).otherwise(F.array().cast("array<struct<term:string,positions:array<int>>>"))
-
-    return let(placed, runs)
-
-
 def term_counts(
     nodes: DataFrame,
     node: str = "node_id",
@@ -100,25 +71,6 @@ def term_counts(
     return rows
 
 
-def build_postings(nodes: DataFrame, node: str = "node_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """Term index: term, node, frequency and the sorted token positions, without a shuffle."""
-    rows = exploded(nodes, [node, *keep], _term_runs(X.tokens(F.col(text))), "_t")
-    return rows.select("_t.term", node, *keep, F.size("_t.positions").cast("long").alias("tf"), "_t.positions")
-
-
-def write_postings(postings: DataFrame, path: str, buckets: int = TERM_BUCKETS, tenant: str | None = None) -> None:
-    """Store a term index with one folder per tenant and term bucket."""
-    by = [*([tenant] if tenant else []), "bucket"]
-    placed = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    placed.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
-
-
-def stored_counts(index: DataFrame, terms: DataFrame, buckets: int = TERM_BUCKETS, node: str = "node_id", keep: Sequence[str] = ()) -> DataFrame:
-    """Rows of a stored index for the terms of questions; folders of other buckets are not read."""
-    wanted = terms.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    return skew.join_small(index, wanted, ["bucket", "term"], "left_semi").select(node, *keep, "term", "tf")
-
-
 _TABLE_SIZE = 64
 
 
@@ -222,25 +174,3 @@ def lexical_topk(
     """
     shares = terms.withColumn("share", 1 / F.col("n_terms"))
     return score_topk(shares, counts.withColumn("gain", match_score(F.col("tf"))), k, query, node, scope)
-
-
-def bm25_topk(
-    terms: DataFrame,
-    counts: DataFrame,
-    nodes: int,
-    avg_length: float,
-    k: int,
-    k1: float = 1.2,
-    b: float = 0.75,
-    query: str = "query_id",
-    node: str = "node_id",
-) -> DataFrame:
-    """Okapi BM25. ``counts`` carries ``length``; ``nodes`` and ``avg_length``
-    describe the whole collection."""
-    spread = counts.groupBy("term").agg(F.count("*").alias("df"))
-    # One row per term: document frequencies join term by term.
-    matched = skew.join_small(counts, spread, ["term"])
-    idf = F.log(1 + (F.lit(nodes) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    damp = k1 * (1 - b + b * F.col("length") / F.lit(avg_length))
-    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + damp)
-    return score_topk(terms.withColumn("share", F.lit(1.0)), matched.withColumn("gain", gain), k, query, node)

@@ -10,7 +10,7 @@ from passagework.functions import text as X
 from passagework.functions import vectors as V
 from passagework.operators import chunking as C
 from passagework.operators import fusion as R
-from passagework.operators import lexical as L
+from passagework.operators import lexical_index as I
 from passagework.operators import models as M
 from passagework.operators import vector as N
 from passagework.plans import retrieval as P
@@ -23,7 +23,7 @@ from passagework.session import materialize, work_folder
 # document's source is its tenant. The embedding counts hashed tokens, which is exact in both
 # engines. The index tables are written once per session and folder, as an ingest job would do.
 DIM = 64
-_STORED: dict[tuple[str, str], P.Corpus] = {}
+_STORED: dict[tuple[str, str, int], P.Corpus] = {}
 
 
 def bucket_counts(texts):
@@ -37,9 +37,12 @@ def bucket_counts(texts):
     return out
 
 
+def asked_texts(t: Tables):
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+
+
 def questions(t: Tables):
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return M.embed(asked, "question", bucket_counts)
+    return M.embed(asked_texts(t), "question", bucket_counts)
 
 
 def of_tenants(asked):
@@ -48,7 +51,10 @@ def of_tenants(asked):
 
 
 def corpus(t: Tables) -> P.Corpus:
-    key = (t.spark.sparkContext.applicationId, t.folder)
+    files = t.documents.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    # A table that changes in a session is another one.
+    version = files.agg(F.coalesce(F.sum(F.shiftright(F.xxhash64(*files.columns), 20)), F.lit(0))).first()[0]
+    key = (t.spark.sparkContext.applicationId, t.folder, version)
     if key not in _STORED:
         _STORED[key] = build_corpus(t)
     return _STORED[key]
@@ -66,11 +72,10 @@ def build_corpus(t: Tables) -> P.Corpus:
     )
     nodes = materialize(M.embed(children, "content", bucket_counts), "nodes")
     parents = C.parent_rows(docs).select(part("chunk_index").alias("parent_id"), "doc_id", "tenant_id", name, "chunk_index", "content")
-    path = work_folder(t.spark, "postings")
-    counts = L.term_counts(nodes, text="content", keep=["doc_id", "tenant_id"])
-    L.write_postings(counts, path)
+    path = work_folder(t.spark, "index")
+    I.add_segment(nodes, path, tenant="tenant_id")
     return P.Corpus(
-        nodes.drop("embedding"), nodes.select("node_id", "tenant_id", "embedding"), materialize(parents, "parents"), t.spark.read.parquet(path)
+        nodes.drop("embedding"), nodes.select("node_id", "tenant_id", "embedding"), materialize(parents, "parents"), I.read_index(t.spark, path)
     )
 
 
@@ -79,8 +84,7 @@ def dense_list(t: Tables, k: int = 40):
 
 
 def sparse_list(t: Tables, k: int = 40):
-    terms = L.question_terms(questions(t), text="question")
-    return L.lexical_topk(terms, L.stored_counts(corpus(t).postings, terms), k)
+    return I.search(corpus(t).postings, asked_texts(t), k)
 
 
 def table_questions(t: Tables):
@@ -178,17 +182,10 @@ FROM (SELECT node_id, tenant_id, unnest(k) AS term, generate_subscripts(k, 1) -
 GROUP BY ALL
 """)
 def build_postings(t: Tables):
-    """The index of every tenant, written by tenant and term bucket and read back."""
-    path = work_folder(t.spark, "postings")
-    L.write_postings(L.build_postings(corpus(t).nodes, text="content", keep=["tenant_id"]), path, 2, "tenant_id")
-    return t.spark.read.parquet(path).select(
-        "term",
-        "node_id",
-        "tenant_id",
-        "tf",
-        F.element_at("positions", 1).alias("first_position"),
-        F.element_at("positions", -1).alias("last_position"),
-    )
+    """The index of every tenant, written as a segment and read back row by row."""
+    path = work_folder(t.spark, "index")
+    I.add_segment(corpus(t).nodes, path, tenant="tenant_id")
+    return I.posting_rows(I.read_index(t.spark, path)).withColumnRenamed("tenant", "tenant_id")
 
 
 @query("lexical_topk", f"WITH {SPARSE} SELECT query_id, node_id, round(score, 6) AS score, rank FROM sparse")
@@ -207,11 +204,7 @@ SELECT query_id, node_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM okapi) WHERE rank <= 40
 """)
 def lexical_bm25(t: Tables):
-    terms = L.question_terms(questions(t), text="question")
-    nodes = corpus(t).nodes.select("node_id", F.size(X.tokens(F.col("content"))).alias("length"), "content")
-    whole = nodes.agg(F.count("*"), F.avg("length")).first()
-    counts = L.term_counts(nodes, text="content", keep=["length"], vocabulary=terms)
-    return L.bm25_topk(terms, counts, whole[0], whole[1], 40).withColumn("score", F.round("score", 6))
+    return I.search(corpus(t).postings, asked_texts(t), 40, "bm25").withColumn("score", F.round("score", 6))
 
 
 @query("scope_filter", f"""
@@ -222,9 +215,7 @@ UNION ALL SELECT 'lexical', query_id, node_id, round(score, 6), rank FROM sparse
 def scope_filter(t: Tables):
     """Both searches restricted to the tenant of the question."""
     c, asked = corpus(t), of_tenants(questions(t))
-    terms = L.question_terms(asked, text="question", keep=["tenant_id"])
-    counts = L.stored_counts(c.postings, terms, keep=["tenant_id"])
-    lexical = L.lexical_topk(terms, counts, 10, scope=["tenant_id"])
+    lexical = I.search(c.postings, of_tenants(asked_texts(t)), 10, tenant="tenant_id")
     own = asked.withColumn("tenant_id", F.array("tenant_id"))
     dense = N.vector_topk(own, c.vectors, 10, scope="tenant_id").withColumnRenamed("similarity", "score")
     both = [found.select(F.lit(side).alias("side"), "query_id", "node_id", F.round("score", 6).alias("score"), "rank") for side, found in (("dense", dense), ("lexical", lexical))]

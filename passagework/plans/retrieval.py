@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework import constants as K
-from passagework.operators import fusion, lexical, vector
+from passagework.operators import fusion, lexical, lexical_index, vector
 from passagework.operators.models import score_pairs
 from passagework.session import materialize
 
@@ -25,7 +25,7 @@ class Corpus:
     ``vectors``: node_id, embedding; ``parents``: parent_id, content, and, where a parent's own
     metadata replace the child's, doc_id, filename, chunk_index. With tenants every table and the
     questions have a ``tenant_id``: a question then sees rows of its tenant only. ``postings`` is a
-    stored term index (node_id, doc_id, term, tf); without it terms are counted for each search.
+    stored term index (``lexical_index``); without it terms are counted for each search.
     ``lists`` is a clustered vector index: (cluster model, table of ``vector.write_lists``).
     """
 
@@ -90,12 +90,11 @@ def _scoped_dense(corpus: Corpus, asked: DataFrame, scope: DataFrame | None, lim
 
 def _scoped_sparse(corpus: Corpus, questions: DataFrame, scope: DataFrame | None, limit: int) -> DataFrame:
     tenant = [TENANT] if TENANT in questions.columns else []
+    if corpus.postings is not None:
+        return lexical_index.search(corpus.postings, questions, limit, tenant=TENANT if tenant else None, scope=scope)
     terms = lexical.question_terms(questions, text="question", keep=tenant)
     keep = ["doc_id", *tenant]
-    if corpus.postings is not None:
-        counts = lexical.stored_counts(corpus.postings, terms, keep=keep)
-    else:
-        counts = lexical.term_counts(corpus.nodes, text="content", keep=keep, vocabulary=terms)
+    counts = lexical.term_counts(corpus.nodes, text="content", keep=keep, vocabulary=terms)
     if scope is None:
         return lexical.lexical_topk(terms, counts, limit, scope=tenant)
     scoped_terms = terms.join(scope, "query_id")
