@@ -102,15 +102,16 @@ def substring_positions(text: Column, word: Column, quoted: Column) -> Column:
 MARK, NOT_MARK = "\ufdd0", "\ufdd1"  # code points that no text may use
 
 
-def regex_positions(text: Column, pattern: str) -> Column:
+def regex_positions(text: Column, pattern: str | Column) -> Column:
     """0-based offsets of the matches of a pattern, empty ones included, left to right.
 
     A mark goes in front of every match; what stands before a mark adds up to its offset.
     """
-    marked = F.regexp_replace(F.translate(text, MARK, NOT_MARK), pattern, f"{MARK}$0")
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    marked = F.regexp_replace(F.translate(text, MARK, NOT_MARK), pattern, F.lit(f"{MARK}$0"))
     lengths = F.transform(F.split(marked, MARK, -1), lambda p: F.length(p))
     offsets = let(lengths, lambda n: running(F.slice(n, F.lit(1), F.size(n) - 1)))
-    return F.when(text.rlike(pattern), offsets).otherwise(empty("int"))
+    return F.when(F.rlike(text, pattern), offsets).otherwise(empty("int"))
 
 
 def render(template: str, values: Mapping[str, Column], strict: bool = True) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from passagework import constants as K
 from passagework.functions import text as X
+from passagework.operators import rule_index as RI
 from passagework.operators import rules as R
 from passagework.plans.catalog import Tables, query
 from passagework.plans.sqltext import phrases, tokens
@@ -16,6 +17,11 @@ CUSTOM = [
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
 
+def by_table(t: Tables, rules):
+    """Matches of all documents with rules that come as a table."""
+    return RI.match_rule_table(t.docs.select("doc_id", "text"), R.rule_frame(t.spark, rules))
+
+
 def keyword_sql(word: str, category: str) -> str:
     test = " AND ".join(f"c[i + {n}] = '{ch}'" for n, ch in enumerate(word))
     return f"""SELECT doc_id, '{category}' AS category, '{word}' AS keyword,
@@ -78,8 +84,7 @@ def query_terms(t: Tables):
 
 @query("keyword_positions", " UNION ALL ".join(keyword_sql(r.pattern, r.category) for r in CUSTOM[:2]))
 def keyword_positions(t: Tables):
-    found = R.match_rules(t.docs.select("doc_id", "text"), [*[r for r in R.default_rules() if r.kind == "keyword"], *CUSTOM[:2]])
-    return R.match_rows(found)
+    return R.match_rows(by_table(t, [*[r for r in R.default_rules() if r.kind == "keyword"], *CUSTOM[:2]]))
 
 
 @query("token_sequence_match", """
@@ -96,7 +101,7 @@ def token_sequence_match(t: Tables):
 
 @query("regex_positions", regex_sql(r"ing [a-z]{2}", "word_parts"))
 def regex_positions(t: Tables):
-    return R.match_rows(R.match_rules(t.docs.select("doc_id", "text"), CUSTOM[2:]))
+    return R.match_rows(by_table(t, CUSTOM[2:]))
 
 
 @query("rule_match", " UNION ALL ".join(
@@ -106,8 +111,7 @@ def regex_positions(t: Tables):
        digits_sql(r"(?<!\d)\d{17}[\dXx](?!\d)", "[0-9]+[Xx]?", "[0-9]{17}[0-9Xx]")]
 ))
 def rule_match(t: Tables):
-    found = R.match_rules(t.docs.select("doc_id", "text"), [*R.default_rules(), *CUSTOM])
-    return R.match_rows(found)
+    return R.match_rows(by_table(t, [*R.default_rules(), *CUSTOM]))
 
 
 @query("rule_table", """
@@ -174,8 +178,7 @@ SELECT 'personal_info' AS category, keyword, count(*) AS documents, sum(n)::bigi
 FROM hits WHERE n > 0 GROUP BY keyword
 """)
 def pii_scan(t: Tables):
-    found = R.match_rules(t.docs.select("doc_id", "text"), R.personal_data_rules())
-    return R.category_totals(R.match_rows(found))
+    return R.category_totals(R.match_rows(by_table(t, R.personal_data_rules())))
 
 
 PREFIXES = ["", "Sorry, ", "抱歉，我无法", "知识库中没有", "综上所述"]

@@ -18,7 +18,8 @@ PYTHON = {
     "recall_fallbacks", "overlap_report", "lexical_topk", "lexical_bm25", "scope_filter", "score_normalize", "retrieve_fast",
     "retrieve_deep", "rerank", "rerank_candidates", "expand_parents", "stage_gate", "context_assemble", "answer_context",
     "answer_questions", "embed_batch", "claim_support", "claim_parent_recheck", "vector_factuality", "faithfulness", "answer_relevancy",
-    "guard_answers", "stream_alerts", "stream_rate_limit",
+    "guard_answers", "stream_alerts", "stream_rate_limit", "keyword_positions", "regex_positions", "rule_match", "pii_scan",
+    "build_postings",
 }
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
 
@@ -54,7 +55,7 @@ def test_query(spark, con, name):
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in PYTHON:
-        assert not re.search(r"MapInPandas|FlatMapGroupsInPandas|ArrowEvalPython|BatchEvalPython", plan)
+        assert not re.search(r"MapInPandas|MapInArrow|FlatMapGroupsInPandas|ArrowEvalPython|BatchEvalPython", plan)
     got = result.toPandas()
     if name in CHECKS:
         assert rows_of(got) == rows_of(con.sql(CHECKS[name]).df())
