@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passagework import constants as K
 from passagework.functions import text as X
-from passagework.functions import vectors as V
 from passagework.functions.arrays import exploded
+from passagework.session import materialize
 
 VERDICT_COLUMNS = ["item_id", "dimension", "passed", "score", "details"]
 
@@ -110,23 +113,62 @@ def claim_rows(items: DataFrame, expression: Column, keep: Sequence[str]) -> Dat
 
 
 def nearest_source(
-    claims: DataFrame, vectors: DataFrame, keys: Sequence[str] = ("item_id", "position"), scope: str = "doc_ids"
+    claims: DataFrame, vectors: DataFrame, keys: Sequence[str] = ("item_id", "position"), scope: str = "doc_ids", block_rows: int = 4096
 ) -> DataFrame:
     """``claims`` with ``similarity`` and ``parent_id`` of the nearest node among the answer's sources.
 
     ``claims``: keys, embedding, an array of document ids; ``vectors``: node_id, doc_id, parent_id,
-    embedding. A claim meets the nodes of its few sources in a join on the document; a claim
-    without any has similarity 0.
+    embedding. The claims and the nodes of a document meet in blocks of at most about ``block_rows`` rows on either
+    side, many small documents to a task; a block gives one best row per claim, never its pairs. A
+    claim without sources has similarity 0.
     """
+    keys = list(keys)
     asked = claims.select(*keys, F.col("embedding").alias("_claim"), F.explode(scope).alias("doc_id"))
-    sides = vectors.select("doc_id", "node_id", "parent_id", F.col("embedding").alias("_node"))
-    pairs = asked.join(sides, "doc_id").withColumn("_sim", F.round(V.cosine(F.col("_claim"), F.col("_node")), 9))
+    m = asked.groupBy("doc_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_qb"), F.count("*").alias("_m"))
+    n = vectors.groupBy("doc_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_vb"), F.count("*").alias("_n"))
+    # One row per document that an answer names.
+    sizes = materialize(m.join(n, "doc_id"), "sizes")
+    rows = sizes.agg(F.sum(F.col("_m") * F.col("_vb") + F.col("_n") * F.col("_qb"))).first()[0] or 0
+    tasks = int(rows // block_rows) + 1
+    blocks = sizes.select("doc_id", "_qb", "_vb")
+
+    def dealt(df: DataFrame, own: str, other: str, salt: Sequence[str], names: tuple[str, str]) -> DataFrame:
+        spread = df.join(blocks, "doc_id").withColumn(names[0], F.pmod(F.xxhash64(*salt), own).cast("int"))
+        spread = spread.withColumn(names[1], F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return spread.withColumn("_task", F.pmod(F.xxhash64("doc_id", "_i", "_j"), F.lit(tasks))).drop(own, other)
+
+    left = dealt(asked, "_qb", "_vb", keys, ("_i", "_j"))
+    right = dealt(vectors.select("doc_id", "node_id", "parent_id", F.col("embedding").alias("_node")), "_vb", "_qb", ["node_id"], ("_j", "_i"))
+    fields = [claims.schema[k] for k in keys] + [vectors.schema["node_id"], vectors.schema["parent_id"], T.StructField("_sim", T.DoubleType())]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+    found = left.groupBy("_task").cogroup(right.groupBy("_task")).applyInPandas(_nearest_of_block(keys), schema)
     best = F.min_by(F.struct("_sim", "parent_id"), F.struct((-F.col("_sim")).alias("s"), "node_id"))
-    found = pairs.groupBy(*keys).agg(best.alias("_best"))
-    joined = claims.join(found, list(keys), "left")
+    joined = claims.join(found.groupBy(*keys).agg(best.alias("_best")), keys, "left")
     return joined.withColumn("similarity", F.coalesce("_best._sim", F.lit(0.0))).withColumn("parent_id", F.col("_best.parent_id")).drop("_best")
 
 
+def _nearest_of_block(keys: list[str]):
+    """The nearest node of each claim, document by document."""
+
+    def run(asked: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        sides = {k: part for k, part in nodes.groupby(["doc_id", "_i", "_j"], sort=False)}
+        for key, part in asked.groupby(["doc_id", "_i", "_j"], sort=False):
+            if key not in sides:
+                continue
+            side = sides[key].sort_values("node_id")
+            a, b = (np.stack(x.to_numpy()).astype(np.float64) for x in (part["_claim"], side["_node"]))
+            size = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))
+            sims = np.round(np.divide(a @ b.T, size, out=np.zeros(size.shape), where=size > 0), 9)
+            at = sims.argmax(1)  # the first of equals, hence the smallest node
+            out.append(part[keys].assign(
+                node_id=side["node_id"].to_numpy()[at], parent_id=side["parent_id"].to_numpy()[at], _sim=sims[np.arange(len(at)), at]
+            ))
+        return pd.concat(out) if out else pd.DataFrame(columns=[*keys, "node_id", "parent_id", "_sim"])
+
+    return run
+
+
 def claim_status(similarity: Column) -> Column:
     return (
         F.when(similarity >= K.CLAIM_SUPPORTED, "supported")
@@ -185,10 +227,10 @@ def vector_factuality(items: DataFrame, checked: DataFrame, item: str = "item_id
     )
 
 
-def token_support(claim: Column, reference: Column) -> Column:
+def token_support(claim: Column, reference: Column, reference_tokens: Column | None = None) -> Column:
     """A claim is supported when enough of its tokens, or one longer word, occur."""
     tokens = X.long_tokens(claim)
-    shared = F.size(F.array_intersect(tokens, X.long_tokens(reference)))
+    shared = F.size(F.array_intersect(tokens, X.long_tokens(reference) if reference_tokens is None else reference_tokens))
     enough = shared >= F.greatest(F.lit(1.0), F.size(tokens) * 0.3)
     words = F.filter(whitespace_terms(claim), lambda w: F.length(w) > 2)
     literal = F.exists(words, lambda w: F.contains(reference, w))
@@ -472,5 +514,7 @@ def input_block(items: DataFrame, passed: str = "input_passed") -> tuple[DataFra
 
 def support_of_answers(items: DataFrame, keep: Sequence[str] = ("item_id",)) -> DataFrame:
     """Token support of every claim of the answers against their own context."""
-    rows = claim_rows(items, fallback_claims(F.col("answer")), [*keep, "context"])
-    return rows.select(*keep, "position", "claim", token_support(F.col("claim"), F.col("context")).alias("supported"))
+    # A context is cut into tokens once, whatever the number of claims.
+    read = items.withColumn("_tokens", X.long_tokens(F.col("context")))
+    rows = claim_rows(read, fallback_claims(F.col("answer")), [*keep, "context", "_tokens"])
+    return rows.select(*keep, "position", "claim", token_support(F.col("claim"), F.col("context"), F.col("_tokens")).alias("supported"))

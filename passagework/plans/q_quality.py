@@ -1,20 +1,27 @@
 """Registered queries: answer quality."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from passagework import constants as K
 from passagework.functions import text as X
 from passagework.functions import vectors as V
+from passagework.operators import fusion
+from passagework.operators import lexical_index as I
+from passagework.operators import models as M
 from passagework.operators import quality as Q
+from passagework.operators import rule_index as RI
 from passagework.operators import rules as R
-from passagework.operators import models as M
+from passagework.plans import retrieval as P
 from passagework.plans.catalog import Tables, query
-from passagework.plans.q_retrieval import DIM, NODES, bucket_counts, corpus
-from passagework.plans.sqltext import WS, long_tokens, non_blank, phrases, sentences, tokens, values
+from passagework.plans.q_retrieval import CONTEXT, DIM, NODES, bucket_counts, corpus, sparse_sql
+from passagework.plans.sqltext import WS, long_tokens, non_blank, phrases, tokens, values
+from passagework.session import materialize
 
 # --- shared inputs -----------------------------------------------------------------
-# Items are assistant turns; the question is the turn before. An answer's sources are three
-# documents, none for every fifth conversation; similarities come from the bucket vectors.
+# Items are assistant turns; the question is the turn before. An answer's sources are the passages
+# that retrieval finds for its question; similarities come from the bucket vectors.
 
 
 def items(t: Tables):
@@ -49,16 +56,24 @@ def cosine_sql(a: str, b: str) -> str:
     return f"CASE WHEN {size} > 0 THEN round(list_dot_product({a}, {b}) / {size}, 9) ELSE 0.0 END"
 
 
-def source_ids(t: Tables):
-    """Documents an answer is based on."""
-    n = t.documents.count()
-    conv = F.split("item_id", "-")[0].cast("long")
-    return F.when(conv % 5 > 0, F.array(*[(conv * 3 + i) % n for i in range(3)])).otherwise(F.array().cast("array<bigint>"))
-
-
-SOURCES = """sources AS (SELECT item_id, unnest([(c * 3) % n, (c * 3 + 1) % n, (c * 3 + 2) % n]) AS doc_id
-  FROM (SELECT item_id, split_part(item_id, '-', 1)::BIGINT AS c, (SELECT count(*) FROM documents) AS n FROM items) WHERE c % 5 > 0)"""
-FOUND = f"""{CLAIMS}, {SOURCES}, {NODES}, {bucket_sql('claims', 'item_id, position', 'claim', 'c')},
+def answered(t: Tables):
+    """Items with the passages that their question finds: ``context``, ``sources`` and ``doc_ids``."""
+    c, rows = corpus(t), items(t)
+    found = I.search(c.postings, rows.select(F.col("item_id").alias("query_id"), "question"), K.COARSE_K)
+    top = fusion.first_rows(fusion.expand_parents(P.attach(found, c.nodes), c.parents), K.FINE_K)
+    context = fusion.assemble_context(top).withColumnRenamed("query_id", "item_id")
+    none = F.array().cast(context.schema["sources"].dataType)
+    joined = rows.join(context, "item_id", "left").withColumn("sources", F.coalesce("sources", none))
+    joined = joined.withColumn("context", F.coalesce("context", F.lit("")))
+    return materialize(joined.withColumn("doc_ids", F.array_distinct(F.transform("sources", lambda s: s["doc_id"]))), "answered")
+
+
+PASSAGES = f"""iq AS (SELECT item_id AS query_id, '' AS tenant_id, question FROM items), {sparse_sql('iq', 'i_')},
+passages AS MATERIALIZED (SELECT query_id AS item_id, doc_id, parent_content AS content, row_number() OVER (PARTITION BY query_id ORDER BY f.rank) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, parent_id ORDER BY rank) AS sibling FROM i_sparse JOIN nodes USING (node_id)) f
+  JOIN parents USING (parent_id) WHERE sibling = 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY f.rank) <= 5),
+sources AS (SELECT DISTINCT item_id, doc_id FROM passages)"""
+FOUND = f"""{CLAIMS}, {NODES}, {PASSAGES}, {bucket_sql('claims', 'item_id, position', 'claim', 'c')},
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, position ORDER BY similarity DESC, node_id) AS r
   FROM (SELECT item_id, position, node_id, parent_id, {cosine_sql('cv.v', 'vectors.v')} AS similarity
         FROM cv JOIN sources USING (item_id) JOIN nodes USING (doc_id) JOIN vectors USING (node_id))) WHERE r = 1),
@@ -66,11 +81,11 @@ found AS (SELECT item_id, position, claim, coalesce(similarity, 0.0) AS similari
   FROM claims LEFT JOIN best USING (item_id, position) LEFT JOIN parents USING (parent_id))"""
 
 
-def claim_table(t: Tables):
+def claim_table(t: Tables, rows=None):
     """Claims with their similarity to the answer's sources and the text around the nearest node."""
     c = corpus(t)
-    rows = Q.claim_rows(items(t), Q.claims(F.col("answer")), ["item_id"])
-    rows = M.embed(rows, "claim", bucket_counts).withColumn("doc_ids", source_ids(t))
+    rows = Q.claim_rows(answered(t) if rows is None else rows, Q.claims(F.col("answer")), ["item_id", "doc_ids"])
+    rows = materialize(M.embed(rows, "claim", bucket_counts), "claims")
     nodes = c.nodes.select("node_id", "doc_id", "parent_id").join(c.vectors.select("node_id", "embedding"), "node_id")
     found = Q.nearest_source(rows, nodes)
     texts = c.parents.select("parent_id", F.col("content").alias("parent_text"))
@@ -215,7 +230,7 @@ def claim_parent_recheck(t: Tables):
 @query("vector_factuality", f"""
 WITH {CHECKED}, r AS (SELECT item_id, count(*) AS n, count(*) FILTER (status = 'hallucination') AS bad,
     count(*) FILTER (status = 'partial') AS weak, avg(similarity) AS mean FROM checked GROUP BY 1),
-j AS (SELECT i.item_id, split_part(i.item_id, '-', 1)::BIGINT % 5 > 0 AS has_sources, length(question) % 7 = 0 AS unknown, r.* EXCLUDE item_id
+j AS (SELECT i.item_id, i.item_id IN (SELECT item_id FROM sources) AS has_sources, length(question) % 7 = 0 AS unknown, r.* EXCLUDE item_id
   FROM items i LEFT JOIN r USING (item_id))
 SELECT item_id, 'factuality' AS dimension,
   unknown OR NOT has_sources OR n IS NULL OR NOT (bad / n::double > 0.3 OR weak / n::double > 0.5) AS passed,
@@ -224,22 +239,18 @@ SELECT item_id, 'factuality' AS dimension,
 FROM j
 """)
 def vector_factuality(t: Tables):
-    unknown = F.length("question") % 7 == 0
-    rows = items(t).select(
+    unknown, whole = F.length("question") % 7 == 0, answered(t)
+    rows = whole.select(
         "item_id",
         F.when(unknown, F.lit("我不知道")).otherwise(F.col("answer")).alias("answer"),
-        (F.size(source_ids(t)) > 0).alias("has_sources"),
+        (F.size("doc_ids") > 0).alias("has_sources"),
     )
-    return Q.vector_factuality(rows, Q.parent_recheck(claim_table(t)))
+    return Q.vector_factuality(rows, Q.parent_recheck(claim_table(t, whole)))
 
 
-# The reference text of an answer: the question with every second sentence of the answer.
-CONTEXTED = f"""ctx AS (SELECT item_id, question, answer, question || ' ' || array_to_string(list_transform(range(1, len({sentences('answer')}) + 1, 2), lambda i: ({sentences('answer')})[i]), ' ') AS context FROM items)"""
-
-
-def contexted(t: Tables):
-    half = F.filter(X.sentences(F.col("answer")), lambda _, i: i % 2 == 0)
-    return items(t).withColumn("context", F.concat_ws(" ", "question", F.array_join(half, " ")))
+# The reference text of an answer: the context that was assembled for its question.
+CONTEXTED = f"""{NODES}, {PASSAGES}, contexts AS (SELECT item_id, {CONTEXT} FROM passages GROUP BY 1),
+ctx AS MATERIALIZED (SELECT item_id, question, answer, coalesce(context, '') AS context FROM items LEFT JOIN contexts USING (item_id))"""
 
 
 FALLBACK = f"""list_filter({non_blank("string_split_regex(answer, '[。！？" + chr(92) + "n;；]')")}, lambda s: length(s) > 3)"""
@@ -253,7 +264,7 @@ sup AS (SELECT item_id, position, len(k) = 0 OR len(list_intersect(k, r)) >= gre
 
 @query("claim_token_support", f"WITH {SUPPORTED} SELECT item_id, position, supported FROM sup")
 def claim_token_support(t: Tables):
-    return Q.support_of_answers(contexted(t)).select("item_id", "position", "supported")
+    return Q.support_of_answers(answered(t)).select("item_id", "position", "supported")
 
 
 @query("faithfulness", f"""
@@ -269,7 +280,7 @@ FROM j
 """)
 def faithfulness(t: Tables):
     size = F.length("question")
-    rows = contexted(t)
+    rows = answered(t)
     judged = pair_similarity(rows, "answer", "context").select(
         "item_id",
         "answer",
@@ -527,44 +538,62 @@ def intervention_apply(t: Tables):
     )
 
 
-# The plan's checks in their order of importance.
-GUARD = f"""{CHECKED}, {RELEVANT}, {RULES},
+# The plan's checks in their order of importance. Look-arounds of the default rules are spelled out for the check.
+SAFE = R.default_rules() + [R.Rule("insult", "keyword", w) for w in ("idiot", "moron", "stupid")]
+UNSAFE = " OR ".join(
+    [f"contains(a, '{r.pattern}')" for r in SAFE if r.kind == "keyword"]
+    + ["regexp_matches(a, '" + re.sub(r"\(\?<!\\d\)(.*)\(\?!\\d\)", r"(^|[^0-9])\1($|[^0-9])", r.pattern) + "')" for r in SAFE if r.kind == "regex"]
+)
+GUARD = rf"""{CHECKED}, {RELEVANT}, {RULES},
 r AS (SELECT item_id, count(*) AS n, count(*) FILTER (status = 'hallucination') AS bad,
   count(*) FILTER (status = 'partial') AS weak, avg(similarity) AS mean FROM checked GROUP BY 1),
-judged AS (SELECT item_id, 'factuality' AS dimension, c % 5 = 0 OR n IS NULL OR NOT (bad / n::double > 0.3 OR weak / n::double > 0.5) AS passed
-    FROM (SELECT i.*, split_part(i.item_id, '-', 1)::BIGINT AS c FROM items i) LEFT JOIN r USING (item_id)
+term_shares AS (SELECT item_id, rank, len(list_intersect(list_distinct(q), k)) / greatest(1, len(list_distinct(q)))::double AS score
+  FROM (SELECT item_id, rank, list_filter({tokens('question')}, lambda x: length(x) > 1 OR regexp_matches(x, '^[\p{{L}}\p{{N}}]$')) AS q, {tokens('content')} AS k FROM passages JOIN items USING (item_id))),
+judged AS (SELECT item_id, 'factuality' AS dimension, n IS NULL OR item_id NOT IN (SELECT item_id FROM sources) OR NOT (bad / n::double > 0.3 OR weak / n::double > 0.5) AS passed
+    FROM items LEFT JOIN r USING (item_id)
+  UNION ALL SELECT item_id, 'retrieval_quality', coalesce(s >= 0.1, false) FROM items LEFT JOIN (SELECT item_id, avg(score) AS s FROM term_shares GROUP BY 1) USING (item_id)
   UNION ALL SELECT item_id, 'relevance', score >= 0.4 FROM relevant
-  UNION ALL SELECT item_id, 'safety', NOT regexp_matches(lower(answer), 'idiot|moron|stupid') FROM items),
+  UNION ALL SELECT item_id, 'safety', NOT ({UNSAFE}) FROM (SELECT item_id, lower(answer) AS a FROM items)),
 hits AS (SELECT item_id, action, row_number() OVER (PARTITION BY item_id ORDER BY priority) AS k FROM judged JOIN rules USING (dimension) WHERE NOT passed),
-fails AS (SELECT item_id, count(*) FILTER (NOT passed) AS failed FROM judged GROUP BY 1)"""
+fails AS (SELECT item_id, count(*) FILTER (NOT passed) AS failed FROM judged GROUP BY 1),
+cited AS (SELECT item_id, count(*) AS cited FROM passages GROUP BY 1)"""
 
 
 @query("guard_answers", f"""
 WITH {GUARD}
 SELECT item_id, coalesce(action, 'none') AS action, failed AS failed_dimensions,
   md5(CASE action WHEN 'block' THEN '{K.BLOCK_MESSAGE}' WHEN 'degrade' THEN '' WHEN 'warn' THEN answer || '{K.WARN_SUFFIX}' ELSE answer END) AS answer_md5,
-  CASE WHEN action = 'block' OR split_part(item_id, '-', 1)::BIGINT % 5 = 0 THEN 0 ELSE 3 END AS sources
-FROM items JOIN fails USING (item_id) LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (item_id)
+  CASE WHEN action = 'block' THEN 0 ELSE coalesce(cited, 0) END AS sources
+FROM items JOIN fails USING (item_id) LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (item_id) LEFT JOIN cited USING (item_id)
 """)
 def guard_answers(t: Tables):
-    """Claims against the sources, relevance and rules, then the decision and the changed answer."""
-    rows = items(t).withColumn("sources", source_ids(t))
-    rules = [R.Rule("insult", "keyword", w) for w in ("idiot", "moron", "stupid")]
+    """Documents to changed answers: passages, their quality, claims against them, relevance, safety rules, decision."""
+    rows = answered(t)
+    c = corpus(t)
+
+    def retrieval_quality(df):
+        cited = df.select("item_id", "question", F.explode("sources").alias("s")).select("item_id", "question", "s.doc_id", "s.chunk_index")
+        whole = c.parents.select("doc_id", "chunk_index", F.col("content").alias("passage"))
+        scored = cited.join(whole, ["doc_id", "chunk_index"]).select(
+            F.col("item_id").alias("query_id"), fusion.token_overlap(F.col("question"), F.col("passage")).alias("score")
+        )
+        return Q.retrieval_stats(df.select(F.col("item_id").alias("query_id")), scored).withColumnRenamed("query_id", "item_id")
 
     def safety(df):
-        low = R.match_rules(df.select("item_id", F.lower("answer").alias("text")), rules)
+        low = RI.match_rule_table(df.select("item_id", F.lower("answer").alias("text")), R.rule_frame(t.spark, SAFE))
         return low.select("item_id", R.rule_verdict(F.col("matches")).alias("v")).select("item_id", "v.passed", "v.score")
 
     def factuality(df):
-        has = df.select("item_id", "answer", (F.size("sources") > 0).alias("has_sources"))
-        return Q.vector_factuality(has, Q.parent_recheck(claim_table(t)))
+        has = df.select("item_id", "answer", (F.size("doc_ids") > 0).alias("has_sources"))
+        return Q.vector_factuality(has, Q.parent_recheck(claim_table(t, df)))
 
     def relevance(df):
         near = pair_similarity(df.select("item_id", "question", "answer"), "question", "answer")
         verdict = Q.answer_relevancy(F.col("question"), F.col("answer"), F.col("similarity"))
         return near.select("item_id", verdict.alias("v")).select("item_id", "v.*")
 
-    out = Q.guard_answers(rows, {"safety": safety, "factuality": factuality, "relevance": relevance})
+    checkers = {"retrieval_quality": retrieval_quality, "safety": safety, "factuality": factuality, "relevance": relevance}
+    out = Q.guard_answers(rows, checkers)
     return out.select("item_id", "action", "failed_dimensions", F.md5("answer").alias("answer_md5"), F.size("sources").alias("sources"))
 
 
