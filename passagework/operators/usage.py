@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from passagework import constants as K
 from passagework import skew
+from passagework.session import materialize
 
 
 # --- cost ---------------------------------------------------------------------------
@@ -205,11 +206,21 @@ def _fires(ts: np.ndarray, hit: np.ndarray, gap: int, state: int | None) -> tupl
     return fired, state
 
 
+def _outcomes(first: int, gap: int, entries: np.ndarray, exits: np.ndarray) -> tuple[list, list]:
+    """The samples and last fires that a state from before ``first`` can lead to, equal neighbours once."""
+    # A fire before reaches at most ``gap`` far: what lies behind the next sample is never asked for.
+    reach = min(len(entries), int(np.searchsorted(entries, first + gap, side="right")) + 1)
+    step = np.append(np.flatnonzero(np.diff(exits[:reach])), reach - 1) if reach else np.zeros(0, dtype=np.int64)
+    return entries[step].tolist(), exits[step].tolist()
+
+
 def _block_summary(gap: int, keys: Sequence[str], order: Sequence[str]) -> Callable:
+    """What a block makes of any state it is entered with."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(list(order), kind="stable")
         ts, hit = frame["_us"].to_numpy(), frame["triggered"].to_numpy(dtype=bool)
-        row = {k: frame[k].iloc[0] for k in keys}
+        row = {k: frame[k].iloc[0] for k in keys} | {"first": int(ts[0])}
         if not hit.all():
             # A reset forgets the state before it: the end state is the same for every start.
             _, state = _fires(ts, hit, gap, None)
@@ -219,34 +230,71 @@ def _block_summary(gap: int, keys: Sequence[str], order: Sequence[str]) -> Calla
         for i in range(len(ts) - 1, -1, -1):
             if following[i] < len(ts):
                 last[i] = last[following[i]]
-        # A fire before this block reaches at most ``gap`` into it.
-        reach = min(len(ts), int(np.searchsorted(ts, ts[0] + gap, side="right")) + 1)
-        # Neighbours with the same outcome are told apart by nothing: keep the last of them.
-        step = np.append(np.flatnonzero(np.diff(last[:reach])), reach - 1)
-        entries, exits = ts[step].tolist(), last[step].tolist()
+        entries, exits = _outcomes(int(ts[0]), gap, ts, last)
         return pd.DataFrame([{**row, "entries": entries, "exits": exits, "reset": False, "final": None}])
 
     return run
 
 
-def _chain_blocks(gap: int, keys: Sequence[str]) -> Callable:
+def _after(row, state: int | None, gap: int) -> int | None:
+    """The state behind a block that is entered with ``state``."""
+    if row.reset:
+        return None if pd.isna(row.final) else int(row.final)
+    entries = np.asarray(row.entries, dtype="int64")
+    i = 0 if state is None else int(np.searchsorted(entries, state + gap, side="right"))
+    return int(row.exits[i]) if i < len(entries) else state
+
+
+def _composed(gap: int, rule: str) -> Callable:
+    """One report for blocks that follow one another."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        rows = list(frame.sort_values("_block").itertuples(index=False))
+        resets = [i for i, r in enumerate(rows) if r.reset]
+        out = {rule: frame[rule].iloc[0], "_block": frame["_up"].iloc[0], "first": rows[0].first, "entries": [], "exits": [], "reset": bool(resets), "final": None}
+        if resets:
+            # Only what follows the last reset matters.
+            state = None
+            for row in rows[resets[-1] :]:
+                state = _after(row, state, gap)
+            out["final"] = state
+        else:
+            entries, exits = np.zeros(0, dtype="int64"), np.zeros(0, dtype="int64")
+            for row in rows:
+                moved = np.array([_after(row, x, gap) for x in exits.tolist()], dtype="int64")
+                entries, exits = np.append(entries, np.asarray(row.entries, dtype="int64")), np.append(moved, np.asarray(row.exits, dtype="int64"))
+            out["entries"], out["exits"] = _outcomes(rows[0].first, gap, entries, exits)
+        return pd.DataFrame([out])
+
+    return run
+
+
+def _chain_blocks(gap: int, rule: str) -> Callable:
+    """The start state of each block of a group, from the one of the group."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_block")
-        state, starts = None, []
+        begin = frame["_begin"].iloc[0]
+        state, starts = None if pd.isna(begin) else int(begin), []
         for row in frame.itertuples(index=False):
             starts.append(state)
-            if row.reset:
-                state = None if pd.isna(row.final) else int(row.final)
-                continue
-            entries = np.asarray(row.entries, dtype="int64")
-            i = 0 if state is None else int(np.searchsorted(entries, state + gap, side="right"))
-            if i < len(entries):
-                state = int(row.exits[i])
-        return frame[list(keys)].assign(_start=pd.array(starts, dtype="Int64"))
+            state = _after(row, state, gap)
+        return frame[[rule, "_block"]].assign(_start=pd.array(starts, dtype="Int64"))
 
     return run
 
 
+def _starts(summary: DataFrame, rule: str, gap: int, blocks: int, fan: int) -> DataFrame:
+    """``(rule, _block, _start)``: reports are made one, ``fan`` at a time, and start states handed down again."""
+    start_schema = T.StructType([summary.schema[rule], T.StructField("_block", T.LongType()), T.StructField("_start", T.LongType())])
+    if blocks <= fan:
+        return summary.withColumn("_begin", F.lit(None).cast("long")).groupBy(rule).applyInPandas(_chain_blocks(gap, rule), start_schema)
+    grouped = summary.withColumn("_up", F.floor(F.col("_block") / fan))
+    above = materialize(grouped.groupBy(rule, "_up").applyInPandas(_composed(gap, rule), summary.schema), "reports")
+    begins = _starts(above, rule, gap, -(-blocks // fan), fan).select(rule, F.col("_block").alias("_up"), F.col("_start").alias("_begin"))
+    return grouped.join(begins, [rule, "_up"]).groupBy(rule, "_up").applyInPandas(_chain_blocks(gap, rule), start_schema)
+
+
 def _fire_rows(gap: int, order: Sequence[str]) -> Callable:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(list(order), kind="stable")
@@ -264,40 +312,34 @@ def debounce(
     rule: str = "rule_id",
     tie: str = "event_id",
     gap_seconds: int = K.ALERT_GAP_SECONDS,
-    block_seconds: int = 6 * 3600,
+    block_rows: int = 1 << 16,
+    fan: int = 1024,
 ) -> DataFrame:
     """Mark the samples that fire an alert (``fired``).
 
     A rule fires again only when more than ``gap_seconds`` have passed since its
-    last fire; a sample that does not trigger resets it. A rule's samples are cut
-    into time blocks. Each block first reports what it would make of any state it
-    is entered with (a short list: a fire reaches ``gap_seconds`` far), the reports
-    of a rule are chained, then every block is run with its true start state. No
-    task sees more than one block of a rule's samples.
+    last fire; a sample that does not trigger resets it. Samples are put in order by one range sort and cut into
+    blocks of at most ``block_rows`` rows. Each block reports what it would make of any state it
+    is entered with (a short list: a fire reaches ``gap_seconds`` far); reports of blocks that follow one another are
+    made one, ``fan`` at a time, start states are handed down the same way, then every block is run
+    with its own. No task sees more than a block of samples or ``fan`` reports, whatever a rule's share of them.
     """
     gap = gap_seconds * 1_000_000
-    block_us = block_seconds * 1_000_000
-    rule_type = evaluated.schema[rule].dataType
-    rows = evaluated.withColumn("_us", micros()).withColumn(
-        "_block", F.floor(F.col("_us") / block_us)
-    )
-    keys, order = [rule, "_block"], ["_us", tie]
-    key_fields = [T.StructField(rule, rule_type), T.StructField("_block", T.LongType())]
-    summary = rows.select(*keys, "_us", tie, "triggered").groupBy(*keys).applyInPandas(
-        _block_summary(gap, keys, order),
-        T.StructType(
-            [
-                *key_fields,
-                T.StructField("entries", T.ArrayType(T.LongType())),
-                T.StructField("exits", T.ArrayType(T.LongType())),
-                T.StructField("reset", T.BooleanType()),
-                T.StructField("final", T.LongType()),
-            ]
-        ),
-    )
-    starts = summary.groupBy(rule).applyInPandas(
-        _chain_blocks(gap, keys), T.StructType([*key_fields, T.StructField("_start", T.LongType())])
-    )
+    order = ["_us", tie]
+    ordered = evaluated.withColumn("_us", micros()).repartitionByRange(rule, *order).sortWithinPartitions(rule, *order)
+    # The number of a row within its partition is in the lower 33 bits.
+    number = F.monotonically_increasing_id()
+    rows = ordered.withColumn("_part", F.shiftright(number, 33)).withColumn("_chunk", F.floor(number.bitwiseAND(F.lit((1 << 33) - 1)) / block_rows))
+    rows = materialize(rows, "samples")
+    last = rows.agg(F.max("_part").alias("p"), F.max("_chunk").alias("c")).first()
+    chunks, parts = (last["c"] or 0) + 1, (last["p"] or 0) + 1
+    rows = rows.withColumn("_block", F.col("_part") * chunks + F.col("_chunk")).drop("_part", "_chunk")
+    keys = [rule, "_block"]
+    fields = [rows.schema[rule], T.StructField("_block", T.LongType()), T.StructField("first", T.LongType())]
+    lists = [T.StructField(n, T.ArrayType(T.LongType())) for n in ("entries", "exits")]
+    schema = T.StructType([*fields, *lists, T.StructField("reset", T.BooleanType()), T.StructField("final", T.LongType())])
+    summary = rows.select(*keys, "_us", tie, "triggered").groupBy(*keys).applyInPandas(_block_summary(gap, keys, order), schema)
+    starts = _starts(materialize(summary, "reports"), rule, gap, chunks * parts, fan)
     joined = rows.join(starts, keys)
     fields = T.StructType([*joined.schema.fields, T.StructField("fired", T.BooleanType())])
     return joined.groupBy(*keys).applyInPandas(_fire_rows(gap, order), fields).drop("_us", "_block", "_start")

@@ -237,7 +237,7 @@ walk AS (SELECT rule_id, n, event_id, value, ts, CASE WHEN triggered THEN ts END
 
 
 def fired(t: Tables):
-    return U.debounce(evaluated(t), gap_seconds=GAP, block_seconds=86400)
+    return U.debounce(evaluated(t), gap_seconds=GAP)
 
 
 @query("alert_debounce", f"WITH RECURSIVE {DEBOUNCED} SELECT rule_id, event_id, fired FROM walk")

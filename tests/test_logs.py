@@ -26,15 +26,17 @@ def slow_debounce(rows, gap):
     return out
 
 
+@pytest.mark.parametrize("block,fan", [(1 << 16, 1024), (7, 3), (60, 2)])
 @pytest.mark.parametrize("quiet", [0.0, 0.02, 0.4])
-def test_debounce_matches_a_plain_loop(spark, quiet):
+def test_debounce_matches_a_plain_loop(spark, quiet, block, fan):
+    """One rule holds most samples; its blocks are bounded by rows and their reports by ``fan``."""
     rng = random.Random(11)
     rows, now = [], START
     for i in range(900):
         now += timedelta(seconds=rng.choice([5, 20, 60, 300, 301, 0, 4000]))
         rows.append((1 if rng.random() < 0.8 else 2, i, now, rng.random() >= quiet))
     df = spark.createDataFrame(rows, "rule_id int, event_id long, ts timestamp, triggered boolean").repartition(3)
-    got = {r.event_id: r.fired for r in U.debounce(df, block_seconds=1800).collect()}
+    got = {r.event_id: r.fired for r in U.debounce(df, block_rows=block, fan=fan).collect()}
     assert got == slow_debounce(rows, 300)
 
 
