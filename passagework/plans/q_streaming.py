@@ -40,7 +40,7 @@ def stream_dedup(t: Tables):
         "text",
         F.timestamp_seconds(F.col("doc_id") + 1_704_067_200).alias("ts"),
     )
-    J.append_batches(J.dedup_stream(arrived), root, "unique")
+    J.dedup_stream(arrived, root)
     return J.read_batches(t.spark, root, "unique").select("tenant_id", "md5_hash")
 
 
@@ -73,7 +73,7 @@ def stream_alerts(t: Tables):
     samples = events(t).select("event_id", "ts", F.col("event_type").alias("metric"), "value")
     J.append_batches(J.stream_alerts(samples, rules, GAP), root, "alerts")
     decided = J.read_batches(t.spark, root, "alerts").select("rule_id", "event_id", "fired")
-    return J.with_rest(decided, fired(t))
+    return J.with_rest(decided, fired(t), J.last_watermark(t.events))
 
 
 @query("stream_rate_limit", SLIDING.replace("SELECT user_id, event_id, admitted", "SELECT user_id AS key, event_id, admitted"))
@@ -82,8 +82,8 @@ def stream_rate_limit(t: Tables):
     root = work_folder(t.spark, "limits")
     J.append_batches(J.stream_rate_limit(events(t), "user_id", LIMIT, WINDOW), root, "limits")
     decided = J.read_batches(t.spark, root, "limits").select("key", "event_id", "admitted", "remaining")
-    whole = U.rate_limit(t.events.select("user_id", "event_id", "ts"), "user_id", LIMIT, WINDOW)
-    return J.with_rest(decided, whole.select(F.col("user_id").alias("key"), "event_id", "admitted", "remaining"))
+    whole = U.rate_limit(t.events.select("user_id", "event_id", "ts"), "user_id", LIMIT, WINDOW).withColumnRenamed("user_id", "key")
+    return J.with_rest(decided, whole, J.last_watermark(t.events))
 
 
 @query("stream_sessions", f"""

@@ -9,9 +9,9 @@ root goes on with the next batch and with what it knew.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from datetime import timedelta
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,55 +146,67 @@ def ingest_documents(stream: DataFrame, root: str, threshold: int = K.AUTO_WINDO
     run_batches(stream, write, root, "ingest")
 
 
-def _first_in_partition(keys: list[str]) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set = set()
-        for frame in batches:
-            marks = list(zip(*[frame[k] for k in keys], strict=True))
-            keep = []
-            for mark in marks:
-                keep.append(mark not in seen)
-                seen.add(mark)
-            yield frame[keep]
+def dedup_stream(stream: DataFrame, root: str, known: DataFrame | None = None) -> None:
+    """First arrival of every (tenant, content hash), however late a copy comes: table ``unique``.
 
-    return run
-
-
-def dedup_stream(stream: DataFrame, known: DataFrame | None = None, delay: str = "1 hour") -> DataFrame:
-    """First arrival of every (tenant, content hash) within the watermark.
-
-    ``stream``: doc_id, tenant_id, text, ts. Copies inside one input partition are
-    dropped before the shuffle, so a text copied very often does not fill one task.
-    ``known`` holds (tenant_id, md5_hash) pairs that are stored already.
+    ``stream``: doc_id, tenant_id, text, ts. The copies inside a micro-batch are combined before the shuffle, so a text
+    copied very often does not fill one task; the batch's keys are then looked up among the stored ones, which
+    nothing is ever taken out of. ``known`` holds (tenant_id, md5_hash) pairs that are stored elsewhere.
     """
     keys = ["tenant_id", "md5_hash"]
-    slim = stream.select("doc_id", "tenant_id", F.md5("text").alias("md5_hash"), "ts")
-    slim = slim.mapInPandas(_first_in_partition(keys), slim.schema)
-    unique = slim.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
-    return unique if known is None else unique.join(known.select(*keys).distinct(), keys, "left_anti")
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        slim = batch.select("doc_id", "tenant_id", F.md5("text").alias("md5_hash"), "ts")
+        first = skew.first_per_key(slim, keys, F.struct("ts", "doc_id"), ["doc_id", "ts"])
+        for stored in (earlier_rows(spark, root, "unique", number), known):
+            if stored is not None:
+                first = first.join(stored.select(*keys), keys, "left_anti")
+        first.select("doc_id", *keys, "ts").write.mode("overwrite").parquet(_batch_path(root, "unique", number))
+
+    run_batches(stream, write, root, "unique")
 
 
 # --- usage ----------------------------------------------------------------------------------
-def daily_usage(calls: DataFrame, root: str, delay: str = "1 hour") -> None:
-    """Running cost and tokens per day, provider and model; late rows beyond the delay are dropped."""
-    totals = (
-        calls.withWatermark("ts", delay)
-        .groupBy(F.window("ts", "1 day").alias("w"), "provider", "model")
-        .agg(F.sum("cost").alias("total_cost"), F.sum("prompt_tokens").alias("total_prompt"), F.count("*").alias("calls"))
-        .select(F.to_date("w.start").alias("day"), "provider", "model", "total_cost", "total_prompt", "calls")
-    )
+USAGE_KEYS = ["day", "provider", "model"]
+USAGE_SUMS = ["total_cost", "total_prompt", "calls"]
+
+
+def daily_usage(calls: DataFrame, root: str, every: int = 64) -> None:
+    """Cost and tokens per day, provider and model; every call counts, however late it comes.
+
+    A micro-batch adds one row per key, its own sums: a batch that runs again replaces its rows. Every ``every`` batches
+    the rows so far are made one total, so that reading them does not slow down as batches go by.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(root, "usage", number))
+        sums = batch.groupBy(F.to_date("ts").alias("day"), "provider", "model").agg(
+            F.sum("cost").alias("total_cost"), F.sum("prompt_tokens").alias("total_prompt"), F.count("*").alias("calls")
+        )
+        sums.write.mode("overwrite").parquet(_batch_path(root, "usage", number))
+        if number % every == every - 1:
+            # A total of a batch that runs again is the same once more.
+            _usage_rows(batch.sparkSession, root, number).write.mode("overwrite").parquet(_batch_path(root, "usage_totals", number))
 
-    run_batches(totals, write, root, "usage", "update")
+    run_batches(calls, write, root, "usage")
 
 
-def latest_usage(spark: SparkSession, root: str) -> DataFrame:
-    """The newest total of every day, provider and model."""
+def _usage_rows(spark: SparkSession, root: str, upto: int | None = None) -> DataFrame:
+    """Totals of the batches up to ``upto``: the last stored total before it and what came after."""
     rows = read_batches(spark, root, "usage")
-    keys = ["day", "provider", "model"]
-    return skew.last_per_key(rows, keys, F.col("batch"), ["total_cost", "total_prompt", "calls"])
+    rows = rows if upto is None else rows.where(F.col("batch") <= upto)
+    if _exists(spark, f"{root}/usage_totals"):
+        totals = read_batches(spark, root, "usage_totals")
+        totals = totals if upto is None else totals.where(F.col("batch") < upto)
+        last = totals.agg(F.max("batch")).first()[0]
+        if last is not None:
+            rows = rows.where(F.col("batch") > last).unionByName(totals.where(F.col("batch") == last))
+    return rows.groupBy(*USAGE_KEYS).agg(*[F.sum(c).alias(c) for c in USAGE_SUMS])
+
+
+def latest_usage(spark: SparkSession, root: str) -> DataFrame:
+    """The total of every day, provider and model over all batches."""
+    return _usage_rows(spark, root)
 
 
 # --- stateful jobs ---------------------------------------------------------------------------
@@ -231,9 +243,20 @@ def stream_rate_limit(
     return _stateful(rows, "key", RateLimit(limit, seconds), schema, delay)
 
 
-def with_rest(decided: DataFrame, whole: DataFrame, tie: str = "event_id") -> DataFrame:
-    """Closing step of a finished stream: rows the last watermark has not passed get the batch form's decision."""
-    return decided.unionByName(whole.join(decided.select(tie), tie, "left_anti").select(*decided.columns))
+def with_rest(decided: DataFrame, whole: DataFrame, since: int, tie: str = "event_id", ts: str = "ts") -> DataFrame:
+    """Closing step of a finished stream: rows the last watermark has not passed get the batch form's decision.
+
+    ``since`` is that watermark in microseconds. An earlier row that the stream has not decided is an error, never filled in.
+    """
+    both = whole.join(decided.select(tie, F.lit(True).alias("_done")), tie, "left")
+    late = F.raise_error(F.concat(F.lit("not decided by the stream: "), F.col(tie).cast("string")))
+    open_rows = F.when(F.col("_done"), False).when(usage.micros(ts) < since, late.cast("boolean")).otherwise(True)
+    return decided.unionByName(both.where(open_rows).select(*decided.columns))
+
+
+def last_watermark(rows: DataFrame, delay: timedelta = timedelta(minutes=1), ts: str = "ts") -> int:
+    """The watermark, in microseconds, of a stream that has read all ``rows``: whatever came before it is decided."""
+    return (rows.agg(F.max(usage.micros(ts))).first()[0] or 0) - delay // timedelta(microseconds=1)
 
 
 def append_batches(stream: DataFrame, root: str, table: str, mode: str = "append") -> None:

@@ -1,5 +1,7 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from passagework import constants as K
@@ -43,9 +45,12 @@ def test_a_second_start_goes_on(spark):
         stream = J.file_stream(spark, folder, "*.parquet", whole.schema, files=1)
         J.append_batches(J.stream_rate_limit(stream, "user_id", 2, 60), root, "limits")
     decided = J.read_batches(spark, root, "limits").select("key", "event_id", "admitted", "remaining")
-    batch = U.rate_limit(whole, "user_id", 2, 60).select(F.col("user_id").alias("key"), "event_id", "admitted", "remaining")
-    got = sorted(tuple(r) for r in J.with_rest(decided, batch).collect())
-    assert decided.count() > 150 and got == sorted(tuple(r) for r in batch.collect())
+    batch = U.rate_limit(whole, "user_id", 2, 60).withColumnRenamed("user_id", "key")
+    got = sorted(tuple(r) for r in J.with_rest(decided, batch, J.last_watermark(whole)).collect())
+    assert decided.count() > 150 and got == sorted(tuple(r) for r in batch.select(*decided.columns).collect())
+    # A row that the stream should have decided is no business of the closing step.
+    with pytest.raises(Exception, match="not decided by the stream: 3"):
+        J.with_rest(decided.where("event_id <> 3"), batch, J.last_watermark(whole)).collect()
 
 
 def test_ingest_goes_on_after_a_restart(spark):
@@ -59,14 +64,21 @@ def test_ingest_goes_on_after_a_restart(spark):
     assert got == {1: "indexed", 2: "indexed", 3: "duplicate", 4: "indexed"}
 
 
-def test_first_arrival_wins_within_the_watermark(spark):
+def test_first_arrival_wins_however_late_a_copy_comes(spark):
+    """Copies days behind the watermark, in a later batch and after a restart, are still copies."""
     shape = "doc_id long, tenant_id string, text string, ts timestamp"
     rows = [(i, "a", "same" if i % 3 else f"t{i}", START + timedelta(minutes=i)) for i in range(30)]
+    late = [(100, "a", "same", START - timedelta(days=3)), (101, "b", "same", START - timedelta(days=3)), (102, "a", "t3", START + timedelta(days=9)), (103, "a", None, START)]
     known = spark.createDataFrame([("a", "t0")], "tenant_id string, text string").select("tenant_id", F.md5("text").alias("md5_hash"))
-    stream = files(spark, [spark.createDataFrame(rows[:15], shape), spark.createDataFrame(rows[15:], shape)])
-    root = work_folder(spark, "dedup-test")
-    J.append_batches(J.dedup_stream(stream, known), root, "unique")
-    assert J.read_batches(spark, root, "unique").count() == 1 + 9
+    folder, root = work_folder(spark, "dedup-input"), work_folder(spark, "dedup-test")
+    for part in (rows[:15], rows[15:], late):
+        frame = spark.createDataFrame(part, shape)
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        J.dedup_stream(J.file_stream(spark, folder, "*.parquet", frame.schema, files=1), root, known)
+    got = J.read_batches(spark, root, "unique")
+    assert sorted(r.doc_id for r in got.collect()) == [1, *range(3, 30, 3), 101, 103]
+    # A batch that runs again replaces its own rows.
+    assert got.select("batch").distinct().count() == 3
 
 
 def alerts_input(spark):
@@ -99,6 +111,26 @@ def test_stream_limits_equal_the_batch(spark):
     assert all(want[i] == v for i, v in got.items())
 
 
+@pytest.mark.parametrize("every", [64, 3])
+def test_usage_counts_every_call_once(spark, every):
+    """Calls in any order, days late; batches that run again; totals made one on the way."""
+    rng = random.Random(9)
+    rows = [(START + timedelta(hours=rng.randrange(0, 24 * 30)), rng.choice("pq"), rng.choice("mn"), 0.25 * rng.randrange(8), rng.randrange(100)) for _ in range(200)]
+    shape = "ts timestamp, provider string, model string, cost double, prompt_tokens long"
+    parts = [spark.createDataFrame(rows[i : i + 25], shape) for i in range(0, 200, 25)]
+    root = work_folder(spark, "usage-test")
+    J.daily_usage(files(spark, parts), root, every)
+    want = {}
+    for ts, provider, model, cost, tokens in rows:
+        old = want.get((ts.date(), provider, model), (0, 0, 0))
+        want[ts.date(), provider, model] = (old[0] + cost, old[1] + tokens, old[2] + 1)
+    for _ in range(2):
+        assert {(r.day, r.provider, r.model): (r.total_cost, r.total_prompt, r.calls) for r in J.latest_usage(spark, root).collect()} == want
+        # The rows of a batch that runs again replace its own.
+        again = J.read_batches(spark, root, "usage").where("batch = 7").drop("batch").collect()
+        spark.createDataFrame(again).write.mode("overwrite").parquet(f"{root}/usage/batch=7")
+
+
 def test_usage_and_sessions(spark):
     calls = spark.createDataFrame(
         [(START + timedelta(hours=h), "p", "m", 0.5, 10) for h in (1, 2, 30)], "ts timestamp, provider string, model string, cost double, prompt_tokens long"
