@@ -289,6 +289,38 @@ def test_pii_surrogates(spark):
     assert pii.replace_personal_data(spark.createDataFrame([], DOCS), "k").count() == 0
 
 
+def test_pii_names_keep_their_person(spark):
+    texts = [
+        "Herr Klaus Meier kam. Herr Meier ging.", "Frau Anna Schmidt, then Anna Schmidt spoke, and Schmidt too; Schmidtke did not", "MR. JOHN SMITH met Mr John Smith",
+        "Frau Mueller-Lüdenscheidt und Herr Lüdenscheidt, Mr O'Neil", "Dr Klaus Meier, Klaus Meier", "call 0171 2345678 or 0171/2345678", "Meier alone stays",
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.replace_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+    given, family, again = re.fullmatch(r"Herr (\p{Lu}\p{L}+) (\p{Lu}\p{L}+) kam. Herr (\p{Lu}\p{L}+) ging.".replace(r"\p{Lu}", "[A-ZÄÖÜ]").replace(r"\p{L}", r"\w"), got[0]).groups()
+    assert family == again != "Meier" and given != "Klaus"
+    anna, schmidt = re.match(r"Frau (\w+) (\w+), then ", got[1]).groups()
+    assert got[1] == f"Frau {anna} {schmidt}, then {anna} {schmidt} spoke, and {schmidt} too; Schmidtke did not" and "Anna" not in got[1]
+    john, smith = re.match(r"MR\. (\w+) (\w+) met", got[2]).groups()
+    assert got[2] == f"MR. {john} {smith} met Mr {john.capitalize()} {smith.capitalize()}" and john.isupper() and smith.isupper()
+    one, two, three, left, right = re.fullmatch(r"Frau (\w+)-(\w+) und Herr (\w+), Mr (\w+)'(\w+)", got[3]).groups()
+    assert two == three != "Lüdenscheidt" and one != "Mueller" and right != "Neil"
+    assert re.fullmatch(rf"Dr (\w+) {family}, \1 {family}", got[4])
+    assert re.fullmatch(r"call (\d{4}) (\d{7}) or \1/\2", got[5]) and "2345678" not in got[5] and got[6] == texts[6]
+
+
+def test_pii_many_people_stay_apart(spark):
+    """More given names than any list holds: every person keeps a name of their own, and none is a real one."""
+    people = [(f"{a}{b}o", f"{c}{d}berg") for a in ("Kal", "Mir", "Ton", "Bel", "Sar") for b in "aeiou" for c in ("Han", "Ros", "Lin") for d in ("na", "to", "mi")]
+    docs = spark.createDataFrame([(i, f"Herr {g} {f} and Frau {g} {f}") for i, (g, f) in enumerate(people)], "doc_id long, text string")
+    out = {r["doc_id"]: re.fullmatch(r"Herr (\w+) (\w+) and Frau (\w+) (\w+)", r["text"]).groups() for r in pii.replace_personal_data(docs, "k").collect()}
+    real = {x for p in people for x in p}
+    assert len({(g, f) for g, f, _, _ in out.values()}) == len(people) and all(f == h for _, f, _, h in out.values())
+    given, family = {}, {}
+    for i, (g, f) in enumerate(people):
+        assert given.setdefault(g, out[i][0]) == out[i][0] and family.setdefault(f, out[i][1]) == out[i][1]
+    assert len(set(given.values())) == len(given) and len(set(family.values())) == len(family)
+    assert not real & ({*given.values()} | {*family.values()})
+
+
 def test_pii_collisions(spark):
     """400 of 676 short addresses: first draws must clash, final surrogates must not."""
     names = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
