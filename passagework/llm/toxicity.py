@@ -32,7 +32,7 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b",
 WIDE = {chr(0xFF21 + i): chr(97 + i) for i in range(26)} | {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
 SHIFT = str.maketrans(HOMOGLYPHS | DIGITS | WIDE)
 HITS = "_doc long, n_words long, _s double, n_hits int, _hash long"
-SAMPLE_ROWS = 20_000  # labelled rows that the coefficients are fitted on
+SAMPLE_ROWS = 20_000  # labelled rows that weights and coefficients are fitted on
 LEAST_DOCS, LEAST_SHARE = 5, 0.5  # toxic texts that hold such a word; lower bound of its share of toxic texts
 
 
@@ -90,7 +90,7 @@ def learn_weights(sample: DataFrame, lexicon: list[str]) -> dict[str, float]:
     """Log odds of folded words in the distinct texts of ``sample (_text, _y)``.
 
     Besides the lexicon, all words of at least ``LEAST_DOCS`` toxic texts count whose share of toxic
-    texts is above ``LEAST_SHARE`` with some certainty. They are as many as the vocabulary bears out, however many rows there are.
+    texts is above ``LEAST_SHARE`` with some certainty. They are as many as the sample bears out.
     """
     letters = HOMOGLYPHS | {k: v for k, v in DIGITS.items() if k.isalnum()} | WIDE
     low = F.translate(F.lower("_text"), "".join(letters), "".join(letters.values()))
@@ -139,9 +139,9 @@ def score_toxicity(
 ) -> DataFrame:
     """One row per document: id, ``held_out``, ``score`` in 0..1, ``predicted`` and ``n_hits``.
 
-    Words and weights are learned from all labelled rows that are not held out (crc32 of the id mod 4 is
-    not 2). The weighted hits and their density by words go through a logistic function, fitted on at most
-    ``sample_rows`` of these rows, those with the smallest hash. Without labels of
+    Words and weights are learned from at most ``sample_rows`` labelled rows that are not held out (crc32 of the
+    id mod 4 is not 2), those with the smallest hash: all words that these rows bear out. The weighted hits and their
+    density by words go through a logistic function, fitted on the same rows. Without labels of
     both kinds the lexicon's weights are 1 and fixed coefficients hold.
 
     Null and empty texts have no hits and get the score of any clean text. Repeated rows are
@@ -153,11 +153,11 @@ def score_toxicity(
         return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
     given = labels.select(F.col(doc).cast("long").alias("_doc"), F.col(toxic).cast("int").alias("_y")).where("_y in (0, 1)")
-    taught = materialize(given.where(~held("_doc")).distinct(), "labelled")
+    chosen = given.where(~held("_doc")).distinct().orderBy(F.xxhash64("_doc"), "_doc", "_y").limit(sample_rows)
     # No more than ``sample_rows`` pairs of numbers.
-    chosen = F.broadcast(materialize(taught.orderBy(F.xxhash64("_doc"), "_doc", "_y").limit(sample_rows), "chosen"))
+    chosen = F.broadcast(materialize(chosen, "chosen"))
     rows = docs.select(F.col(doc).cast("long").alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    read = rows.join(taught, "_doc").select("_text", "_y")
+    read = materialize(rows.join(chosen, "_doc").select("_text", "_y"), "sample")
     learned = read.select("_y").distinct().count() == 2
     weights = learn_weights(read, list(lexicon)) if learned else {fold(w + end): 1.0 for w in lexicon for end in ENDINGS}
     hits = materialize(match_lexicon(docs, weights, exceptions, doc, text), "hits")
