@@ -20,6 +20,20 @@ def files(spark, frames):
     return J.file_stream(spark, root, "*.parquet", frames[0].schema, files=1)
 
 
+def test_a_table_is_a_file_or_a_folder_of_files(spark):
+    shape = "conv_id long, turn int, role string, text string"
+    table = spark.createDataFrame([(i // 2, i % 2, "user", f"Text {i}.") for i in range(20)], shape)
+    folder = work_folder(spark, "tables")
+    table.repartition(3).write.parquet(f"{folder}/talks.parquet")
+    table.coalesce(1).write.parquet(f"{folder}/written")
+    (part,) = [r.file for r in spark.read.parquet(f"{folder}/written").selectExpr("input_file_name() AS file").distinct().collect()]
+    for where, name in ((folder, "talks.parquet"), part.rsplit("/", 1)):
+        root = work_folder(spark, "copy")
+        J.append_batches(J.file_stream(spark, where, name, table.schema, files=2), root, "rows")
+        got = J.read_batches(spark, root, "rows").select(*table.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, table.collect()))
+
+
 def test_ingest_over_several_batches(spark):
     shape = "doc_id long, tenant_id string, text string"
     first = spark.createDataFrame([(1, "a", "One. Two."), (2, "a", "One. Two."), (3, "b", "One. Two.")], shape)
