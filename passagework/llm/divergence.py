@@ -20,8 +20,10 @@ from passagework.skew import join_groups, top_per_key
 
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # what lies between terms
 UNIT = 1_000_000_000  # a probability of 1
-HELD = 1_000_000  # partial counts that a task holds before it hands them on
-SHARD = 1 << 18  # counts in a shard, about
+HELD = 500_000  # partial counts that a task holds before it hands them on
+FRESH = 125_000  # partial counts of pieces that are not added up yet, about
+PIECE = 1 << 21  # bytes of text that are cut into terms at once, or one document
+SHARD = 1 << 17  # counts on a side of a shard, about
 SOURCES = 256  # sources on either side of a shard
 CELLS = 1 << 21  # cells of a matrix at a time
 
@@ -51,22 +53,32 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
         names = ["lang", "source", "term", "n", "docs"]
         return pa.concat_tables([pa.table(columns, names), pa.table(none, names)])
 
-    def merged(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+    def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + PIECE, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+    def merged(tables: list[pa.Table]) -> pa.Table:
         keys = ["lang", "source", "term"]
         total = pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
-        yield from total.select([*keys, "n_sum", "docs_sum"]).rename_columns([*keys, "n", "docs"]).to_batches()
+        return total.select([*keys, "n_sum", "docs_sum"]).rename_columns([*keys, "n", "docs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, fresh = [], 0  # the sum so far comes first
         for batch in batches:
-            if batch.num_rows:
-                held.append(counted(batch))
-                rows += held[-1].num_rows
-            if rows > HELD:
-                yield from merged(held)
-                held, rows = [], 0
+            for piece in pieces(batch):
+                held.append(counted(piece))
+                fresh += held[-1].num_rows
+                if fresh > FRESH:
+                    held, fresh = [merged(held)], 0
+                    if held[0].num_rows > HELD:
+                        yield from held.pop().to_batches()
         if held:
-            yield from merged(held)
+            yield from merged(held).to_batches()
 
     given = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((text, "text"), (lang, "lang"), (source, "source"))]
     partial = docs.select(*given).mapInArrow(run, "lang string, source string, term string, n long, docs long")
@@ -147,20 +159,18 @@ def pair_sums(known: DataFrame, totals: DataFrame) -> DataFrame:
     others = F.explode(F.sequence(F.lit(0), F.col("last")))
     both = rows.unionByName(absent).withColumn("x", others)
     left = both.select("lang", "shard", F.col("block").alias("i"), F.col("x").alias("j"), F.lit(True).alias("left"), "source", "term", "p")
-    right = both.where("last > 0").select("lang", "shard", F.col("x").alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "source", "term", "p")
+    right = both.select("lang", "shard", F.col("x").alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "source", "term", "p")
     given = left.unionByName(right)
 
     def meet(table: pa.Table) -> pa.Table:
-        one = pc.all(table["left"]).as_py()  # one block of sources: both sides are the same
-        a = _side(table if one else table.filter(table["left"]))
-        b = a if one else _side(table.filter(pc.invert(table["left"])))
+        a, b = _side(table.filter(table["left"])), _side(table.filter(pc.invert(table["left"])))
         every = sorted(set(a[1]) | set(b[1]))
         code = {t: k for k, t in enumerate(every)}
         total = np.zeros((len(a[0]), len(b[0])), dtype=np.int64)
         step = max(1, CELLS // max(len(a[0]), len(b[0]), 1))
         for start in range(0, len(every), step):
             p = _matrix(a, code, start, min(step, len(every) - start))
-            q = p if one else _matrix(b, code, start, min(step, len(every) - start))
+            q = _matrix(b, code, start, min(step, len(every) - start))
             for k in range(p.shape[1]):
                 gap = p[:, k : k + 1] - q
                 gap *= gap

@@ -199,6 +199,17 @@ def test_divergence(spark, monkeypatch, sources, shard):
     assert ("fr", "x", "pair", "y", 0, 1) in got
 
 
+@pytest.mark.parametrize("piece,fresh,held", [(1, 1, 1), (300, 20, 40)])
+def test_divergence_counts_in_pieces(spark, monkeypatch, piece, fresh, held):
+    rows = audit_rows()
+    docs = table(spark, rows, "text string, lang string, source string").repartition(2)
+    want = {tuple(r) for r in divergence.term_counts(docs).collect()}
+    for name, value in (("PIECE", piece), ("FRESH", fresh), ("HELD", held)):
+        monkeypatch.setattr(divergence, name, value)
+    got = [tuple(r) for r in divergence.term_counts(docs).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_divergence_odd(spark):
     schema = "text string, lang string, source string"
     assert divergence.divergence_audit(table(spark, [], schema)).count() == 0
