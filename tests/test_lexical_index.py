@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from passagework.operators import lexical_index as I
@@ -56,6 +57,33 @@ def got(found):
     return sorted((r["query_id"], r["node_id"], round(r["score"], 9), r["rank"]) for r in found.collect())
 
 
+@pytest.mark.parametrize("cells,often,common", [(1 << 18, 8, 1 << 22), (1, 8, 1 << 22), (700, 4, 1200), (50, 1000, 600)])
+@pytest.mark.parametrize("bm25", [False, True])
+def test_questions_scored_in_blocks(monkeypatch, cells, often, common, bm25):
+    for name, value in (("CELLS", cells), ("OFTEN", often), ("COMMON", common)):
+        monkeypatch.setattr(I, name, value)
+    rng, n, k = random.Random(9), 120, 6
+    asked = [[w for w in range(30) if rng.random() < 0.4] or [0] for _ in range(25)]
+    ptr, codes = np.cumsum([0, *map(len, asked)]), np.array([w for ws in asked for w in ws])
+    docs = [frozenset({"d0", "d3"}) if q % 5 == 0 else None for q in range(25)]
+    wave = I.Wave(list(range(25)), {f"w{w}": w for w in range(30)}, ptr, codes, None, docs)
+    gain, share = (I.bm25_gain(np.arange(30) + 1, 4 * n, 9.0), np.ones(25)) if bm25 else I.match_gain(wave)
+    least, best, want = np.zeros(25), [[] for _ in asked], [[] for _ in asked]
+    for part in range(4):
+        tfs = {w: {i: rng.choice([1, 1, 1, 2, 5]) for i in range(n) if rng.random() < 1 / (1 + w % 15)} for w in range(28)}
+        head = {"ids": [f"{part}/{i:03d}" for i in range(n)], "docs": [f"d{i % 9}" for i in range(n)], "lengths": [9] * n}
+        rows = [head, *[{"code": w, "nodes": list(c), "tfs": list(c.values())} for w, c in tfs.items() if c]]
+        I._score_range(wave, gain, share, k, rows, least, best)
+        for q, ws in enumerate(asked):
+            for i in range(n):
+                score = sum(gain(w, np.array([tfs[w][i]]), np.array([9]))[0] * share[q] for w in ws if i in tfs.get(w, {}))
+                if score > 0 and (docs[q] is None or head["docs"][i] in docs[q]):
+                    want[q].append((round(score, 9), head["ids"][i]))
+    for q in range(25):
+        near = [(pytest.approx(s, abs=2e-9), i) for s, i in I._first(want[q], k)]
+        assert I._first(best[q], k) == near
+
+
 @pytest.mark.parametrize("size,wave", [(4096, 1 << 21), (16, 4)])
 def test_search(spark, monkeypatch, size, wave):
     monkeypatch.setattr(I, "RANGE", size)
