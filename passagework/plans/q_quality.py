@@ -60,7 +60,7 @@ def answered(t: Tables):
     """Items with the passages that their question finds: ``context``, ``sources`` and ``doc_ids``."""
     c, rows = corpus(t), items(t)
     found = I.search(c.postings, rows.select(F.col("item_id").alias("query_id"), "question"), K.COARSE_K)
-    top = fusion.first_rows(fusion.expand_parents(P.attach(found, c.nodes), c.parents), K.FINE_K)
+    top = fusion.first_rows(P.expand(found, c), K.FINE_K)
     context = fusion.assemble_context(top).withColumnRenamed("query_id", "item_id")
     none = F.array().cast(context.schema["sources"].dataType)
     joined = rows.join(context, "item_id", "left").withColumn("sources", F.coalesce("sources", none))

@@ -388,7 +388,7 @@ WITH {EXPANDED} SELECT query_id, node_id, doc_id, md5(content) AS content_md5, t
 """)
 def expand_parents(t: Tables):
     c = corpus(t)
-    rows = R.expand_parents(P.attach(cut_fused(t), c.nodes), c.parents)
+    rows = P.expand(cut_fused(t), c)
     return rows.select(
         "query_id", "node_id", "doc_id", F.md5("content").alias("content_md5"), "expanded", F.round("score", 6).alias("score"), "rank"
     )
@@ -411,7 +411,7 @@ WITH {EXPANDED} SELECT query_id, node_id, new AS rank FROM (
 """)
 def rerank_candidates(t: Tables):
     c = corpus(t)
-    expanded = R.expand_parents(P.attach(cut_fused(t), c.nodes), c.parents)
+    expanded = P.expand(cut_fused(t), c)
     return R.rerank_candidates(expanded).select("query_id", "node_id", "rank")
 
 
@@ -423,7 +423,7 @@ def reranked(floor: str) -> str:
 def rerank(t: Tables):
     """Scores from a Python scorer; a floor that drops all rows of some questions."""
     c = corpus(t)
-    expanded = R.expand_parents(P.attach(cut_fused(t), c.nodes), c.parents)
+    expanded = P.expand(cut_fused(t), c)
     pairs = R.rerank_candidates(expanded).join(questions(t).select("query_id", "question"), "query_id")
     overlap = R.token_overlap(F.col("question"), F.col("content"))
     ranked = R.apply_rerank(pairs.withColumn("rerank_score", overlap), 5, 0.5)
@@ -598,7 +598,7 @@ def answer_context(t: Tables):
     """Top passages by words for each benchmark question, widened to their parent windows."""
     c = corpus(t)
     found = sparse_list(t)
-    top = R.first_rows(R.expand_parents(P.attach(found, c.nodes), c.parents), K.FINE_K)
+    top = R.first_rows(P.expand(found, c), K.FINE_K)
     return R.assemble_context(top).select(
         "query_id",
         "context",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passagework import constants as K
+from passagework import skew
 from passagework.operators import fusion, lexical, lexical_index, vector
 from passagework.operators.models import score_pairs
 from passagework.session import materialize
@@ -104,14 +105,26 @@ def _scoped_sparse(corpus: Corpus, questions: DataFrame, scope: DataFrame | None
     )
 
 
+def _rows_of(table: DataFrame, asked: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """The rows of an index table that stored results name; the table moves only for results too many to broadcast."""
+    return table.join(F.broadcast(asked) if skew.small_enough(asked) else asked, key, how)
+
+
 def attach(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
     """Add the node columns to result rows; the results are the small side, and nodes are keyed by id."""
-    return materialize(nodes.join(ranked, "node_id"), "results")
+    return materialize(_rows_of(nodes, materialize(ranked, "ranked"), "node_id"), "results")
+
+
+def expand(ranked: DataFrame, corpus: Corpus) -> DataFrame:
+    """Result rows with their node columns, replaced by their parents."""
+    rows = attach(ranked, corpus.nodes)
+    asked = materialize(rows.select("parent_id").distinct(), "asked")
+    return fusion.expand_parents(rows, _rows_of(corpus.parents, asked, "parent_id", "left_semi"))
 
 
 def retrieve_fast(fused: DataFrame, corpus: Corpus, k: int = K.FINE_K) -> DataFrame:
     """Expand to parents and keep the first rows."""
-    return fusion.first_rows(fusion.expand_parents(attach(fused, corpus.nodes), corpus.parents), k)
+    return fusion.first_rows(expand(fused, corpus), k)
 
 
 def retrieve_deep(
@@ -126,7 +139,7 @@ def retrieve_deep(
     ``scorer`` takes (question, text) pairs; the default is the share of the
     question's terms found in the text.
     """
-    expanded = fusion.expand_parents(attach(fused, corpus.nodes), corpus.parents)
+    expanded = expand(fused, corpus)
     pairs = fusion.rerank_candidates(expanded).join(questions.select("query_id", "question"), "query_id")
     if scorer is None:
         overlap = fusion.token_overlap(F.col("question"), F.col("content"))

@@ -152,6 +152,22 @@ def test_pluggable_scorer(spark):
     assert [(r.content, r.rerank_score) for r in failed] == [("short", 0.0), ("much longer", 0.0)]
 
 
+def test_index_tables_do_not_move_for_a_few_results(spark):
+    nodes = spark.createDataFrame([(f"n{i}", i // 3, f"text {i}", f"p{i // 2}") for i in range(40)], "node_id string, doc_id long, content string, parent_id string")
+    parents = spark.createDataFrame([(f"p{i}", f"whole {i}") for i in range(15)], "parent_id string, content string")
+    found = ranked(spark, [(1, "n3", 1, 0.5), (1, "n2", 2, 0.4), (1, "n39", 3, 0.3), (2, "n8", 1, 0.2), (2, "gone", 2, 0.1)])
+    corpus = P.Corpus(nodes, nodes, parents)
+    got = sorted((r.query_id, r.rank, r.content) for r in P.expand(found, corpus).collect())
+    assert got == [(1, 1, "whole 1"), (1, 2, "text 39"), (2, 1, "whole 4")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = P._rows_of(nodes, found, "node_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_answer_questions_end_to_end(spark):
     texts = ["the red fox runs", "a blue whale swims", "the green frog jumps", "red and blue birds"]
     nodes = spark.createDataFrame(
