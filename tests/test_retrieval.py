@@ -138,6 +138,14 @@ def test_model_failures_do_not_stop_the_job(spark):
     assert got == {1: ("OK", None), 2: (None, "down"), 3: ("FINE", None)}
 
 
+def test_batches_of_long_texts_are_bounded(spark):
+    texts = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("long text "), 2000).alias("text"))
+    made = M.embed(texts, "text", lambda part: [[float(len(part))] for _ in part], batch=1_000_000)
+    sizes = [r[0] for r in made.select(F.get("embedding", F.lit(0))).distinct().collect()]
+    # 20,000 characters each: no batch holds more than 16 MB and a row.
+    assert max(sizes) <= (1 << 24) / 20_000 + 1
+
+
 def test_pluggable_scorer(spark):
     def broken_scorer(pairs):
         raise RuntimeError("no model")
