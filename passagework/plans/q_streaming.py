@@ -70,10 +70,11 @@ def stream_alerts(t: Tables):
     rules = t.spark.createDataFrame(
         ALERT_ROWS, "rule_id int, metric string, operator string, threshold double, label string, enabled boolean"
     )
-    samples = events(t).select("event_id", "ts", F.col("event_type").alias("metric"), "value")
-    J.append_batches(J.stream_alerts(samples, rules, GAP), root, "alerts")
+    columns = ["event_id", "ts", F.col("event_type").alias("metric"), "value"]
+    J.append_batches(J.stream_alerts(events(t).select(*columns), rules, GAP), root, "alerts")
     decided = J.read_batches(t.spark, root, "alerts").select("rule_id", "event_id", "fired")
-    return J.with_rest(decided, fired(t), J.last_watermark(t.events))
+    # Samples of no rule do not reach the watermark.
+    return J.with_rest(decided, fired(t), J.last_watermark(U.evaluate_rules(t.events.select(*columns), rules)))
 
 
 @query("stream_rate_limit", SLIDING.replace("SELECT user_id, event_id, admitted", "SELECT user_id AS key, event_id, admitted"))
