@@ -61,7 +61,8 @@ def add_segment(nodes: DataFrame, path: str, node: str = "node_id", text: str =
     bucket = F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(chars // BUCKET_CHARS + 1)))
     found = dealt.mapInArrow(_inverted, schema).withColumn("bucket", bucket.cast("int"))
     name = uuid.uuid4().hex
-    found.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{path}/segment={name}")
+    # A task writes its ranges' rows straight to the buckets: postings move once, as tokens.
+    found.write.partitionBy("bucket").parquet(f"{path}/segment={name}")
     return name
 
 
@@ -253,7 +254,8 @@ def _search_wave(spark: SparkSession, index: DataFrame, rows: Sequence, k: int,
         gain, share = bm25_gain(df, *totals(index)), np.ones(len(rows))
     else:
         gain, share = match_gain(wave)
-    listed = names.select(*KEYS, F.lit(-1).alias("code"), F.lit(None).cast("array<int>").alias("nodes"), F.lit(None).cast("array<int>").alias("tfs"), "ids", "docs", "lengths")
+    own_docs = F.col("docs") if has_docs else F.lit(None).cast("array<string>").alias("docs")
+    listed = names.select(*KEYS, F.lit(-1).alias("code"), F.lit(None).cast("array<int>").alias("nodes"), F.lit(None).cast("array<int>").alias("tfs"), "ids", own_docs, "lengths")
     both = listed.unionByName(found, allowMissingColumns=True)
     dealt = both.repartition(*KEYS).sortWithinPartitions(*KEYS, "code")
     return dealt.mapInPandas(_scorer(wave, gain, share, k, schema.fieldNames()), schema)
