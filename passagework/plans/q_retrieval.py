@@ -1,5 +1,6 @@
 """Registered queries: lexical and vector search, fusion, retrieval plans."""
 
+import functools
 import hashlib
 import re
 
@@ -26,13 +27,16 @@ DIM = 64
 _STORED: dict[tuple[str, str, int], P.Corpus] = {}
 
 
+_bucket = functools.lru_cache(1 << 16)(lambda word: hashlib.md5(word.encode()).digest()[0] % DIM)
+
+
 def bucket_counts(texts):
     """Example batch function: tokens counted by the first byte of their MD5, modulo ``DIM``."""
     out = []
     for text in texts:
         counts = [0.0] * DIM
         for word in re.findall(X.PY_RUNS, (text or "").lower()):
-            counts[hashlib.md5(word.encode()).digest()[0] % DIM] += 1.0
+            counts[_bucket(word)] += 1.0
         out.append(counts)
     return out
 
