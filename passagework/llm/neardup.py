@@ -29,6 +29,7 @@ STRETCH = 128  # rows of an order whose small regions go together
 COLUMNS = 1 << 14  # shingles of a region that are compared at a time
 LONG = 1024  # values of the sketch that the second round compares
 BINS = 1 << 20  # counters of the order by rarity
+SLOTS = 1 << 26  # bits that say which documents' texts are read again
 BLOCK = 1024  # sets with one rare shingle in a block; pairs of blocks are dealt to tasks
 
 _rng = np.random.default_rng(20240607)
@@ -394,16 +395,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     # One document per asked set; a null id is an id here.
     holder = rows.join(asked, "_node").groupBy("_node").agg(F.min("_doc").alias("_held")).select("_held").distinct()
     whole = docs.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text"))
-    wanted = whole.join(holder, F.col("_doc").eqNullSafe(F.col("_held")), "left_semi")
-    sets = materialize(wanted.mapInPandas(_full_sets(shingle), "_node long, _set binary, _long binary").join(asked, "_node").dropDuplicates(["_node"]), "sets")
+    full = held_rows(whole, holder).mapInPandas(_full_sets(shingle), "_node long, _n long, _keys binary, _set binary, _long binary")
+    sets = materialize(full.join(asked, "_node").dropDuplicates(["_node"]), "sets")
     cut = first.where("a = b").select(F.col("a").alias("_node"))
     groups = components(materialize(confirm(first.where("a <> b"), sets, share), "links"))
     # Stars stand for all links so far.
     stars = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    grouped = materialize(_with_groups(nodes.drop("_sketch").join(sets, "_node"), groups), "grouped")
-    second = materialize(forest(grouped.select("_node", "_group", "_n", "_keys", F.col("_long").alias("_sketch")), share, NEAR, None, False), "regions")
+    heads = _with_groups(sets.select("_node", "_n", "_keys", F.col("_long").alias("_sketch")), groups)
+    second = materialize(forest(materialize(heads, "grouped"), share, NEAR, None, False), "regions")
     cut = cut.union(second.where("a is null").select(F.col("b").alias("_node"))).distinct()
-    members = second.where("a is not null").select(F.col("a").alias("_region"), F.col("b").alias("_node")).join(grouped.select("_node", "_group", "_set"), "_node")
+    members = second.where("a is not null").select(F.col("a").alias("_region"), F.col("b").alias("_node")).join(_with_groups(sets.select("_node", "_set"), groups), "_node")
     groups = components(stars.union(materialize(region_links(members, share), "links")))
     stars = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     third = materialize(rare_pairs(_with_groups(sets.select("_node", "_set").join(cut, "_node"), groups), share), "pairs")
@@ -419,6 +420,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     )
 
 
+def held_rows(rows: DataFrame, holder: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``_doc`` is among ``holder (_held)``, null included, and few others; no row moves.
+
+    ``SLOTS`` bits go to every task, 64 to a row, however many ids there are.
+    """
+    slot = F.pmod(F.xxhash64("_held"), F.lit(SLOTS)).alias("_slot")
+    bits = holder.select(slot).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(_slot % 64))")).alias("_bits"))
+    placed = rows.withColumn("_slot", F.pmod(F.xxhash64("_doc"), F.lit(SLOTS))).withColumn("_word", F.shiftright("_slot", 6))
+    met = placed.join(F.broadcast(materialize(bits, "bits")), "_word").where(F.getbit("_bits", (F.col("_slot") % 64).cast("int")) == 1)
+    return met.select(*rows.columns)
+
+
 def _with_groups(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """``nodes`` with their component so far as ``_group``."""
     return nodes.join(groups.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_group", F.coalesce("component", "_node")).drop("component")
@@ -428,7 +441,12 @@ def _full_sets(shingle: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [shingle_set(t, shingle) for t in batch["_text"]]
-            data = [(node_of(s), s.tobytes(), keys_and_sketch(signature(s, LONG))[1]) for s in found if len(s)]
-            yield pd.DataFrame(data, columns=["_node", "_set", "_long"])
+            data = []
+            for s in found:
+                if len(s):
+                    low = signature(s, LONG)
+                    # The orders are those of the first values.
+                    data.append((node_of(s), len(s), keys_and_sketch(low[: TREES * DEPTH])[0], s.tobytes(), keys_and_sketch(low)[1]))
+            yield pd.DataFrame(data, columns=["_node", "_n", "_keys", "_set", "_long"])
 
     return run

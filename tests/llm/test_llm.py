@@ -138,6 +138,29 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_texts_are_read_again_in_place(spark):
+    """The texts of sets with candidates were found by a join that moved all texts."""
+    rows = spark.range(1000).selectExpr("nullif(id, 7) AS _doc", "repeat('a ', 9) AS _text")
+    holder = spark.createDataFrame([(3,), (None,), (900,), (5000,)], "_held long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = neardup.held_rows(rows, holder)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        found = {r["_doc"] for r in met.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert {3, None, 900} <= found and len(found) < 20 and met.columns == rows.columns
+
+
+def test_full_sets_have_the_orders_of_signatures(spark):
+    docs = [(1, "a b c d e f g"), (2, ""), (3, None), (4, "x")]
+    first = neardup.sets_of(spark.createDataFrame(docs, "doc_id long, text string"), 3, "doc_id", "text").where("_node is not null")
+    again = spark.createDataFrame(docs, "_doc long, _text string").mapInPandas(neardup._full_sets(3), "_node long, _n long, _keys binary, _set binary, _long binary")
+    assert sorted(first.select("_node", "_n", "_keys").collect()) == sorted(again.select("_node", "_n", "_keys").collect())
+
+
 def family(n=4000, pairs=400, core=88):
     """Texts of one word per shingle that share ``core`` words and are below 0.8 to each other, but for some pairs; and all links."""
     rng, fresh = random.Random(11), itertools.count()
