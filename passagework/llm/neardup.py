@@ -30,6 +30,7 @@ COLUMNS = 1 << 14  # shingles of a region that are compared at a time
 LONG = 1024  # values of the sketch that the second round compares
 BINS = 1 << 20  # counters of the order by rarity
 SLOTS = 1 << 26  # bits that say which documents' texts are read again
+TASK = ["_part", "_low", "_high"]  # what names a task that confirms pairs
 BLOCK = 1024  # sets with one rare shingle in a block; pairs of blocks are dealt to tasks
 
 _rng = np.random.default_rng(20240607)
@@ -229,6 +230,8 @@ def _of_tree(part: pd.DataFrame, tree: int, share: tuple[int, int], near: int, l
 def rare_pairs(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     """All pairs ``(a, b)`` of ``sets (_node, _group, _set)`` of different groups that may be similar enough: no link is lost.
 
+    ``sets`` is read twice, so it should be stored.
+
     The shingles of every set are put in one order, rare ones first. Two sets need a number of common
     shingles that follows from their sizes; so from the first common one on, both must hold as many.
     Any order that all sets share is right; counts in bins make it a good one.
@@ -284,13 +287,12 @@ def rare_pairs(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
     return met.select(F.least("_node1", "_node2").alias("a"), F.greatest("_node1", "_node2").alias("b")).distinct()
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Of ``pairs (a, b)``, those whose full ``sets (_node, _set)`` are similar enough, without closing a circle in a task.
+def deal(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pairs (a, b)`` with the task ``(_part, _low, _high)`` that checks them, and ``(_node, _tasks)``, all tasks of a set.
 
     Pairs are dealt to tasks by their candidate component, cut into blocks of about ``GROUP``
     sets, so that a set moves once for most pairs and no component has to fit in one task.
     """
-    above, below = share
     parts = components(pairs)
     sizes = parts.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("_blocks"))
     known = materialize(
@@ -298,13 +300,17 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
     )
     left = known.select(F.col("node").alias("a"), F.col("component").alias("_part"), F.col("_block").alias("_i"))
     right = known.select(F.col("node").alias("b"), F.col("_block").alias("_j"))
-    keys = ["_part", "_low", "_high"]
     dealt = materialize(
         pairs.join(left, "a").join(right, "b").select("_part", F.least("_i", "_j").alias("_low"), F.greatest("_i", "_j").alias("_high"), "a", "b"), "dealt"
     )
-    ends = [dealt.select(*keys, F.col(x).alias("_node")).distinct() for x in ("a", "b")]
-    wanted = ends[0].union(ends[1]).distinct()
-    having = wanted.join(sets.select("_node", "_set"), "_node")
+    ends = dealt.select(F.explode(F.array("a", "b")).alias("_node"), F.struct(*TASK).alias("_task"))
+    return dealt, ends.groupBy("_node").agg(F.collect_set("_task").alias("_tasks"))
+
+
+def confirm(dealt: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Of the pairs ``dealt``, those whose full ``sets (_node, _set, _tasks)`` are similar enough, without closing a circle in a task."""
+    above, below = share
+    having = sets.select("_node", "_set", F.explode("_tasks").alias("_task")).select("_node", "_set", "_task.*")
 
     def meet(asked: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         of = {n: np.frombuffer(s, dtype=np.uint64) for n, s in zip(found["_node2"], found["_set2"], strict=True)}
@@ -323,8 +329,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFr
                 out.append((a, b))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    held = renamed(having).groupBy(*[f"{k}2" for k in keys])
-    return dealt.groupBy(*keys).cogroup(held).applyInPandas(meet, "a long, b long")
+    held = renamed(having).groupBy(*[f"{k}2" for k in TASK])
+    return dealt.groupBy(*TASK).cogroup(held).applyInPandas(meet, "a long, b long")
 
 
 def _lowest(low: dict, node):
@@ -396,20 +402,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     holder = rows.join(asked, "_node").groupBy("_node").agg(F.min("_doc").alias("_held")).select("_held").distinct()
     whole = docs.select(F.col(doc).cast("long").alias("_doc"), F.col(text).alias("_text"))
     full = held_rows(whole, holder).mapInPandas(_full_sets(shingle), "_node long, _n long, _keys binary, _set binary, _long binary")
-    sets = materialize(full.join(asked, "_node").dropDuplicates(["_node"]), "sets")
+    # The tasks of the first round come with the sets, which move by their node here and never again as a whole.
+    dealt, tasks = deal(first.where("a <> b"))
+    sets = materialize(full.join(asked.join(tasks, "_node", "left"), "_node").dropDuplicates(["_node"]), "sets")
     cut = first.where("a = b").select(F.col("a").alias("_node"))
-    groups = components(materialize(confirm(first.where("a <> b"), sets, share), "links"))
+    groups = components(materialize(confirm(dealt, sets, share), "links"))
     # Stars stand for all links so far.
     stars = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
     heads = _with_groups(sets.select("_node", "_n", "_keys", F.col("_long").alias("_sketch")), groups)
     second = materialize(forest(materialize(heads, "grouped"), share, NEAR, None, False), "regions")
     cut = cut.union(second.where("a is null").select(F.col("b").alias("_node"))).distinct()
-    members = second.where("a is not null").select(F.col("a").alias("_region"), F.col("b").alias("_node")).join(_with_groups(sets.select("_node", "_set"), groups), "_node")
+    members = second.where("a is not null").select(F.col("a").alias("_region"), F.col("b").alias("_node"))
+    members = members.join(_with_groups(_sets_among(sets, members), groups), "_node")
     groups = components(stars.union(materialize(region_links(members, share), "links")))
     stars = groups.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-    third = materialize(rare_pairs(_with_groups(sets.select("_node", "_set").join(cut, "_node"), groups), share), "pairs")
+    apart = materialize(_with_groups(_sets_among(sets, cut).join(cut, "_node"), groups), "apart")
+    third = materialize(rare_pairs(apart, share), "pairs")
     if not third.isEmpty():
-        groups = components(stars.union(materialize(confirm(third, sets, share), "links")))
+        dealt, tasks = deal(third)
+        groups = components(stars.union(materialize(confirm(dealt, _sets_among(sets, tasks).join(tasks, "_node"), share), "links")))
     named = rows.select("_doc", "_n", "_node", "_hash").join(groups.withColumnRenamed("node", "_node"), "_node", "left")
     named = named.withColumn("_part", F.coalesce("component", "_node"))
     lowest = named.where("_part is not null").groupBy("_part").agg(F.min("_doc").alias("_low"))
@@ -420,18 +431,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: tuple[int, int] =
     )
 
 
-def held_rows(rows: DataFrame, holder: DataFrame) -> DataFrame:
-    """The ``rows`` whose ``_doc`` is among ``holder (_held)``, null included, and few others; no row moves.
+def held_rows(rows: DataFrame, holder: DataFrame, key: str = "_doc") -> DataFrame:
+    """The ``rows`` whose ``key`` is among ``holder (_held)``, null included, and few others; no row moves.
 
     ``SLOTS`` bits go to every task, 64 to a row, however many ids there are.
     """
     slot = F.pmod(F.xxhash64("_held"), F.lit(SLOTS)).alias("_slot")
     bits = holder.select(slot).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, int(_slot % 64))")).alias("_bits"))
-    placed = rows.withColumn("_slot", F.pmod(F.xxhash64("_doc"), F.lit(SLOTS))).withColumn("_word", F.shiftright("_slot", 6))
+    placed = rows.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(SLOTS))).withColumn("_word", F.shiftright("_slot", 6))
     met = placed.join(F.broadcast(materialize(bits, "bits")), "_word").where(F.getbit("_bits", (F.col("_slot") % 64).cast("int")) == 1)
     return met.select(*rows.columns)
 
 
+def _sets_among(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(_node, _set)`` of the ``nodes``, and few others: a join with ``nodes`` then moves little more than these."""
+    return held_rows(sets.select("_node", "_set"), nodes.select(F.col("_node").alias("_held")), "_node")
+
+
 def _with_groups(nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """``nodes`` with their component so far as ``_group``."""
     return nodes.join(groups.withColumnRenamed("node", "_node"), "_node", "left").withColumn("_group", F.coalesce("component", "_node")).drop("component")

@@ -138,6 +138,29 @@ def test_near_duplicates_odd_rows(spark):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_full_sets_move_once_by_their_node(spark, monkeypatch):
+    """Confirming pairs, comparing regions and reading rare shingles moved all full sets, each for a join of its own."""
+    plans, write = [], neardup.materialize
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    monkeypatch.setattr(neardup, "materialize", seen)
+    docs, links = family(600, 60)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table(spark, docs), 1, (80, 100)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == groups_of(links, range(600))
+    moved = [(name, plan) for name, plan in plans if "_set#" in plan and "SortMergeJoin" in plan and name != "sets"]
+    assert moved and all("getbit" in plan for _, plan in moved), [name for name, plan in moved if "getbit" not in plan]
+    joined = [plan for name, plan in plans if name in ("links", "rarest") and "SortMergeJoin" in plan]
+    assert "rarest" in dict(plans) and len(joined) <= 2  # the regions', and the third round's confirmation
+
+
 def test_texts_are_read_again_in_place(spark):
     """The texts of sets with candidates were found by a join that moved all texts."""
     rows = spark.range(1000).selectExpr("nullif(id, 7) AS _doc", "repeat('a ', 9) AS _text")
